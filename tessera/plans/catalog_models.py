@@ -1 +1,96 @@
-"""Model-job queries (CRF, vectors, baselines, experiments, reports)."""
+"""Model-job queries: CRF pieces, vectors, baselines, experiments, reports."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..operators import crf
+from ..operators.features import FEATURE_NAMES
+from .catalog import query
+from .common import scored_articles
+
+# Fixed CRF weights for the oracle-checked decode / likelihood queries. All
+# dyadic, so emission sums are exact in any summation order.
+FIXED_STATE = {
+    "position": (0.0, -0.015625),
+    "lead": (0.25, 0.5),
+    "sent_pos": (0.125, -0.25),
+    "sent_neg": (-0.125, 0.75),
+    "sent_subj": (0.0625, 0.0),
+    "bias_lex": (-1.5, 3.0),
+    "has_quotes": (0.0, 0.5),
+    "has_modal": (0.0, 0.25),
+    "len": (0.03125, 0.0078125),
+}
+FIXED_TRANS = [[0.5, -0.75], [-0.25, 1.0]]
+
+
+def fixed_crf():
+    return crf.fixed_model(FEATURE_NAMES, FIXED_STATE, FIXED_TRANS)
+
+
+@query("label_transitions")
+def q_label_transitions(spark, sf):
+    """E1/H3 on the training split, with the weight each policy keeps."""
+    s = scored_articles(spark, sf).filter(F.col("split") == "train")
+    c = crf.transition_counts(s, "sentence_labels")
+    return c.select("prev_label", "label", "n",
+                    F.lit(True).alias("weight_all"), (F.col("n") > 0).alias("weight_observed"))
+
+
+@query("crf_emissions")
+def q_crf_emissions(spark, sf):
+    m = fixed_crf()
+    s = scored_articles(spark, sf)
+    e = s.select("article_id", F.posexplode(crf.emissions(F.col("feats"), m)).alias("pos", "e"))
+    return e.select("article_id", "pos", F.col("e")[0].alias("e0"), F.col("e")[1].alias("e1"))
+
+
+@query("crf_decode")
+def q_crf_decode(spark, sf):
+    m = fixed_crf()
+    s = scored_articles(spark, sf)
+    p = s.select("article_id", crf.decode(F.col("feats"), m).alias("path"))
+    return p.select("article_id",
+                    F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"),
+                    F.coalesce(F.exists("path", lambda x: x == 1), F.lit(False)).cast("int").alias("y_pred"))
+
+
+@query("crf_decode_arrow")
+def q_crf_decode_arrow(spark, sf):
+    """Same decode through the vectorised numpy kernel (for very long articles)."""
+    m = fixed_crf()
+    s = scored_articles(spark, sf)
+    seqs = crf.sequences(s, FEATURE_NAMES)
+    p = s.select("article_id").join(crf.decode_in_arrow(seqs, m), "article_id", "left")
+    path = F.coalesce("path", F.array().cast("array<int>"))
+    return p.select("article_id",
+                    F.array_join(F.transform(path, lambda x: x.cast("string")), ",").alias("path"),
+                    F.coalesce(F.exists(path, lambda x: x == 1), F.lit(False)).cast("int").alias("y_pred"))
+
+
+@query("crf_loglik")
+def q_crf_loglik(spark, sf):
+    m = fixed_crf()
+    s = scored_articles(spark, sf)
+    seqs = crf.sequences(s, FEATURE_NAMES).filter(F.col("n") > 0)
+    return crf.sequence_nll(seqs, m).select("article_id", F.round("nll", 6).alias("nll"))
+
+
+@query("crf_grad0")
+def q_crf_grad0(spark, sf):
+    """Loss and gradient at zero weights through the real distributed step."""
+    s = scored_articles(spark, sf).filter(F.col("split") == "train")
+    seqs = crf.sequences(s, FEATURE_NAMES)
+    zero = crf.fixed_model(FEATURE_NAMES, {}, np.zeros((2, 2)))
+    return crf.gradient_rows(seqs, zero).select("param", F.round("value", 6).alias("value"))
+
+
+@query("crf_fit")
+def q_crf_fit(spark, sf):
+    """H1 + H5: fit on train (full 50 rounds), weights as a table."""
+    s = scored_articles(spark, sf)
+    seqs = crf.sequences(s.filter(F.col("split") == "train"), FEATURE_NAMES)
+    model = crf.fit(seqs, FEATURE_NAMES)
+    return model.weights_frame(spark)

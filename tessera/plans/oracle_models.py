@@ -1 +1,102 @@
-"""Oracle SQL for the model-job queries."""
+"""Oracle SQL for the model-job queries (fixed-weight CRF pieces, reports)."""
+
+from __future__ import annotations
+
+from ..operators.features import FEATURE_NAMES
+from .catalog_models import FIXED_STATE, FIXED_TRANS
+from .oracle import ARTS, FEATS, ORACLE, SENTS, _with
+
+A = FIXED_TRANS
+
+
+def _d(v: float) -> str:
+    return f"CAST({float(v)!r} AS DOUBLE)"
+
+
+def _emission(k: int) -> str:
+    s = "CAST(0.0 AS DOUBLE)"
+    for n in FEATURE_NAMES:
+        s = f"({s} + {_d(FIXED_STATE.get(n, (0.0, 0.0))[k])} * {n})"
+    return s
+
+
+EM = f"""
+em AS (SELECT article_id, pos, label, split, {_emission(0)} AS e0, {_emission(1)} AS e1 FROM feats)"""
+
+ORACLE["label_transitions"] = _with(ARTS) + """
+SELECT prev_label, label, count(*) AS n, true AS weight_all, count(*) > 0 AS weight_observed
+FROM (SELECT unnest(sentence_labels[1:len(sentence_labels) - 1]) AS prev_label,
+             unnest(sentence_labels[2:len(sentence_labels)]) AS label
+      FROM arts WHERE split = 'train' AND len(sentence_labels) > 1)
+GROUP BY prev_label, label"""
+
+ORACLE["crf_emissions"] = _with(ARTS, SENTS, FEATS, EM) + """
+SELECT article_id, pos, e0, e1 FROM em"""
+
+_VIT = f"""
+vit(article_id, pos, s0, s1, p0, p1) AS (
+  SELECT article_id, pos, e0, e1, [0], [1] FROM em WHERE pos = 0
+  UNION ALL
+  SELECT v.article_id, e.pos,
+    greatest(v.s0 + {_d(A[0][0])}, v.s1 + {_d(A[1][0])}) + e.e0,
+    greatest(v.s0 + {_d(A[0][1])}, v.s1 + {_d(A[1][1])}) + e.e1,
+    list_append(CASE WHEN v.s0 + {_d(A[0][0])} >= v.s1 + {_d(A[1][0])} THEN v.p0 ELSE v.p1 END, 0),
+    list_append(CASE WHEN v.s0 + {_d(A[0][1])} >= v.s1 + {_d(A[1][1])} THEN v.p0 ELSE v.p1 END, 1)
+  FROM vit v JOIN em e ON e.article_id = v.article_id AND e.pos = v.pos + 1
+)"""
+
+_DECODE = "WITH RECURSIVE " + ",".join([ARTS, SENTS, FEATS, EM, _VIT]) + """
+SELECT a.article_id, coalesce(array_to_string(d.path, ','), '') AS path,
+       CASE WHEN list_contains(d.path, 1) THEN 1 ELSE 0 END AS y_pred
+FROM arts a LEFT JOIN (
+  SELECT v.article_id, CASE WHEN v.s0 >= v.s1 THEN v.p0 ELSE v.p1 END AS path
+  FROM vit v JOIN (SELECT article_id, max(pos) AS last FROM em GROUP BY article_id) l
+    ON v.article_id = l.article_id AND v.pos = l.last) d
+  ON a.article_id = d.article_id"""
+
+ORACLE["crf_decode"] = _DECODE
+ORACLE["crf_decode_arrow"] = _DECODE
+
+
+def _lse(x: str, y: str) -> str:
+    return f"(greatest({x}, {y}) + ln(exp(({x}) - greatest({x}, {y})) + exp(({y}) - greatest({x}, {y}))))"
+
+
+_FWD = f"""
+fwd(article_id, pos, a0, a1, sc, prev) AS (
+  SELECT article_id, pos, e0, e1, CASE WHEN label = 1 THEN e1 ELSE e0 END, label FROM em WHERE pos = 0
+  UNION ALL
+  SELECT f.article_id, e.pos,
+    {_lse(f'f.a0 + {_d(A[0][0])}', f'f.a1 + {_d(A[1][0])}')} + e.e0,
+    {_lse(f'f.a0 + {_d(A[0][1])}', f'f.a1 + {_d(A[1][1])}')} + e.e1,
+    f.sc + CASE WHEN e.label = 1 THEN e.e1 ELSE e.e0 END
+         + CASE WHEN f.prev = 0 AND e.label = 0 THEN {_d(A[0][0])}
+                WHEN f.prev = 0 AND e.label = 1 THEN {_d(A[0][1])}
+                WHEN f.prev = 1 AND e.label = 0 THEN {_d(A[1][0])}
+                ELSE {_d(A[1][1])} END,
+    e.label
+  FROM fwd f JOIN em e ON e.article_id = f.article_id AND e.pos = f.pos + 1
+)"""
+
+ORACLE["crf_loglik"] = "WITH RECURSIVE " + ",".join([ARTS, SENTS, FEATS, EM, _FWD]) + f"""
+SELECT f.article_id, round({_lse('f.a0', 'f.a1')} - f.sc, 6) AS nll
+FROM fwd f JOIN (SELECT article_id, max(pos) AS last FROM em GROUP BY article_id) l
+  ON f.article_id = l.article_id AND f.pos = l.last"""
+
+_STATE_ROWS = " UNION ALL ".join(
+    f"SELECT '{n}|{k}' AS param, round(sum({n} * (0.5 - CASE WHEN label = {k} THEN 1 ELSE 0 END)), 6) AS value "
+    f"FROM feats WHERE split = 'train'"
+    for n in FEATURE_NAMES for k in (0, 1))
+_TRANS_ROWS = " UNION ALL ".join(
+    f"SELECT 'trans|{i}|{j}' AS param, "
+    f"round(0.25 * count(*) - count(*) FILTER (WHERE prev_label = {i} AND label = {j}), 6) AS value FROM pairs"
+    for i in (0, 1) for j in (0, 1))
+
+ORACLE["crf_grad0"] = _with(ARTS, SENTS, FEATS, """
+pairs AS (SELECT unnest(sentence_labels[1:len(sentence_labels) - 1]) AS prev_label,
+                 unnest(sentence_labels[2:len(sentence_labels)]) AS label
+          FROM arts WHERE split = 'train' AND len(sentence_labels) > 1)""") + f"""
+SELECT 'loss' AS param, round(ln(2) * sum(n), 6) AS value
+FROM (SELECT count(*) AS n FROM feats WHERE split = 'train' GROUP BY article_id)
+UNION ALL {_STATE_ROWS}
+UNION ALL {_TRANS_ROWS}"""
