@@ -94,3 +94,93 @@ def q_crf_fit(spark, sf):
     seqs = crf.sequences(s.filter(F.col("split") == "train"), FEATURE_NAMES)
     model = crf.fit(seqs, FEATURE_NAMES)
     return model.weights_frame(spark)
+
+
+# ----------------------------------------------------------------- vectors
+def _articles_with_vectors(spark, sf):
+    from ..operators.vectors import article_matrices, attach_vectors, testdata_vectors
+    from ..sources.articles import testdata_articles
+    return attach_vectors(testdata_articles(spark, sf), article_matrices(testdata_vectors(spark, sf)))
+
+
+@query("embed_lookup")
+def q_embed_lookup(spark, sf):
+    """C3 with both R10 cases: no vector (null) and zero padding."""
+    a = _articles_with_vectors(spark, sf)
+    rows = a.select("article_id", F.posexplode("sentences").alias("pos", "_s"), "vecs")
+    v = F.try_element_at("vecs", F.col("pos") + 1)
+    return rows.select("article_id", "pos",
+                       F.col("vecs").isNotNull().cast("int").alias("has_vec"),
+                       F.try_element_at(v, F.lit(1)).alias("v_first"),
+                       F.array_max(v).alias("v_max"), F.array_min(v).alias("v_min"))
+
+
+def _embeddings(spark, sf):
+    return spark.read.parquet(f"{sf}/embeddings.parquet")
+
+
+@query("pool_mean")
+def q_pool_mean(spark, sf):
+    from ..operators.vectors import pool_mean
+    p = pool_mean(_embeddings(spark, sf), ["label"], "embedding")
+    return p.select("label", "dim", F.round("value", 6).alias("value"))
+
+
+@query("pool_first")
+def q_pool_first(spark, sf):
+    from ..operators.vectors import pool_first
+    return pool_first(_embeddings(spark, sf), ["label"], "embedding", "vec_id")
+
+
+@query("argmax_label")
+def q_argmax_label(spark, sf):
+    from ..functions.labels import argmax, threshold
+    e = _embeddings(spark, sf)
+    return e.select("vec_id", "label", argmax("embedding").alias("argmax"),
+                    threshold(F.col("embedding")[0]).alias("first_positive"))
+
+
+def _fitted_pca(spark, sf):
+    from ..operators.vectors import fit_pca, training_sentence_vectors
+    a = _articles_with_vectors(spark, sf)
+    train = training_sentence_vectors(a.filter(F.col("split") == "train"))
+    return a, fit_pca(train)
+
+
+@query("pca_fit")
+def q_pca_fit(spark, sf):
+    """Explained variance per component (k = min(50, width))."""
+    _, proj = _fitted_pca(spark, sf)
+    rows = [(i, float(v)) for i, v in enumerate(proj.explained)]
+    return spark.createDataFrame(rows, "component int, explained_variance double").select(
+        "component", F.round("explained_variance", 6).alias("explained_variance"))
+
+
+@query("pca_project")
+def q_pca_project(spark, sf):
+    """D10 on every sentence of articles with vectors: norm of the scores and
+    reconstruction error (both sign-free)."""
+    from ..operators.vectors import embedding_features, testdata_vectors
+    a, proj = _fitted_pca(spark, sf)
+    e = embedding_features(a, testdata_vectors(spark, sf), proj).filter(F.col("vecs").isNotNull())
+    z = e.select("article_id", F.posexplode(F.arrays_zip(F.col("vecs").alias("v"),
+                                                         F.col("emb").alias("p"))).alias("pos", "z"))
+    norm2 = lambda arr: F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x * x)
+    centred = F.zip_with("z.v", F.array(*[F.lit(float(m)) for m in proj.mean]), lambda a, b: a - b)
+    recon = F.greatest(norm2(centred) - norm2(F.col("z.p")), F.lit(0.0))
+    return z.select("article_id", "pos", F.round(F.sqrt(norm2(F.col("z.p"))), 6).alias("proj_norm"),
+                    F.round(F.sqrt(recon), 6).alias("recon_err"))
+
+
+@query("sentence_vectors")
+def q_sentence_vectors(spark, sf):
+    """Hashing encoder with mean and first-token pooling on every sentence."""
+    from ..operators.sentences import explode_sentences
+    from ..operators.vectors import encode_sentences
+    from ..sources.articles import testdata_articles
+    s = explode_sentences(testdata_articles(spark, sf), keep=())
+    v = encode_sentences(encode_sentences(s, dim=64, pool="mean", out="mean_vec"),
+                         dim=64, pool="cls", out="cls_vec")
+    l1 = lambda arr: F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + F.abs(x))
+    return v.select("article_id", "pos", F.round(l1(F.col("mean_vec")), 6).alias("mean_l1"),
+                    F.round(l1(F.col("cls_vec")), 6).alias("cls_l1"))

@@ -100,3 +100,27 @@ SELECT 'loss' AS param, round(ln(2) * sum(n), 6) AS value
 FROM (SELECT count(*) AS n FROM feats WHERE split = 'train' GROUP BY article_id)
 UNION ALL {_STATE_ROWS}
 UNION ALL {_TRANS_ROWS}"""
+
+ORACLE["embed_lookup"] = _with(ARTS, SENTS) + """
+SELECT s.article_id, s.pos,
+       CASE WHEN s.doc_id % 3 <> 0 THEN 1 ELSE 0 END AS has_vec,
+       CASE WHEN s.doc_id % 3 = 0 THEN NULL WHEN s.pos < 5 THEN CAST(e.embedding[1] AS DOUBLE) ELSE 0.0 END AS v_first,
+       CASE WHEN s.doc_id % 3 = 0 THEN NULL WHEN s.pos < 5 THEN CAST(list_max(e.embedding) AS DOUBLE) ELSE 0.0 END AS v_max,
+       CASE WHEN s.doc_id % 3 = 0 THEN NULL WHEN s.pos < 5 THEN CAST(list_min(e.embedding) AS DOUBLE) ELSE 0.0 END AS v_min
+FROM (SELECT article_id, pos, CAST(substr(article_id, 5) AS BIGINT) AS doc_id FROM sents) s
+LEFT JOIN embeddings e ON e.vec_id = (s.doc_id * 31 + s.pos) % 500"""
+
+ORACLE["pool_mean"] = """
+SELECT label, CAST(dim AS INTEGER) AS dim, round(sum(CAST(v AS DOUBLE)) / greatest(count(*), 1), 6) AS value
+FROM (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding) AS v FROM embeddings)
+GROUP BY label, dim"""
+
+ORACLE["pool_first"] = """
+SELECT label, CAST(dim AS INTEGER) AS dim, CAST(v AS DOUBLE) AS value
+FROM (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding) AS v
+      FROM (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label))"""
+
+ORACLE["argmax_label"] = """
+SELECT vec_id, label, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax,
+       CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END AS first_positive
+FROM embeddings"""
