@@ -184,3 +184,153 @@ def q_sentence_vectors(spark, sf):
     l1 = lambda arr: F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + F.abs(x))
     return v.select("article_id", "pos", F.round(l1(F.col("mean_vec")), 6).alias("mean_l1"),
                     F.round(l1(F.col("cls_vec")), 6).alias("cls_l1"))
+
+
+# ----------------------------------------------------------------- baselines
+def _text_splits(spark, sf):
+    from ..operators.baseline import article_text_frame
+    from ..sources.articles import testdata_articles
+    t = article_text_frame(testdata_articles(spark, sf))
+    return (t.filter(F.col("split") == "train"), t.filter(F.col("split") == "val"),
+            t.filter(F.col("split") == "test"))
+
+
+@query("baseline_fit")
+def q_baseline_fit(spark, sf):
+    """H7 + D12: TF-IDF logistic regression candidates scored on val."""
+    from ..operators.baseline import fit_with_validation
+    tr, va, _ = _text_splits(spark, sf)
+    _, table = fit_with_validation(tr, va, "tfidf_lr")
+    return table
+
+
+@query("baseline_predict")
+def q_baseline_predict(spark, sf):
+    """H8: best candidate's test predictions (arg-max of raw scores)."""
+    from ..operators.baseline import fit_with_validation, predict
+    tr, va, te = _text_splits(spark, sf)
+    model, _ = fit_with_validation(tr, va, "tfidf_lr")
+    return predict(model, te)
+
+
+def _rule_rows(spark, sf):
+    from ..operators.baseline import rule_candidate_rows
+    return rule_candidate_rows(scored_articles(spark, sf))
+
+
+@query("best_candidate")
+def q_best_candidate(spark, sf):
+    """D12 on a candidate table: rule candidates scored on val."""
+    from ..operators.baseline import best_candidates, candidate_metrics
+    m = candidate_metrics(_rule_rows(spark, sf).filter(F.col("split") == "val"))
+    best = best_candidates(m).select("cand_idx", F.lit(True).alias("is_best"))
+    return (m.join(F.broadcast(best), "cand_idx", "left")
+            .withColumn("is_best", F.coalesce("is_best", F.lit(False))))
+
+
+@query("cross_domain")
+def q_cross_domain(spark, sf):
+    """C6 + H11 with the rule family: select on domain A (all splits, X6),
+    test on every other domain B. Pairs come from an equi-join on the chosen
+    candidate (tables of a few rows), not a cross join."""
+    from ..operators.baseline import best_candidates, candidate_metrics
+    m = candidate_metrics(_rule_rows(spark, sf), keys=["domain"])
+    best = best_candidates(m, keys=["domain"]).withColumnRenamed("domain", "train_domain")
+    tested = m.withColumnRenamed("domain", "test_domain")
+    pairs = best.join(tested, ["cand_idx", "candidate"]).filter(F.col("train_domain") != F.col("test_domain"))
+    return pairs.select("train_domain", "test_domain", "candidate", "accuracy", "precision", "recall", "f1",
+                        F.concat_ws("->", "train_domain", "test_domain").alias("notes"))
+
+
+@query("ablation")
+def q_ablation(spark, sf):
+    """CRF toggle sets (full, observed transitions, no lexicons, no
+    vectors), each fitted for the full 50 rounds and scored on val."""
+    from ..operators.vectors import testdata_vectors
+    from ..sources.articles import testdata_articles
+    from .common import feature_context
+    from .experiments import ablation
+    return ablation(spark, testdata_articles(spark, sf), feature_context(spark), testdata_vectors(spark, sf))
+
+
+@query("learning_curve")
+def q_learning_curve(spark, sf):
+    """H9: CRF refitted on nested 25/50/100 % training samples, F1 on test."""
+    from ..sources.articles import testdata_articles
+    from .common import feature_context
+    from .experiments import learning_curve
+    return learning_curve(spark, testdata_articles(spark, sf), feature_context(spark))
+
+
+# ----------------------------------------------------------------- reports
+def _write_rule_results(spark, sf):
+    """Record rule-model runs the way experiment runs do (A9, A11), under a
+    fresh folder in the shared checkpoint location; returns the root."""
+    from ..operators import metrics as Mx
+    from ..session import shared_path
+    from ..sources import sinks
+    root = shared_path(spark, "results")
+    s = scored_articles(spark, sf).filter(F.col("split").isin("val", "test"))
+    for model, which in (("RULE_BIAS", "a"), ("RULE_NEG", "b")):
+        m = Mx.binary_metrics(s, "y_true", f"y_pred_{which}", keys=["split"]).cache()
+        for split, run in (("val", model.lower()), ("test", model.lower() + "_eval")):
+            row = sinks.metrics_row(m.filter(F.col("split") == split), model, "all", split,
+                                    "validation" if split == "val" else "test")
+            if which == "b":
+                row = row.withColumn("threshold", F.lit(0.0))  # extra column: gaps fill with null
+            sinks.dump_result_row(row, f"{root}/{run}")
+        m.unpersist()
+        sub = Mx.subtype_breakdown(s.filter(F.col("split") == "test"), "sentence_labels", f"pred_{which}")
+        sinks.write_subtypes(sub, f"{root}/{model.lower()}_eval", model.lower())
+    return root
+
+
+def _main_results(spark, sf):
+    from ..sources.results import read_main_results
+    root = _write_rule_results(spark, sf)
+    return read_main_results(spark, root), root
+
+
+@query("results_main")
+def q_results_main(spark, sf):
+    main, _ = _main_results(spark, sf)
+    return main.select("model", "domain", "split", "accuracy", "precision", "recall", "f1", "notes",
+                       "threshold", F.element_at(F.split("source_dir", "/"), -1).alias("source"))
+
+
+@query("results_subtype")
+def q_results_subtype(spark, sf):
+    from ..sources.results import read_subtype_results
+    root = _write_rule_results(spark, sf)
+    return read_subtype_results(spark, root).select("model", "subtype", "precision", "recall", "f1", "support")
+
+
+@query("chart_main")
+def q_chart_main(spark, sf):
+    from .reports import chart_main
+    main, _ = _main_results(spark, sf)
+    main = main.withColumn("source", F.element_at(F.split("source_dir", "/"), -1))
+    return chart_main(main, order=("model", "source"))
+
+
+@query("chart_curve")
+def q_chart_curve(spark, sf):
+    """D13 + F2 over a learning-curve table of the rule family: for each
+    nested training sample the best candidate is chosen, then scored on test.
+    All sample sizes in one aggregate (pct list exploded per article)."""
+    from ..operators.baseline import best_candidates, candidate_metrics
+    from ..session import shared_path
+    from ..sources.articles import hash_bucket
+    from ..sources.results import read_optional
+    from .reports import chart_curve
+    rows = _rule_rows(spark, sf)
+    train = (rows.filter(F.col("split") == "train")
+             .withColumn("train_pct", F.explode(F.array(*[F.lit(p) for p in (25.0, 50.0, 100.0)])))
+             .filter(hash_bucket(F.col("article_id"), 100, "curve") < F.col("train_pct")))
+    best = best_candidates(candidate_metrics(train, keys=["train_pct"]), keys=["train_pct"])
+    test = candidate_metrics(rows.filter(F.col("split") == "test"))
+    curve = best.join(test, ["cand_idx", "candidate"]).select(
+        F.lit("RULE_SELECTED").alias("model"), "train_pct", "f1")
+    path = shared_path(spark, "learning_curve")
+    curve.coalesce(1).write.mode("overwrite").parquet(path)
+    return chart_curve(read_optional(spark, path))

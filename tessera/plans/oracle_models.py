@@ -124,3 +124,98 @@ ORACLE["argmax_label"] = """
 SELECT vec_id, label, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax,
        CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END AS first_positive
 FROM embeddings"""
+
+# ----------------------------------------------------------------- rule family
+from ..operators.baseline import RULE_CANDIDATES  # noqa: E402
+from .oracle import ART_PRED, _metrics_sql  # noqa: E402
+
+_CAND_VALUES = ", ".join(f"({i}, '{name}', '{f}', {t})" for i, (name, f, t) in enumerate(RULE_CANDIDATES))
+CROW = f"""
+amax AS (
+  SELECT a.article_id, a.domain, a.split, coalesce(m.y_true, 0) AS y_true,
+         coalesce(m.mx_bias_lex, -1.0) AS mx_bias_lex, coalesce(m.mx_sent_neg, -1.0) AS mx_sent_neg,
+         coalesce(m.mx_sent_pos, -1.0) AS mx_sent_pos
+  FROM arts a LEFT JOIN (
+    SELECT article_id, max(bias_lex) AS mx_bias_lex, max(sent_neg) AS mx_sent_neg,
+           max(sent_pos) AS mx_sent_pos, max(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS y_true
+    FROM feats GROUP BY article_id) m USING (article_id)
+),
+cand(cand_idx, candidate, feature, thr) AS (VALUES {_CAND_VALUES}),
+crow AS (
+  SELECT a.article_id, a.domain, a.split, a.y_true, CAST(c.cand_idx AS INTEGER) AS cand_idx, c.candidate,
+    CASE WHEN (CASE c.feature WHEN 'bias_lex' THEN a.mx_bias_lex WHEN 'sent_neg' THEN a.mx_sent_neg
+                              ELSE a.mx_sent_pos END) > c.thr THEN 1 ELSE 0 END AS y_pred
+  FROM amax a CROSS JOIN cand c
+)"""
+
+ORACLE["best_candidate"] = _with(ARTS, SENTS, FEATS, CROW, "cm AS (" + _metrics_sql(
+    "(SELECT * FROM crow WHERE split = 'val')", ["cand_idx", "candidate"]) + ")") + """
+SELECT cm.*, coalesce(b.is_best, false) AS is_best
+FROM cm LEFT JOIN (SELECT cand_idx, true AS is_best FROM cm ORDER BY f1 DESC, cand_idx ASC LIMIT 1) b
+  USING (cand_idx)"""
+
+ORACLE["cross_domain"] = _with(ARTS, SENTS, FEATS, CROW, "cm AS (" + _metrics_sql(
+    "crow", ["domain", "cand_idx", "candidate"]) + ")") + """
+SELECT b.domain AS train_domain, t.domain AS test_domain, t.candidate, t.accuracy, t.precision, t.recall,
+       t.f1, b.domain || '->' || t.domain AS notes
+FROM (SELECT domain, cand_idx FROM (
+        SELECT domain, cand_idx, row_number() OVER (PARTITION BY domain ORDER BY f1 DESC, cand_idx ASC) AS rk
+        FROM cm) WHERE rk = 1) b
+JOIN cm t ON t.cand_idx = b.cand_idx AND t.domain <> b.domain"""
+
+
+def _rule_metrics(rule: str, model: str) -> str:
+    src = f"(SELECT split, y_true, y_pred_{rule} AS y_pred FROM art_pred WHERE split IN ('val', 'test'))"
+    thr = "CAST(NULL AS DOUBLE)" if rule == "a" else "0.0::DOUBLE"
+    return f"""
+SELECT '{model}' AS model, 'all' AS domain, split, accuracy, precision, recall, f1,
+       CASE WHEN split = 'val' THEN 'validation' ELSE 'test' END AS notes, {thr} AS threshold,
+       CASE WHEN split = 'val' THEN '{model.lower()}' ELSE '{model.lower()}_eval' END AS source
+FROM ({_metrics_sql(src, ['split'])})"""
+
+
+MAIN = ("main AS (" + _rule_metrics("a", "RULE_BIAS") + " UNION ALL " + _rule_metrics("b", "RULE_NEG") + ")")
+ORACLE["results_main"] = _with(ARTS, SENTS, FEATS, ART_PRED, MAIN) + "SELECT * FROM main"
+
+ORACLE["chart_main"] = _with(ARTS, SENTS, FEATS, ART_PRED, MAIN) + """
+SELECT model, source, 'f1' AS metric, f1 AS value FROM main
+UNION ALL SELECT model, source, 'precision', precision FROM main
+UNION ALL SELECT model, source, 'recall', recall FROM main"""
+
+
+def _subtype_sql(pred: str, model: str) -> str:
+    return f"""
+SELECT '{model}' AS model, subtype, precision, recall,
+       CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1,
+       support
+FROM (
+  SELECT subtype, support,
+    CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) ELSE 0.0 END AS precision,
+    CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) ELSE 0.0 END AS recall
+  FROM (
+    SELECT subtype,
+      count(*) FILTER (WHERE pred = 1 AND label = 1) AS tp,
+      count(*) FILTER (WHERE pred = 1 AND label = 0) AS fp,
+      count(*) FILTER (WHERE pred = 0 AND label = 1) AS fn,
+      count(*) AS support
+    FROM (SELECT subtype, label, CASE WHEN {pred} > 0 THEN 1 ELSE 0 END AS pred FROM feats WHERE split = 'test')
+    GROUP BY subtype))"""
+
+
+ORACLE["results_subtype"] = _with(ARTS, SENTS, FEATS) + _subtype_sql("bias_lex", "RULE_BIAS_EVAL") + \
+    " UNION ALL " + _subtype_sql("sent_neg", "RULE_NEG_EVAL")
+
+_PCTS = "(VALUES (25.0::DOUBLE), (50.0::DOUBLE), (100.0::DOUBLE)) p(train_pct)"
+ORACLE["chart_curve"] = _with(ARTS, SENTS, FEATS, CROW, f"""
+tr AS (SELECT c.*, p.train_pct FROM crow c CROSS JOIN {_PCTS}
+       WHERE c.split = 'train'
+         AND (('0x' || substr(md5('curve|' || c.article_id), 1, 8))::BIGINT % 100) < p.train_pct)""",
+    "tm AS (" + _metrics_sql("tr", ["train_pct", "cand_idx", "candidate"]) + ")",
+    "te AS (" + _metrics_sql("(SELECT * FROM crow WHERE split = 'test')", ["cand_idx", "candidate"]) + ")") + """
+SELECT 'RULE_SELECTED' AS model, CAST(row_number() OVER (ORDER BY b.train_pct) - 1 AS INTEGER) AS point,
+       b.train_pct, te.f1
+FROM (SELECT train_pct, cand_idx FROM (
+        SELECT train_pct, cand_idx,
+               row_number() OVER (PARTITION BY train_pct ORDER BY f1 DESC, cand_idx ASC) AS rk FROM tm)
+      WHERE rk = 1) b
+JOIN te ON te.cand_idx = b.cand_idx"""
