@@ -35,19 +35,16 @@ def article_text_frame(articles: DataFrame) -> DataFrame:
                            any_positive("sentence_labels").cast("double").alias("label"))
 
 
-def _stages(variant: str, reg_param: float, max_iter: int, num_features: int = 1 << 18,
-            seed: int = 42):
+def _featurizer(variant: str, num_features: int = 1 << 18, seed: int = 42) -> Pipeline:
     tok = RegexTokenizer(inputCol="text", outputCol="tokens_all", pattern=TOKEN_PATTERN,
                          gaps=False, toLowercase=True, minTokenLength=1)
     cut = SQLTransformer(statement=f"SELECT *, slice(tokens_all, 1, {MAX_LEN}) AS tokens FROM __THIS__")
-    lr = LogisticRegression(featuresCol="features", labelCol="label",
-                            regParam=reg_param, maxIter=max_iter)
     if variant == "tfidf_lr":
-        return [tok, cut, HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features),
-                IDF(inputCol="tf", outputCol="features"), lr]
+        return Pipeline(stages=[tok, cut, HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features),
+                                IDF(inputCol="tf", outputCol="features")])
     if variant == "word2vec_lr":
-        return [tok, cut, Word2Vec(inputCol="tokens", outputCol="features", vectorSize=64,
-                                   minCount=2, maxIter=1, seed=seed), lr]
+        return Pipeline(stages=[tok, cut, Word2Vec(inputCol="tokens", outputCol="features", vectorSize=64,
+                                                   minCount=2, maxIter=1, seed=seed)])
     raise ValueError(f"unknown baseline variant {variant!r}")
 
 
@@ -66,16 +63,24 @@ def fit_with_validation(train: DataFrame, val: DataFrame, variant: str = "tfidf_
     """H7 + D12: fit every candidate on train, score on val, keep the best F1
     (earliest candidate on ties). Returns (best model, candidate table)."""
     spark = train.sparkSession
+    feat = _featurizer(variant).fit(train)  # tokenise/TF/IDF fitted once for all candidates
+    tr = feat.transform(train).select("article_id", "label", "features").cache()
+    va = feat.transform(val).select("article_id", "label", "features").cache()
     rows, models = [], []
-    for i, (reg, iters) in enumerate(candidates):
-        model = Pipeline(stages=_stages(variant, reg, iters)).fit(train)
-        m = M.global_binary_metrics(predict(model, val)).first()
-        rows.append((i, variant, float(reg), int(iters), float(m.f1), m.accuracy))
-        models.append(model)
+    try:
+        for i, (reg, iters) in enumerate(candidates):
+            lr = LogisticRegression(featuresCol="features", labelCol="label",
+                                    regParam=reg, maxIter=iters).fit(tr)
+            m = M.global_binary_metrics(predict(lr, va)).first()
+            rows.append((i, variant, float(reg), int(iters), float(m.f1), m.accuracy))
+            models.append(lr)
+    finally:
+        tr.unpersist()
+        va.unpersist()
     table = spark.createDataFrame(
         rows, "candidate int, variant string, reg_param double, max_iter int, val_f1 double, val_accuracy double")
     best = max(rows, key=lambda r: (r[4], -r[0]))[0]
-    return models[best], table
+    return PipelineModel(stages=list(feat.stages) + [models[best]]), table
 
 
 # ------------------------------------------------------------------ rule family

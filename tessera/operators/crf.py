@@ -102,7 +102,8 @@ def sequences(articles: DataFrame, feature_names: tuple, feats: str = "feats",
     ``emb`` (optional) is an ``array<array<double>>`` aligned with the
     sentences whose rows are appended to the named features.
     """
-    named = lambda f: [f[n].cast("double") for n in feature_names]
+    plain = [n for n in feature_names if not n.startswith("emb")]
+    named = lambda f: [f[n].cast("double") for n in plain]
     if emb is None:
         rows = F.transform(feats, lambda f: F.array(*named(f)))
     else:

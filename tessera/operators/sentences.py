@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 
 
-def check_label_lengths(articles: DataFrame) -> DataFrame:
-    """Too few labels for the sentences fails the job; extra labels are ignored."""
-    short = F.size("sentence_labels") < F.size("sentences")
-    return articles.filter(
-        F.when(short, F.raise_error(F.lit("article has fewer sentence_labels than sentences")))
-        .otherwise(F.lit(True)))
+def checked_length(sentences: str = "sentences", labels: str = "sentence_labels"):
+    """Sentence count; fails the job when there are fewer labels.
+
+    Evaluated inside the projection that uses it (not as a filter, which
+    Catalyst would push below the scan-side exchange and evaluate twice)."""
+    n = F.size(sentences)
+    return F.when(F.size(labels) < n, F.raise_error(
+        F.lit("article has fewer sentence_labels than sentences")).cast("int")).otherwise(n)
 
 
 def explode_sentences(articles: DataFrame, keep=("domain", "split")) -> DataFrame:
@@ -24,13 +26,13 @@ def explode_sentences(articles: DataFrame, keep=("domain", "split")) -> DataFram
     no sentences produce no rows (their article label comes from the article
     row, see ``functions.labels.any_positive``).
     """
-    n = F.size("sentences")
+    n = checked_length()
     zipped = F.arrays_zip(
         F.col("sentences").alias("sentence"),
         F.slice("sentence_labels", 1, n).alias("label"),
         F.slice(F.coalesce("subtypes", F.array().cast("array<string>")), 1, n).alias("subtype"),
     )
-    return (check_label_lengths(articles)
+    return (articles
             .select("article_id", *keep, F.posexplode(zipped).alias("pos", "z"))
             .select("article_id", *keep, "pos",
                     F.col("z.sentence").alias("sentence"),

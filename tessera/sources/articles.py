@@ -92,8 +92,20 @@ def documents_to_articles(docs: DataFrame) -> DataFrame:
     )
 
 
+def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan over at least ``min_partitions`` tasks (default: the
+    cluster's parallelism). A large input already has more splits than that
+    and is returned unchanged; a small file with one row group would
+    otherwise run every row-local stage in a single task."""
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    return balanced(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
 
 
 def testdata_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
