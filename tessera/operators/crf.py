@@ -192,11 +192,13 @@ class CRFObjective:
 
 
 def prepare_training_data(seqs: DataFrame, labels: tuple, partitions: int | None = None) -> DataFrame:
-    spark = seqs.sparkSession
-    p = partitions or max(spark.sparkContext.defaultParallelism, 1)
-    return (seqs.filter(F.col("n") > 0)
-            .select("n", "x", _label_index(labels, F.col("y")).alias("yi"))
-            .repartition(p))
+    """Training rows ``(n, x, yi)``. Keeps the input's partitioning when it is
+    at least as wide as the cluster (large inputs); narrower inputs are
+    spread once, before the data is persisted for the optimisation rounds."""
+    from ..sources.articles import balanced
+    data = (seqs.filter(F.col("n") > 0)
+            .select("n", "x", _label_index(labels, F.col("y")).alias("yi")))
+    return data.repartition(partitions) if partitions else balanced(data)
 
 
 def observed_labels(seqs: DataFrame) -> tuple:

@@ -105,7 +105,7 @@ def paired_predictions(a: DataFrame, b: DataFrame, key: str = "article_id") -> D
 
 
 def discordant_counts(paired: DataFrame) -> DataFrame:
-    """B21 + D5: n01 = a wrong and b right; n10 = a right and b wrong."""
+    """B21 + D5 on joined pairs: n01 = a wrong and b right; n10 = a right and b wrong."""
     ca = is_correct("y_true_a", "y_pred_a")
     cb = is_correct("y_true_b", "y_pred_b")
     return paired.agg(F.count(F.lit(1)).alias("n_pairs"),
@@ -113,13 +113,32 @@ def discordant_counts(paired: DataFrame) -> DataFrame:
                       F.count_if((ca == 1) & (cb == 0)).alias("n10"))
 
 
+def _per_key_correctness(df: DataFrame, key: str, side: str) -> DataFrame:
+    c = is_correct("y_true", "y_pred")
+    return df.groupBy(key).agg(F.count_if(c == 1).alias(f"r_{side}"),
+                               F.count_if(c != 1).alias(f"w_{side}"))
+
+
+def discordant_counts_aggregated(a: DataFrame, b: DataFrame, key: str = "article_id") -> DataFrame:
+    """Same counts as ``discordant_counts(paired_predictions(a, b))`` without
+    materialising pairs: each side is pre-aggregated per key (right / wrong
+    counts, partial aggregation) and the per-key products are summed. A key
+    repeated on both sides contributes the product of its counts, exactly as
+    the inner join would, but costs one row per key instead of all pairs."""
+    j = _per_key_correctness(a, key, "a").join(_per_key_correctness(b, key, "b"), key)
+    ra, wa, rb, wb = (F.col(c) for c in ("r_a", "w_a", "r_b", "w_b"))
+    return j.agg(F.coalesce(F.sum((ra + wa) * (rb + wb)), F.lit(0)).cast("bigint").alias("n_pairs"),
+                 F.coalesce(F.sum(wa * rb), F.lit(0)).cast("bigint").alias("n01"),
+                 F.coalesce(F.sum(ra * wb), F.lit(0)).cast("bigint").alias("n10"))
+
+
 def mcnemar(a: DataFrame, b: DataFrame, key: str = "article_id") -> DataFrame:
     """Continuity-corrected McNemar statistic and chi-square(1) p-value.
 
     statistic = (|n01 - n10| - 1)^2 / (n01 + n10); no discordant pairs gives
     statistic 0 and p 1 (X9).
     """
-    c = discordant_counts(paired_predictions(a, b, key))
+    c = discordant_counts_aggregated(a, b, key)
     n01, n10 = F.col("n01"), F.col("n10")
     d = n01 + n10
     stat = F.when(d > 0, F.pow(F.abs(n01 - n10) - 1, 2) / d).otherwise(F.lit(0.0))

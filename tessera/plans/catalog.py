@@ -199,7 +199,14 @@ def q_predictions(spark, sf):
 @query("mcnemar")
 def q_mcnemar(spark, sf):
     s = scored_articles(spark, sf).filter(F.col("split") == "test")
-    r = M.mcnemar(rule_prediction_table(s, "a"), rule_prediction_table(s, "b"))
+    # evaluation writes the predictions once (A10) to the shared folder; the
+    # significance test reads them back for both sides (A6), so features
+    # are computed once and the test does not depend on recomputation
+    from ..session import shared_path
+    path = shared_path(spark, "predictions")
+    s.select("article_id", "y_true", "y_pred_a", "y_pred_b").write.mode("overwrite").parquet(path)
+    both = spark.read.parquet(path)
+    r = M.mcnemar(rule_prediction_table(both, "a"), rule_prediction_table(both, "b"))
     return r.select("n_pairs", "n01", "n10", F.round("statistic", 6).alias("statistic"),
                     F.round("p_value", 6).alias("p_value"))
 

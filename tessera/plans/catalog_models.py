@@ -107,7 +107,10 @@ def _articles_with_vectors(spark, sf):
 def q_embed_lookup(spark, sf):
     """C3 with both R10 cases: no vector (null) and zero padding."""
     a = _articles_with_vectors(spark, sf)
-    rows = a.select("article_id", F.posexplode("sentences").alias("pos", "_s"), "vecs")
+    # posexplode_outer: no inferred size(sentences) > 0 filter pushed below the
+    # exchange (which would split every document twice)
+    rows = (a.select("article_id", F.posexplode_outer("sentences").alias("pos", "_s"), "vecs")
+            .filter(F.col("pos").isNotNull()))
     v = F.try_element_at("vecs", F.col("pos") + 1)
     return rows.select("article_id", "pos",
                        F.col("vecs").isNotNull().cast("int").alias("has_vec"),

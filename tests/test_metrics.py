@@ -59,3 +59,13 @@ def test_chi2_tail_matches_erfc(spark):
     got = [r.p for r in df.select(chi2_1_sf(F.col("x")).alias("p")).collect()]
     for x, p in zip(xs, got):
         assert abs(p - math.erfc(math.sqrt(x / 2))) < 1e-12, (x, p)
+
+
+def test_aggregated_discordance_equals_join(spark):
+    rows_a = [("k", 1, 1), ("k", 1, 0), ("k", 0, 0), ("m", 1, 0), ("n", 0, 1)]
+    rows_b = [("k", 1, 0), ("k", 0, 0), ("m", 1, 1), ("m", 1, 0), ("z", 1, 1)]
+    a = spark.createDataFrame(rows_a, "article_id string, y_true int, y_pred int")
+    b = spark.createDataFrame(rows_b, "article_id string, y_true int, y_pred int")
+    j = M.discordant_counts(M.paired_predictions(a, b)).first()
+    g = M.discordant_counts_aggregated(a, b).first()
+    assert (j.n_pairs, j.n01, j.n10) == (g.n_pairs, g.n01, g.n10) == (8, 2, 2)
