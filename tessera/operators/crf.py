@@ -151,8 +151,10 @@ def _label_index(labels: tuple, y: Column) -> Column:
 class CRFObjective:
     """Loss and gradient of the regularised negative log-likelihood."""
 
-    def __init__(self, data: DataFrame, d: int, K: int, c2: float, mask: np.ndarray):
+    def __init__(self, data: DataFrame, d: int, K: int, c2: float, mask: np.ndarray,
+                 labels: tuple):
         self.data, self.d, self.K, self.c2, self.mask = data, d, K, c2, mask
+        self.labels = labels
         self.partitions = data.rdd.getNumPartitions()
         self.evaluations = 0
 
@@ -162,7 +164,7 @@ class CRFObjective:
 
     def data_term(self, w: np.ndarray) -> tuple[float, np.ndarray, int]:
         W, A = self.split(w)
-        parts = self.data.mapInArrow(make_gradient_step(W, A), STEP_SCHEMA)
+        parts = self.data.mapInArrow(make_gradient_step(W, A, self.labels), STEP_SCHEMA)
         if self.partitions <= COLLECT_MAX_PARTITIONS:
             rows = parts.collect()  # one ~1 kB row per partition
             loss = float(sum(r.loss for r in rows))
@@ -191,13 +193,12 @@ class CRFObjective:
         return np.concatenate([np.ones(self.d * self.K, dtype=bool), self.mask.ravel()])
 
 
-def prepare_training_data(seqs: DataFrame, labels: tuple, partitions: int | None = None) -> DataFrame:
-    """Training rows ``(n, x, yi)``. Keeps the input's partitioning when it is
+def prepare_training_data(seqs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Training rows ``(n, x, y)``. Keeps the input's partitioning when it is
     at least as wide as the cluster (large inputs); narrower inputs are
     spread once, before the data is persisted for the optimisation rounds."""
     from ..sources.articles import balanced
-    data = (seqs.filter(F.col("n") > 0)
-            .select("n", "x", _label_index(labels, F.col("y")).alias("yi")))
+    data = seqs.filter(F.col("n") > 0).select("n", "x", "y")
     return data.repartition(partitions) if partitions else balanced(data)
 
 
@@ -210,21 +211,24 @@ def observed_labels(seqs: DataFrame) -> tuple:
 def fit(seqs: DataFrame, feature_names: tuple, transitions: str = "all",
         c2: float = DEFAULT_C2, max_iter: int = DEFAULT_MAX_ITER,
         partitions: int | None = None, toggles: dict | None = None) -> CRFModel:
-    """H1: fit weights on ``sequences(...)`` rows of the training split."""
-    labels = observed_labels(seqs)
-    if not labels:
-        raise ValueError("no training labels")
-    K, d = len(labels), len(feature_names)
-    observed = None
-    if transitions == "observed":
-        observed = {(r.prev_label, r.label) for r in transition_counts(seqs).collect()}
-    mask = transition_mask(transitions, labels, observed)
-    if K == 1:
-        return CRFModel(tuple(feature_names), labels, np.zeros((d, 1)), np.zeros((1, 1)),
-                        mask, c2, transitions, dict(toggles or {}), {"iterations": 0})
-    data = prepare_training_data(seqs, labels, partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    """H1: fit weights on ``sequences(...)`` rows of the training split.
+
+    The training rows are persisted first; the label set and observed
+    transitions are then read from the cache (no extra feature passes)."""
+    data = prepare_training_data(seqs, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        obj = CRFObjective(data, d, K, c2, mask)
+        labels = observed_labels(data)
+        if not labels:
+            raise ValueError("no training labels")
+        K, d = len(labels), len(feature_names)
+        observed = None
+        if transitions == "observed":
+            observed = {(r.prev_label, r.label) for r in transition_counts(data).collect()}
+        mask = transition_mask(transitions, labels, observed)
+        if K == 1:
+            return CRFModel(tuple(feature_names), labels, np.zeros((d, 1)), np.zeros((1, 1)),
+                            mask, c2, transitions, dict(toggles or {}), {"iterations": 0})
+        obj = CRFObjective(data, d, K, c2, mask, labels)
         res = lbfgs.minimize(obj, np.zeros(d * K + K * K), max_iter=max_iter, free=obj.free_vector())
         W, A = obj.split(res.w)
     finally:
@@ -238,9 +242,9 @@ def fit(seqs: DataFrame, feature_names: tuple, transitions: str = "all",
 def gradient_rows(seqs: DataFrame, model: CRFModel) -> DataFrame:
     """One distributed evaluation of the data term at the model's weights,
     as ``(param, value)`` rows (loss first). Used to check H1 numerically."""
-    data = prepare_training_data(seqs, model.labels)
+    data = prepare_training_data(seqs)
     W, A = model.W, model.A * model.trans_mask
-    parts = data.mapInArrow(make_gradient_step(W, A), STEP_SCHEMA)
+    parts = data.mapInArrow(make_gradient_step(W, A, model.labels), STEP_SCHEMA)
     names = [f"{n}|{lab}" for n in model.feature_names for lab in model.labels]
     names += [f"trans|{a}|{b}" for a in model.labels for b in model.labels]
     idx = parts.select(F.posexplode("grad").alias("i", "value")).groupBy("i").agg(F.sum("value").alias("value"))

@@ -38,19 +38,86 @@ def pad(flat: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, idx: np.ndar
     """Gather sequences ``idx`` from a flat buffer into a (B, T, width) block + mask."""
     L = lengths[idx]
     T = int(L.max()) if len(L) else 0
-    steps = np.arange(T)
-    mask = steps[None, :] < L[:, None]
-    pos = offsets[idx][:, None] + steps[None, :] * width
-    pos = np.where(mask, pos, 0)
-    cols = pos[..., None] + np.arange(width)[None, None, :]
-    block = flat[cols] if flat.size else np.zeros(cols.shape)
-    block = np.where(mask[..., None], block, 0)
+    mask = np.arange(T)[None, :] < L[:, None]
+    block = np.zeros((len(idx), T, width), dtype=flat.dtype)
+    total = int(L.sum())
+    if total:
+        rows = flat.reshape(-1, width)
+        starts = offsets[idx] // width
+        # row index of every (sequence, step) in mask order
+        src = np.repeat(starts - np.concatenate([[0], np.cumsum(L[:-1])]), L) + np.arange(total)
+        block[mask] = rows[src]
     return block, mask
 
 
+SCALED_MAX_ABS_TRANSITION = 50.0
+
+
 def nll_and_grad(X: np.ndarray, M: np.ndarray, Y: np.ndarray, W: np.ndarray, A: np.ndarray,
                  want_grad: bool = True):
-    """Negative log-likelihood per sequence and summed gradients for one block."""
+    """Negative log-likelihood per sequence and summed gradients for one block.
+
+    Rows of a block are sorted by length (``chunks``), so at step t the rows
+    still running are a suffix of the block and each step works on a slice.
+    Uses the scaled forward-backward in probability space (per-step
+    normalisers c_t, emissions shifted by their per-step maximum); falls back
+    to log space when transition weights are extreme.
+    """
+    if np.abs(A).max(initial=0.0) > SCALED_MAX_ABS_TRANSITION:
+        return nll_and_grad_log(X, M, Y, W, A, want_grad)
+    L = M.sum(axis=1)
+    if np.any(L[1:] < L[:-1]):  # callers outside ``chunks`` may pass unsorted rows
+        order = np.argsort(L, kind="stable")
+        nll, gW, gA = nll_and_grad(X[order], M[order], Y[order], W, A, want_grad)
+        out = np.empty_like(nll)
+        out[order] = nll
+        return out, gW, gA
+    B, T, _ = X.shape
+    K = W.shape[1]
+    E = X @ W
+    Emax = E.max(axis=2)
+    PE = np.exp(E - Emax[..., None])
+    EA = np.exp(A)
+    lo = np.searchsorted(L, np.arange(T), side="right")  # first row still running at t
+    alpha = np.zeros((B, T, K))
+    c = np.ones((B, T))
+    r = lo[0]  # rows with at least one step
+    s0 = PE[r:, 0].sum(axis=1)
+    alpha[r:, 0] = PE[r:, 0] / s0[:, None]
+    c[r:, 0] = s0
+    for t in range(1, T):
+        r = lo[t]
+        a = (alpha[r:, t - 1] @ EA) * PE[r:, t]
+        st = a.sum(axis=1)
+        alpha[r:, t] = a / st[:, None]
+        c[r:, t] = st
+    logZ = np.log(c).sum(axis=1) + (Emax * M).sum(axis=1)
+    Yb = np.where(M, Y, 0)
+    emis = (np.take_along_axis(E, Yb[..., None], axis=2)[..., 0] * M).sum(axis=1)
+    trans = (A[Yb[:, :-1], Yb[:, 1:]] * M[:, 1:]).sum(axis=1) if T > 1 else np.zeros(B)
+    nll = logZ - emis - trans
+    if not want_grad:
+        return nll, None, None
+    beta = np.ones((B, T, K))
+    for t in range(T - 2, -1, -1):
+        r = lo[t + 1]
+        beta[r:, t] = ((PE[r:, t + 1] * beta[r:, t + 1]) @ EA.T) / c[r:, t + 1, None]
+    P = alpha * beta  # zero on padding (alpha is zero there)
+    onehot = (Yb[..., None] == np.arange(K)) * M[..., None]
+    d = X.shape[2]
+    gW = X.reshape(-1, d).T @ (P - onehot).reshape(-1, K)
+    gA = np.zeros((K, K))
+    if T > 1:
+        right = PE[:, 1:] * beta[:, 1:] / c[:, 1:, None] * M[:, 1:, None]
+        gA += EA * (alpha[:, :-1].reshape(-1, K).T @ right.reshape(-1, K))
+        v = M[:, 1:]
+        np.add.at(gA, (Yb[:, :-1][v], Yb[:, 1:][v]), -1.0)
+    return nll, gW, gA
+
+
+def nll_and_grad_log(X: np.ndarray, M: np.ndarray, Y: np.ndarray, W: np.ndarray, A: np.ndarray,
+                     want_grad: bool = True):
+    """Log-space forward-backward (reference implementation and fallback)."""
     B, T, _ = X.shape
     K = W.shape[1]
     E = X @ W
@@ -63,7 +130,7 @@ def nll_and_grad(X: np.ndarray, M: np.ndarray, Y: np.ndarray, W: np.ndarray, A:
     Yb = np.where(M, Y, 0)
     emis = (np.take_along_axis(E, Yb[..., None], axis=2)[..., 0] * M).sum(axis=1)
     trans = (A[Yb[:, :-1], Yb[:, 1:]] * M[:, 1:]).sum(axis=1) if T > 1 else np.zeros(B)
-    nll = logZ - emis - trans
+    nll = np.where(M[:, 0], logZ - emis - trans, 0.0)  # an empty sequence has likelihood 1
     if not want_grad:
         return nll, None, None
     beta = np.zeros((B, T, K))
@@ -121,9 +188,13 @@ def _offsets(lengths: np.ndarray, width: int) -> np.ndarray:
     return off
 
 
-def make_gradient_step(W: np.ndarray, A: np.ndarray):
-    """Arrow batch iterator -> one row ``(loss, grad, nseq)`` per partition."""
+def make_gradient_step(W: np.ndarray, A: np.ndarray, labels=None):
+    """Arrow batch iterator -> one row ``(loss, grad, nseq)`` per partition.
+
+    Reads ``n``, ``x`` and either ``yi`` (label indices) or ``y`` (label
+    values, mapped with the sorted ``labels``)."""
     d, K = W.shape
+    lab = None if labels is None else np.asarray(labels, dtype=np.int64)
 
     def step(batches):
         import pyarrow as pa
@@ -137,7 +208,10 @@ def make_gradient_step(W: np.ndarray, A: np.ndarray):
                 continue
             lengths = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
             xs = _flat(batch.column("x")).astype(np.float64)
-            ys = _flat(batch.column("yi")).astype(np.int64)
+            if lab is None:
+                ys = _flat(batch.column("yi")).astype(np.int64)
+            else:
+                ys = np.searchsorted(lab, _flat(batch.column("y")).astype(np.int64))
             xo, yo = _offsets(lengths, d), _offsets(lengths, 1)
             for idx in chunks(lengths, d):
                 if lengths[idx].max() == 0:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import crf
-from tessera.operators.crf_kernels import nll_and_grad, pad, viterbi
+from tessera.operators.crf_kernels import nll_and_grad, nll_and_grad_log, pad, viterbi
 
 
 def _brute(X, W, A):
@@ -127,3 +127,24 @@ def test_model_save_load_and_masks(spark, synth, tmp_dir):
     assert {(i, j) for i in (0, 1) for j in (0, 1) if m.trans_mask[i, j]} == observed
     none = crf.fit(seqs, FEATURE_NAMES, transitions="none", max_iter=5)
     assert not none.trans_mask.any() and np.all(none.A * none.trans_mask == 0)
+
+
+def test_scaled_kernel_matches_log_space():
+    rng = np.random.default_rng(7)
+    d, K = 5, 2
+    for scale in (0.1, 1.0, 8.0):
+        lengths = rng.integers(0, 40, size=30)
+        lengths[0] = 0
+        flat = rng.normal(size=int(lengths.sum()) * d) * scale
+        yflat = rng.integers(0, K, size=int(lengths.sum()))
+        off = np.concatenate([[0], np.cumsum(lengths[:-1] * d)])
+        yoff = np.concatenate([[0], np.cumsum(lengths[:-1])])
+        idx = np.arange(len(lengths))
+        X, M = pad(flat, off, lengths, idx, d)
+        Y = pad(yflat, yoff, lengths, idx, 1)[0][..., 0].astype(int)
+        W, A = rng.normal(size=(d, K)) * scale, rng.normal(size=(K, K)) * scale
+        a = nll_and_grad(X, M, Y, W, A)
+        b = nll_and_grad_log(X, M, Y, W, A)
+        assert a[0][0] == 0.0
+        for u, v in zip(a, b):
+            assert np.allclose(u, v, rtol=1e-9, atol=1e-8)
