@@ -68,16 +68,40 @@ def train(spark: SparkSession, articles: DataFrame, ctx: FeatureContext,
     return CRFRun(model, proj, cfg)
 
 
+LONG_ARTICLE = 20_000  # sentences; longer articles use the linear-time numpy decoder
+
+
 def predict(run: CRFRun, articles: DataFrame, ctx: FeatureContext,
-            vectors: DataFrame | None = None) -> DataFrame:
-    """H2 on every article: adds ``pred`` (sentence labels), ``y_true``, ``y_pred``."""
-    fa = featurise(articles, ctx, run.config, run.proj, vectors)
-    emb = F.col("emb") if run.proj is not None else None
-    return (fa.withColumn("pred", crf.decode(F.col("feats"), run.model, emb))
-            .withColumn("y_true", any_positive("sentence_labels"))
+            vectors: DataFrame | None = None, long_article: int = LONG_ARTICLE) -> DataFrame:
+    """H2 on every article: adds ``pred`` (sentence labels), ``y_true``, ``y_pred``.
+
+    The Catalyst decoder copies its path arrays at every step (quadratic in
+    the article length); articles above ``long_article`` sentences go through
+    the vectorised numpy decoder instead and are joined back by key. Both give
+    the same paths, so no article is capped or dropped."""
+    use_emb = run.proj is not None and vectors is not None
+    fa = featurise(articles, ctx, run.config, run.proj if use_emb else None, vectors if use_emb else None)
+    emb = F.col("emb") if use_emb else None
+    n = F.size("sentences")  # cheap to evaluate where Catalyst pushes the filter
+    short = fa.filter(n <= long_article).withColumn("pred", crf.decode(F.col("feats"), run.model, emb))
+    long_rows = fa.filter(n > long_article)
+    seqs = crf.sequences(long_rows, run.model.feature_names if use_emb else
+                         tuple(x for x in run.model.feature_names if not x.startswith("emb")),
+                         emb="emb" if use_emb else None)
+    model = run.model if use_emb else _without_embeddings(run.model)
+    paths = crf.decode_in_arrow(seqs, model).withColumnRenamed("path", "pred")
+    decoded = short.unionByName(long_rows.join(paths, "article_id"))
+    return (decoded.withColumn("y_true", any_positive("sentence_labels"))
             .withColumn("y_pred", any_positive("pred")))
 
 
+def _without_embeddings(model: crf.CRFModel) -> crf.CRFModel:
+    """The model restricted to named features (vectors absent contribute 0)."""
+    keep = [i for i, n in enumerate(model.feature_names) if not n.startswith("emb")]
+    return crf.CRFModel(tuple(model.feature_names[i] for i in keep), model.labels, model.W[keep],
+                        model.A, model.trans_mask, model.c2, model.transitions, model.toggles, model.info)
+
+
 def article_metrics(pred: DataFrame, keys=()) -> DataFrame:
     return M.binary_metrics(pred, "y_true", "y_pred", keys=list(keys))
 
@@ -107,7 +131,10 @@ def run_train(spark: SparkSession, articles: DataFrame, ctx: FeatureContext, out
               domain: str = "MBIB", name: str = "CRF") -> CRFRun:
     """H5: train -> validate -> record -> save."""
     run = train(spark, articles, ctx, cfg, vectors)
-    pred = predict(run, split_filter(articles, "val"), ctx, vectors)
+    # embed_scope='train' reproduces vectors being looked up for training
+    # articles only, so validation articles have none
+    val_vectors = None if cfg.embed_scope == "train" else vectors
+    pred = predict(run, split_filter(articles, "val"), ctx, val_vectors)
     row = sinks.metrics_row(M.global_binary_metrics(pred, "y_true", "y_pred"), name, domain, "val", "validation")
     sinks.dump_result_row(row, out_dir)
     save_run(spark, run, out_dir)
@@ -139,7 +166,8 @@ def cross_domain(spark: SparkSession, articles: DataFrame, ctx: FeatureContext,
     for a in domains:
         run = train(spark, articles.filter(F.col("domain") == a), ctx, cfg, vectors, split=None)
         others = articles.filter(F.col("domain").isin([d for d in domains if d != a]))
-        m = article_metrics(predict(run, others, ctx, vectors), keys=["domain"])
+        test_vectors = None if cfg.embed_scope == "train" else vectors
+        m = article_metrics(predict(run, others, ctx, test_vectors), keys=["domain"])
         rows = m.select(F.lit("CRF").alias("model"), F.lit("cross").alias("domain"),
                         F.lit("test").alias("split"), "accuracy", "precision", "recall", "f1",
                         F.concat(F.lit(f"{a}->"), F.col("domain")).alias("notes"))

@@ -66,3 +66,12 @@ def test_vectors_run_and_reload(spark, tmp_dir):
     assert back.model.toggles["use_vectors"] and back.proj.k == 2
     p = X.predict(back, arts, ctx, vecs)
     assert p.count() == 60
+
+
+def test_long_articles_take_the_numpy_decoder(spark):
+    arts = synthetic_articles(spark, n_per_domain=10).cache()
+    ctx = _ctx(spark)
+    run = X.train(spark, arts, ctx, X.CRFConfig(use_vectors=False, max_iter=15))
+    a = {r.article_id: list(r.pred) for r in X.predict(run, arts, ctx).collect()}
+    b = {r.article_id: list(r.pred) for r in X.predict(run, arts, ctx, long_article=6).collect()}
+    assert a == b and len(a) == 30
