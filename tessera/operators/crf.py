@@ -109,7 +109,9 @@ def sequences(articles: DataFrame, feature_names: tuple, feats: str = "feats",
     else:
         rows = F.transform(F.arrays_zip(F.col(feats).alias("f"), F.col(emb).alias("e")),
                            lambda z: F.concat(F.array(*named(z["f"])), z["e"]))
-    n = F.size(feats)
+    # the sentence count equals size(feats) and is cheap: a filter on ``n``
+    # that Catalyst pushes towards the scan does not re-run the features
+    n = F.size("sentences") if "sentences" in articles.columns else F.size(feats)
     return articles.select("article_id", n.alias("n"), F.flatten(rows).alias("x"),
                            F.slice(labels, 1, n).alias("y"))
 
@@ -119,7 +121,7 @@ def transition_counts(df: DataFrame, y: str = "y", keys=()) -> DataFrame:
     n = F.size(y)
     pairs = F.arrays_zip(F.slice(y, 1, F.greatest(n - 1, F.lit(0))).alias("prev_label"),
                          F.slice(y, 2, F.greatest(n - 1, F.lit(0))).alias("label"))
-    return (df.filter(n > 1).select(*keys, F.explode(pairs).alias("z"))
+    return (df.select(*keys, F.explode(pairs).alias("z"))  # length <= 1: no pairs
             .groupBy(*keys, F.col("z.prev_label").alias("prev_label"), F.col("z.label").alias("label"))
             .agg(F.count(F.lit(1)).alias("n")))
 

@@ -67,11 +67,13 @@ def aligned_sentence_rows(df: DataFrame, gold: str = "sentence_labels",
                           keys: Sequence[str] = ()) -> DataFrame:
     """Zip gold, prediction and subtype arrays by position, cut to the
     shortest; articles with null or empty subtypes are skipped (R13, X1)."""
-    n = F.least(F.size(gold), F.size(pred), F.size(subtypes))
+    # skipping is a zero-length slice inside the generator, not a filter that
+    # Catalyst would push below the exchange and evaluate on its own
+    n = F.when(F.col(subtypes).isNull(), F.lit(0)).otherwise(
+        F.least(F.size(gold), F.size(pred), F.size(subtypes)))
     zipped = F.arrays_zip(F.slice(gold, 1, n).alias("g"), F.slice(pred, 1, n).alias("p"),
-                          F.slice(subtypes, 1, n).alias("s"))
-    return (df.filter(F.col(subtypes).isNotNull() & (F.size(subtypes) > 0))
-            .select(*keys, F.explode(zipped).alias("z"))
+                          F.slice(F.coalesce(subtypes, F.array().cast("array<string>")), 1, n).alias("s"))
+    return (df.select(*keys, F.explode(zipped).alias("z"))
             .select(*keys, F.col("z.g").alias("gold"), F.col("z.p").alias("pred"),
                     F.col("z.s").alias("subtype")))
 
