@@ -337,3 +337,15 @@ def q_chart_curve(spark, sf):
     path = shared_path(spark, "learning_curve")
     curve.coalesce(1).write.mode("overwrite").parquet(path)
     return chart_curve(read_optional(spark, path))
+
+
+@query("metrics_toxic")
+def q_metrics_toxic(spark, sf):
+    """D1/D2 against another truth: the ``labels`` table's ``toxic`` flag,
+    inner join on the article key (labels grow with the documents, so no
+    broadcast hint; AQE picks the strategy from runtime sizes)."""
+    from ..operators import metrics as Mx
+    s = scored_articles(spark, sf).select("article_id", "domain", "y_pred_a")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("article_id"), "toxic")
+    return Mx.binary_metrics(s.join(labels, "article_id"), "toxic", "y_pred_a", keys=["domain"])

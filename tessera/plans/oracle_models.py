@@ -219,3 +219,9 @@ FROM (SELECT train_pct, cand_idx FROM (
                row_number() OVER (PARTITION BY train_pct ORDER BY f1 DESC, cand_idx ASC) AS rk FROM tm)
       WHERE rk = 1) b
 JOIN te ON te.cand_idx = b.cand_idx"""
+
+ORACLE["metrics_toxic"] = _with(
+    ARTS, SENTS, FEATS, ART_PRED,
+    "lj AS (SELECT p.domain, l.toxic, p.y_pred_a FROM art_pred p "
+    "JOIN labels l ON p.article_id = 'doc_' || CAST(l.doc_id AS VARCHAR))"
+) + _metrics_sql("lj", ["domain"], yt="toxic", yp="y_pred_a")

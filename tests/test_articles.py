@@ -60,3 +60,10 @@ def test_synthetic_corpus_invariants(spark):
     assert by_split == {"train": 90, "val": 30, "test": 60}
     again = synthetic_articles(spark).repartition(7).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, again))
+
+
+def test_null_domain_gets_default(spark, tmp_dir):
+    p = _write(tmp_dir, [json.dumps({"article_id": "a", "domain": None, "split": None,
+                                     "sentences": ["x"], "sentence_labels": [0]})])
+    r = read_articles_jsonl(spark, p).first()
+    assert (r.domain, r.split) == ("MBIB", "train")  # X13

@@ -75,3 +75,20 @@ def test_long_articles_take_the_numpy_decoder(spark):
     a = {r.article_id: list(r.pred) for r in X.predict(run, arts, ctx).collect()}
     b = {r.article_id: list(r.pred) for r in X.predict(run, arts, ctx, long_article=6).collect()}
     assert a == b and len(a) == 30
+
+
+def test_toggles_saved_with_model(spark, tmp_dir):
+    arts = synthetic_articles(spark, n_per_domain=20).cache()
+    ctx = _ctx(spark)
+    X.run_train(spark, arts, ctx, f"{tmp_dir}/nolex", X.CRFConfig(use_lexicons=False, use_vectors=False,
+                                                                   max_iter=5))
+    run = X.load_run(spark, f"{tmp_dir}/nolex")
+    assert run.model.feature_names == ("position", "lead") and not run.config.use_lexicons  # X3
+    assert X.predict(run, arts, ctx).count() == 60
+
+
+def test_unknown_baseline_variant_raises(spark):
+    import pytest
+    from tessera.operators.baseline import _featurizer
+    with pytest.raises(ValueError):
+        _featurizer("roberta_da")  # X12

@@ -56,3 +56,17 @@ def test_feature_arrays_match_long_rows(spark):
     long = sentence_features(explode_sentences(arts, keep=()), ctx, True, "inline")
     b = {(r.article_id, r.pos): tuple(r[n] for n in FEATURE_NAMES) for r in long.collect()}
     assert a == b and len(a) == 2
+
+
+def test_features_invariant_to_partitioning(spark):
+    from tessera.plans.common import feature_context
+    from tessera.operators.sentences import explode_sentences
+    from tessera.sources.articles import testdata_articles
+    arts = testdata_articles(spark, "/root/testdata/sf0.001")
+    ctx = feature_context(spark)
+    ref = None
+    for p in (1, 4, 13):
+        f = sentence_features(explode_sentences(arts.repartition(p), keep=()), ctx, True, "inline")
+        rows = sorted(tuple(r) for r in f.drop("sentence", "label", "subtype").collect())
+        ref = ref or rows
+        assert rows == ref
