@@ -43,3 +43,12 @@ def threshold(score: Column | str) -> Column:
 
 def is_correct(y_true: Column | str, y_pred: Column | str) -> Column:
     return (as_col(y_true) == as_col(y_pred)).cast("int")
+
+
+def article_labels_from_rows(rows, key: str = "article_id", label: str = "label"):
+    """D4 on long rows: ``groupBy(key)`` with any label == 1 (partial aggregate).
+
+    Articles without sentence rows do not appear here; take the article label
+    from the article row (``any_positive``) when they must be kept (R11)."""
+    return rows.groupBy(key).agg(
+        F.coalesce(F.bool_or(F.col(label) == 1), F.lit(False)).cast("int").alias("label"))

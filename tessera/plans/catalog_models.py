@@ -349,3 +349,37 @@ def q_metrics_toxic(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet").select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("article_id"), "toxic")
     return Mx.binary_metrics(s.join(labels, "article_id"), "toxic", "y_pred_a", keys=["domain"])
+
+
+@query("crf_experiment")
+def q_crf_experiment(spark, sf):
+    """H5 + H6 end to end with sentence vectors: train on train, validate,
+    save; reload, test, write predictions and subtypes; read the recorded
+    metric rows back (A4)."""
+    from ..operators.vectors import testdata_vectors
+    from ..session import shared_path
+    from ..sources.articles import testdata_articles
+    from ..sources.results import read_main_results
+    from .common import feature_context
+    from .experiments import run_eval, run_train
+    root = shared_path(spark, "crf-results")
+    arts, ctx, vecs = testdata_articles(spark, sf), feature_context(spark), testdata_vectors(spark, sf)
+    run_train(spark, arts, ctx, f"{root}/crf", vectors=vecs, domain="all")
+    run_eval(spark, arts, ctx, f"{root}/crf", f"{root}/crf_eval", vectors=vecs, domain="all")
+    main = read_main_results(spark, root)
+    return main.select("model", "domain", "split", "accuracy", "precision", "recall", "f1", "notes",
+                       F.element_at(F.split("source_dir", "/"), -1).alias("source"))
+
+
+@query("cross_domain_crf")
+def q_cross_domain_crf(spark, sf):
+    """H11 with the CRF (lexicons + vectors): one fit per train domain on all
+    of its articles, scored on every other domain."""
+    from ..operators.vectors import testdata_vectors
+    from ..sources.articles import testdata_articles
+    from .common import feature_context
+    from .experiments import CRFConfig, cross_domain
+    arts = testdata_articles(spark, sf)
+    domains = sorted(r.domain for r in arts.select("domain").distinct().collect() if r.domain is not None)
+    return cross_domain(spark, arts, feature_context(spark), domains, CRFConfig(),
+                        testdata_vectors(spark, sf))

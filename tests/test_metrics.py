@@ -69,3 +69,9 @@ def test_aggregated_discordance_equals_join(spark):
     j = M.discordant_counts(M.paired_predictions(a, b)).first()
     g = M.discordant_counts_aggregated(a, b).first()
     assert (j.n_pairs, j.n01, j.n10) == (g.n_pairs, g.n01, g.n10) == (8, 2, 2)
+
+
+def test_grouped_any_on_long_rows(spark):
+    from tessera.functions.labels import article_labels_from_rows
+    rows = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0), ("b", 2)], "article_id string, label int")
+    assert {r.article_id: r.label for r in article_labels_from_rows(rows).collect()} == {"a": 1, "b": 0}
