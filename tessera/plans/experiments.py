@@ -83,14 +83,18 @@ def predict(run: CRFRun, articles: DataFrame, ctx: FeatureContext,
     fa = featurise(articles, ctx, run.config, run.proj if use_emb else None, vectors if use_emb else None)
     emb = F.col("emb") if use_emb else None
     n = F.size("sentences")  # cheap to evaluate where Catalyst pushes the filter
-    short = fa.filter(n <= long_article).withColumn("pred", crf.decode(F.col("feats"), run.model, emb))
-    long_rows = fa.filter(n > long_article)
+    catalyst = run.model.K <= 2  # the Catalyst decoder is specialised to two labels
+    long_rows = fa.filter(n > long_article) if catalyst else fa
     seqs = crf.sequences(long_rows, run.model.feature_names if use_emb else
                          tuple(x for x in run.model.feature_names if not x.startswith("emb")),
                          emb="emb" if use_emb else None)
     model = run.model if use_emb else _without_embeddings(run.model)
     paths = crf.decode_in_arrow(seqs, model).withColumnRenamed("path", "pred")
-    decoded = short.unionByName(long_rows.join(paths, "article_id"))
+    decoded = long_rows.join(paths, "article_id", "left").withColumn(
+        "pred", F.coalesce("pred", F.array().cast("array<int>")))  # empty articles: empty path
+    if catalyst:
+        short = fa.filter(n <= long_article).withColumn("pred", crf.decode(F.col("feats"), run.model, emb))
+        decoded = short.unionByName(decoded)
     return (decoded.withColumn("y_true", any_positive("sentence_labels"))
             .withColumn("y_pred", any_positive("pred")))
 

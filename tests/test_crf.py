@@ -148,3 +148,18 @@ def test_scaled_kernel_matches_log_space():
         assert a[0][0] == 0.0
         for u, v in zip(a, b):
             assert np.allclose(u, v, rtol=1e-9, atol=1e-8)
+
+
+def test_three_labels_fit_and_decode(spark, synth):
+    """A label 2 is its own class for the sequence model (not positive for metrics)."""
+    from tessera.operators.features import FEATURE_NAMES
+    from tessera.plans import experiments as X
+    arts, ctx = synth
+    three = arts.withColumn("sentence_labels", F.transform(
+        F.arrays_zip("sentence_labels", "feats"),
+        lambda z: F.when(z["feats"]["lead"] == 1.0, F.lit(2)).otherwise(z["sentence_labels"])))
+    run = X.train(spark, three, ctx, X.CRFConfig(use_vectors=False, max_iter=30))
+    assert run.model.labels == (0, 1, 2)
+    pred = X.predict(run, three.filter("split = 'test'"), ctx).collect()
+    firsts = [r.pred[0] for r in pred if r.pred]
+    assert np.mean([f == 2 for f in firsts]) > 0.9
