@@ -72,18 +72,26 @@ LONG_ARTICLE = 20_000  # sentences; longer articles use the linear-time numpy de
 
 
 def predict(run: CRFRun, articles: DataFrame, ctx: FeatureContext,
-            vectors: DataFrame | None = None, long_article: int = LONG_ARTICLE) -> DataFrame:
+            vectors: DataFrame | None = None, long_article: int | None = LONG_ARTICLE) -> DataFrame:
     """H2 on every article: adds ``pred`` (sentence labels), ``y_true``, ``y_pred``.
 
     The Catalyst decoder copies its path arrays at every step (quadratic in
     the article length); articles above ``long_article`` sentences go through
     the vectorised numpy decoder instead and are joined back by key. Both give
-    the same paths, so no article is capped or dropped."""
+    the same paths, so no article is capped or dropped. ``long_article=None``
+    keeps the plan row-local (Catalyst decoder only, two labels), as a
+    streaming source needs."""
     use_emb = run.proj is not None and vectors is not None
     fa = featurise(articles, ctx, run.config, run.proj if use_emb else None, vectors if use_emb else None)
     emb = F.col("emb") if use_emb else None
     n = F.size("sentences")  # cheap to evaluate where Catalyst pushes the filter
     catalyst = run.model.K <= 2  # the Catalyst decoder is specialised to two labels
+    if long_article is None:
+        if not catalyst:
+            raise ValueError("row-local decoding needs a model with at most two labels")
+        return (fa.withColumn("pred", crf.decode(F.col("feats"), run.model, emb))
+                .withColumn("y_true", any_positive("sentence_labels"))
+                .withColumn("y_pred", any_positive("pred")))
     long_rows = fa.filter(n > long_article) if catalyst else fa
     seqs = crf.sequences(long_rows, run.model.feature_names if use_emb else
                          tuple(x for x in run.model.feature_names if not x.startswith("emb")),
