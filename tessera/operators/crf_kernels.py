@@ -10,7 +10,15 @@ Model: score(y|x) = sum_t W[:, y_t] . x_t + sum_{t>=1} A[y_{t-1}, y_t].
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
+from pyspark import cloudpickle
+
+# Functions of this module run on executors inside ``mapInArrow``. Pickling
+# them by value ships the code with each task, so executors need numpy and
+# pyarrow but not this package on their Python path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_CELLS = 1 << 21  # padded (sequence x step x feature) cells per chunk
 
