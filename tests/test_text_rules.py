@@ -70,3 +70,18 @@ def test_features_invariant_to_partitioning(spark):
         rows = sorted(tuple(r) for r in f.drop("sentence", "label", "subtype").collect())
         ref = ref or rows
         assert rows == ref
+
+
+def test_feature_arrays_join_strategies_match_inline(spark):
+    from tessera.operators.features import with_feature_arrays
+    from tessera.plans.common import feature_context
+    from tessera.sources.articles import testdata_articles
+    arts = testdata_articles(spark, "/root/testdata/sf0.001")
+    ctx = feature_context(spark)
+
+    def rows(strategy):
+        f = with_feature_arrays(arts, ctx, True, strategy)
+        return sorted((r.article_id, [tuple(x) for x in r.feats]) for r in f.select("article_id", "feats").collect())
+
+    ref = rows("inline")
+    assert rows("broadcast") == ref and rows("salted") == ref
