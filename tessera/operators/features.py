@@ -14,8 +14,12 @@ never assumed):
 * ``inline``  (<= INLINE_MAX_TERMS): the terms become a hash-set literal
   (``INSET``) inside the expression. Row-local, no join, no shuffle; works
   inside ``transform`` over an article's sentence array.
-* ``broadcast`` (<= BROADCAST_MAX_TERMS): tokens are exploded, matched with a
-  broadcast hash join, counted per sentence and re-attached.
+* ``arrow`` (<= BROADCAST_MAX_TERMS, the automatic choice): the lexicon is
+  broadcast once (size-checked) and every token of an Arrow batch is looked
+  up in a per-worker pandas hash index; counts are summed per list. All
+  input columns pass through: no join, no shuffle.
+* ``broadcast`` (explicit, C1/C2 as joins): tokens are exploded, matched with
+  a broadcast hash join, counted per sentence and re-attached.
 * ``salted``: shuffle join where every lexicon row is replicated SALT times
   and every token row carries a hashed salt, so a hot token (``the``) is
   spread over SALT tasks instead of one.
@@ -56,6 +60,7 @@ class FeatureContext:
     vectors: DataFrame | None = None  # (article_id, pos int, vec array<float>)
     _inline: InlineLexicons | None = field(default=None, repr=False)
     _sizes: tuple | None = field(default=None, repr=False)
+    _bc: tuple | None = field(default=None, repr=False)
 
     def sizes(self, cap: int = BROADCAST_MAX_TERMS) -> tuple[int, int]:
         """Lexicon row counts, each counted up to ``cap + 1``."""
@@ -70,9 +75,25 @@ class FeatureContext:
         if biggest <= INLINE_MAX_TERMS:
             return "inline"
         if biggest <= BROADCAST_MAX_TERMS:
-            return "broadcast"
+            return "arrow"
         return "salted"
 
+    def broadcast_lexicon(self):
+        """(uuid key, broadcast of (terms, bit flags)) for the Arrow tier;
+        only after the size check (bit 0 positive, 1 negative, 2 bias)."""
+        if self._bc is None:
+            import uuid
+
+            nb, ns = self.sizes()
+            if max(nb, ns) > BROADCAST_MAX_TERMS:
+                raise ValueError("lexicon too large to broadcast; use the salted join")
+            rows = _lexicon_table(self).collect()
+            terms = [r.token for r in rows]
+            codes = [r.is_pos | (r.is_neg << 1) | (r.is_bias << 2) for r in rows]
+            spark = self.bias_terms.sparkSession
+            self._bc = (uuid.uuid4().hex, spark.sparkContext.broadcast((terms, codes)))
+        return self._bc
+
     def inline(self) -> InlineLexicons:
         """Collect the lexicons as literals; only after their size was checked."""
         if self._inline is None:
@@ -145,6 +166,18 @@ def _joined_counts(sents: DataFrame, ctx: FeatureContext, strategy: str) -> Data
                  F.sum("is_bias").alias("_b")))
 
 
+def _arrow_counted(df: DataFrame, ctx: FeatureContext, tokens_col: str, nested: bool) -> DataFrame:
+    """Append ``_p, _n, _b`` lexicon counts computed row-locally in Arrow
+    batches (no join, no shuffle); nested = per-sentence count arrays."""
+    from pyspark.sql import types as T
+
+    from .lexicon_kernels import make_counter
+    key, bc = ctx.broadcast_lexicon()
+    kind = T.ArrayType(T.IntegerType()) if nested else T.IntegerType()
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(n, kind) for n in ("_p", "_n", "_b")])
+    return df.mapInArrow(make_counter(bc, key, tokens_col, nested), schema)
+
+
 def sentence_features(sents: DataFrame, ctx: FeatureContext | None,
                       use_lexicons: bool = True, strategy: str = "auto") -> DataFrame:
     """Add the feature columns (doubles) to sentence rows.
@@ -162,9 +195,12 @@ def sentence_features(sents: DataFrame, ctx: FeatureContext | None,
         staged = sents.withColumn("_toks", tokens("sentence"))
         cols = feature_columns(F.col("sentence"), F.col("pos"), F.col("_toks"), lex, True)
         return staged.select(*passthrough, *[c.alias(n) for n, c in cols])
-    counts = _joined_counts(sents, ctx, strategy)
-    base = sents.withColumn("_toks", tokens("sentence"))
-    joined = base.join(counts, ["article_id", "pos"], "left")
+    if strategy == "arrow":
+        joined = _arrow_counted(sents.withColumn("_toks", tokens("sentence")), ctx, "_toks", False)
+    else:
+        counts = _joined_counts(sents, ctx, strategy)
+        base = sents.withColumn("_toks", tokens("sentence"))
+        joined = base.join(counts, ["article_id", "pos"], "left")
     p = F.coalesce("_p", F.lit(0)).cast("double")
     n = F.coalesce("_n", F.lit(0)).cast("double")
     return joined.select(
@@ -203,6 +239,22 @@ def with_feature_arrays(articles: DataFrame, ctx: FeatureContext | None,
             return F.struct(*[c.alias(n) for n, c in cols])
 
         return staged.withColumn(out, F.transform("_z", per_sentence)).drop("_z")
+    if strategy == "arrow":
+        staged = articles.withColumn("_tk", F.transform("sentences", tokens))
+        counted = _arrow_counted(staged, ctx, "_tk", True)
+        z = F.arrays_zip(F.col("sentences").alias("s"), F.col("_tk").alias("t"), F.col("_p").alias("p"),
+                         F.col("_n").alias("n"), F.col("_b").alias("b"))
+
+        def from_counts(r, i):
+            p, n = r["p"].cast("double"), r["n"].cast("double")
+            return F.struct(i.cast("double").alias("position"), (i == 0).cast("double").alias("lead"),
+                            p.alias("sent_pos"), n.alias("sent_neg"), (p + n).alias("sent_subj"),
+                            r["b"].cast("double").alias("bias_lex"),
+                            has_quotes(r["s"]).cast("double").alias("has_quotes"),
+                            has_modal(r["s"]).cast("double").alias("has_modal"),
+                            F.size(r["t"]).cast("double").alias("len"))
+
+        return counted.withColumn(out, F.transform(z, from_counts)).drop("_tk", "_p", "_n", "_b")
     from .sentences import explode_sentences
     long = sentence_features(explode_sentences(articles, keep=()), ctx, use_lexicons, strategy)
     grouped = (long.groupBy("article_id")

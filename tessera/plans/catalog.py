@@ -149,6 +149,14 @@ def q_feat_bias(spark, sf):
     return f.select("article_id", "pos", "bias_lex")
 
 
+@query("feat_lexicon_counts")
+def q_feat_lexicon_counts(spark, sf):
+    """B8/B9 through the Arrow tier (broadcast lexicon, per-worker hash
+    index, row-local counts; no join or shuffle)."""
+    f = _features_long(spark, sf, "arrow")
+    return f.select("article_id", "pos", "sent_pos", "sent_neg", "sent_subj", "bias_lex")
+
+
 @query("feat_cues")
 def q_feat_cues(spark, sf):
     f = _features_long(spark, sf, "inline")

@@ -178,6 +178,9 @@ FROM (SELECT article_id, pos, {_tok('sentence')} AS toks FROM sents)"""
 ORACLE["feat_polarity"] = _with(ARTS, SENTS, FEATS) + """
 SELECT article_id, pos, sent_pos, sent_neg, sent_subj FROM feats"""
 
+ORACLE["feat_lexicon_counts"] = _with(ARTS, SENTS, FEATS) + """
+SELECT article_id, pos, sent_pos, sent_neg, sent_subj, bias_lex FROM feats"""
+
 ORACLE["feat_bias"] = _with(ARTS, SENTS, FEATS) + """
 SELECT article_id, pos, bias_lex FROM feats"""
 

@@ -32,7 +32,7 @@ def test_polarity_and_bias_counts(spark):
     subj = ["word1=good priorpolarity=positive", "word1=bad priorpolarity=negative",
             "word1=meh priorpolarity=neutral", "word1=odd priorpolarity=both"]
     bias = ["reckless", "so-called", "freedom fighter"]
-    for strategy in ("inline", "broadcast", "salted"):
+    for strategy in ("inline", "arrow", "broadcast", "salted"):
         f = _feats(spark, ["good good bad meh odd", "so-called freedom fighter reckless reckless reckless", ""],
                    bias, subj, strategy)
         assert (f[0].sent_pos, f[0].sent_neg, f[0].sent_subj) == (2.0, 1.0, 3.0)
@@ -84,4 +84,4 @@ def test_feature_arrays_join_strategies_match_inline(spark):
         return sorted((r.article_id, [tuple(x) for x in r.feats]) for r in f.select("article_id", "feats").collect())
 
     ref = rows("inline")
-    assert rows("broadcast") == ref and rows("salted") == ref
+    assert rows("arrow") == ref and rows("broadcast") == ref and rows("salted") == ref
