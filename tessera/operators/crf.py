@@ -25,13 +25,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import lbfgs
-from .crf_kernels import make_gradient_step, make_sequence_scorer
+from .crf_kernels import (make_gradient_step, make_message_scan, make_segment_step,
+                          make_sequence_scorer, make_transfer_step)
 
 # fixed values of the reference's sequence model
 DEFAULT_C2 = 0.01
 DEFAULT_MAX_ITER = 50
 
 COLLECT_MAX_PARTITIONS = 256
+HOT_SEQUENCE_LEN = 50_000      # longer sequences are trained segment-parallel
+SEGMENT_LEN = 8_192            # sentences per segment
+MESSAGE_BROADCAST_MAX = 1_000_000  # segments whose messages may be broadcast
 STEP_SCHEMA = "loss double, grad array<double>, nseq bigint"
 
 
@@ -154,9 +158,10 @@ class CRFObjective:
     """Loss and gradient of the regularised negative log-likelihood."""
 
     def __init__(self, data: DataFrame, d: int, K: int, c2: float, mask: np.ndarray,
-                 labels: tuple):
+                 labels: tuple, segments: DataFrame | None = None, n_segments: int = 0):
         self.data, self.d, self.K, self.c2, self.mask = data, d, K, c2, mask
         self.labels = labels
+        self.segments, self.n_segments = segments, n_segments
         self.partitions = data.rdd.getNumPartitions()
         self.evaluations = 0
 
@@ -183,8 +188,28 @@ class CRFObjective:
         self.evaluations += 1
         return loss, grad, nseq
 
+    def segment_term(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """Loss and gradient of the hot sequences, segment-parallel: transfer
+        matrices per segment, a message scan per sequence over those K x K
+        matrices, then each segment's exact share."""
+        W, A = self.split(w)
+        msg_schema = "article_id string, seg int, alpha_in array<double>, beta_out array<double>, logz double"
+        trans = self.segments.mapInArrow(make_transfer_step(W, A, self.labels),
+                                         "article_id string, seg int, L array<double>")
+        msgs = trans.groupBy("article_id").applyInPandas(make_message_scan(self.K), msg_schema)
+        if self.n_segments <= MESSAGE_BROADCAST_MAX:  # counted when the segments were built
+            msgs = F.broadcast(msgs)
+        joined = self.segments.join(msgs, ["article_id", "seg"])
+        rows = joined.mapInArrow(make_segment_step(W, A, self.labels), STEP_SCHEMA).collect()
+        loss = float(sum(r.loss for r in rows))
+        grad = np.sum([np.asarray(r.grad) for r in rows], axis=0) if rows else np.zeros(len(w))
+        return loss, grad
+
     def __call__(self, w: np.ndarray) -> tuple[float, np.ndarray]:
         loss, grad, _ = self.data_term(w)
+        if self.segments is not None:
+            seg_loss, seg_grad = self.segment_term(w)
+            loss, grad = loss + seg_loss, grad + seg_grad
         free = self.free_vector()
         wf = np.where(free, w, 0.0)
         loss += self.c2 * float(wf @ wf)
@@ -196,14 +221,31 @@ class CRFObjective:
 
 
 def prepare_training_data(seqs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Training rows ``(n, x, y)``. Keeps the input's partitioning when it is
-    at least as wide as the cluster (large inputs); narrower inputs are
-    spread once, before the data is persisted for the optimisation rounds."""
+    """Training rows ``(article_id, n, x, y)``. Keeps the input's partitioning
+    when it is at least as wide as the cluster (large inputs); narrower
+    inputs are spread once, before the data is persisted for the rounds."""
     from ..sources.articles import balanced
-    data = seqs.filter(F.col("n") > 0).select("n", "x", "y")
+    data = seqs.filter(F.col("n") > 0).select("article_id", "n", "x", "y")
     return data.repartition(partitions) if partitions else balanced(data)
 
 
+def build_segments(hot: DataFrame, d: int, segment_len: int = SEGMENT_LEN) -> DataFrame:
+    """Cut long sequences into segments ``(article_id, seg, n, x, y, y_prev)``
+    and spread the segments over tasks by (article_id, seg)."""
+    S = segment_len
+    n_seg = F.ceil(F.col("n") / F.lit(S)).cast("int")
+    rows = hot.select("article_id", "n", "x", "y",
+                      F.explode(F.sequence(F.lit(0), n_seg - 1)).alias("seg"))
+    start = F.col("seg") * S
+    length = F.least(F.lit(S), F.col("n") - start)
+    return (rows.select(
+        "article_id", F.col("seg").cast("int").alias("seg"), length.cast("int").alias("n"),
+        F.slice("x", start * d + 1, length * d).alias("x"),
+        F.slice("y", start + 1, length).alias("y"),
+        F.when(F.col("seg") > 0, F.element_at("y", start)).alias("y_prev"))
+        .repartition("article_id", "seg"))
+
+
 def observed_labels(seqs: DataFrame) -> tuple:
     """Distinct training labels (bounded by the label vocabulary)."""
     return tuple(sorted(int(r[0]) for r in
@@ -212,12 +254,14 @@ def observed_labels(seqs: DataFrame) -> tuple:
 
 def fit(seqs: DataFrame, feature_names: tuple, transitions: str = "all",
         c2: float = DEFAULT_C2, max_iter: int = DEFAULT_MAX_ITER,
-        partitions: int | None = None, toggles: dict | None = None) -> CRFModel:
+        partitions: int | None = None, toggles: dict | None = None,
+        hot_len: int = HOT_SEQUENCE_LEN, segment_len: int = SEGMENT_LEN) -> CRFModel:
     """H1: fit weights on ``sequences(...)`` rows of the training split.
 
     The training rows are persisted first; the label set and observed
     transitions are then read from the cache (no extra feature passes)."""
     data = prepare_training_data(seqs, partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    cached, segments = data, None
     try:
         labels = observed_labels(data)
         if not labels:
@@ -230,11 +274,20 @@ def fit(seqs: DataFrame, feature_names: tuple, transitions: str = "all",
         if K == 1:
             return CRFModel(tuple(feature_names), labels, np.zeros((d, 1)), np.zeros((1, 1)),
                             mask, c2, transitions, dict(toggles or {}), {"iterations": 0})
-        obj = CRFObjective(data, d, K, c2, mask, labels)
+        n_segments = 0
+        hot = data.filter(F.col("n") > hot_len)
+        if hot.limit(1).count():
+            # one sequence must not be one task: long ones go segment-parallel
+            segments = build_segments(hot, d, segment_len).persist(StorageLevel.MEMORY_AND_DISK)
+            n_segments = segments.count()
+            data = data.filter(F.col("n") <= hot_len)
+        obj = CRFObjective(data, d, K, c2, mask, labels, segments, n_segments)
         res = lbfgs.minimize(obj, np.zeros(d * K + K * K), max_iter=max_iter, free=obj.free_vector())
         W, A = obj.split(res.w)
     finally:
-        data.unpersist()
+        cached.unpersist()
+        if segments is not None:
+            segments.unpersist()
     info = {"iterations": res.iterations, "evaluations": res.evaluations,
             "objective": res.f, "stop": res.converged}
     return CRFModel(tuple(feature_names), labels, W, A, mask, c2, transitions,

@@ -281,3 +281,165 @@ def make_sequence_scorer(W: np.ndarray, A: np.ndarray, mode: str):
                 yield pa.RecordBatch.from_arrays([ids, paths], names=["article_id", "path"])
 
     return run
+
+
+# --------------------------------------------------------------------------
+# Segment-parallel forward-backward for very long sequences. A sequence is
+# cut into segments; each segment is summarised by a K x K log transfer
+# matrix, the matrices are scanned per sequence to give every segment its
+# incoming forward message and outgoing backward message, and each segment
+# then computes its exact share of the loss and gradient. Same result as the
+# whole-sequence kernel; the work of one long sequence spreads over tasks.
+
+def _lse_vec(a: np.ndarray, axis: int) -> np.ndarray:
+    m = np.max(a, axis=axis, keepdims=True)
+    m = np.where(np.isfinite(m), m, 0.0)
+    return np.squeeze(m + np.log(np.exp(a - m).sum(axis=axis, keepdims=True)), axis=axis)
+
+
+def segment_transfer(X: np.ndarray, W: np.ndarray, A: np.ndarray, first: bool) -> np.ndarray:
+    """log transfer L[i, j]: all label paths through the segment that enter
+    from label i (at the previous position) and end in label j. For the
+    first segment there is no entering label and every row is the same."""
+    E = X @ W
+    K = W.shape[1]
+    if first:
+        v = E[0].copy()
+        for t in range(1, len(E)):
+            v = _lse_vec(v[:, None] + A, axis=0) + E[t]
+        return np.tile(v, (K, 1))
+    M = A + E[0][None, :]
+    for t in range(1, len(E)):
+        M = _lse_vec(M[:, :, None] + A[None], axis=1) + E[t][None, :]
+    return M
+
+
+def scan_messages(Ls: list[np.ndarray]) -> tuple[list, list, float]:
+    """Per sequence: forward message entering each segment, backward message
+    leaving each segment, and log Z (segments in order)."""
+    K = Ls[0].shape[0]
+    alpha_in = [None]
+    fwd = Ls[0][0]
+    for L in Ls[1:]:
+        alpha_in.append(fwd)
+        fwd = _lse_vec(fwd[:, None] + L, axis=0)
+    logZ = float(_lse_vec(fwd, axis=0))
+    beta_out = [None] * len(Ls)
+    beta_out[-1] = np.zeros(K)
+    for g in range(len(Ls) - 1, 0, -1):
+        beta_out[g - 1] = _lse_vec(Ls[g] + beta_out[g][None, :], axis=1)
+    return alpha_in, beta_out, logZ
+
+
+def segment_share(X, y, y_prev, alpha_in, beta_out, logZ, W, A, first: bool):
+    """Loss share (minus the gold path score of the segment, plus log Z on
+    the first segment) and gradient share of one segment."""
+    E = X @ W
+    n, K = E.shape
+    alpha = np.empty((n, K))
+    alpha[0] = E[0] if first else _lse_vec(alpha_in[:, None] + A, axis=0) + E[0]
+    for t in range(1, n):
+        alpha[t] = _lse_vec(alpha[t - 1][:, None] + A, axis=0) + E[t]
+    beta = np.empty((n, K))
+    beta[n - 1] = beta_out
+    for t in range(n - 2, -1, -1):
+        beta[t] = _lse_vec(A + (E[t + 1] + beta[t + 1])[None, :], axis=1)
+    P = np.exp(alpha + beta - logZ)
+    onehot = (y[:, None] == np.arange(K)).astype(float)
+    gW = X.T @ (P - onehot)
+    gA = np.zeros((K, K))
+    for t in range(1, n):
+        gA += np.exp(alpha[t - 1][:, None] + A + (E[t] + beta[t])[None, :] - logZ)
+        gA[y[t - 1], y[t]] -= 1.0
+    gold = float(E[np.arange(n), y].sum() + A[y[:-1], y[1:]].sum())
+    if not first:
+        gA += np.exp(alpha_in[:, None] + A + (E[0] + beta[0])[None, :] - logZ)
+        gA[y_prev, y[0]] -= 1.0
+        gold += float(A[y_prev, y[0]])
+    loss = (logZ if first else 0.0) - gold
+    return loss, gW, gA
+
+
+def _rows_of(batch, d: int, lab: np.ndarray):
+    """(article_id, seg, X, y_index, y_prev_index, first) per segment row."""
+    ids = batch.column("article_id").to_pylist()
+    segs = batch.column("seg").to_numpy(zero_copy_only=False)
+    lengths = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+    xs = _flat(batch.column("x")).astype(np.float64)
+    ys = np.searchsorted(lab, _flat(batch.column("y")).astype(np.int64))
+    prev = batch.column("y_prev").to_pylist()
+    xo, yo = _offsets(lengths, d), _offsets(lengths, 1)
+    for r in range(batch.num_rows):
+        n = int(lengths[r])
+        X = xs[xo[r]:xo[r] + n * d].reshape(n, d)
+        y = ys[yo[r]:yo[r] + n]
+        yp = None if prev[r] is None else int(np.searchsorted(lab, prev[r]))
+        yield ids[r], int(segs[r]), X, y, yp, int(segs[r]) == 0
+
+
+def make_transfer_step(W: np.ndarray, A: np.ndarray, labels):
+    """Segment rows -> ``(article_id, seg, L)`` log transfer matrices."""
+    d, K = W.shape
+    lab = np.asarray(labels, dtype=np.int64)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out_id, out_seg, out_L = [], [], []
+            for aid, seg, X, _, _, first in _rows_of(b, d, lab):
+                out_id.append(aid)
+                out_seg.append(seg)
+                out_L.append(segment_transfer(X, W, A, first).ravel().tolist())
+            yield pa.RecordBatch.from_pydict({"article_id": pa.array(out_id, pa.string()),
+                                              "seg": pa.array(out_seg, pa.int32()),
+                                              "L": pa.array(out_L, pa.list_(pa.float64()))})
+
+    return run
+
+
+def make_message_scan(K: int):
+    """One sequence's segment matrices (pandas group) -> messages per segment."""
+
+    def scan(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("seg")
+        Ls = [np.asarray(v, dtype=np.float64).reshape(K, K) for v in pdf["L"]]
+        alpha_in, beta_out, logZ = scan_messages(Ls)
+        return pd.DataFrame({
+            "article_id": pdf["article_id"].to_numpy(),
+            "seg": pdf["seg"].to_numpy(),
+            "alpha_in": [None if a is None else a.tolist() for a in alpha_in],
+            "beta_out": [b.tolist() for b in beta_out],
+            "logz": logZ})
+
+    return scan
+
+
+def make_segment_step(W: np.ndarray, A: np.ndarray, labels):
+    """Segment rows with their messages -> one ``(loss, grad, nseq)`` row per partition."""
+    d, K = W.shape
+    lab = np.asarray(labels, dtype=np.int64)
+
+    def run(batches):
+        import pyarrow as pa
+
+        loss, gW, gA, nseq = 0.0, np.zeros((d, K)), np.zeros((K, K)), 0
+        for b in batches:
+            alphas = b.column("alpha_in").to_pylist()
+            betas = b.column("beta_out").to_pylist()
+            logz = b.column("logz").to_pylist()
+            for r, (_, _, X, y, yp, first) in enumerate(_rows_of(b, d, lab)):
+                a_in = None if alphas[r] is None else np.asarray(alphas[r])
+                l, g1, g2 = segment_share(X, y, yp, a_in, np.asarray(betas[r]), logz[r], W, A, first)
+                loss += l
+                gW += g1
+                gA += g2
+                nseq += int(first)
+        grad = np.concatenate([gW.ravel(), gA.ravel()])
+        yield pa.RecordBatch.from_pydict({"loss": pa.array([loss], pa.float64()),
+                                          "grad": pa.array([grad.tolist()], pa.list_(pa.float64())),
+                                          "nseq": pa.array([nseq], pa.int64())})
+
+    return run
