@@ -119,3 +119,12 @@ def best_candidates(metrics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return (metrics.groupBy(*keys)
             .agg(F.max_by(F.struct("cand_idx", "candidate"), order).alias("best"))
             .select(*keys, F.col("best.cand_idx").alias("cand_idx"), F.col("best.candidate").alias("candidate")))
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """The fitted classifier (tokeniser, features, regression) as one folder."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

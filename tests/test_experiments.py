@@ -92,3 +92,18 @@ def test_unknown_baseline_variant_raises(spark):
     from tessera.operators.baseline import _featurizer
     with pytest.raises(ValueError):
         _featurizer("roberta_da")  # X12
+
+
+def test_baselines_fit_predict_save_load(spark, tmp_dir):
+    from tessera.operators import baseline as B
+    frame = B.article_text_frame(synthetic_articles(spark)).cache()
+    tr, va, te = (frame.filter(f"split = '{s}'") for s in ("train", "val", "test"))
+    for variant in ("tfidf_lr", "word2vec_lr"):
+        model, table = B.fit_with_validation(tr, va, variant, candidates=((0.0, 10), (0.1, 10)))
+        assert table.count() == 2
+        B.save_model(model, f"{tmp_dir}/{variant}")
+        preds = B.predict(B.load_model(f"{tmp_dir}/{variant}"), te)
+        m = X.article_metrics(preds).first()
+        assert m.n == 60 and m.accuracy is not None
+        if variant == "tfidf_lr":
+            assert m.f1 > 0.8  # the positive template's words separate the classes
