@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import lbfgs
-from .crf_kernels import (make_gradient_step, make_message_scan, make_segment_step,
-                          make_sequence_scorer, make_transfer_step)
+from .crf_kernels import (make_gradient_step, make_max_transfer_step, make_message_scan,
+                          make_segment_decode_step, make_segment_step, make_sequence_scorer,
+                          make_transfer_step, make_viterbi_scan)
 
 # fixed values of the reference's sequence model
 DEFAULT_C2 = 0.01
@@ -233,16 +234,17 @@ def build_segments(hot: DataFrame, d: int, segment_len: int = SEGMENT_LEN) -> Da
     """Cut long sequences into segments ``(article_id, seg, n, x, y, y_prev)``
     and spread the segments over tasks by (article_id, seg)."""
     S = segment_len
+    with_y = "y" in hot.columns
     n_seg = F.ceil(F.col("n") / F.lit(S)).cast("int")
-    rows = hot.select("article_id", "n", "x", "y",
+    rows = hot.select("article_id", "n", "x", *(["y"] if with_y else []),
                       F.explode(F.sequence(F.lit(0), n_seg - 1)).alias("seg"))
     start = F.col("seg") * S
     length = F.least(F.lit(S), F.col("n") - start)
+    labels = ([F.slice("y", start + 1, length).alias("y"),
+               F.when(F.col("seg") > 0, F.element_at("y", start)).alias("y_prev")] if with_y else [])
     return (rows.select(
         "article_id", F.col("seg").cast("int").alias("seg"), length.cast("int").alias("n"),
-        F.slice("x", start * d + 1, length * d).alias("x"),
-        F.slice("y", start + 1, length).alias("y"),
-        F.when(F.col("seg") > 0, F.element_at("y", start)).alias("y_prev"))
+        F.slice("x", start * d + 1, length * d).alias("x"), *labels)
         .repartition("article_id", "seg"))
 
 
@@ -371,6 +373,26 @@ def decode_in_arrow(seqs: DataFrame, model: CRFModel) -> DataFrame:
     return out.select("article_id", F.transform("path", lambda i: F.element_at(lab, i + 1)).alias("path"))
 
 
+def decode_segmented(seqs: DataFrame, model: CRFModel, segment_len: int = SEGMENT_LEN) -> DataFrame:
+    """H2 for very long articles, segment-parallel: max-plus transfer matrix
+    per segment, a per-article scan fixing the best label at every segment
+    boundary, then each segment decodes between its fixed labels. Same path
+    as whole-sequence Viterbi. Returns ``(article_id, path)`` in label values."""
+    W, A = model.W, model.A * model.trans_mask
+    segs = build_segments(seqs.filter(F.col("n") > 0).select("article_id", "n", "x"),
+                          model.d, segment_len)
+    trans = segs.mapInArrow(make_max_transfer_step(W, A), "article_id string, seg int, V array<double>")
+    plan = trans.groupBy("article_id").applyInPandas(
+        make_viterbi_scan(model.K), "article_id string, seg int, enter int, end int")
+    parts = segs.join(plan, ["article_id", "seg"]).mapInArrow(
+        make_segment_decode_step(W, A), "article_id string, seg int, path array<int>")
+    lab = F.array(*[F.lit(int(v)) for v in model.labels])
+    whole = (parts.groupBy("article_id")
+             .agg(F.sort_array(F.collect_list(F.struct("seg", "path"))).alias("_p")))
+    return whole.select("article_id", F.transform(F.flatten(F.transform("_p", lambda p: p["path"])),
+                                                  lambda i: F.element_at(lab, i + 1)).alias("path"))
+
+
 def sequence_nll(seqs: DataFrame, model: CRFModel) -> DataFrame:
     """Negative log-likelihood per article at the model's weights."""
     run = make_sequence_scorer(model.W, model.A * model.trans_mask, "nll")

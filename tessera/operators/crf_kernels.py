@@ -443,3 +443,116 @@ def make_segment_step(W: np.ndarray, A: np.ndarray, labels):
                                           "nseq": pa.array([nseq], pa.int64())})
 
     return run
+
+
+# ---- segment-parallel Viterbi (max-plus analogue of the above)
+def segment_max_transfer(X: np.ndarray, W: np.ndarray, A: np.ndarray, first: bool) -> np.ndarray:
+    """V[i, j]: best path score through the segment entering from label i
+    and ending in label j (rows equal for the first segment)."""
+    E = X @ W
+    K = W.shape[1]
+    if first:
+        v = E[0].copy()
+        for t in range(1, len(E)):
+            v = (v[:, None] + A).max(axis=0) + E[t]
+        return np.tile(v, (K, 1))
+    M = A + E[0][None, :]
+    for t in range(1, len(E)):
+        M = (M[:, :, None] + A[None]).max(axis=1) + E[t][None, :]
+    return M
+
+
+def scan_viterbi(Vs: list[np.ndarray]) -> tuple[list, list]:
+    """Best label entering and ending each segment (first maximum wins)."""
+    m_in = [None]
+    m = Vs[0][0]
+    for V in Vs[1:]:
+        m_in.append(m)
+        m = (m[:, None] + V).max(axis=0)
+    ends = [None] * len(Vs)
+    enters = [None] * len(Vs)
+    ends[-1] = int(np.argmax(m))
+    for g in range(len(Vs) - 1, 0, -1):
+        enters[g] = int(np.argmax(m_in[g] + Vs[g][:, ends[g]]))
+        ends[g - 1] = enters[g]
+    return enters, ends
+
+
+def segment_decode(X: np.ndarray, W: np.ndarray, A: np.ndarray, enter, end: int) -> np.ndarray:
+    """Best label path inside a segment with its entering and final labels fixed."""
+    E = X @ W
+    n, K = E.shape
+    delta = E[0].copy() if enter is None else A[enter] + E[0]
+    bp = np.zeros((n, K), dtype=np.int64)
+    for t in range(1, n):
+        cand = delta[:, None] + A
+        bp[t] = cand.argmax(axis=0)
+        delta = cand.max(axis=0) + E[t]
+    path = np.empty(n, dtype=np.int64)
+    path[-1] = end
+    for t in range(n - 1, 0, -1):
+        path[t - 1] = bp[t, path[t]]
+    return path
+
+
+def _x_rows(batch, d: int):
+    ids = batch.column("article_id").to_pylist()
+    segs = batch.column("seg").to_numpy(zero_copy_only=False)
+    lengths = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+    xs = _flat(batch.column("x")).astype(np.float64)
+    xo = _offsets(lengths, d)
+    for r in range(batch.num_rows):
+        n = int(lengths[r])
+        yield r, ids[r], int(segs[r]), xs[xo[r]:xo[r] + n * d].reshape(n, d)
+
+
+def make_max_transfer_step(W: np.ndarray, A: np.ndarray):
+    d, K = W.shape
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            ids, segs, Vs = [], [], []
+            for _, aid, seg, X in _x_rows(b, d):
+                ids.append(aid)
+                segs.append(seg)
+                Vs.append(segment_max_transfer(X, W, A, seg == 0).ravel().tolist())
+            yield pa.RecordBatch.from_pydict({"article_id": pa.array(ids, pa.string()),
+                                              "seg": pa.array(segs, pa.int32()),
+                                              "V": pa.array(Vs, pa.list_(pa.float64()))})
+
+    return run
+
+
+def make_viterbi_scan(K: int):
+    def scan(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("seg")
+        enters, ends = scan_viterbi([np.asarray(v, dtype=np.float64).reshape(K, K) for v in pdf["V"]])
+        return pd.DataFrame({"article_id": pdf["article_id"].to_numpy(), "seg": pdf["seg"].to_numpy(),
+                             "enter": pd.array(enters, dtype="Int32"), "end": np.asarray(ends, dtype=np.int32)})
+
+    return scan
+
+
+def make_segment_decode_step(W: np.ndarray, A: np.ndarray):
+    d, K = W.shape
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            enters = b.column("enter").to_pylist()
+            ends = b.column("end").to_pylist()
+            ids, segs, paths = [], [], []
+            for r, aid, seg, X in _x_rows(b, d):
+                ids.append(aid)
+                segs.append(seg)
+                paths.append(segment_decode(X, W, A, enters[r], ends[r]).astype(np.int32).tolist())
+            yield pa.RecordBatch.from_pydict({"article_id": pa.array(ids, pa.string()),
+                                              "seg": pa.array(segs, pa.int32()),
+                                              "path": pa.array(paths, pa.list_(pa.int32()))})
+
+    return run

@@ -97,7 +97,12 @@ def predict(run: CRFRun, articles: DataFrame, ctx: FeatureContext,
                          tuple(x for x in run.model.feature_names if not x.startswith("emb")),
                          emb="emb" if use_emb else None)
     model = run.model if use_emb else _without_embeddings(run.model)
-    paths = crf.decode_in_arrow(seqs, model).withColumnRenamed("path", "pred")
+    # numpy Viterbi per article; articles beyond the hot length decode segment-parallel
+    normal = seqs.filter(F.col("n") <= crf.HOT_SEQUENCE_LEN)
+    hot = seqs.filter(F.col("n") > crf.HOT_SEQUENCE_LEN)
+    paths = (crf.decode_in_arrow(normal, model)
+             .unionByName(crf.decode_segmented(hot, model))
+             .withColumnRenamed("path", "pred"))
     decoded = long_rows.join(paths, "article_id", "left").withColumn(
         "pred", F.coalesce("pred", F.array().cast("array<int>")))  # empty articles: empty path
     if catalyst:

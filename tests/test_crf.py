@@ -194,3 +194,29 @@ def test_segment_parallel_fit_equals_whole_sequence_fit(spark, synth):
     whole = crf.fit(seqs, FEATURE_NAMES, max_iter=15)
     split = crf.fit(seqs, FEATURE_NAMES, max_iter=15, hot_len=6, segment_len=3)
     assert np.allclose(whole.W, split.W, atol=1e-6) and np.allclose(whole.A, split.A, atol=1e-6)
+
+
+def test_segmented_viterbi_equals_whole():
+    from tessera.operators.crf_kernels import scan_viterbi, segment_decode, segment_max_transfer
+    rng = np.random.default_rng(5)
+    d, K = 4, 3
+    for n, S in ((1, 1), (9, 2), (30, 7), (40, 40), (57, 5)):
+        X = rng.normal(size=(n, d))
+        W, A = rng.normal(size=(d, K)), rng.normal(size=(K, K))
+        ref = viterbi(X[None], np.ones((1, n), dtype=bool), W, A)[0]
+        cuts = list(range(0, n, S))
+        enters, ends = scan_viterbi([segment_max_transfer(X[s:s + S], W, A, s == 0) for s in cuts])
+        path = np.concatenate([segment_decode(X[s:s + S], W, A, enters[g], ends[g])
+                               for g, s in enumerate(cuts)])
+        assert path.tolist() == ref.tolist()
+
+
+def test_segmented_decode_equals_arrow_decode(spark, synth):
+    from tessera.operators.features import FEATURE_NAMES
+    arts, _ = synth
+    seqs = crf.sequences(arts.filter("split = 'train'"), FEATURE_NAMES)
+    m = crf.fit(seqs, FEATURE_NAMES, max_iter=10)
+    test = crf.sequences(arts.filter("split = 'test'"), FEATURE_NAMES)
+    a = {r.article_id: list(r.path) for r in crf.decode_in_arrow(test, m).collect()}
+    b = {r.article_id: list(r.path) for r in crf.decode_segmented(test, m, segment_len=2).collect()}
+    assert a == b and len(a) == 60
