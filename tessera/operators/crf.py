@@ -22,7 +22,6 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import lbfgs
 from .crf_kernels import (make_gradient_step, make_max_transfer_step, make_message_scan,
@@ -170,24 +169,28 @@ class CRFObjective:
         d, K = self.d, self.K
         return w[:d * K].reshape(d, K), w[d * K:].reshape(K, K) * self.mask
 
+    @staticmethod
+    def _sum_rows(parts: DataFrame, partitions: int, size: int) -> tuple[float, np.ndarray, int]:
+        """Sum the per-partition ``(loss, grad, nseq)`` rows: collected when
+        there are few (one ~1 kB row each), else a grouped aggregate."""
+        if partitions <= COLLECT_MAX_PARTITIONS:
+            rows = parts.collect()
+            loss = float(sum(r.loss for r in rows))
+            grad = np.sum([np.asarray(r.grad) for r in rows], axis=0) if rows else np.zeros(size)
+            return loss, grad, int(sum(r.nseq for r in rows))
+        tot = parts.agg(F.sum("loss").alias("loss"), F.sum("nseq").alias("nseq")).first()
+        g = (parts.select(F.posexplode("grad").alias("i", "g")).groupBy("i")
+             .agg(F.sum("g").alias("g")).collect())  # one row per weight
+        grad = np.zeros(size)
+        for r in g:
+            grad[r.i] = r.g
+        return float(tot.loss or 0.0), grad, int(tot.nseq or 0)
+
     def data_term(self, w: np.ndarray) -> tuple[float, np.ndarray, int]:
         W, A = self.split(w)
         parts = self.data.mapInArrow(make_gradient_step(W, A, self.labels), STEP_SCHEMA)
-        if self.partitions <= COLLECT_MAX_PARTITIONS:
-            rows = parts.collect()  # one ~1 kB row per partition
-            loss = float(sum(r.loss for r in rows))
-            grad = np.sum([np.asarray(r.grad) for r in rows], axis=0) if rows else np.zeros(len(w))
-            nseq = int(sum(r.nseq for r in rows))
-        else:  # many partitions: sum the vectors with a grouped aggregate
-            tot = parts.agg(F.sum("loss").alias("loss"), F.sum("nseq").alias("nseq")).first()
-            g = (parts.select(F.posexplode("grad").alias("i", "g")).groupBy("i")
-                 .agg(F.sum("g").alias("g")).collect())
-            grad = np.zeros(len(w))
-            for r in g:
-                grad[r.i] = r.g
-            loss, nseq = float(tot.loss or 0.0), int(tot.nseq or 0)
         self.evaluations += 1
-        return loss, grad, nseq
+        return self._sum_rows(parts, self.partitions, len(w))
 
     def segment_term(self, w: np.ndarray) -> tuple[float, np.ndarray]:
         """Loss and gradient of the hot sequences, segment-parallel: transfer
@@ -201,9 +204,8 @@ class CRFObjective:
         if self.n_segments <= MESSAGE_BROADCAST_MAX:  # counted when the segments were built
             msgs = F.broadcast(msgs)
         joined = self.segments.join(msgs, ["article_id", "seg"])
-        rows = joined.mapInArrow(make_segment_step(W, A, self.labels), STEP_SCHEMA).collect()
-        loss = float(sum(r.loss for r in rows))
-        grad = np.sum([np.asarray(r.grad) for r in rows], axis=0) if rows else np.zeros(len(w))
+        parts = joined.mapInArrow(make_segment_step(W, A, self.labels), STEP_SCHEMA)
+        loss, grad, _ = self._sum_rows(parts, self.segments.rdd.getNumPartitions(), len(w))
         return loss, grad
 
     def __call__(self, w: np.ndarray) -> tuple[float, np.ndarray]:
@@ -406,5 +408,3 @@ def fixed_model(feature_names: tuple, state: dict, trans: list, labels=(0, 1)) -
     A = np.array(trans, dtype=float)
     return CRFModel(tuple(feature_names), tuple(labels), W, A, np.ones_like(A, dtype=bool))
 
-
-T_PATH = T.ArrayType(T.IntegerType())
