@@ -220,3 +220,16 @@ def test_segmented_decode_equals_arrow_decode(spark, synth):
     a = {r.article_id: list(r.path) for r in crf.decode_in_arrow(test, m).collect()}
     b = {r.article_id: list(r.path) for r in crf.decode_segmented(test, m, segment_len=2).collect()}
     assert a == b and len(a) == 60
+
+
+def test_grouped_gradient_sum_equals_collected(spark, synth):
+    from tessera.operators.crf_kernels import make_gradient_step
+    from tessera.operators.features import FEATURE_NAMES
+    arts, _ = synth
+    data = crf.prepare_training_data(crf.sequences(arts.filter("split = 'train'"), FEATURE_NAMES), 5)
+    rng = np.random.default_rng(2)
+    W, A = rng.normal(size=(9, 2)) * 0.1, rng.normal(size=(2, 2))
+    parts = data.mapInArrow(make_gradient_step(W, A, (0, 1)), crf.STEP_SCHEMA)
+    a = crf.CRFObjective._sum_rows(parts, 5, 22)
+    b = crf.CRFObjective._sum_rows(parts, 10_000, 22)
+    assert abs(a[0] - b[0]) < 1e-9 and np.allclose(a[1], b[1]) and a[2] == b[2] == 90
