@@ -256,14 +256,33 @@ def observed_labels(seqs: DataFrame) -> tuple:
                         seqs.select(F.explode("y")).distinct().collect() if r[0] is not None))
 
 
+def feature_rms(data: DataFrame, d: int) -> np.ndarray:
+    """Root mean square of every feature over all training sentences
+    (partial aggregate over d keys; zeros become 1)."""
+    rows = (data.select(F.posexplode("x").alias("i", "v"))
+            .groupBy(F.pmod("i", F.lit(d)).alias("j"))
+            .agg(F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("r")).collect())
+    scale = np.ones(d)
+    for r in rows:
+        if r.r is not None and r.r > 0:
+            scale[r.j] = r.r
+    return scale
+
+
 def fit(seqs: DataFrame, feature_names: tuple, transitions: str = "all",
         c2: float = DEFAULT_C2, max_iter: int = DEFAULT_MAX_ITER,
         partitions: int | None = None, toggles: dict | None = None,
-        hot_len: int = HOT_SEQUENCE_LEN, segment_len: int = SEGMENT_LEN) -> CRFModel:
+        hot_len: int = HOT_SEQUENCE_LEN, segment_len: int = SEGMENT_LEN,
+        precondition: bool = True) -> CRFModel:
     """H1: fit weights on ``sequences(...)`` rows of the training split.
 
     The training rows are persisted first; the label set and observed
-    transitions are then read from the cache (no extra feature passes)."""
+    transitions are then read from the cache (no extra feature passes).
+    ``precondition``: L-BFGS runs in coordinates scaled by each feature's RMS
+    (raw positions and lengths are in the hundreds, which makes the problem
+    badly conditioned). The objective and its minimiser are unchanged; within
+    the same rounds it gets much closer to the optimum with fewer distributed
+    evaluations."""
     data = prepare_training_data(seqs, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     cached, segments = data, None
     try:
@@ -286,7 +305,16 @@ def fit(seqs: DataFrame, feature_names: tuple, transitions: str = "all",
             n_segments = segments.count()
             data = data.filter(F.col("n") <= hot_len)
         obj = CRFObjective(data, d, K, c2, mask, labels, segments, n_segments)
-        res = lbfgs.minimize(obj, np.zeros(d * K + K * K), max_iter=max_iter, free=obj.free_vector())
+        sv = np.ones(d * K + K * K)
+        if precondition:
+            sv[:d * K] = np.repeat(feature_rms(cached, d), K)  # W is (d, K) row-major
+
+        def scaled(v):
+            f, g = obj(v / sv)
+            return f, g / sv
+
+        res = lbfgs.minimize(scaled, np.zeros(d * K + K * K), max_iter=max_iter, free=obj.free_vector())
+        res.w = res.w / sv
         W, A = obj.split(res.w)
     finally:
         cached.unpersist()

@@ -233,3 +233,12 @@ def test_grouped_gradient_sum_equals_collected(spark, synth):
     a = crf.CRFObjective._sum_rows(parts, 5, 22)
     b = crf.CRFObjective._sum_rows(parts, 10_000, 22)
     assert abs(a[0] - b[0]) < 1e-9 and np.allclose(a[1], b[1]) and a[2] == b[2] == 90
+
+
+def test_preconditioning_reaches_lower_objective(spark, synth):
+    from tessera.operators.features import FEATURE_NAMES
+    arts, _ = synth
+    seqs = crf.sequences(arts.filter("split = 'train'"), FEATURE_NAMES)
+    plain = crf.fit(seqs, FEATURE_NAMES, max_iter=20, precondition=False)
+    scaled = crf.fit(seqs, FEATURE_NAMES, max_iter=20)
+    assert scaled.info["objective"] <= plain.info["objective"] + 1e-9
