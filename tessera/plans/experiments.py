@@ -83,6 +83,12 @@ def predict(run: CRFRun, articles: DataFrame, ctx: FeatureContext,
     streaming source needs."""
     use_emb = run.proj is not None and vectors is not None
     fa = featurise(articles, ctx, run.config, run.proj if use_emb else None, vectors if use_emb else None)
+    return decode_frame(run, fa, use_emb, long_article)
+
+
+def decode_frame(run: CRFRun, fa: DataFrame, use_emb: bool,
+                 long_article: int | None = LONG_ARTICLE) -> DataFrame:
+    """Decode already featurised article rows (``feats`` [+ ``emb``])."""
     emb = F.col("emb") if use_emb else None
     n = F.size("sentences")  # cheap to evaluate where Catalyst pushes the filter
     catalyst = run.model.K <= 2  # the Catalyst decoder is specialised to two labels
@@ -93,9 +99,9 @@ def predict(run: CRFRun, articles: DataFrame, ctx: FeatureContext,
                 .withColumn("y_true", any_positive("sentence_labels"))
                 .withColumn("y_pred", any_positive("pred")))
     long_rows = fa.filter(n > long_article) if catalyst else fa
-    seqs = crf.sequences(long_rows, run.model.feature_names if use_emb else
-                         tuple(x for x in run.model.feature_names if not x.startswith("emb")),
-                         emb="emb" if use_emb else None)
+    names = (run.model.feature_names if use_emb else
+             tuple(x for x in run.model.feature_names if not x.startswith("emb")))
+    seqs = crf.sequences(long_rows, names, emb="emb" if use_emb else None)
     model = run.model if use_emb else _without_embeddings(run.model)
     # numpy Viterbi per article; articles beyond the hot length decode segment-parallel
     normal = seqs.filter(F.col("n") <= crf.HOT_SEQUENCE_LEN)
@@ -200,20 +206,48 @@ ABLATIONS = {
 }
 
 
+def _fit_featurised(fa: DataFrame, cfg: CRFConfig, proj: PCAProjection | None) -> CRFRun:
+    """H1 on already featurised training rows, using the features ``cfg`` selects."""
+    use_emb = cfg.use_vectors and proj is not None
+    names = feature_names(cfg.use_lexicons) + (_emb_dim_names(proj) if use_emb else ())
+    seqs = crf.sequences(fa, names, emb="emb" if use_emb else None)
+    toggles = {"use_lexicons": cfg.use_lexicons, "use_vectors": use_emb}
+    model = crf.fit(seqs, names, cfg.transitions, cfg.c2, cfg.max_iter, cfg.partitions, toggles)
+    return CRFRun(model, proj if use_emb else None, cfg)
+
+
 def ablation(spark: SparkSession, articles: DataFrame, ctx: FeatureContext,
              vectors: DataFrame | None = None, base: CRFConfig = CRFConfig(),
              variants: dict = ABLATIONS, eval_split: str = "val") -> DataFrame:
-    """Each toggle set trained and evaluated, plus F1 change vs 'full'."""
+    """Each toggle set trained and evaluated, plus F1 change vs 'full'.
+
+    Features (all of them) and the PCA are computed once for the training and
+    evaluation splits and persisted; each variant fits on the columns its
+    toggles select (a variant without lexicons reads only position/lead)."""
+    from pyspark import StorageLevel
+
+    tr, ev = split_filter(articles, "train"), split_filter(articles, eval_split)
+    proj = None
+    if vectors is not None and any(replace(base, **c).use_vectors for c in variants.values()):
+        proj = fit_pca(training_sentence_vectors(attach_vectors(tr, article_matrices(vectors))),
+                       k=base.pca_dim)
+    full = replace(base, use_lexicons=True, use_vectors=True)
+    ftr = featurise(tr, ctx, full, proj, vectors).persist(StorageLevel.MEMORY_AND_DISK)
+    fev = featurise(ev, ctx, full, proj, vectors).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
-    for name, change in variants.items():
-        run = train(spark, articles, ctx, replace(base, **change), vectors)
-        m = article_metrics(predict(run, split_filter(articles, eval_split), ctx, vectors)).first()
-        rows.append((name, eval_split, m.n, m.accuracy, m.precision, m.recall, m.f1,
-                     run.model.info.get("iterations")))
+    try:
+        for name, change in variants.items():
+            run = _fit_featurised(ftr, replace(base, **change), proj)
+            m = article_metrics(decode_frame(run, fev, run.proj is not None)).first()
+            rows.append((name, eval_split, m.n, m.accuracy, m.precision, m.recall, m.f1,
+                         run.model.info.get("iterations")))
+    finally:
+        ftr.unpersist()
+        fev.unpersist()
     df = spark.createDataFrame(rows, "variant string, split string, n bigint, accuracy double, "
                                      "precision double, recall double, f1 double, iterations int")
-    full = next((r[6] for r in rows if r[0] == "full"), None)
-    return df.withColumn("delta_f1", F.col("f1") - F.lit(full) if full is not None else F.lit(None))
+    full_f1 = next((r[6] for r in rows if r[0] == "full"), None)
+    return df.withColumn("delta_f1", F.col("f1") - F.lit(full_f1) if full_f1 is not None else F.lit(None))
 
 
 def nested_sample(articles: DataFrame, pct: float, seed: str = "curve") -> DataFrame:
@@ -224,12 +258,29 @@ def nested_sample(articles: DataFrame, pct: float, seed: str = "curve") -> DataF
 def learning_curve(spark: SparkSession, articles: DataFrame, ctx: FeatureContext,
                    pcts=(25.0, 50.0, 100.0), cfg: CRFConfig = CRFConfig(use_vectors=False),
                    vectors: DataFrame | None = None, model: str = "CRF") -> DataFrame:
-    """H9: refit on nested training samples, F1 on the full test split."""
+    """H9: refit on nested training samples, F1 on the full test split.
+
+    Without vectors the training and test features are computed once and
+    persisted; each sample is a filter on them. With vectors the PCA belongs
+    to each sample, so every sample is featurised on its own."""
+    from pyspark import StorageLevel
+
     test = split_filter(articles, "test")
     rows = []
-    for pct in pcts:
-        sample = nested_sample(split_filter(articles, "train"), pct)
-        run = train(spark, sample, ctx, cfg, vectors, split=None)
-        m = article_metrics(predict(run, test, ctx, vectors)).first()
-        rows.append((model, float(pct), float(m.f1)))
+    if cfg.use_vectors and vectors is not None:
+        for pct in pcts:
+            run = train(spark, nested_sample(split_filter(articles, "train"), pct), ctx, cfg, vectors, split=None)
+            m = article_metrics(predict(run, test, ctx, vectors)).first()
+            rows.append((model, float(pct), float(m.f1)))
+    else:
+        ftr = featurise(split_filter(articles, "train"), ctx, cfg, None, None).persist(StorageLevel.MEMORY_AND_DISK)
+        fte = featurise(test, ctx, cfg, None, None).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            for pct in pcts:
+                run = _fit_featurised(nested_sample(ftr, pct), cfg, None)
+                m = article_metrics(decode_frame(run, fte, False)).first()
+                rows.append((model, float(pct), float(m.f1)))
+        finally:
+            ftr.unpersist()
+            fte.unpersist()
     return spark.createDataFrame(rows, "model string, train_pct double, f1 double")
