@@ -41,3 +41,10 @@ def test_subjectivity_all_comments_is_empty(spark):
 def test_subjectivity_two_equals_fails(spark):
     with pytest.raises(Exception):
         parse_subjectivity_lexicon(lines_from_list(spark, ["word1=a=b priorpolarity=positive"])).collect()
+
+
+def test_crlf_lexicon_file(spark, tmp_dir):
+    p = f"{tmp_dir}/crlf.tff"
+    with open(p, "w", encoding="utf-8", newline="") as f:
+        f.write("word1=a priorpolarity=positive\r\nword1=a priorpolarity=negative\r\n")
+    assert {r.word: r.polarity for r in load_subjectivity_lexicon(spark, p).collect()} == {"a": "negative"}

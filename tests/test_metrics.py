@@ -75,3 +75,13 @@ def test_grouped_any_on_long_rows(spark):
     from tessera.functions.labels import article_labels_from_rows
     rows = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0), ("b", 2)], "article_id string, label int")
     assert {r.article_id: r.label for r in article_labels_from_rows(rows).collect()} == {"a": 1, "b": 0}
+
+
+def test_predictions_csv_roundtrip(spark, tmp_dir):
+    from tessera.sources.results import read_predictions
+    from tessera.sources.sinks import export_csv, write_predictions
+    preds = spark.createDataFrame([("a", 1, 0), ("b", 0, 0)], "article_id string, y_true int, y_pred int")
+    write_predictions(preds, tmp_dir, "p")
+    export_csv(preds, f"{tmp_dir}/p.csv")
+    for path in (f"{tmp_dir}/p", f"{tmp_dir}/p.csv"):
+        assert sorted(tuple(r) for r in read_predictions(spark, path).collect()) == [("a", 1, 0), ("b", 0, 0)]
