@@ -107,3 +107,16 @@ def test_baselines_fit_predict_save_load(spark, tmp_dir):
         assert m.n == 60 and m.accuracy is not None
         if variant == "tfidf_lr":
             assert m.f1 > 0.8  # the positive template's words separate the classes
+
+
+def test_result_scan_ignores_other_tables(spark, tmp_dir):
+    from tessera.sources.results import read_main_results
+    m = spark.createDataFrame([("CRF", "all", "val", 0.5, 0.5, 0.5, 0.5, "v")],
+                              "model string, domain string, split string, accuracy double, precision double, "
+                              "recall double, f1 double, notes string")
+    sinks.dump_result_row(m, f"{tmp_dir}/root/run1")
+    # another table under the same root with a clashing column type
+    spark.createDataFrame([("x", "not a number")], "model string, f1 string") \
+        .write.parquet(f"{tmp_dir}/root/run1/model/other")
+    rows = read_main_results(spark, f"{tmp_dir}/root").collect()
+    assert len(rows) == 1 and rows[0].f1 == 0.5 and rows[0].source_dir.endswith("/run1")
