@@ -18,7 +18,6 @@ from ..operators import metrics as M
 from ..operators.features import sentence_features
 from ..operators.sentences import article_text, explode_sentences
 from ..sources.articles import testdata_articles
-from ..sources.lexicons import testdata_bias_lexicon, testdata_subjectivity_lexicon
 from .common import feature_context, rule_prediction_table, scored_articles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,8 +83,11 @@ def q_union_domains(spark, sf):
 # ----------------------------------------------------------------- lexicons
 @query("lexicon_bias")
 def q_lexicon_bias(spark, sf):
-    """A2 parse, then corpus-wide hit count per term (terms with no hit kept)."""
-    lex = testdata_bias_lexicon(spark)
+    """A2 from a text file (the stand-in list written to the shared folder),
+    then corpus-wide hit count per term (terms with no hit kept)."""
+    from ..session import shared_path
+    from ..sources.lexicons import TESTDATA_BIAS_LINES, load_bias_lexicon, write_lexicon_file
+    lex = load_bias_lexicon(spark, write_lexicon_file(spark, TESTDATA_BIAS_LINES, shared_path(spark, "bias-lex")))
     terms = [r.term for r in lex.collect()]  # bounded: parsed from a fixed list
     sents = explode_sentences(testdata_articles(spark, sf), keep=())
     hits = (sents.select(F.explode(tokens("sentence")).alias("term"))
@@ -97,7 +99,11 @@ def q_lexicon_bias(spark, sf):
 
 @query("lexicon_subjectivity")
 def q_lexicon_subjectivity(spark, sf):
-    lex = testdata_subjectivity_lexicon(spark)
+    """A3 from a text file (line order kept by a whole-file read; last wins)."""
+    from ..session import shared_path
+    from ..sources.lexicons import TESTDATA_SUBJECTIVITY_LINES, load_subjectivity_lexicon, write_lexicon_file
+    lex = load_subjectivity_lexicon(spark, write_lexicon_file(
+        spark, TESTDATA_SUBJECTIVITY_LINES, shared_path(spark, "subj-lex")))
     words = [r.word for r in lex.select("word").collect()]  # bounded fixed list
     sents = explode_sentences(testdata_articles(spark, sf), keep=())
     hits = (sents.select(F.explode(tokens("sentence")).alias("word"))

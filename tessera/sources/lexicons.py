@@ -120,3 +120,10 @@ def testdata_bias_lexicon(spark: SparkSession) -> DataFrame:
 
 def testdata_subjectivity_lexicon(spark: SparkSession) -> DataFrame:
     return parse_subjectivity_lexicon(lines_from_list(spark, TESTDATA_SUBJECTIVITY_LINES))
+
+
+def write_lexicon_file(spark: SparkSession, lines: Sequence[str], path: str) -> str:
+    """Write lines as one text file (one small part file) and return the folder."""
+    spark.createDataFrame([(v,) for v in lines], "value string").coalesce(1) \
+        .write.mode("overwrite").text(path)
+    return path
