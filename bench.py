@@ -28,6 +28,17 @@ HEADLINE = ["features", "metrics_by_domain", "subtype_breakdown", "mcnemar", "cr
             "crf_fit", "baseline_fit"]
 
 
+def _commit() -> str | None:
+    """Short hash of the code that produced the numbers (None outside git)."""
+    import subprocess
+    try:
+        out = subprocess.run(["git", "rev-parse", "--short", "HEAD"], capture_output=True, text=True,
+                             cwd=os.path.dirname(os.path.abspath(__file__)), timeout=10)
+        return out.stdout.strip() or None
+    except (OSError, subprocess.SubprocessError):
+        return None
+
+
 def _sf_value(path: str) -> float | str:
     base = os.path.basename(path.rstrip("/"))
     try:
@@ -100,7 +111,7 @@ def main() -> None:
     extra["n_articles"] = n_art
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "throughput": extra,
-                      "sf": _sf_value(SF_DIR), "cpus": CPUS}))
+                      "sf": _sf_value(SF_DIR), "cpus": CPUS, "commit": _commit()}))
     spark.stop()
 
 
