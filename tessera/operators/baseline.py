@@ -59,21 +59,27 @@ def predict(model: PipelineModel, frame: DataFrame) -> DataFrame:
 
 
 def fit_with_validation(train: DataFrame, val: DataFrame, variant: str = "tfidf_lr",
-                        candidates: Sequence[tuple] = DEFAULT_CANDIDATES):
+                        candidates: Sequence[tuple] = DEFAULT_CANDIDATES, parallelism: int = 3):
     """H7 + D12: fit every candidate on train, score on val, keep the best F1
     (earliest candidate on ties). Returns (best model, candidate table)."""
     spark = train.sparkSession
     feat = _featurizer(variant).fit(train)  # tokenise/TF/IDF fitted once for all candidates
     tr = feat.transform(train).select("article_id", "label", "features").cache()
     va = feat.transform(val).select("article_id", "label", "features").cache()
-    rows, models = [], []
+    def fit_one(i, reg, iters):
+        lr = LogisticRegression(featuresCol="features", labelCol="label",
+                                regParam=reg, maxIter=iters).fit(tr)
+        m = M.global_binary_metrics(predict(lr, va)).first()
+        return (i, variant, float(reg), int(iters), float(m.f1), m.accuracy), lr
+
+    from concurrent.futures import ThreadPoolExecutor
     try:
-        for i, (reg, iters) in enumerate(candidates):
-            lr = LogisticRegression(featuresCol="features", labelCol="label",
-                                    regParam=reg, maxIter=iters).fit(tr)
-            m = M.global_binary_metrics(predict(lr, va)).first()
-            rows.append((i, variant, float(reg), int(iters), float(m.f1), m.accuracy))
-            models.append(lr)
+        # candidates are independent jobs: submit them concurrently (as Spark
+        # ML's tuning ``parallelism`` does) so small fits share the cluster
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(candidates)))) as pool:
+            done = list(pool.map(lambda c: fit_one(c[0], *c[1]), enumerate(candidates)))
+        rows = [r for r, _ in done]
+        models = [lr for _, lr in done]
     finally:
         tr.unpersist()
         va.unpersist()
