@@ -221,6 +221,14 @@ ABLATIONS = {
 }
 
 
+def _concurrently(fn, items, max_workers: int = 4) -> list:
+    """Run independent fits from driver threads so their small per-round
+    jobs overlap on the cluster; results keep the input order."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, min(max_workers, len(items)))) as pool:
+        return list(pool.map(fn, items))
+
+
 def _fit_featurised(fa: DataFrame, cfg: CRFConfig, proj: PCAProjection | None) -> CRFRun:
     """H1 on already featurised training rows, using the features ``cfg`` selects."""
     use_emb = cfg.use_vectors and proj is not None
@@ -249,13 +257,15 @@ def ablation(spark: SparkSession, articles: DataFrame, ctx: FeatureContext,
     full = replace(base, use_lexicons=True, use_vectors=True)
     ftr = featurise(tr, ctx, full, proj, vectors).persist(StorageLevel.MEMORY_AND_DISK)
     fev = featurise(ev, ctx, full, proj, vectors).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
+    def one(item):
+        name, change = item
+        run = _fit_featurised(ftr, replace(base, **change), proj)
+        m = article_metrics(decode_frame(run, fev, run.proj is not None)).first()
+        return (name, eval_split, m.n, m.accuracy, m.precision, m.recall, m.f1,
+                run.model.info.get("iterations"))
+
     try:
-        for name, change in variants.items():
-            run = _fit_featurised(ftr, replace(base, **change), proj)
-            m = article_metrics(decode_frame(run, fev, run.proj is not None)).first()
-            rows.append((name, eval_split, m.n, m.accuracy, m.precision, m.recall, m.f1,
-                         run.model.info.get("iterations")))
+        rows = _concurrently(one, list(variants.items()))
     finally:
         ftr.unpersist()
         fev.unpersist()
@@ -290,11 +300,13 @@ def learning_curve(spark: SparkSession, articles: DataFrame, ctx: FeatureContext
     else:
         ftr = featurise(split_filter(articles, "train"), ctx, cfg, None, None).persist(StorageLevel.MEMORY_AND_DISK)
         fte = featurise(test, ctx, cfg, None, None).persist(StorageLevel.MEMORY_AND_DISK)
+        def one(pct):
+            run = _fit_featurised(nested_sample(ftr, pct), cfg, None)
+            m = article_metrics(decode_frame(run, fte, False)).first()
+            return (model, float(pct), float(m.f1))
+
         try:
-            for pct in pcts:
-                run = _fit_featurised(nested_sample(ftr, pct), cfg, None)
-                m = article_metrics(decode_frame(run, fte, False)).first()
-                rows.append((model, float(pct), float(m.f1)))
+            rows = _concurrently(one, list(pcts))
         finally:
             ftr.unpersist()
             fte.unpersist()
