@@ -3,15 +3,33 @@
 from __future__ import annotations
 
 from tessera.llm.common import table
+from tessera.session import shared_path
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mix
+from tessera.llm.packing import pack
+from tessera.llm.token_files import read_token_files, write_token_files
 
 
 def op1_line_dedup(spark, sf_dir):
     return line_dedup(table(spark, sf_dir, "documents")).drop("_rid")
 
 
+def tokenizer_path(name="byte_bpe_50k.json"):
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, max_tokens=2048)
+
+
+def op7_token_files(spark, sf_dir):
+    path = shared_path(spark, "token_files")
+    write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
+    return read_token_files(spark, path)
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents")).drop("_rid")
 
@@ -81,7 +99,7 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM
 
 
 def queries():
-    return {f.__name__: f for f in (op1_line_dedup, op3_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_exact_dedup, op7_token_files, op10_mixing)}
 
 
 def oracle_sql():
