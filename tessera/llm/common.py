@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import hashlib
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +31,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package's sources, once per Spark context.
+
+    So kernels are imported there by name (a worker keeps its memo between
+    tasks) and nothing needs to be installed on the workers.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    files = sorted(os.path.join(d, n) for d, _, names in os.walk(root) for n in names if n.endswith(".py"))
+    digest = hashlib.sha256()
+    for f in files:
+        with open(f, "rb") as src:
+            digest.update(f.encode() + src.read())
+    name = f"tessera_{digest.hexdigest()[:12]}.zip"
+    if name in spark.sparkContext._python_includes:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="tessera-ship-"), name)
+    with zipfile.ZipFile(path, "w") as z:
+        for f in files:
+            z.write(f, os.path.relpath(f, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+
+
+def map_arrow(df: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with a kernel of this package."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(kernel, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,8 +6,9 @@ and a join on (group, bytes). Groups of one document and groups whose bytes have
 ended are final and leave; only the others carry their remaining bytes into the
 next round, whose digit is longer. No digest decides equality.
 
-Skew: the counts combine before the shuffle, and the join's other side has one
-row per (group, bytes), so AQE can split a group that holds a third of the rows.
+Skew: the counts combine before the shuffle. Groups of two or more are written, one
+row each, so that the join has nothing but shuffles below it and AQE can split a group
+that holds a third of the rows.
 """
 
 from __future__ import annotations
@@ -44,11 +45,13 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         cut = rows.withColumn("digit", F.substring("rest", 1, size)).withColumn(
             "rest", F.expr(f"substring(rest, {size + 1})"))
         keys = ["group_no", "digit"] if first else ["group_id", "digit"]
-        groups = cut.groupBy(*keys).agg(F.min(row_key("id")).alias("keep"),
-                                        F.count("*").alias("n"))
-        ended = (F.col("n") == 1) | (F.octet_length("rest") == 0)
-        out = cut.join(groups, keys).select(
-            "id", "_rid", "sha", "n", F.col("keep").alias("group_id"),
+        groups = cut.groupBy(*keys).agg(F.min(row_key("id")).alias("keep"), F.count("*").alias("n"))
+        groups = written(groups.where("n > 1"), "exact_groups")
+        alone = F.col("n").isNull()
+        ended = alone | (F.octet_length("rest") == 0)
+        out = cut.join(groups, keys, "left").select(
+            "id", "_rid", "sha", F.coalesce("n", F.lit(1)).alias("n"),
+            F.coalesce("keep", row_key("id")).alias("group_id"),
             F.when(~ended, F.col("rest")).alias("rest"))
         out = written(out, "exact_dedup")
         done.append(out.where("rest IS NULL").drop("rest"))

@@ -5,8 +5,8 @@ hashes with different seeds, 128 bits). A grouped minimum gives each repeated
 window's first occurrence in the whole table; a join marks the later ones; the
 positions that these cover are merged into spans for each document and cut out.
 
-Skew: the minimum combines before the shuffle and has one row per window, so AQE
-can split a window that is in a third of all rows.
+Skew: the minimum combines before the shuffle; repeated windows are written, one row
+each, so that AQE can split the join at a window that is in a third of all rows.
 """
 
 from __future__ import annotations
@@ -49,6 +49,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     place = F.struct(row_key("id").alias("row"), F.col("pos"))
     first = (windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
              .where("n > 1").select("h1", "h2", "first"))
+    first = written(first, "line_repeats")
     later = windows.join(first, ["h1", "h2"]).where(
         (F.col("first.row.rid") != F.col("_rid")) | (F.col("first.pos") != F.col("pos")))
 

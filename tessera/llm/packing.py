@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_batches, with_rid, written
+from tessera.llm.common import map_arrow, text_batches, with_rid, written
 from tessera.llm.tokens import Encoder
 
 #: A slot's key is its length times this, plus its first rank.
@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, end_id: int, max_tokens: int, id_
                 [pa.array(cols[n], pa.list_(pa.int32()) if n == "ids" else pa.int64()) for n in names], names)
 
     rows = with_rid(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
-    return rows.select("_rid", "id", "text").mapInArrow(cut, schema)
+    return map_arrow(rows.select("_rid", "id", "text"), cut, schema)
 
 
 def pack_histogram(counts: dict[int, int], max_tokens: int) -> list[tuple[tuple[int, ...], int]]:
@@ -127,6 +127,6 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, max_tokens: int =
     res = ranked(cut).select("length", "rank", *cols)
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in res.schema),
                         "sequence_id long", "offset long"])
-    return res.mapInArrow(place, schema).select(
+    return map_arrow(res, place, schema).select(
         F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset",
         *["ids"] * with_ids)

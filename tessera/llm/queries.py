@@ -8,6 +8,9 @@ from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mix
 from tessera.llm.packing import pack
+from tessera.llm.quality_qda import quality_scores
+from tessera.llm.quality_rules import BASE, quality_rules
+from tessera.llm.simhash import near_dedup
 from tessera.llm.token_files import read_token_files, write_token_files
 
 
@@ -34,6 +37,20 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents")).drop("_rid")
 
 
+def op6_quality_classifier(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("_rid")
+
+
+def op8_simhash(spark, sf_dir):
+    return near_dedup(table(spark, sf_dir, "documents"), shingle=3, radius=2).select(
+        "doc_id", "fingerprint", "component_id")
+
+
+def op9_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", *BASE, "base_failed", "kept")
+
+
 def op10_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -99,7 +116,9 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM
 
 
 def queries():
-    return {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_exact_dedup, op7_token_files, op10_mixing)}
+    return {f.__name__: f for f in (
+        op1_line_dedup, op2_packing, op3_exact_dedup, op6_quality_classifier, op7_token_files, op8_simhash,
+        op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql():

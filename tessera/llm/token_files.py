@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_batches, whole_text
+from tessera.llm.common import map_arrow, text_batches, whole_text
 from tessera.llm.tokens import Encoder
 
 HEAD = struct.Struct("<4sBBHQQQ")
@@ -149,7 +149,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     order = [F.col("id").isNull(), F.col("id"), F.xxhash64(whole_text("text"))]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    (rows.mapInArrow(blocks, "shard int, block int, doc_ids array<long>, n_ids long, payload binary")
+    (map_arrow(rows, blocks, "shard int, block int, doc_ids array<long>, n_ids long, payload binary")
      .write.option("compression", "zstd").parquet(path))
 
 
@@ -186,7 +186,7 @@ def read_token_files(spark: SparkSession, path: str, *, id_col: str = "doc_id",
     own = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     begins = sizes.select("shard", "block", F.coalesce(F.sum("n_ids").over(own), F.lit(0)).alias(
         "block_at")).join(shards, "shard")
-    rows = files.select("shard", "block", "doc_ids", "payload").mapInArrow(documents, schema)
+    rows = map_arrow(files.select("shard", "block", "doc_ids", "payload"), documents, schema)
     return rows.join(begins, ["shard", "block"]).select(
         F.col("id").alias(id_col), (F.col("shard_at") + F.col("block_at") + F.col("at")).alias("start"),
         "n_tokens", "ids_crc32", *["ids"] * with_ids)
