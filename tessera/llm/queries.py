@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.common import table
 from tessera.session import shared_path
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.html_text import extract_text
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mix
 from tessera.llm.packing import pack
@@ -37,6 +38,10 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents")).drop("_rid")
 
 
+def op5_html_text(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_classifier(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("_rid")
 
@@ -117,7 +122,7 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM
 
 def queries():
     return {f.__name__: f for f in (
-        op1_line_dedup, op2_packing, op3_exact_dedup, op6_quality_classifier, op7_token_files, op8_simhash,
+        op1_line_dedup, op2_packing, op3_exact_dedup, op5_html_text, op6_quality_classifier, op7_token_files, op8_simhash,
         op9_quality_rules, op10_mixing)}
 
 
