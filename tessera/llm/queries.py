@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tessera.llm.common import table
 from tessera.session import shared_path
 from tessera.llm.exact_dedup import exact_dedup
@@ -12,6 +14,7 @@ from tessera.llm.packing import pack
 from tessera.llm.quality_qda import quality_scores
 from tessera.llm.quality_rules import BASE, quality_rules
 from tessera.llm.simhash import near_dedup
+from tessera.llm.suffix_dedup import suffix_dedup
 from tessera.llm.token_files import read_token_files, write_token_files
 
 
@@ -38,6 +41,12 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents")).drop("_rid")
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_html_text(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -122,7 +131,7 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM
 
 def queries():
     return {f.__name__: f for f in (
-        op1_line_dedup, op2_packing, op3_exact_dedup, op5_html_text, op6_quality_classifier, op7_token_files, op8_simhash,
+        op1_line_dedup, op2_packing, op3_exact_dedup, op4_suffix_dedup, op5_html_text, op6_quality_classifier, op7_token_files, op8_simhash,
         op9_quality_rules, op10_mixing)}
 
 
