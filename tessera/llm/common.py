@@ -82,6 +82,14 @@ def with_rid(df: DataFrame, rid: str = "_rid") -> DataFrame:
     return df.withColumn(rid, F.monotonically_increasing_id())
 
 
+def rows_with(docs: DataFrame, rids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of ``docs`` joined with ``rids`` on ``_rid``: (row, and the columns of ``rids``).
+
+    ``row`` holds all columns of ``docs``, so none can clash; ``rids`` has each ``_rid`` once.
+    """
+    return with_rid(docs.select(F.struct("*").alias("row"))).join(rids, "_rid", how)
+
+
 def text_batches(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20,
                  col: str = "text") -> Iterable[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of text (a row at least)."""

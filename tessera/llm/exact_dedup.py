@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, row_key, whole_text, with_rid, written
+from tessera.llm.common import SPACES, row_key, rows_with, whole_text, with_rid, written
 
 
 def normalised(col: str = "text"):
@@ -71,4 +71,4 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def drop_exact_copies(docs: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     kept = exact_dedup(docs, **params).where("kept").select("_rid")
-    return with_rid(docs).join(kept, "_rid", "left_semi").drop("_rid")
+    return rows_with(docs, kept).select("row.*")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import row_key, whole_text, with_rid, written
+from tessera.llm.common import row_key, rows_with, whole_text, with_rid, written
 
 WIDTH = 3
 
@@ -79,6 +79,6 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 def drop_repeated_lines(docs: DataFrame, *, text_col: str = "text", **params) -> DataFrame:
     """``docs`` with all columns, the text replaced by what is left of it."""
-    left = line_dedup(docs, text_col=text_col, **params).select(
-        "_rid", F.col(text_col).alias("_left"))
-    return with_rid(docs).join(left, "_rid").withColumn(text_col, F.col("_left")).select(*docs.columns)
+    left = line_dedup(docs, text_col=text_col, **params).select("_rid", F.col(text_col).alias("left"))
+    return rows_with(docs, left, "inner").select(*[
+        F.col("left").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, whole_text, written
+from tessera.llm.common import WORD, rows_with, whole_text, with_rid, written
 
 
 def word_count(col: str = "text") -> Column:
@@ -69,7 +69,7 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFra
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", weights=(5, 2, 1), cap: int = 3, seed: int = 17,
         rows_per_range: int = 20_000, broadcast_sources: int = 5_000) -> DataFrame:
-    """One row per document: id, size, source_size, target, copies, taken, weight, key.
+    """One row per document: ``_rid``, id, size, source_size, target, copies, taken, weight, key.
 
     ``copies`` is how often the mix takes the document whole, ``taken`` its words
     counted so often (at most ``cap`` times its size). A null text has size 0;
@@ -81,11 +81,12 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     broadcast only if there are at most ``broadcast_sources`` sources.
     """
     size = word_count(text_col)
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                         size.alias("size"), F.length(whole_text(text_col)).alias("n_chars"))
+    narrow = with_rid(docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"),
+        F.length(whole_text(text_col)).alias("n_chars")))
     narrow = narrow.withColumn("weight", quality_weight(F.col("size"), F.col("n_chars")))
     narrow = narrow.withColumn("u", uniform(F.col("id"), seed))
-    narrow = written(narrow.select("id", "source", "size", "weight",
+    narrow = written(narrow.select("_rid", "id", "source", "size", "weight",
                                    (-F.log("u") / F.col("weight")).alias("key")), "mix_sizes")
     small = narrow.select("source").distinct().limit(broadcast_sources + 1).count() <= broadcast_sources
     hint = F.broadcast if small else (lambda df: df)
@@ -128,5 +129,12 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                          .cast("int")).drop("ahead")
     out = whole.unionByName(cut).withColumn(
         "copies", F.least(F.col("epochs") + F.col("more"), F.lit(cap)).cast("long"))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies",
+    return out.select("_rid", F.col("id").alias(id_col), "size", "source_size", "target", "copies",
                       (F.col("copies") * F.col("size")).alias("taken"), "weight", "key")
+
+
+def mixed(docs: DataFrame, **params) -> DataFrame:
+    """``docs`` with all columns, each row as often as the mix takes it."""
+    taken = mix(docs, **params).where("copies > 0").select("_rid", "copies")
+    rows = rows_with(docs, taken, "inner")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, with_rid, written
+from tessera.llm.common import map_arrow, rows_with, written
 from tessera.llm.stats import FEATURES, document_stats
 
 
@@ -117,4 +117,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 def drop_low_quality(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` that the classifier predicts as 1, with all their columns."""
     kept = quality_scores(docs, labels, **params).where("predicted = 1").select("_rid")
-    return with_rid(docs).join(kept, "_rid", "left_semi").drop("_rid")
+    return rows_with(docs, kept).select("row.*")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, map_arrow, row_key, text_batches, with_rid, written
+from tessera.llm.common import components, map_arrow, row_key, rows_with, text_batches, with_rid, written
 
 WORDS = 4  # 16-bit words of a fingerprint
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -187,4 +187,4 @@ def near_dedup(docs: DataFrame, *, shingle: int = 3, radius: int = 2, seed: int
 def drop_near_copies(docs: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     kept = near_dedup(docs, **params).where("stays").select("_rid")
-    return with_rid(docs).join(kept, "_rid", "left_semi").drop("_rid")
+    return rows_with(docs, kept).select("row.*")
