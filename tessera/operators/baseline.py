@@ -25,9 +25,6 @@ from ..functions.labels import any_positive, argmax
 from ..functions.text import TOKEN_PATTERN
 from . import metrics as M
 
-MAX_LEN = 512  # fixed value: classifier input length in tokens
-
-
 def article_text_frame(articles: DataFrame) -> DataFrame:
     """``(article_id, domain, split, text, label)``; B15 + B17."""
     return articles.select("article_id", "domain", "split",
@@ -35,16 +32,20 @@ def article_text_frame(articles: DataFrame) -> DataFrame:
                            any_positive("sentence_labels").cast("double").alias("label"))
 
 
-def _featurizer(variant: str, num_features: int = 1 << 18, seed: int = 42) -> Pipeline:
-    tok = RegexTokenizer(inputCol="text", outputCol="tokens_all", pattern=TOKEN_PATTERN,
-                         gaps=False, toLowercase=True, minTokenLength=1)
-    cut = SQLTransformer(statement=f"SELECT *, slice(tokens_all, 1, {MAX_LEN}) AS tokens FROM __THIS__")
+def _featurizer(variant: str, num_features: int = 1 << 18, seed: int = 42,
+                max_len: int | None = None) -> Pipeline:
+    """Feature stages. All tokens of a text are used; a caller may cut its own
+    texts to the first ``max_len`` tokens (B16)."""
+    tok = RegexTokenizer(inputCol="text", outputCol="tokens" if max_len is None else "tokens_all",
+                         pattern=TOKEN_PATTERN, gaps=False, toLowercase=True, minTokenLength=1)
+    start = [tok] if max_len is None else [tok, SQLTransformer(
+        statement=f"SELECT *, slice(tokens_all, 1, {int(max_len)}) AS tokens FROM __THIS__")]
     if variant == "tfidf_lr":
-        return Pipeline(stages=[tok, cut, HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features),
+        return Pipeline(stages=[*start, HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features),
                                 IDF(inputCol="tf", outputCol="features")])
     if variant == "word2vec_lr":
-        return Pipeline(stages=[tok, cut, Word2Vec(inputCol="tokens", outputCol="features", vectorSize=64,
-                                                   minCount=2, maxIter=1, seed=seed)])
+        return Pipeline(stages=[*start, Word2Vec(inputCol="tokens", outputCol="features", vectorSize=64,
+                                                 minCount=2, maxIter=1, seed=seed)])
     raise ValueError(f"unknown baseline variant {variant!r}")
 
 
@@ -59,11 +60,12 @@ def predict(model: PipelineModel, frame: DataFrame) -> DataFrame:
 
 
 def fit_with_validation(train: DataFrame, val: DataFrame, variant: str = "tfidf_lr",
-                        candidates: Sequence[tuple] = DEFAULT_CANDIDATES, parallelism: int = 3):
+                        candidates: Sequence[tuple] = DEFAULT_CANDIDATES, parallelism: int = 3,
+                        max_len: int | None = None):
     """H7 + D12: fit every candidate on train, score on val, keep the best F1
     (earliest candidate on ties). Returns (best model, candidate table)."""
     spark = train.sparkSession
-    feat = _featurizer(variant).fit(train)  # tokenise/TF/IDF fitted once for all candidates
+    feat = _featurizer(variant, max_len=max_len).fit(train)  # tokenise/TF/IDF fitted once for all candidates
     tr = feat.transform(train).select("article_id", "label", "features").cache()
     va = feat.transform(val).select("article_id", "label", "features").cache()
     def fit_one(i, reg, iters):

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lbfgs
+from .sentences import checked_length
 from .crf_kernels import (make_gradient_step, make_max_transfer_step, make_message_scan,
                           make_segment_decode_step, make_segment_step, make_sequence_scorer,
                           make_transfer_step, make_viterbi_scan)
@@ -117,7 +118,8 @@ def sequences(articles: DataFrame, feature_names: tuple, feats: str = "feats",
     # that Catalyst pushes towards the scan does not re-run the features
     n = F.size("sentences") if "sentences" in articles.columns else F.size(feats)
     return articles.select("article_id", n.alias("n"), F.flatten(rows).alias("x"),
-                           F.slice(labels, 1, n).alias("y"))
+                           F.slice(labels, 1, checked_length(labels=labels) if "sentences" in articles.columns
+                                   else n).alias("y"))
 
 
 def transition_counts(df: DataFrame, y: str = "y", keys=()) -> DataFrame:
@@ -150,7 +152,16 @@ def transition_mask(policy: str, labels: tuple, observed: set | None = None) ->
 
 def _label_index(labels: tuple, y: Column) -> Column:
     lit = F.array(*[F.lit(int(v)) for v in labels])
-    return F.transform(y, lambda v: (F.array_position(lit, v) - 1).cast("int"))
+    at = lambda v: F.array_position(lit, v)
+    return F.transform(y, lambda v: F.when(at(v) > 0, (at(v) - 1).cast("int")).otherwise(
+        F.raise_error(F.lit("label unknown to the model")).cast("int")))
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    """``(i, value)``: loss (0), sequences (1) and gradient (from 2) summed in one pass over ``parts``."""
+    row = F.concat(F.array("loss", F.col("nseq").cast("double")), "grad")
+    return (parts.select(F.posexplode(row).alias("i", "value")).groupBy("i")
+            .agg(F.sum("value").alias("value")))
 
 
 # --------------------------------------------------------------------------- fit
@@ -158,11 +169,12 @@ class CRFObjective:
     """Loss and gradient of the regularised negative log-likelihood."""
 
     def __init__(self, data: DataFrame, d: int, K: int, c2: float, mask: np.ndarray,
-                 labels: tuple, segments: DataFrame | None = None, n_segments: int = 0):
+                 labels: tuple, segments: DataFrame | None = None, n_segments: int = 0,
+                 partitions: int | None = None):
         self.data, self.d, self.K, self.c2, self.mask = data, d, K, c2, mask
         self.labels = labels
         self.segments, self.n_segments = segments, n_segments
-        self.partitions = data.rdd.getNumPartitions()
+        self.partitions = partitions or data.rdd.getNumPartitions()
         self.evaluations = 0
 
     def split(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,13 +190,10 @@ class CRFObjective:
             loss = float(sum(r.loss for r in rows))
             grad = np.sum([np.asarray(r.grad) for r in rows], axis=0) if rows else np.zeros(size)
             return loss, grad, int(sum(r.nseq for r in rows))
-        tot = parts.agg(F.sum("loss").alias("loss"), F.sum("nseq").alias("nseq")).first()
-        g = (parts.select(F.posexplode("grad").alias("i", "g")).groupBy("i")
-             .agg(F.sum("g").alias("g")).collect())  # one row per weight
-        grad = np.zeros(size)
-        for r in g:
-            grad[r.i] = r.g
-        return float(tot.loss or 0.0), grad, int(tot.nseq or 0)
+        total = np.zeros(size + 2)
+        for r in _summed(parts).collect():  # one row per weight, loss and count with them
+            total[r.i] = r.value
+        return float(total[0]), total[2:], int(total[1])
 
     def data_term(self, w: np.ndarray) -> tuple[float, np.ndarray, int]:
         W, A = self.split(w)
@@ -224,12 +233,15 @@ class CRFObjective:
 
 
 def prepare_training_data(seqs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Training rows ``(article_id, n, x, y)``. Keeps the input's partitioning
-    when it is at least as wide as the cluster (large inputs); narrower
-    inputs are spread once, before the data is persisted for the rounds."""
-    from ..sources.articles import balanced
+    """Training rows ``(article_id, n, x, y)``, spread once over the cluster's cores
+    (or ``partitions``) before they are persisted: each round then runs one
+    Python task per core, however many splits the input has."""
     data = seqs.filter(F.col("n") > 0).select("article_id", "n", "x", "y")
-    return data.repartition(partitions) if partitions else balanced(data)
+    return data.repartition(training_partitions(data.sparkSession, partitions))
+
+
+def training_partitions(spark: SparkSession, partitions: int | None = None) -> int:
+    return partitions or spark.sparkContext.defaultParallelism
 
 
 def build_segments(hot: DataFrame, d: int, segment_len: int = SEGMENT_LEN) -> DataFrame:
@@ -304,7 +316,8 @@ def fit(seqs: DataFrame, feature_names: tuple, transitions: str = "all",
             segments = build_segments(hot, d, segment_len).persist(StorageLevel.MEMORY_AND_DISK)
             n_segments = segments.count()
             data = data.filter(F.col("n") <= hot_len)
-        obj = CRFObjective(data, d, K, c2, mask, labels, segments, n_segments)
+        obj = CRFObjective(data, d, K, c2, mask, labels, segments, n_segments,
+                           training_partitions(data.sparkSession, partitions))
         sv = np.ones(d * K + K * K)
         if precondition:
             sv[:d * K] = np.repeat(feature_rms(cached, d), K)  # W is (d, K) row-major
@@ -334,11 +347,9 @@ def gradient_rows(seqs: DataFrame, model: CRFModel) -> DataFrame:
     parts = data.mapInArrow(make_gradient_step(W, A, model.labels), STEP_SCHEMA)
     names = [f"{n}|{lab}" for n in model.feature_names for lab in model.labels]
     names += [f"trans|{a}|{b}" for a in model.labels for b in model.labels]
-    idx = parts.select(F.posexplode("grad").alias("i", "value")).groupBy("i").agg(F.sum("value").alias("value"))
-    name_map = F.array(*[F.lit(n) for n in names])
-    grads = idx.select(F.element_at(name_map, F.col("i") + 1).alias("param"), "value")
-    loss = parts.agg(F.sum("loss").alias("value")).select(F.lit("loss").alias("param"), "value")
-    return loss.unionByName(grads)
+    name_map = F.array(*[F.lit(n) for n in ["loss", "nseq", *names]])
+    return _summed(parts).select(F.element_at(name_map, F.col("i") + 1).alias("param"), "value").where(
+        "param <> 'nseq'")
 
 
 # ------------------------------------------------------------------------ decode

@@ -11,18 +11,22 @@ The nine named features per sentence are all Catalyst expressions:
 Lexicon lookups pick a strategy from the lexicon size (counted with a cap,
 never assumed):
 
-* ``inline``  (<= INLINE_MAX_TERMS): the terms become a hash-set literal
+* ``inline``  (<= INLINE_MAX_TERMS, as planning a literal set is slow beyond): the terms become a hash-set literal
   (``INSET``) inside the expression. Row-local, no join, no shuffle; works
   inside ``transform`` over an article's sentence array.
 * ``arrow`` (<= BROADCAST_MAX_TERMS, the automatic choice): the lexicon is
   broadcast once (size-checked) and every token of an Arrow batch is looked
   up in a per-worker pandas hash index; counts are summed per list. All
   input columns pass through: no join, no shuffle.
-* ``broadcast`` (explicit, C1/C2 as joins): tokens are exploded, matched with
-  a broadcast hash join, counted per sentence and re-attached.
+* ``broadcast`` (explicit, C1/C2 as joins; refused above BROADCAST_MAX_TERMS): tokens
+  are exploded, matched with a broadcast hash join and counted per sentence row.
 * ``salted``: shuffle join where every lexicon row is replicated SALT times
   and every token row carries a hashed salt, so a hot token (``the``) is
   spread over SALT tasks instead of one.
+
+The join forms give every sentence row a number of its own, which travels with
+its tokens, and the row's columns travel with its first token. So rows are
+never matched by ``(article_id, pos)``, which repeated articles would share.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ FEATURE_NAMES = ("position", "lead", "sent_pos", "sent_neg", "sent_subj",
 POSITION_FEATURES = FEATURE_NAMES[:2]
 LEXICON_FEATURES = FEATURE_NAMES[2:]
 
-INLINE_MAX_TERMS = 100_000
+INLINE_MAX_TERMS = 1_000
 BROADCAST_MAX_TERMS = 5_000_000
 SALT = 64
 
@@ -60,13 +64,20 @@ class FeatureContext:
     vectors: DataFrame | None = None  # (article_id, pos int, vec array<float>)
     _inline: InlineLexicons | None = field(default=None, repr=False)
     _sizes: tuple | None = field(default=None, repr=False)
+    _rows: dict = field(default_factory=dict, repr=False)
     _bc: tuple | None = field(default=None, repr=False)
 
     def sizes(self, cap: int = BROADCAST_MAX_TERMS) -> tuple[int, int]:
         """Lexicon row counts, each counted up to ``cap + 1``."""
         if self._sizes is None:
-            self._sizes = (self.bias_terms.limit(cap + 1).count(),
-                           self.subjectivity.limit(cap + 1).count())
+            sizes = []
+            for name, df in (("bias", self.bias_terms.select("term")),
+                             ("polarity", self.subjectivity.select("word", "polarity"))):
+                rows = df.limit(INLINE_MAX_TERMS + 1).collect()  # sizes and fetches a small lexicon
+                small = len(rows) <= INLINE_MAX_TERMS
+                self._rows[name] = rows if small else None
+                sizes.append(len(rows) if small else df.limit(cap + 1).count())
+            self._sizes = tuple(sizes)
         return self._sizes
 
     def strategy(self) -> str:
@@ -100,8 +111,8 @@ class FeatureContext:
             nb, ns = self.sizes()
             if max(nb, ns) > INLINE_MAX_TERMS:
                 raise ValueError("lexicon too large to inline; use the join strategy")
-            bias = tuple(sorted(r[0] for r in self.bias_terms.select("term").collect()))
-            pol = self.subjectivity.select("word", "polarity").collect()
+            bias = tuple(sorted(r[0] for r in self._rows["bias"]))
+            pol = self._rows["polarity"]
             self._inline = InlineLexicons(
                 bias=bias,
                 positive=tuple(sorted(r[0] for r in pol if r[1] == "positive")),
@@ -150,20 +161,32 @@ def _lexicon_table(ctx: FeatureContext) -> DataFrame:
 
 
 def _joined_counts(sents: DataFrame, ctx: FeatureContext, strategy: str) -> DataFrame:
-    """Per-sentence lexicon counts via a join (C1, C2); only matched tokens shuffle."""
+    """``sents`` with ``_toks`` and per-sentence lexicon counts via a join.
+
+    Equal tokens of a row are counted before the join. The row's columns go
+    with its first token only, so a sentence's text is shuffled once per
+    exchange, not once per token."""
     lex = _lexicon_table(ctx)
-    toks = sents.select("article_id", "pos",
-                        F.posexplode(tokens("sentence")).alias("tpos", "token"))
+    rows = sents.withColumn("_toks", tokens("sentence"))
+    rows = rows.select(F.monotonically_increasing_id().alias("_row"), F.struct(*rows.columns).alias("_s"))
+    toks = rows.select("_row", "_s", F.posexplode_outer(
+        F.transform(F.array_distinct("_s._toks"), lambda t: F.struct(
+            t.alias("token"),
+            F.size(F.filter("_s._toks", lambda u: u == t)).alias("times")))).alias("tpos", "tk"))
+    toks = toks.select("_row", "tk.token", "tk.times",
+                       F.when(F.coalesce("tpos", F.lit(0)) == 0, F.col("_s")).alias("_s"))
     if strategy == "broadcast":
-        matched = toks.join(F.broadcast(lex), "token")
+        if max(ctx.sizes()) > BROADCAST_MAX_TERMS:
+            raise ValueError("lexicon too large to broadcast; use the salted join")
+        matched = toks.join(F.broadcast(lex), "token", "left")
     else:
         salted_lex = lex.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        salted_tok = toks.withColumn(
-            "salt", F.pmod(F.xxhash64("article_id", "pos", "tpos"), F.lit(SALT)).cast("int"))
-        matched = salted_tok.join(salted_lex, ["token", "salt"])
-    return (matched.groupBy("article_id", "pos")
-            .agg(F.sum("is_pos").alias("_p"), F.sum("is_neg").alias("_n"),
-                 F.sum("is_bias").alias("_b")))
+        salted_tok = toks.withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(SALT)).cast("int"))
+        matched = salted_tok.join(salted_lex, ["token", "salt"], "left")
+    counts = [F.sum(F.col("times") * F.col(c)).alias(n)
+              for c, n in (("is_pos", "_p"), ("is_neg", "_n"), ("is_bias", "_b"))]
+    whole = matched.groupBy("_row").agg(F.first("_s", ignorenulls=True).alias("_s"), *counts)
+    return whole.select("_s.*", "_p", "_n", "_b")
 
 
 def _arrow_counted(df: DataFrame, ctx: FeatureContext, tokens_col: str, nested: bool) -> DataFrame:
@@ -198,9 +221,7 @@ def sentence_features(sents: DataFrame, ctx: FeatureContext | None,
     if strategy == "arrow":
         joined = _arrow_counted(sents.withColumn("_toks", tokens("sentence")), ctx, "_toks", False)
     else:
-        counts = _joined_counts(sents, ctx, strategy)
-        base = sents.withColumn("_toks", tokens("sentence"))
-        joined = base.join(counts, ["article_id", "pos"], "left")
+        joined = _joined_counts(sents, ctx, strategy)
     p = F.coalesce("_p", F.lit(0)).cast("double")
     n = F.coalesce("_n", F.lit(0)).cast("double")
     return joined.select(
@@ -255,15 +276,16 @@ def with_feature_arrays(articles: DataFrame, ctx: FeatureContext | None,
                             F.size(r["t"]).cast("double").alias("len"))
 
         return counted.withColumn(out, F.transform(z, from_counts)).drop("_tk", "_p", "_n", "_b")
-    from .sentences import explode_sentences
-    long = sentence_features(explode_sentences(articles, keep=()), ctx, use_lexicons, strategy)
-    grouped = (long.groupBy("article_id")
-               .agg(F.sort_array(F.collect_list(F.struct("pos", *names))).alias("_fs")))
-    empty = F.array().cast(f"array<struct<{','.join(n + ':double' for n in names)}>>")
-    return (articles.join(grouped, "article_id", "left")
-            .withColumn(out, F.coalesce(
-                F.transform("_fs", lambda s: F.struct(*[s[n].alias(n) for n in names])), empty))
-            .drop("_fs"))
+    # one number per article row; its columns travel with the first sentence
+    rows = articles.select(F.monotonically_increasing_id().alias("_art"), F.struct("*").alias("_a"))
+    long = rows.select("_art", "_a", F.posexplode_outer("_a.sentences").alias("pos", "sentence"))
+    long = long.withColumn("_a", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("_a")))
+    long = sentence_features(long, ctx, use_lexicons, strategy)
+    feats = F.when(F.col("pos").isNotNull(), F.struct("pos", *names))  # null for an empty article
+    grouped = long.groupBy("_art").agg(F.first("_a", ignorenulls=True).alias("_a"),
+                                       F.sort_array(F.collect_list(feats)).alias("_fs"))
+    return grouped.select("_a.*", F.transform(
+        "_fs", lambda s: F.struct(*[s[n].alias(n) for n in names])).alias(out))
 
 
 def rule_predictions(feats: Column, feature: str, above: float = 0.0) -> Column:

@@ -19,20 +19,25 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
-BROADCAST_MAX_ROWS = 1_000_000   # vector tables up to this many rows may be broadcast
+BROADCAST_MAX_BYTES = 64 << 20   # vector tables up to this size may be broadcast
 DEFAULT_PCA_DIM = 50             # fixed value of the reference's experiment config
 
 
 # ------------------------------------------------------------------ lookup
 def article_matrices(vectors: DataFrame, vec: str = "vec") -> DataFrame:
-    """``(article_id, vrows array<array<double>>)``; rows must be dense 0..m-1."""
+    """``(article_id, vrows array<array<double>>)``; positions must be 0..m-1.
+
+    A repeated ``(article_id, pos)`` needs an ``ordinal`` column: the row with the
+    largest one wins (E2). Without it, or with a gap, the job fails."""
+    if "ordinal" in vectors.columns:
+        vectors = vectors.groupBy("article_id", "pos").agg(F.max_by(vec, "ordinal").alias(vec))
     g = vectors.groupBy("article_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("pos").alias("p"),
-                                             F.col(vec).cast("array<double>").alias("v")))).alias("_rows"),
-        F.max("pos").alias("_maxpos"), F.count(F.lit(1)).alias("_m"))
-    g = g.filter(F.when(g["_maxpos"] != g["_m"] - 1,
-                        F.raise_error(F.lit("vector rows of an article must be unique and dense from pos 0")))
-                 .otherwise(F.lit(True)))
+                                             F.col(vec).cast("array<double>").alias("v")))).alias("_rows"))
+    dense = F.transform("_rows", lambda r: r["p"].cast("int")) == F.sequence(
+        F.lit(0), F.size("_rows") - 1)
+    g = g.filter(F.when(~dense, F.raise_error(
+        F.lit("vector rows of an article must be unique and dense from pos 0"))).otherwise(F.lit(True)))
     return g.select("article_id", F.transform("_rows", lambda r: r["v"]).alias("vrows"))
 
 
@@ -47,23 +52,31 @@ def attach_vectors(articles: DataFrame, matrices: DataFrame, out: str = "vecs",
     return j.withColumn(out, F.when(F.col("vrows").isNull(), F.lit(None)).otherwise(vecs)).drop("vrows")
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after counting (with a cap) that ``df`` is small."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def checked_broadcast(df: DataFrame, vec: str, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only after counting (with a cap) that ``df``'s vectors are small."""
+    first = df.select(F.size(vec)).first()
+    most = max_bytes // (8 * max(1, (first[0] if first else 0) or 1) + 32)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def testdata_vectors(spark: SparkSession, sf_dir: str, rows_per_article: int = 5,
-                     modulus: int = 500) -> DataFrame:
-    """Sentence vectors for the documents table (FIXTURES.md section 3):
-    ``vec_id = (doc_id * 31 + pos) % modulus`` for ``pos < rows_per_article``,
-    only for ``doc_id % 3 <> 0`` (so both R10 cases occur)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+def testdata_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for every sentence of the documents table, from the whole
+    ``embeddings`` table (FIXTURES.md section 3): vector ``(doc_id * 31 + pos)``
+    modulo the number of vector ids. For R10, 1/16 of the articles (by hash)
+    have no vectors and another 1/16 lack their last sentence's."""
+    from ..functions.text import split_sentences
+    from ..sources.articles import hash_bucket
     emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    keys = (docs.filter(F.pmod("doc_id", F.lit(3)) != 0)
-            .select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("article_id"),
-                    "doc_id", F.explode(F.sequence(F.lit(0), F.lit(rows_per_article - 1))).alias("pos"))
-            .withColumn("vec_id", F.pmod(F.col("doc_id") * 31 + F.col("pos"), F.lit(modulus))))
-    return (keys.join(checked_broadcast(emb), "vec_id")
+    ids = (emb.agg(F.max("vec_id")).first()[0] or 0) + 1
+    bucket = hash_bucket(F.col("doc_id"), 16, "vectors")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        "doc_id", F.coalesce(F.size(split_sentences("text")), F.lit(0)).alias("n"), bucket.alias("b"))
+    last = F.col("n") - F.when(F.col("b") == 1, 2).otherwise(1)
+    keys = (docs.filter((F.col("b") != 0))
+            .select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("article_id"), "doc_id",
+                    F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("pos"))
+            .withColumn("vec_id", F.pmod(F.col("doc_id") * 31 + F.col("pos"), F.lit(ids))))
+    return (keys.join(checked_broadcast(emb, "embedding"), "vec_id")
             .select("article_id", "pos", F.col("embedding").alias("vec")))
 
 

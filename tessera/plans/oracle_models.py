@@ -103,12 +103,16 @@ UNION ALL {_TRANS_ROWS}"""
 
 ORACLE["embed_lookup"] = _with(ARTS, SENTS) + """
 SELECT s.article_id, s.pos,
-       CASE WHEN s.doc_id % 3 <> 0 THEN 1 ELSE 0 END AS has_vec,
-       CASE WHEN s.doc_id % 3 = 0 THEN NULL WHEN s.pos < 5 THEN CAST(e.embedding[1] AS DOUBLE) ELSE 0.0 END AS v_first,
-       CASE WHEN s.doc_id % 3 = 0 THEN NULL WHEN s.pos < 5 THEN CAST(list_max(e.embedding) AS DOUBLE) ELSE 0.0 END AS v_max,
-       CASE WHEN s.doc_id % 3 = 0 THEN NULL WHEN s.pos < 5 THEN CAST(list_min(e.embedding) AS DOUBLE) ELSE 0.0 END AS v_min
-FROM (SELECT article_id, pos, CAST(substr(article_id, 5) AS BIGINT) AS doc_id FROM sents) s
-LEFT JOIN embeddings e ON e.vec_id = (s.doc_id * 31 + s.pos) % 500"""
+       CASE WHEN none THEN 0 ELSE 1 END AS has_vec,
+       CASE WHEN none THEN NULL WHEN padded THEN 0.0 ELSE CAST(e.embedding[1] AS DOUBLE) END AS v_first,
+       CASE WHEN none THEN NULL WHEN padded THEN 0.0 ELSE CAST(list_max(e.embedding) AS DOUBLE) END AS v_max,
+       CASE WHEN none THEN NULL WHEN padded THEN 0.0 ELSE CAST(list_min(e.embedding) AS DOUBLE) END AS v_min
+FROM (SELECT *, b = 0 OR (b = 1 AND n = 1) AS none, b = 1 AND pos = n - 1 AS padded
+      FROM (SELECT article_id, pos, CAST(substr(article_id, 5) AS BIGINT) AS doc_id,
+                   ('0x' || substr(md5('vectors|' || substr(article_id, 5)), 1, 8))::BIGINT % 16 AS b,
+                   count(*) OVER (PARTITION BY article_id) AS n
+            FROM sents)) s
+LEFT JOIN embeddings e ON e.vec_id = (s.doc_id * 31 + s.pos) % (SELECT max(vec_id) + 1 FROM embeddings)"""
 
 ORACLE["pool_mean"] = """
 SELECT label, CAST(dim AS INTEGER) AS dim, round(sum(CAST(v AS DOUBLE)) / greatest(count(*), 1), 6) AS value
