@@ -18,11 +18,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer, Word2Vec
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import any_positive, argmax
-from ..functions.text import TOKEN_PATTERN
+from ..functions.text import DEFAULT_DOMAIN, TOKEN_PATTERN
+from ..schemas import METRICS_SCHEMA, counted
+from ..sources import sinks
 from . import metrics as M
 
 def article_text_frame(articles: DataFrame) -> DataFrame:
@@ -52,10 +54,10 @@ def _featurizer(variant: str, num_features: int = 1 << 18, seed: int = 42,
 DEFAULT_CANDIDATES = ((0.0, 20), (0.01, 20), (0.1, 20))
 
 
-def predict(model: PipelineModel, frame: DataFrame) -> DataFrame:
-    """H8: ``(article_id, y_true, y_pred)``; y_pred = arg-max of raw scores."""
+def predict(model: PipelineModel, frame: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """H8: ``(article_id, *keep, y_true, y_pred)``; y_pred = arg-max of raw scores."""
     out = model.transform(frame)
-    return out.select("article_id", F.col("label").cast("int").alias("y_true"),
+    return out.select("article_id", *keep, F.col("label").cast("int").alias("y_true"),
                       argmax(vector_to_array("rawPrediction")).alias("y_pred"))
 
 
@@ -68,11 +70,14 @@ def fit_with_validation(train: DataFrame, val: DataFrame, variant: str = "tfidf_
     feat = _featurizer(variant, max_len=max_len).fit(train)  # tokenise/TF/IDF fitted once for all candidates
     tr = feat.transform(train).select("article_id", "label", "features").cache()
     va = feat.transform(val).select("article_id", "label", "features").cache()
+    n_train, n_train_pos = tr.agg(F.count("*"), F.sum("label").cast("bigint")).first()
+
     def fit_one(i, reg, iters):
         lr = LogisticRegression(featuresCol="features", labelCol="label",
                                 regParam=reg, maxIter=iters).fit(tr)
         m = M.global_binary_metrics(predict(lr, va)).first()
-        return (i, variant, float(reg), int(iters), float(m.f1), m.accuracy), lr
+        return (i, variant, float(reg), int(iters), float(m.f1), m.accuracy, m.n, m.tp + m.fn,
+                n_train, n_train_pos), lr
 
     from concurrent.futures import ThreadPoolExecutor
     try:
@@ -86,7 +91,8 @@ def fit_with_validation(train: DataFrame, val: DataFrame, variant: str = "tfidf_
         tr.unpersist()
         va.unpersist()
     table = spark.createDataFrame(
-        rows, "candidate int, variant string, reg_param double, max_iter int, val_f1 double, val_accuracy double")
+        rows, "candidate int, variant string, reg_param double, max_iter int, val_f1 double, val_accuracy double, "
+              "n_val bigint, n_val_pos bigint, n_train bigint, n_train_pos bigint")
     best = max(rows, key=lambda r: (r[4], -r[0]))[0]
     return PipelineModel(stages=list(feat.stages) + [models[best]]), table
 
@@ -136,3 +142,73 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+# ------------------------------------------------------------------ runs
+def _split(frame: DataFrame, name: str) -> DataFrame:
+    return frame.filter(F.col("split") == name)
+
+
+def run_train(spark: SparkSession, articles: DataFrame, out_dir: str, variant: str = "tfidf_lr",
+              domain: str = DEFAULT_DOMAIN, candidates: Sequence[tuple] = DEFAULT_CANDIDATES) -> PipelineModel:
+    """H7 as a run: fit the candidates, keep the best on val, record its row, save it."""
+    frame = article_text_frame(articles)
+    model, _ = fit_with_validation(_split(frame, "train"), _split(frame, "val"), variant, candidates)
+    m = M.global_binary_metrics(predict(model, _split(frame, "val")))
+    sinks.dump_result_row(sinks.metrics_row(m, variant, domain, "val", "validation", counts=True), out_dir)
+    save_model(model, f"{out_dir}/model/classifier")
+    return model
+
+
+def run_eval(spark: SparkSession, articles: DataFrame, model_dir: str, out_dir: str, variant: str = "tfidf_lr",
+             domain: str = DEFAULT_DOMAIN) -> DataFrame:
+    """H8 as a run: load, predict test once, record its row, write the prediction file."""
+    model = load_model(f"{model_dir}/model/classifier")
+    pred = predict(model, _split(article_text_frame(articles), "test"))
+    sinks.write_predictions(pred, out_dir, f"{variant}_preds")
+    pred = spark.read.parquet(f"{out_dir}/{variant}_preds")
+    m = M.global_binary_metrics(pred)
+    sinks.dump_result_row(sinks.metrics_row(m, variant, domain, "test", "test", counts=True), out_dir)
+    return pred
+
+
+def cross_domain(spark: SparkSession, articles: DataFrame, domains: Sequence[str], variant: str = "tfidf_lr",
+                 reg: float = 0.01, iters: int = 20) -> DataFrame:
+    """H11 with the classifier: fit on all of A (X6), test on all of every other domain.
+
+    A null domain is a domain. One pass scores all test domains of a fit."""
+    frame = article_text_frame(articles).persist()
+    rows = []
+    try:
+        for a in domains:
+            own = F.col("domain").eqNullSafe(F.lit(a))
+            feat = _featurizer(variant).fit(frame.filter(own))
+            lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=reg, maxIter=iters)
+            model = PipelineModel(stages=[*feat.stages, lr.fit(feat.transform(frame.filter(own)))])
+            listed = F.coalesce(F.col("domain").isin([d for d in domains if d is not None]), F.lit(None in domains))
+            scored = predict(model, frame.filter(~own & listed), keep=("domain",))
+            for r in M.binary_metrics(scored, "y_true", "y_pred", keys=["domain"]).collect():
+                rows.append((variant, "cross", "test", r.accuracy, r.precision, r.recall, r.f1,
+                             f"{a}->{r.domain}", r.n, r.tp + r.fn))
+    finally:
+        frame.unpersist()
+    return spark.createDataFrame(rows, counted(METRICS_SCHEMA))
+
+
+def learning_curve(spark: SparkSession, articles: DataFrame, pcts=(25.0, 50.0, 100.0), variant: str = "tfidf_lr",
+                   reg: float = 0.01, iters: int = 20) -> DataFrame:
+    """H9 with the classifier: refit on nested training samples, F1 on the full test split."""
+    from ..sources.articles import hash_bucket
+    frame = article_text_frame(articles).persist()
+    rows = []
+    try:
+        for pct in pcts:
+            tr = _split(frame, "train").filter(hash_bucket(F.col("article_id"), 100, "curve") < F.lit(pct))
+            feat = _featurizer(variant).fit(tr)
+            lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=reg, maxIter=iters)
+            model = PipelineModel(stages=[*feat.stages, lr.fit(feat.transform(tr))])
+            m = M.global_binary_metrics(predict(model, _split(frame, "test"))).first()
+            rows.append((variant, float(pct), float(m.f1), m.n, m.tp + m.fn))
+    finally:
+        frame.unpersist()
+    return spark.createDataFrame(rows, "model string, train_pct double, f1 double, n bigint, n_pos bigint")

@@ -22,6 +22,7 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import lbfgs
 from .sentences import checked_length
@@ -107,6 +108,16 @@ def sequences(articles: DataFrame, feature_names: tuple, feats: str = "feats",
     ``emb`` (optional) is an ``array<array<double>>`` aligned with the
     sentences whose rows are appended to the named features.
     """
+    # the sentence count equals size(feats) and is cheap: a filter on ``n``
+    # that Catalyst pushes towards the scan does not re-run the features
+    n = F.size("sentences") if "sentences" in articles.columns else F.size(feats)
+    return articles.select("article_id", n.alias("n"), sequence_values(feature_names, feats, emb).alias("x"),
+                           F.slice(labels, 1, checked_length(labels=labels) if "sentences" in articles.columns
+                                   else n).alias("y"))
+
+
+def sequence_values(feature_names: tuple, feats: str = "feats", emb: str | None = None) -> Column:
+    """Row-major feature values of an article row."""
     plain = [n for n in feature_names if not n.startswith("emb")]
     named = lambda f: [f[n].cast("double") for n in plain]
     if emb is None:
@@ -114,12 +125,7 @@ def sequences(articles: DataFrame, feature_names: tuple, feats: str = "feats",
     else:
         rows = F.transform(F.arrays_zip(F.col(feats).alias("f"), F.col(emb).alias("e")),
                            lambda z: F.concat(F.array(*named(z["f"])), z["e"]))
-    # the sentence count equals size(feats) and is cheap: a filter on ``n``
-    # that Catalyst pushes towards the scan does not re-run the features
-    n = F.size("sentences") if "sentences" in articles.columns else F.size(feats)
-    return articles.select("article_id", n.alias("n"), F.flatten(rows).alias("x"),
-                           F.slice(labels, 1, checked_length(labels=labels) if "sentences" in articles.columns
-                                   else n).alias("y"))
+    return F.flatten(rows)
 
 
 def transition_counts(df: DataFrame, y: str = "y", keys=()) -> DataFrame:
@@ -414,6 +420,22 @@ def decode_in_arrow(seqs: DataFrame, model: CRFModel) -> DataFrame:
     return out.select("article_id", F.transform("path", lambda i: F.element_at(lab, i + 1)).alias("path"))
 
 
+def decode_rows(fa: DataFrame, model: CRFModel, emb: str | None = None, out: str = "pred") -> DataFrame:
+    """H2 on featurised article rows in one pass: all columns but the features pass
+    through the numpy kernel, which adds the path in label values as ``out``.
+
+    Linear in the article's length and the same for every length and number of
+    labels, so nothing is split off, joined back or scanned twice."""
+    keep = [f for f in fa.schema.fields if f.name not in ("feats", "emb")]
+    names = [f.name for f in keep]
+    staged = fa.select(*names, F.size("feats").alias("_n"), sequence_values(model.feature_names, emb=emb).alias("_x"))
+    run = make_sequence_scorer(model.W, model.A * model.trans_mask, "viterbi", tuple(names), "_n", "_x")
+    schema = T.StructType([*keep, T.StructField("path", T.ArrayType(T.IntegerType()))])
+    lab = F.array(*[F.lit(int(v)) for v in model.labels])
+    return staged.mapInArrow(run, schema).select(
+        *names, F.transform("path", lambda i: F.element_at(lab, i + 1)).alias(out))
+
+
 def decode_segmented(seqs: DataFrame, model: CRFModel, segment_len: int = SEGMENT_LEN) -> DataFrame:
     """H2 for very long articles, segment-parallel: max-plus transfer matrix
     per segment, a per-article scan fixing the best label at every segment

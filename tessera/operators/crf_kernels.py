@@ -241,8 +241,10 @@ def make_gradient_step(W: np.ndarray, A: np.ndarray, labels=None):
     return step
 
 
-def make_sequence_scorer(W: np.ndarray, A: np.ndarray, mode: str):
-    """Arrow batches -> per sequence ``nll`` (mode 'nll') or ``path`` (mode 'viterbi')."""
+def make_sequence_scorer(W: np.ndarray, A: np.ndarray, mode: str, keep=("article_id",), n="n", x="x"):
+    """Arrow batches -> per sequence ``nll`` (mode 'nll') or ``path`` (mode 'viterbi').
+
+    The columns in ``keep`` pass through; ``n`` and ``x`` name the sequence."""
     d, K = W.shape
 
     def run(batches):
@@ -251,9 +253,9 @@ def make_sequence_scorer(W: np.ndarray, A: np.ndarray, mode: str):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            ids = batch.column("article_id")
-            lengths = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
-            xs = _flat(batch.column("x")).astype(np.float64)
+            kept = [batch.column(c) for c in keep]
+            lengths = batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64)
+            xs = _flat(batch.column(x)).astype(np.float64)
             xo = _offsets(lengths, d)
             yo = _offsets(lengths, 1)
             if mode == "nll":
@@ -274,11 +276,11 @@ def make_sequence_scorer(W: np.ndarray, A: np.ndarray, mode: str):
                     dest = yo[idx][:, None] + np.arange(M.shape[1])[None, :]
                     out[dest[M]] = paths[M]
             if mode == "nll":
-                yield pa.RecordBatch.from_pydict({"article_id": ids, "nll": pa.array(out, pa.float64())})
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.float64())], names=[*keep, "nll"])
             else:
                 offs = np.concatenate([yo, [int(lengths.sum())]]).astype(np.int32)
                 paths = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(out, pa.int32()))
-                yield pa.RecordBatch.from_arrays([ids, paths], names=["article_id", "path"])
+                yield pa.RecordBatch.from_arrays([*kept, paths], names=[*keep, "path"])
 
     return run
 

@@ -12,12 +12,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import tokens
+from .vector_kernels import make_moments, make_projector
 
 BROADCAST_MAX_BYTES = 64 << 20   # vector tables up to this size may be broadcast
 DEFAULT_PCA_DIM = 50             # fixed value of the reference's experiment config
@@ -100,30 +100,39 @@ def pool_first(df: DataFrame, keys: list[str], vec: str, order: str) -> DataFram
 
 # ------------------------------------------------------------------ PCA
 class PCAProjection:
-    """Centred PCA fitted with Spark ML (mean-centring scaler + PCA)."""
+    """Centred PCA: mean (d,), components (k, d) with orthonormal rows, variance shares."""
 
-    def __init__(self, scaler_model, pca_model):
-        self.scaler_model, self.pca_model = scaler_model, pca_model
-        self.mean = scaler_model.mean.toArray()               # (d,)
-        self.components = pca_model.pc.toArray().T           # (k, d)
-        self.explained = pca_model.explainedVariance.toArray()
-        self.offset = self.components @ self.mean             # (k,)
+    def __init__(self, mean: np.ndarray, components: np.ndarray, variances: np.ndarray, total: float):
+        self.mean, self.components, self.variances, self.total = mean, components, variances, total
+        self.explained = variances / total if total > 0 else np.zeros(len(variances))
+        self.offset = components @ mean                       # (k,)
 
     @property
     def k(self) -> int:
         return self.components.shape[0]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        row = (self.mean.tolist(), self.components.tolist(), self.variances.tolist(), float(self.total))
+        spark.createDataFrame([row], "mean array<double>, components array<array<double>>, "
+                                     "variances array<double>, total double") \
+            .coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> PCAProjection:
+        r = spark.read.parquet(path).first()
+        return cls(np.array(r.mean), np.array(r.components), np.array(r.variances), r.total)
+
     def zero_projection(self) -> Column:
         """Scores of an all-zero vector, ``-(mean . c_j)``, as a literal."""
         return F.array(*[F.lit(float(-o)) for o in self.offset])
 
     def transform_long(self, vectors: DataFrame, vec: str = "vec", out: str = "vec") -> DataFrame:
-        """Project long vector rows with the fitted models (JVM, BLAS); row-local."""
-        keep = [c for c in vectors.columns if c != vec]
-        v = vectors.withColumn("_v", array_to_vector(F.col(vec).cast("array<double>")))
-        v = self.scaler_model.setInputCol("_v").setOutputCol("_c").transform(v)
-        v = self.pca_model.setInputCol("_c").setOutputCol("_p").transform(v)
-        return v.select(*keep, vector_to_array("_p").alias(out))
+        """Project long vector rows, a matrix product per Arrow batch; row-local."""
+        keep = [f for f in vectors.schema.fields if f.name != vec]
+        names = [f.name for f in keep]
+        schema = T.StructType([*keep, T.StructField(out, T.ArrayType(T.DoubleType()))])
+        return vectors.select(*names, F.col(vec).cast("array<double>").alias(vec)).mapInArrow(
+            make_projector(self.components, self.mean, names, vec, out), schema)
 
     def project(self, v: Column) -> Column:
         """Scores of one ``array<double>`` as a Catalyst expression (small inputs)."""
@@ -133,24 +142,52 @@ class PCAProjection:
             - F.lit(float(off)) for c, off in zip(comps, self.offset)])
 
 
-def fit_pca(vectors: DataFrame, vec: str = "vec", k: int = DEFAULT_PCA_DIM) -> PCAProjection | None:
-    """k = min(k, width); fitted on the rows given (the training sentences
-    that have vectors); None when there are none. Covariance is a distributed
-    tree aggregate inside Spark ML; only the k x d result reaches the driver."""
-    rows = vectors.filter(F.col(vec).isNotNull()).select(array_to_vector(F.col(vec).cast("array<double>")).alias("v"))
-    first = rows.select(F.size(vector_to_array("v")).alias("d")).first()
-    if first is None:
+def vector_moments(vectors: DataFrame, vec: str = "vec", zero_rows: int = 0):
+    """(rows, mean, covariance) in one pass: each partition sends its count, sum and sum of
+    outer products. ``zero_rows`` all-zero vectors count as rows."""
+    parts = vectors.select(F.col(vec).cast("array<double>").alias("v")).mapInArrow(
+        make_moments("v"), "m array<double>")
+    got = (parts.select(F.posexplode("m").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect())
+    if not got:
+        return 0, None, None
+    m = np.zeros(len(got))
+    for r in got:  # d * d + d + 1 numbers
+        m[r.i] = r.x
+    d = int(round((np.sqrt(4 * len(m) - 3) - 1) / 2))
+    n = int(m[0]) + zero_rows
+    mean = m[1:1 + d] / n
+    cov = (m[1 + d:].reshape(d, d) - n * np.outer(mean, mean)) / max(n - 1, 1)
+    return n, mean, cov
+
+
+def fit_pca(vectors: DataFrame, vec: str = "vec", k: int = DEFAULT_PCA_DIM,
+            zero_rows: int = 0) -> PCAProjection | None:
+    """k = min(k, width); fitted on the rows given; None when there are none.
+    Only the width x width covariance reaches the driver."""
+    n, mean, cov = vector_moments(vectors.filter(F.col(vec).isNotNull()), vec, zero_rows)
+    if not n:
         return None
-    k = min(k, int(first.d))
-    scaler = StandardScaler(inputCol="v", outputCol="c", withMean=True, withStd=False).fit(rows)
-    pca = PCA(k=k, inputCol="c", outputCol="p").fit(scaler.transform(rows))
-    return PCAProjection(scaler, pca)
+    values, comps = np.linalg.eigh(cov)
+    order = np.argsort(values)[::-1][:min(k, len(mean))]
+    return PCAProjection(mean, comps[:, order].T, np.maximum(values[order], 0.0), float(np.trace(cov)))
+
 
+def training_rows(articles: DataFrame, vectors: DataFrame) -> tuple[DataFrame, int]:
+    """(vector rows of the articles' sentences, how many of their sentences have none).
 
-def training_sentence_vectors(articles_with_vecs: DataFrame, vecs: str = "vecs") -> DataFrame:
-    """Sentence rows ``(vec)`` of articles that have vectors (zero rows included)."""
-    return (articles_with_vecs.filter(F.col(vecs).isNotNull())
-            .select(F.explode(vecs).alias("vec")))
+    Articles without any vector don't count (R10). Only ids, sentence counts and
+    vectors are joined; no sentence text crosses an exchange."""
+    n = articles.select("article_id", F.size("sentences").alias("n"))
+    rows = vectors.select("article_id", "pos", "vec").join(n, "article_id").where("pos < n")
+    have = n.join(vectors.select("article_id").distinct(), "article_id", "left_semi")
+    total = have.agg(F.sum("n")).first()[0] or 0
+    return rows, total - rows.count()
+
+
+def fit_pca_articles(articles: DataFrame, vectors: DataFrame, k: int = DEFAULT_PCA_DIM) -> PCAProjection | None:
+    """D9 on the sentences of ``articles`` that have vectors (missing rows are zero vectors)."""
+    rows, zeros = training_rows(articles, vectors)
+    return fit_pca(rows, k=k, zero_rows=zeros)
 
 
 def embedding_features(articles: DataFrame, vectors: DataFrame, proj: PCAProjection | None,
@@ -170,21 +207,20 @@ def embedding_features(articles: DataFrame, vectors: DataFrame, proj: PCAProject
 # ------------------------------------------------------------------ encoder
 def encode_sentences(sentences: DataFrame, text: str = "sentence", dim: int = 64,
                      pool: str = "mean", out: str = "vec") -> DataFrame:
-    """H10 default encoder: hashed one-hot token vectors (Spark ML HashingTF,
-    JVM) pooled by ``mean`` (masked mean, denominator at least 1, D7) or
-    ``cls`` (first token, D8). Row-local."""
-    from pyspark.ml.feature import HashingTF
-
+    """H10 default encoder: one-hot token vectors hashed by md5 (the same
+    bucket in any engine), pooled by ``mean`` (masked mean, denominator at
+    least 1, D7) or ``cls`` (first token, D8). Row-local, JVM only."""
     toks = tokens(text)
     if pool == "cls":
         toks = F.slice(toks, 1, 1)
     elif pool != "mean":
         raise ValueError(f"unknown pooling {pool!r}")
-    staged = sentences.withColumn("_t", toks)
-    tf = HashingTF(inputCol="_t", outputCol="_h", numFeatures=dim).transform(staged)
-    n = F.greatest(F.size("_t"), F.lit(1)).cast("double")
-    return (tf.withColumn(out, F.transform(vector_to_array("_h"), lambda x: x / n))
-            .drop("_t", "_h"))
+    bucket = lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
+    staged = sentences.withColumn("_b", F.transform(toks, bucket))
+    n = F.greatest(F.size("_b"), F.lit(1)).cast("double")
+    return staged.withColumn(out, F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)),
+        lambda d: F.size(F.filter("_b", lambda b: b == d)) / n)).drop("_b")
 
 
 def encode_in_arrow(sentences: DataFrame, encoder: Callable, dim: int,

@@ -44,6 +44,27 @@ def q_articles(spark, sf):
                     F.array_join("subtypes", ",").alias("subtypes"))
 
 
+@query("articles_jsonl")
+def q_articles_jsonl(spark, sf):
+    """A8, then A1 with B2 and B3: articles written as JSON lines with labels as text or
+    booleans, some without domain or split, and read back."""
+    from ..session import shared_path
+    from ..sources.articles import hash_bucket, read_articles_jsonl
+    from ..sources.sinks import write_jsonl
+    a = testdata_articles(spark, sf)
+    b = hash_bucket(F.col("article_id"), 8, "json")
+    text = F.transform("sentence_labels", lambda x, i: F.when(i % 2 == 0, x.cast("string")).otherwise(
+        (x == 1).cast("string")))
+    path = shared_path(spark, "articles-json")
+    write_jsonl(a.select("article_id", F.when(b != 0, F.col("domain")).alias("domain"),
+                         F.when((b != 1) | (F.col("split") != "train"), F.col("split")).alias("split"),
+                         "sentences", text.alias("sentence_labels"), "subtypes"), path)
+    a = read_articles_jsonl(spark, path)
+    return a.select("article_id", "domain", "split", F.size("sentences").alias("n_sentences"),
+                    _int_list_text(F.col("sentence_labels")).alias("labels"),
+                    F.array_join("subtypes", ",").alias("subtypes"))
+
+
 @query("sentences")
 def q_sentences(spark, sf):
     return explode_sentences(testdata_articles(spark, sf))
@@ -218,9 +239,13 @@ def q_mcnemar(spark, sf):
     # are computed once and the test does not depend on recomputation
     from ..session import shared_path
     path = shared_path(spark, "predictions")
-    s.select("article_id", "y_true", "y_pred_a", "y_pred_b").write.mode("overwrite").parquet(path)
-    both = spark.read.parquet(path)
-    r = M.mcnemar(rule_prediction_table(both, "a"), rule_prediction_table(both, "b"))
+    from ..sources.results import read_predictions
+    from ..sources.sinks import write_predictions
+    s.select("article_id", "y_true", "y_pred_a", "y_pred_b").write.parquet(f"{path}/scored")
+    both = spark.read.parquet(f"{path}/scored")
+    for which in "ab":
+        write_predictions(rule_prediction_table(both, which), path, f"{which}_preds")
+    r = M.mcnemar(read_predictions(spark, f"{path}/a_preds"), read_predictions(spark, f"{path}/b_preds"))
     return r.select("n_pairs", "n01", "n10", F.round("statistic", 6).alias("statistic"),
                     F.round("p_value", 6).alias("p_value"))
 

@@ -32,11 +32,16 @@ def fixed_crf():
 
 @query("label_transitions")
 def q_label_transitions(spark, sf):
-    """E1/H3 on the training split, with the weight each policy keeps."""
+    """Training counts of all label pairs and whether each policy gives the
+    pair a weight, from ``transition_mask``."""
     s = scored_articles(spark, sf).filter(F.col("split") == "train")
-    c = crf.transition_counts(s, "sentence_labels")
-    return c.select("prev_label", "label", "n",
-                    F.lit(True).alias("weight_all"), (F.col("n") > 0).alias("weight_observed"))
+    seen = {(r.prev_label, r.label): r.n for r in crf.transition_counts(s, "sentence_labels").collect()}
+    labels = (0, 1)
+    masks = [crf.transition_mask(p, labels, set(seen)) for p in ("all", "observed", "none")]
+    rows = [(a, b, seen.get((a, b), 0), *[bool(m[i, j]) for m in masks])
+            for i, a in enumerate(labels) for j, b in enumerate(labels)]
+    return spark.createDataFrame(rows, "prev_label int, label int, n bigint, weight_all boolean, "
+                                       "weight_observed boolean, weight_none boolean")
 
 
 @query("crf_emissions")
@@ -57,17 +62,27 @@ def q_crf_decode(spark, sf):
                     F.coalesce(F.exists("path", lambda x: x == 1), F.lit(False)).cast("int").alias("y_pred"))
 
 
+def _paths(decoded):
+    return decoded.select(
+        "article_id", F.array_join(F.transform("pred", lambda x: x.cast("string")), ",").alias("path"),
+        F.coalesce(F.exists("pred", lambda x: x == 1), F.lit(False)).cast("int").alias("y_pred"))
+
+
 @query("crf_decode_arrow")
 def q_crf_decode_arrow(spark, sf):
-    """Same decode through the vectorised numpy kernel (for very long articles)."""
-    m = fixed_crf()
-    s = scored_articles(spark, sf)
-    seqs = crf.sequences(s, FEATURE_NAMES)
-    p = s.select("article_id").join(crf.decode_in_arrow(seqs, m), "article_id", "left")
-    path = F.coalesce("path", F.array().cast("array<int>"))
-    return p.select("article_id",
-                    F.array_join(F.transform(path, lambda x: x.cast("string")), ",").alias("path"),
-                    F.coalesce(F.exists(path, lambda x: x == 1), F.lit(False)).cast("int").alias("y_pred"))
+    """Same decode through the vectorised numpy kernel, one pass."""
+    s = scored_articles(spark, sf).select("article_id", "feats")
+    return _paths(crf.decode_rows(s, fixed_crf()))
+
+
+@query("crf_predict")
+def q_crf_predict(spark, sf):
+    """H2 the way runs use it: ``predict`` with a model of fixed weights."""
+    from ..sources.articles import testdata_articles
+    from .common import feature_context
+    from .experiments import CRFConfig, CRFRun, predict
+    run = CRFRun(fixed_crf(), None, CRFConfig(use_vectors=False))
+    return _paths(predict(run, testdata_articles(spark, sf), feature_context(spark)))
 
 
 @query("crf_loglik")
@@ -89,11 +104,33 @@ def q_crf_grad0(spark, sf):
 
 @query("crf_fit")
 def q_crf_fit(spark, sf):
-    """H1 + H5: fit on train (full 50 rounds), weights as a table."""
-    s = scored_articles(spark, sf)
-    seqs = crf.sequences(s.filter(F.col("split") == "train"), FEATURE_NAMES)
-    model = crf.fit(seqs, FEATURE_NAMES)
-    return model.weights_frame(spark)
+    """H1 + H5: fit on train (full 50 rounds). For every state weight: what the data
+    has of it (feature sum over sentences with the label), and that the fit left
+    the gradient small against that sum, as the one optimum asks for."""
+    s = scored_articles(spark, sf).filter(F.col("split") == "train")
+    seqs = crf.sequences(s, FEATURE_NAMES).persist()
+    try:
+        model = crf.fit(seqs, FEATURE_NAMES)
+        grad = {r.param: r.value for r in crf.gradient_rows(seqs, model).collect()}
+        seen = (seqs.select(F.explode("y").alias("label"), F.lit(1).alias("one"))
+                .groupBy("label").agg(F.sum("one").alias("n")).collect())
+        z = seqs.select(F.posexplode("x").alias("i", "v"), "y")
+        d = len(FEATURE_NAMES)
+        sums = (z.groupBy((F.col("i") % d).alias("j"), F.get("y", (F.col("i") / d).cast("int")).alias("label"))
+                .agg(F.sum("v").alias("s")).collect())
+    finally:
+        seqs.unpersist()
+    data = {(FEATURE_NAMES[r.j], r.label): r.s for r in sums}
+    n = {r.label: r.n for r in seen}
+    rows = []
+    for j, name in enumerate(FEATURE_NAMES):
+        for k, lab in enumerate(model.labels):
+            w = float(model.W[j, k])
+            left = abs(grad[f"{name}|{lab}"] + 2 * model.c2 * w)
+            size = max(1.0, max(abs(data.get((name, x), 0.0)) for x in model.labels))
+            rows.append((name, int(lab), int(n[lab]), float(data.get((name, lab), 0.0)), bool(left <= 0.05 * size)))
+    return spark.createDataFrame(rows, "feature string, label int, n_sentences bigint, data_sum double, "
+                                       "near_optimum boolean")
 
 
 # ----------------------------------------------------------------- vectors
@@ -144,49 +181,74 @@ def q_argmax_label(spark, sf):
 
 
 def _fitted_pca(spark, sf):
-    from ..operators.vectors import fit_pca, training_sentence_vectors
-    a = _articles_with_vectors(spark, sf)
-    train = training_sentence_vectors(a.filter(F.col("split") == "train"))
-    return a, fit_pca(train)
+    from ..operators.vectors import fit_pca_articles, testdata_vectors
+    from ..sources.articles import testdata_articles
+    arts, vecs = testdata_articles(spark, sf), testdata_vectors(spark, sf)
+    return arts, vecs, fit_pca_articles(arts.filter(F.col("split") == "train"), vecs)
 
 
 @query("pca_fit")
 def q_pca_fit(spark, sf):
-    """Explained variance per component (k = min(50, width))."""
-    _, proj = _fitted_pca(spark, sf)
-    rows = [(i, float(v)) for i, v in enumerate(proj.explained)]
-    return spark.createDataFrame(rows, "component int, explained_variance double").select(
-        "component", F.round("explained_variance", 6).alias("explained_variance"))
+    """D9 (k = min(50, width)): mean and neighbouring covariances of the training
+    vectors, and for each component how far it is from a unit eigenvector."""
+    from ..operators.vectors import fit_pca, testdata_vectors, training_rows, vector_moments
+    from ..sources.articles import testdata_articles
+    rows, zeros = training_rows(testdata_articles(spark, sf).filter(F.col("split") == "train"),
+                                testdata_vectors(spark, sf))
+    n, mean, cov = vector_moments(rows, zero_rows=zeros)
+    proj = fit_pca(rows, zero_rows=zeros)
+    out = [("rows", 0, float(n))]
+    out += [("mean", i, float(v)) for i, v in enumerate(mean)]
+    out += [("variance", i, float(cov[i, i])) for i in range(len(mean))]
+    out += [("covariance_next", i, float(cov[i, i + 1])) for i in range(len(mean) - 1)]
+    for i, (v, lam) in enumerate(zip(proj.components, proj.variances)):
+        out += [("length", i, float(v @ v)), ("residual", i, float(np.abs(cov @ v - lam * v).max()))]
+    return spark.createDataFrame(out, "kind string, i int, value double").select(
+        "kind", "i", (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
 @query("pca_project")
 def q_pca_project(spark, sf):
-    """D10 on every sentence of articles with vectors: norm of the scores and
-    reconstruction error (both sign-free)."""
-    from ..operators.vectors import embedding_features, testdata_vectors
-    a, proj = _fitted_pca(spark, sf)
-    e = embedding_features(a, testdata_vectors(spark, sf), proj).filter(F.col("vecs").isNotNull())
+    """D10 on every sentence of articles with vectors: scores and what the
+    components leave out, whose squares must add up to the distance from the mean."""
+    from ..operators.vectors import article_matrices, attach_vectors, embedding_features
+    arts, vecs, proj = _fitted_pca(spark, sf)
+    a = attach_vectors(arts.select("article_id", "sentences"), article_matrices(vecs))
+    e = embedding_features(a, vecs, proj).filter(F.col("vecs").isNotNull())
     z = e.select("article_id", F.posexplode(F.arrays_zip(F.col("vecs").alias("v"),
                                                          F.col("emb").alias("p"))).alias("pos", "z"))
     norm2 = lambda arr: F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x * x)
-    centred = F.zip_with("z.v", F.array(*[F.lit(float(m)) for m in proj.mean]), lambda a, b: a - b)
-    recon = F.greatest(norm2(centred) - norm2(F.col("z.p")), F.lit(0.0))
-    return z.select("article_id", "pos", F.round(F.sqrt(norm2(F.col("z.p"))), 6).alias("proj_norm"),
-                    F.round(F.sqrt(recon), 6).alias("recon_err"))
+    # the vector that the scores stand for: mean + sum of score times component
+    columns = F.expr("array({})".format(", ".join(  # one literal, parsed at once
+        "array({})".format(", ".join(f"{float(x)!r}D" for x in col)) for col in proj.components.T)))
+    means = F.array(*[F.lit(float(m)) for m in proj.mean])
+    moved = F.transform(columns, lambda c: F.aggregate(
+        F.zip_with(c, "z.p", lambda x, s: x * s), F.lit(0.0), lambda acc, x: acc + x))
+    left = norm2(F.zip_with("z.v", F.zip_with(means, moved, lambda m, d: m + d), lambda v, b: v - b))
+    return z.select("article_id", "pos",
+                    F.round(F.sqrt(norm2(F.col("z.p")) + left), 5).alias("from_mean"))
 
 
 @query("sentence_vectors")
 def q_sentence_vectors(spark, sf):
-    """Hashing encoder with mean and first-token pooling on every sentence."""
+    """Hashing encoder with mean and first-token pooling on every sentence;
+    the non-zero dimensions as ``dimension:count``."""
+    from ..functions.text import tokens
     from ..operators.sentences import explode_sentences
     from ..operators.vectors import encode_sentences
     from ..sources.articles import testdata_articles
     s = explode_sentences(testdata_articles(spark, sf), keep=())
     v = encode_sentences(encode_sentences(s, dim=64, pool="mean", out="mean_vec"),
                          dim=64, pool="cls", out="cls_vec")
-    l1 = lambda arr: F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + F.abs(x))
-    return v.select("article_id", "pos", F.round(l1(F.col("mean_vec")), 6).alias("mean_l1"),
-                    F.round(l1(F.col("cls_vec")), 6).alias("cls_l1"))
+    n = F.greatest(F.size(tokens("sentence")), F.lit(1))
+
+    def text(vec, times):
+        return F.array_join(F.filter(F.transform(vec, lambda x, d: F.when(
+            x > 0, F.concat(d.cast("string"), F.lit(":"), F.round(x * times).cast("int").cast("string")))),
+            lambda t: t.isNotNull()), " ")
+
+    return v.select("article_id", "pos", text(F.col("mean_vec"), n).alias("mean_vec"),
+                    text(F.col("cls_vec"), F.lit(1)).alias("cls_vec"))
 
 
 # ----------------------------------------------------------------- baselines
@@ -198,22 +260,68 @@ def _text_splits(spark, sf):
             t.filter(F.col("split") == "test"))
 
 
+def _valid(*scores):
+    ok = F.lit(True)
+    for s in scores:
+        ok = ok & F.col(s).between(0.0, 1.0)
+    return F.coalesce(ok, F.lit(False))
+
+
 @query("baseline_fit")
 def q_baseline_fit(spark, sf):
     """H7 + D12: TF-IDF logistic regression candidates scored on val."""
     from ..operators.baseline import fit_with_validation
     tr, va, _ = _text_splits(spark, sf)
     _, table = fit_with_validation(tr, va, "tfidf_lr")
-    return table
+    return table.select("candidate", "variant", "reg_param", "max_iter", "n_val", "n_val_pos", "n_train",
+                        "n_train_pos", _valid("val_f1", "val_accuracy").alias("scores_valid"))
 
 
 @query("baseline_predict")
 def q_baseline_predict(spark, sf):
-    """H8: best candidate's test predictions (arg-max of raw scores)."""
+    """H8: best candidate's test predictions (arg-max of raw scores) against the truth,
+    as one row per article: its truth and whether it got one prediction of 0 or 1."""
     from ..operators.baseline import fit_with_validation, predict
     tr, va, te = _text_splits(spark, sf)
     model, _ = fit_with_validation(tr, va, "tfidf_lr")
-    return predict(model, te)
+    return predict(model, te).select("article_id", "y_true", F.col("y_pred").isin(0, 1).alias("predicted"))
+
+
+@query("classifier_experiment")
+def q_classifier_experiment(spark, sf):
+    """H7 + H8 as runs, both variants: train, validate, record, save; reload, test, record,
+    write predictions; the recorded rows read back (A4) next to the prediction files (A6)."""
+    from ..operators import baseline as B
+    from ..session import shared_path
+    from ..sources.articles import testdata_articles
+    from ..sources.results import read_main_results, read_predictions
+    root = shared_path(spark, "classifier-results")
+    arts = testdata_articles(spark, sf)
+    counts = []
+    for variant in ("tfidf_lr", "word2vec_lr"):
+        B.run_train(spark, arts, f"{root}/{variant}", variant, domain="all")
+        B.run_eval(spark, arts, f"{root}/{variant}", f"{root}/{variant}_eval", variant, domain="all")
+        p = read_predictions(spark, f"{root}/{variant}_eval/{variant}_preds")
+        counts.append(p.select(F.lit(variant).alias("model"), "y_true").groupBy("model").agg(
+            F.count("*").alias("n_predictions"), F.sum("y_true").alias("n_true")))
+    main = read_main_results(spark, root).join(counts[0].unionByName(counts[1]), "model")
+    return main.select("model", "domain", "split", "notes", "n", "n_pos", "n_predictions", "n_true",
+                       _valid("accuracy", "precision", "recall", "f1").alias("scores_valid"),
+                       F.element_at(F.split("source_dir", "/"), -1).alias("source"))
+
+
+@query("cross_domain_classifier")
+def q_cross_domain_classifier(spark, sf):
+    """H11 with the classifier: one fit per train domain, scored on every other domain."""
+    from ..operators.baseline import cross_domain
+    from ..sources.articles import testdata_articles
+    arts = testdata_articles(spark, sf)
+    return cross_domain(spark, arts, _domains(arts)).select(
+        "model", "notes", "n", "n_pos", _valid("accuracy", "precision", "recall", "f1").alias("scores_valid"))
+
+
+def _domains(arts):
+    return sorted((r.domain for r in arts.select("domain").distinct().collect()), key=lambda d: (d is None, d or ""))
 
 
 def _rule_rows(spark, sf):
@@ -247,33 +355,48 @@ def q_cross_domain(spark, sf):
 
 @query("ablation")
 def q_ablation(spark, sf):
-    """CRF toggle sets (full, observed transitions, no lexicons, no
-    vectors), each fitted for the full 50 rounds and scored on val."""
+    """CRF toggle sets (full, observed or no transitions, no lexicons, no
+    vectors), each fitted for the full 50 rounds, scored on val and recorded (A9)."""
     from ..operators.vectors import testdata_vectors
+    from ..session import shared_path
     from ..sources.articles import testdata_articles
+    from ..sources.results import read_main_results
     from .common import feature_context
     from .experiments import ablation
-    return ablation(spark, testdata_articles(spark, sf), feature_context(spark), testdata_vectors(spark, sf))
+    root = shared_path(spark, "ablation")
+    table = ablation(spark, testdata_articles(spark, sf), feature_context(spark), testdata_vectors(spark, sf),
+                     record_dir=root).select("variant", "iterations", "delta_f1")
+    main = read_main_results(spark, root).withColumnRenamed("notes", "variant")
+    return main.join(table, "variant").select(
+        "variant", "split", "n", "n_pos", _valid("accuracy", "precision", "recall", "f1").alias("scores_valid"),
+        (F.col("iterations") > 0).alias("fitted"), F.col("delta_f1").between(-1.0, 1.0).alias("compared"))
 
 
 @query("learning_curve")
 def q_learning_curve(spark, sf):
-    """H9: CRF refitted on nested 25/50/100 % training samples, F1 on test."""
+    """H9: CRF and classifier refitted on nested 25/50/100 % training samples, F1 on test."""
+    from ..operators.baseline import learning_curve as classifier_curve
     from ..sources.articles import testdata_articles
     from .common import feature_context
     from .experiments import learning_curve
-    return learning_curve(spark, testdata_articles(spark, sf), feature_context(spark))
+    arts = testdata_articles(spark, sf)
+    both = learning_curve(spark, arts, feature_context(spark)).unionByName(classifier_curve(spark, arts))
+    return both.select("model", "train_pct", "n", "n_pos", _valid("f1").alias("scores_valid"))
 
 
 # ----------------------------------------------------------------- reports
-def _write_rule_results(spark, sf):
+def _write_rule_results(spark, sf, fmt="parquet"):
     """Record rule-model runs the way experiment runs do (A9, A11), under a
-    fresh folder in the shared checkpoint location; returns the root."""
+    fresh folder in the shared checkpoint location; returns the root. The
+    corpus is scored once, into a table of narrow rows."""
     from ..operators import metrics as Mx
     from ..session import shared_path
     from ..sources import sinks
     root = shared_path(spark, "results")
     s = scored_articles(spark, sf).filter(F.col("split").isin("val", "test"))
+    s.select("split", "y_true", "y_pred_a", "y_pred_b", "sentence_labels", "pred_a", "pred_b", "subtypes") \
+        .write.parquet(f"{root}-scored")
+    s = spark.read.parquet(f"{root}-scored")
     for model, which in (("RULE_BIAS", "a"), ("RULE_NEG", "b")):
         m = Mx.binary_metrics(s, "y_true", f"y_pred_{which}", keys=["split"]).cache()
         for split, run in (("val", model.lower()), ("test", model.lower() + "_eval")):
@@ -281,10 +404,10 @@ def _write_rule_results(spark, sf):
                                     "validation" if split == "val" else "test")
             if which == "b":
                 row = row.withColumn("threshold", F.lit(0.0))  # extra column: gaps fill with null
-            sinks.dump_result_row(row, f"{root}/{run}")
+            sinks.dump_result_row(row, f"{root}/{run}", fmt=fmt)
         m.unpersist()
         sub = Mx.subtype_breakdown(s.filter(F.col("split") == "test"), "sentence_labels", f"pred_{which}")
-        sinks.write_subtypes(sub, f"{root}/{model.lower()}_eval", model.lower())
+        sinks.write_subtypes(sub, f"{root}/{model.lower()}_eval", model.lower(), fmt)
     return root
 
 
@@ -308,6 +431,24 @@ def q_results_subtype(spark, sf):
     return read_subtype_results(spark, root).select("model", "subtype", "precision", "recall", "f1", "support")
 
 
+@query("results_csv")
+def q_results_csv(spark, sf):
+    """A4 + A9 on a tree of CSV files: recorded, scanned and merged by column name."""
+    from ..sources.results import read_main_results
+    main = read_main_results(spark, _write_rule_results(spark, sf, "csv"))
+    return main.select("model", "domain", "split", "accuracy", "precision", "recall", "f1", "notes",
+                       F.col("threshold").cast("double").alias("threshold"),
+                       F.element_at(F.split("source_dir", "/"), -1).alias("source"))
+
+
+@query("results_subtype_csv")
+def q_results_subtype_csv(spark, sf):
+    """A5 + A11 on a tree of CSV files."""
+    from ..sources.results import read_subtype_results
+    root = _write_rule_results(spark, sf, "csv")
+    return read_subtype_results(spark, root).select("model", "subtype", "precision", "recall", "f1", "support")
+
+
 @query("chart_main")
 def q_chart_main(spark, sf):
     from .reports import chart_main
@@ -367,7 +508,8 @@ def q_crf_experiment(spark, sf):
     run_train(spark, arts, ctx, f"{root}/crf", vectors=vecs, domain="all")
     run_eval(spark, arts, ctx, f"{root}/crf", f"{root}/crf_eval", vectors=vecs, domain="all")
     main = read_main_results(spark, root)
-    return main.select("model", "domain", "split", "accuracy", "precision", "recall", "f1", "notes",
+    return main.select("model", "domain", "split", "notes", "n", "n_pos",
+                       _valid("accuracy", "precision", "recall", "f1").alias("scores_valid"),
                        F.element_at(F.split("source_dir", "/"), -1).alias("source"))
 
 
@@ -380,6 +522,6 @@ def q_cross_domain_crf(spark, sf):
     from .common import feature_context
     from .experiments import CRFConfig, cross_domain
     arts = testdata_articles(spark, sf)
-    domains = sorted(r.domain for r in arts.select("domain").distinct().collect() if r.domain is not None)
-    return cross_domain(spark, arts, feature_context(spark), domains, CRFConfig(),
-                        testdata_vectors(spark, sf))
+    return cross_domain(spark, arts, feature_context(spark), _domains(arts), CRFConfig(),
+                        testdata_vectors(spark, sf)).select(
+        "model", "notes", "n", "n_pos", _valid("accuracy", "precision", "recall", "f1").alias("scores_valid"))

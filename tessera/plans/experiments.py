@@ -5,16 +5,16 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.ml.feature import PCAModel, StandardScalerModel
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import any_positive
+from ..functions.text import DEFAULT_DOMAIN
 from ..operators import crf
 from ..operators import metrics as M
 from ..operators.features import FeatureContext, feature_names, with_feature_arrays
-from ..operators.vectors import (PCAProjection, article_matrices, attach_vectors, embedding_features,
-                                 fit_pca, training_sentence_vectors)
+from ..operators.vectors import PCAProjection, embedding_features, fit_pca_articles
 from ..sources import sinks
 from ..sources.articles import hash_bucket, split_filter
 
@@ -58,8 +58,7 @@ def train(spark: SparkSession, articles: DataFrame, ctx: FeatureContext,
     tr = split_filter(articles, split)
     proj = None
     if cfg.use_vectors and vectors is not None:
-        raw = attach_vectors(tr, article_matrices(vectors))
-        proj = fit_pca(training_sentence_vectors(raw), k=cfg.pca_dim)
+        proj = fit_pca_articles(tr, vectors, k=cfg.pca_dim)
     names = feature_names(cfg.use_lexicons) + _emb_dim_names(proj)
     fa = featurise(tr, ctx, cfg, proj, vectors)
     seqs = crf.sequences(fa, names, emb="emb" if proj is not None else None)
@@ -68,53 +67,22 @@ def train(spark: SparkSession, articles: DataFrame, ctx: FeatureContext,
     return CRFRun(model, proj, cfg)
 
 
-LONG_ARTICLE = 20_000  # sentences; longer articles use the linear-time numpy decoder
-
-
 def predict(run: CRFRun, articles: DataFrame, ctx: FeatureContext,
-            vectors: DataFrame | None = None, long_article: int | None = LONG_ARTICLE) -> DataFrame:
+            vectors: DataFrame | None = None) -> DataFrame:
     """H2 on every article: adds ``pred`` (sentence labels), ``y_true``, ``y_pred``.
 
-    The Catalyst decoder copies its path arrays at every step (quadratic in
-    the article length); articles above ``long_article`` sentences go through
-    the vectorised numpy decoder instead and are joined back by key. Both give
-    the same paths, so no article is capped or dropped. ``long_article=None``
-    keeps the plan row-local (Catalyst decoder only, two labels), as a
-    streaming source needs."""
+    One pass over the articles with one decoder for every length; without
+    vectors the plan is row-local, as a streaming source needs."""
     use_emb = run.proj is not None and vectors is not None
     fa = featurise(articles, ctx, run.config, run.proj if use_emb else None, vectors if use_emb else None)
-    return decode_frame(run, fa, use_emb, long_article)
+    return decode_frame(run, fa, use_emb)
 
 
-def decode_frame(run: CRFRun, fa: DataFrame, use_emb: bool,
-                 long_article: int | None = LONG_ARTICLE) -> DataFrame:
+def decode_frame(run: CRFRun, fa: DataFrame, use_emb: bool) -> DataFrame:
     """Decode already featurised article rows (``feats`` [+ ``emb``])."""
-    emb = F.col("emb") if use_emb else None
-    n = F.size("sentences")  # cheap to evaluate where Catalyst pushes the filter
-    catalyst = run.model.K <= 2  # the Catalyst decoder is specialised to two labels
-    if long_article is None:
-        if not catalyst:
-            raise ValueError("row-local decoding needs a model with at most two labels")
-        return (fa.withColumn("pred", crf.decode(F.col("feats"), run.model, emb))
-                .withColumn("y_true", any_positive("sentence_labels"))
-                .withColumn("y_pred", any_positive("pred")))
-    long_rows = fa.filter(n > long_article) if catalyst else fa
-    names = (run.model.feature_names if use_emb else
-             tuple(x for x in run.model.feature_names if not x.startswith("emb")))
-    seqs = crf.sequences(long_rows, names, emb="emb" if use_emb else None)
     model = run.model if use_emb else _without_embeddings(run.model)
-    # numpy Viterbi per article; articles beyond the hot length decode segment-parallel
-    normal = seqs.filter(F.col("n") <= crf.HOT_SEQUENCE_LEN)
-    hot = seqs.filter(F.col("n") > crf.HOT_SEQUENCE_LEN)
-    paths = (crf.decode_in_arrow(normal, model)
-             .unionByName(crf.decode_segmented(hot, model))
-             .withColumnRenamed("path", "pred"))
-    decoded = long_rows.join(paths, "article_id", "left").withColumn(
-        "pred", F.coalesce("pred", F.array().cast("array<int>")))  # empty articles: empty path
-    if catalyst:
-        short = fa.filter(n <= long_article).withColumn("pred", crf.decode(F.col("feats"), run.model, emb))
-        decoded = short.unionByName(decoded)
-    return (decoded.withColumn("y_true", any_positive("sentence_labels"))
+    return (crf.decode_rows(fa, model, "emb" if use_emb else None)
+            .withColumn("y_true", any_positive("sentence_labels"))
             .withColumn("y_pred", any_positive("pred")))
 
 
@@ -135,8 +103,7 @@ def save_run(spark: SparkSession, run: CRFRun, out_dir: str) -> None:
     spark.createDataFrame([(json.dumps(asdict(run.config)),)], "config string") \
         .coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/model/config")
     if run.proj is not None:
-        run.proj.scaler_model.write().overwrite().save(f"{out_dir}/model/pca_scaler")
-        run.proj.pca_model.write().overwrite().save(f"{out_dir}/model/pca")
+        run.proj.save(spark, f"{out_dir}/model/pca")
 
 
 def load_run(spark: SparkSession, model_dir: str) -> CRFRun:
@@ -144,38 +111,44 @@ def load_run(spark: SparkSession, model_dir: str) -> CRFRun:
     cfg = CRFConfig(**json.loads(spark.read.parquet(f"{model_dir}/model/config").first().config))
     proj = None
     if model.toggles.get("use_vectors"):
-        proj = PCAProjection(StandardScalerModel.load(f"{model_dir}/model/pca_scaler"),
-                             PCAModel.load(f"{model_dir}/model/pca"))
+        proj = PCAProjection.load(spark, f"{model_dir}/model/pca")
     return CRFRun(model, proj, cfg)
 
 
 def run_train(spark: SparkSession, articles: DataFrame, ctx: FeatureContext, out_dir: str,
               cfg: CRFConfig = CRFConfig(), vectors: DataFrame | None = None,
-              domain: str = "MBIB", name: str = "CRF") -> CRFRun:
+              domain: str = DEFAULT_DOMAIN, name: str = "CRF") -> CRFRun:
     """H5: train -> validate -> record -> save."""
     run = train(spark, articles, ctx, cfg, vectors)
     # embed_scope='train' reproduces vectors being looked up for training
     # articles only, so validation articles have none
     val_vectors = None if cfg.embed_scope == "train" else vectors
     pred = predict(run, split_filter(articles, "val"), ctx, val_vectors)
-    row = sinks.metrics_row(M.global_binary_metrics(pred, "y_true", "y_pred"), name, domain, "val", "validation")
+    row = sinks.metrics_row(M.global_binary_metrics(pred, "y_true", "y_pred"), name, domain, "val", "validation",
+                            counts=True)
     sinks.dump_result_row(row, out_dir)
     save_run(spark, run, out_dir)
     return run
 
 
 def run_eval(spark: SparkSession, articles: DataFrame, ctx: FeatureContext, model_dir: str,
-             out_dir: str, vectors: DataFrame | None = None, domain: str = "MBIB",
+             out_dir: str, vectors: DataFrame | None = None, domain: str = DEFAULT_DOMAIN,
              name: str = "CRF") -> DataFrame:
     """H6: load -> test -> record -> predictions -> subtypes. The saved
     toggles are reused (X3)."""
     run = load_run(spark, model_dir)
-    pred = predict(run, split_filter(articles, "test"), ctx, vectors)
-    row = sinks.metrics_row(M.global_binary_metrics(pred, "y_true", "y_pred"), name, domain, "test", "test")
-    sinks.dump_result_row(row, out_dir)
-    sinks.write_predictions(pred, out_dir, f"{name.lower()}_preds")
-    sinks.write_subtypes(M.subtype_breakdown(pred, "sentence_labels", "pred", "subtypes"),
-                         out_dir, name.lower())
+    pred = predict(run, split_filter(articles, "test"), ctx, vectors).select(
+        "article_id", "domain", "split", "sentence_labels", "subtypes", "pred", "y_true", "y_pred")
+    pred.persist(StorageLevel.MEMORY_AND_DISK)  # decoded once for the three results
+    try:
+        row = sinks.metrics_row(M.global_binary_metrics(pred, "y_true", "y_pred"), name, domain, "test", "test",
+                                counts=True)
+        sinks.dump_result_row(row, out_dir)
+        sinks.write_predictions(pred, out_dir, f"{name.lower()}_preds")
+        sinks.write_subtypes(M.subtype_breakdown(pred, "sentence_labels", "pred", "subtypes"),
+                             out_dir, name.lower())
+    finally:
+        pred.unpersist()
     return pred
 
 
@@ -187,30 +160,33 @@ def cross_domain(spark: SparkSession, articles: DataFrame, ctx: FeatureContext,
     for all articles and persisted; each train domain adds its own PCA
     projection, fits once and scores its test domains in one pass. Only the
     metric rows (a few per pair) come back to the driver."""
-    from pyspark import StorageLevel
-
-    from ..schemas import METRICS_SCHEMA
+    from ..schemas import METRICS_SCHEMA, counted
     feats = with_feature_arrays(articles, ctx, cfg.use_lexicons).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     try:
         for a in domains:
-            tr = feats.filter(F.col("domain") == a)
+            own = F.col("domain").eqNullSafe(F.lit(a))  # a null domain is a domain
+            tr = feats.filter(own)
             proj = None
             if cfg.use_vectors and vectors is not None:
-                raw = attach_vectors(tr, article_matrices(vectors))
-                proj = fit_pca(training_sentence_vectors(raw), k=cfg.pca_dim)
+                proj = fit_pca_articles(tr, vectors, k=cfg.pca_dim)
             run = _fit_featurised(embedding_features(tr, vectors, proj) if proj else tr, cfg, proj)
-            others = feats.filter(F.col("domain").isin([d for d in domains if d != a]))
+            others = feats.filter(~own & in_domains(domains))
             test_vectors = None if cfg.embed_scope == "train" else vectors
             use_emb = run.proj is not None and test_vectors is not None
             scored = decode_frame(run, embedding_features(others, test_vectors, proj) if use_emb else others,
                                   use_emb)
             for r in article_metrics(scored, keys=["domain"]).collect():
                 rows.append(("CRF", "cross", "test", r.accuracy, r.precision, r.recall, r.f1,
-                             f"{a}->{r.domain}"))
+                             f"{a}->{r.domain}", r.n, r.tp + r.fn))
     finally:
         feats.unpersist()
-    return spark.createDataFrame(rows, METRICS_SCHEMA)
+    return spark.createDataFrame(rows, counted(METRICS_SCHEMA))
+
+
+def in_domains(domains) -> F.Column:
+    """Rows of the listed domains; null may be one."""
+    return F.coalesce(F.col("domain").isin([d for d in domains if d is not None]), F.lit(None in domains))
 
 
 ABLATIONS = {
@@ -218,6 +194,7 @@ ABLATIONS = {
     "no_trans": {"transitions": "observed"},
     "no_lex": {"use_lexicons": False},
     "no_emb": {"use_vectors": False},
+    "trans_none": {"transitions": "none"},
 }
 
 
@@ -241,19 +218,16 @@ def _fit_featurised(fa: DataFrame, cfg: CRFConfig, proj: PCAProjection | None) -
 
 def ablation(spark: SparkSession, articles: DataFrame, ctx: FeatureContext,
              vectors: DataFrame | None = None, base: CRFConfig = CRFConfig(),
-             variants: dict = ABLATIONS, eval_split: str = "val") -> DataFrame:
+             variants: dict = ABLATIONS, eval_split: str = "val", record_dir: str | None = None) -> DataFrame:
     """Each toggle set trained and evaluated, plus F1 change vs 'full'.
 
     Features (all of them) and the PCA are computed once for the training and
     evaluation splits and persisted; each variant fits on the columns its
     toggles select (a variant without lexicons reads only position/lead)."""
-    from pyspark import StorageLevel
-
     tr, ev = split_filter(articles, "train"), split_filter(articles, eval_split)
     proj = None
     if vectors is not None and any(replace(base, **c).use_vectors for c in variants.values()):
-        proj = fit_pca(training_sentence_vectors(attach_vectors(tr, article_matrices(vectors))),
-                       k=base.pca_dim)
+        proj = fit_pca_articles(tr, vectors, k=base.pca_dim)
     full = replace(base, use_lexicons=True, use_vectors=True)
     ftr = featurise(tr, ctx, full, proj, vectors).persist(StorageLevel.MEMORY_AND_DISK)
     fev = featurise(ev, ctx, full, proj, vectors).persist(StorageLevel.MEMORY_AND_DISK)
@@ -261,8 +235,11 @@ def ablation(spark: SparkSession, articles: DataFrame, ctx: FeatureContext,
         name, change = item
         run = _fit_featurised(ftr, replace(base, **change), proj)
         m = article_metrics(decode_frame(run, fev, run.proj is not None)).first()
+        if record_dir:  # a result row per variant, as other runs leave
+            sinks.dump_result_row(sinks.metrics_row(
+                spark.createDataFrame([m]), "CRF", "all", eval_split, name, counts=True), f"{record_dir}/{name}")
         return (name, eval_split, m.n, m.accuracy, m.precision, m.recall, m.f1,
-                run.model.info.get("iterations"))
+                run.model.info.get("iterations"), m.tp + m.fn)
 
     try:
         rows = _concurrently(one, list(variants.items()))
@@ -270,7 +247,7 @@ def ablation(spark: SparkSession, articles: DataFrame, ctx: FeatureContext,
         ftr.unpersist()
         fev.unpersist()
     df = spark.createDataFrame(rows, "variant string, split string, n bigint, accuracy double, "
-                                     "precision double, recall double, f1 double, iterations int")
+                                     "precision double, recall double, f1 double, iterations int, n_pos bigint")
     full_f1 = next((r[6] for r in rows if r[0] == "full"), None)
     return df.withColumn("delta_f1", F.col("f1") - F.lit(full_f1) if full_f1 is not None else F.lit(None))
 
@@ -288,26 +265,24 @@ def learning_curve(spark: SparkSession, articles: DataFrame, ctx: FeatureContext
     Without vectors the training and test features are computed once and
     persisted; each sample is a filter on them. With vectors the PCA belongs
     to each sample, so every sample is featurised on its own."""
-    from pyspark import StorageLevel
-
     test = split_filter(articles, "test")
     rows = []
     if cfg.use_vectors and vectors is not None:
         for pct in pcts:
             run = train(spark, nested_sample(split_filter(articles, "train"), pct), ctx, cfg, vectors, split=None)
             m = article_metrics(predict(run, test, ctx, vectors)).first()
-            rows.append((model, float(pct), float(m.f1)))
+            rows.append((model, float(pct), float(m.f1), m.n, m.tp + m.fn))
     else:
         ftr = featurise(split_filter(articles, "train"), ctx, cfg, None, None).persist(StorageLevel.MEMORY_AND_DISK)
         fte = featurise(test, ctx, cfg, None, None).persist(StorageLevel.MEMORY_AND_DISK)
         def one(pct):
             run = _fit_featurised(nested_sample(ftr, pct), cfg, None)
             m = article_metrics(decode_frame(run, fte, False)).first()
-            return (model, float(pct), float(m.f1))
+            return (model, float(pct), float(m.f1), m.n, m.tp + m.fn)
 
         try:
             rows = _concurrently(one, list(pcts))
         finally:
             ftr.unpersist()
             fte.unpersist()
-    return spark.createDataFrame(rows, "model string, train_pct double, f1 double")
+    return spark.createDataFrame(rows, "model string, train_pct double, f1 double, n bigint, n_pos bigint")

@@ -22,20 +22,25 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def metrics_row(metrics: DataFrame, model: str, domain: str, split: str, notes: str) -> DataFrame:
-    """Metrics with provenance columns in the fixed order."""
+def metrics_row(metrics: DataFrame, model: str, domain: str, split: str, notes: str,
+                counts: bool = False) -> DataFrame:
+    """Metrics with provenance columns in the fixed order (B24); ``counts`` adds the
+    number of rows and of gold positives."""
     return metrics.select(
         F.lit(model).alias("model"), F.lit(domain).alias("domain"), F.lit(split).alias("split"),
-        "accuracy", "precision", "recall", "f1", F.lit(notes).alias("notes"))
+        "accuracy", "precision", "recall", "f1", F.lit(notes).alias("notes"),
+        *[F.col("n"), (F.col("tp") + F.col("fn")).alias("n_pos")] * counts)
 
 
-def dump_result_row(row: DataFrame, out_dir: str, name: str = "metrics") -> None:
+def dump_result_row(row: DataFrame, out_dir: str, name: str = "metrics", fmt: str = "parquet") -> None:
     """Append; the schema is fixed so appends never corrupt the table.
-    A metrics row is one tiny row, hence a single file per append."""
+    A metrics row is one tiny row, hence a single file per append. ``fmt="csv"``
+    appends to ``<name>.csv`` with a header in each file."""
     cols = [c.name for c in METRICS_SCHEMA.fields]
     extra = [c for c in row.columns if c not in cols]
-    row.select(*[c for c in cols if c in row.columns], *extra).coalesce(1) \
-        .write.mode("append").parquet(f"{out_dir.rstrip('/')}/{name}")
+    out = row.select(*[c for c in cols if c in row.columns], *extra).coalesce(1).write.mode("append")
+    path = f"{out_dir.rstrip('/')}/{name}"
+    out.option("header", True).csv(f"{path}.csv") if fmt == "csv" else out.parquet(path)
 
 
 def write_predictions(preds: DataFrame, out_dir: str, name: str = "predictions") -> None:
@@ -44,12 +49,18 @@ def write_predictions(preds: DataFrame, out_dir: str, name: str = "predictions")
         .write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{name}")
 
 
-def write_subtypes(rows: DataFrame, out_dir: str, model: str) -> bool:
+def write_subtypes(rows: DataFrame, out_dir: str, model: str, fmt: str = "parquet") -> bool:
     """Per-subtype table, written only when it has rows."""
-    if rows.isEmpty():
-        return False
-    rows.coalesce(1).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{model}_by_subtype")
-    return True
+    rows = rows.persist()  # one row per subtype; computed once for both steps
+    try:
+        if rows.isEmpty():
+            return False
+        out = rows.coalesce(1).write.mode("overwrite")
+        path = f"{out_dir.rstrip('/')}/{model}_by_subtype"
+        out.option("header", True).csv(f"{path}.csv") if fmt == "csv" else out.parquet(path)
+        return True
+    finally:
+        rows.unpersist()
 
 
 def write_summary(df: DataFrame, path: str) -> None:

@@ -29,7 +29,7 @@ def read_article_stream(spark: SparkSession, path: str, max_files_per_trigger: i
 def scored_stream(articles: DataFrame, run: experiments.CRFRun, ctx: FeatureContext) -> DataFrame:
     """Per-article predictions for a streaming article source (no vectors:
     a stream-static join would attach them the same way)."""
-    pred = experiments.predict(run, articles, ctx, long_article=None)  # row-local plan
+    pred = experiments.predict(run, articles, ctx)  # row-local plan
     return pred.select("article_id", "domain", "split", "y_true", "y_pred", "pred")
 
 
