@@ -79,5 +79,5 @@ def split_sentences(text: Column | str) -> Column:
 
 
 def py_strip(c: Column) -> Column:
-    """Python ``str.strip()``: remove leading and trailing whitespace."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Python ``str.strip()``: remove leading and trailing Unicode whitespace."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")

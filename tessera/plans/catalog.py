@@ -89,8 +89,11 @@ def q_article_labels(spark, sf):
 
 @query("union_domains")
 def q_union_domains(spark, sf):
-    """Per-domain corpora concatenated by column name."""
-    a = testdata_articles(spark, sf)
+    """Per-domain corpora concatenated by column name; the corpus is read once,
+    into a narrow table that each branch filters."""
+    from ..sources.sinks import written
+    a = written(testdata_articles(spark, sf).select(
+        "domain", "split", F.size("sentences").alias("n")), "domains")
     parts = [a.filter(F.col("domain") == d) for d in ("de", "en", "es", "fr")]
     rest = a.filter(~F.col("domain").isin("de", "en", "es", "fr") | F.col("domain").isNull())
     merged = parts[0]
@@ -98,7 +101,7 @@ def q_union_domains(spark, sf):
         merged = merged.unionByName(p)
     return (merged.groupBy("domain", "split")
             .agg(F.count(F.lit(1)).alias("n_articles"),
-                 F.sum(F.size("sentences")).cast("bigint").alias("n_sentences")))
+                 F.sum("n").cast("bigint").alias("n_sentences")))
 
 
 # ----------------------------------------------------------------- lexicons
@@ -109,12 +112,10 @@ def q_lexicon_bias(spark, sf):
     from ..session import shared_path
     from ..sources.lexicons import TESTDATA_BIAS_LINES, load_bias_lexicon, write_lexicon_file
     lex = load_bias_lexicon(spark, write_lexicon_file(spark, TESTDATA_BIAS_LINES, shared_path(spark, "bias-lex")))
-    terms = [r.term for r in lex.collect()]  # bounded: parsed from a fixed list
     sents = explode_sentences(testdata_articles(spark, sf), keep=())
     hits = (sents.select(F.explode(tokens("sentence")).alias("term"))
-            .filter(F.col("term").isin(terms))
-            .groupBy("term").agg(F.count(F.lit(1)).alias("n_hits")))
-    return (lex.join(F.broadcast(hits), "term", "left")
+            .groupBy("term").agg(F.count(F.lit(1)).alias("n_hits")))  # combined before the shuffle
+    return (lex.join(hits, "term", "left")
             .select("term", F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits")))
 
 
@@ -125,12 +126,10 @@ def q_lexicon_subjectivity(spark, sf):
     from ..sources.lexicons import TESTDATA_SUBJECTIVITY_LINES, load_subjectivity_lexicon, write_lexicon_file
     lex = load_subjectivity_lexicon(spark, write_lexicon_file(
         spark, TESTDATA_SUBJECTIVITY_LINES, shared_path(spark, "subj-lex")))
-    words = [r.word for r in lex.select("word").collect()]  # bounded fixed list
     sents = explode_sentences(testdata_articles(spark, sf), keep=())
     hits = (sents.select(F.explode(tokens("sentence")).alias("word"))
-            .filter(F.col("word").isin(words))
             .groupBy("word").agg(F.count(F.lit(1)).alias("n_hits")))
-    return (lex.join(F.broadcast(hits), "word", "left")
+    return (lex.join(hits, "word", "left")
             .select("word", "polarity", F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import crf
 from ..operators.features import FEATURE_NAMES
+from ..sources.sinks import written
 from .catalog import query
 from .common import scored_articles
 
@@ -333,7 +334,7 @@ def _rule_rows(spark, sf):
 def q_best_candidate(spark, sf):
     """D12 on a candidate table: rule candidates scored on val."""
     from ..operators.baseline import best_candidates, candidate_metrics
-    m = candidate_metrics(_rule_rows(spark, sf).filter(F.col("split") == "val"))
+    m = written(candidate_metrics(_rule_rows(spark, sf).filter(F.col("split") == "val")), "candidates")
     best = best_candidates(m).select("cand_idx", F.lit(True).alias("is_best"))
     return (m.join(F.broadcast(best), "cand_idx", "left")
             .withColumn("is_best", F.coalesce("is_best", F.lit(False))))
@@ -345,7 +346,7 @@ def q_cross_domain(spark, sf):
     test on every other domain B. Pairs come from an equi-join on the chosen
     candidate (tables of a few rows), not a cross join."""
     from ..operators.baseline import best_candidates, candidate_metrics
-    m = candidate_metrics(_rule_rows(spark, sf), keys=["domain"])
+    m = written(candidate_metrics(_rule_rows(spark, sf), keys=["domain"]), "candidates")
     best = best_candidates(m, keys=["domain"]).withColumnRenamed("domain", "train_domain")
     tested = m.withColumnRenamed("domain", "test_domain")
     pairs = best.join(tested, ["cand_idx", "candidate"]).filter(F.col("train_domain") != F.col("test_domain"))
@@ -467,7 +468,7 @@ def q_chart_curve(spark, sf):
     from ..sources.articles import hash_bucket
     from ..sources.results import read_optional
     from .reports import chart_curve
-    rows = _rule_rows(spark, sf)
+    rows = written(_rule_rows(spark, sf).filter(F.col("split") != "val"), "rule_rows")  # narrow
     train = (rows.filter(F.col("split") == "train")
              .withColumn("train_pct", F.explode(F.array(*[F.lit(p) for p in (25.0, 50.0, 100.0)])))
              .filter(hash_bucket(F.col("article_id"), 100, "curve") < F.col("train_pct")))

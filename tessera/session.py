@@ -30,7 +30,7 @@ def build_session(cores: int | str = "*", app: str = "tessera",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.python.worker.reuse", "true")
     )
     for k, v in (extra or {}).items():

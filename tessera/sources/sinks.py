@@ -15,6 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import METRICS_SCHEMA
+from ..session import shared_path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it: what comes after it, however
+    often it is used, computes it no second time and survives lost executors."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
