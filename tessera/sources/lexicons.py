@@ -1,8 +1,8 @@
 """Lexicon sources: bias term list (A2) and subjectivity clues (A3).
 
-Both parse a table of ``(line_no, value)`` text lines. Files are read whole
-(``wholetext``) so that line numbers are exact for the last-wins rule; a
-lexicon file is bounded reference data (a few MB), not corpus data.
+Both parse a table of ``(line_no, value)`` text lines. Files are read line by
+line in as many splits as Spark makes; ``line_no`` orders lines by file, split
+and row for the last-wins rule.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ LINES_SCHEMA = "line_no int, value string"
 def lines_from_text(spark: SparkSession, path: str) -> DataFrame:
     """Text file -> (line_no, value); a missing path gives no lines."""
     try:
-        whole = spark.read.text(path, wholetext=True)
-        whole.schema  # resolve now so a missing path is caught here
+        lines = spark.read.text(path)
+        lines.schema  # resolve now so a missing path is caught here
     except AnalysisException:
         return spark.createDataFrame([], LINES_SCHEMA)
-    return (whole.select(F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "value"))
-            .select(F.col("line_no").cast("int"), "value"))
+    order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                     F.monotonically_increasing_id().alias("row"))
+    return lines.select(order.alias("line_no"), "value")
 
 
 def lines_from_list(spark: SparkSession, lines: Sequence[str]) -> DataFrame:
