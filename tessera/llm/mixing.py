@@ -68,7 +68,7 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFra
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", weights=(5, 2, 1), cap: int = 3, seed: int = 17,
-        rows_per_range: int = 20_000, broadcast_sources: int = 5_000) -> DataFrame:
+        rows_per_range: int = 2_000, broadcast_sources: int = 5_000) -> DataFrame:
     """One row per document: ``_rid``, id, size, source_size, target, copies, taken, weight, key.
 
     ``copies`` is how often the mix takes the document whole, ``taken`` its words
