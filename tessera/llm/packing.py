@@ -83,7 +83,7 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(out), np.int64).reshape(-1, 3)
 
 
-def ranked(cut: DataFrame, rows_per_bucket: int = 100_000) -> DataFrame:
+def ranked(cut: DataFrame, rows_per_bucket: int = 20_000) -> DataFrame:
     """Adds ``rank``: gapless from 0 within each length.
 
     Pieces of a length go to buckets by hash; a bucket's first rank is the prefix
