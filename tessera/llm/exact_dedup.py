@@ -49,7 +49,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         groups = written(groups.where("n > 1"), "exact_groups")
         alone = F.col("n").isNull()
         ended = alone | (F.octet_length("rest") == 0)
-        out = cut.join(groups, keys, "left").select(
+        out = cut.join(groups.hint("merge"), keys, "left").select(  # one plan at every size
             "id", "_rid", "sha", F.coalesce("n", F.lit(1)).alias("n"),
             F.coalesce("keep", row_key("id")).alias("group_id"),
             F.when(~ended, F.col("rest")).alias("rest"))
