@@ -50,7 +50,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     first = (windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
              .where("n > 1").select("h1", "h2", "first"))
     first = written(first, "line_repeats")
-    later = windows.join(first, ["h1", "h2"]).where(
+    later = windows.join(first.hint("merge"), ["h1", "h2"]).where(  # one plan at every size
         (F.col("first.row.rid") != F.col("_rid")) | (F.col("first.pos") != F.col("pos")))
 
     in_doc = Window.partitionBy("_rid").orderBy("pos")
