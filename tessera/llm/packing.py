@@ -2,7 +2,8 @@
 
 Documents are tokenised and cut into full pieces and a rest. The histogram of
 piece lengths (one row per length) is packed on the driver: lengths go longest
-first, each into the pattern with the most room, and counts of patterns are
+first, each into the pattern with the most room; what fits nowhere opens new
+sequences of as many pieces of that length as fit. Counts of patterns are
 updated, never single documents. Pieces get a gapless rank within their length,
 and a slot table (length, rank range) turns the rank into a sequence and offset.
 """
@@ -58,7 +59,10 @@ def pack_histogram(counts: dict[int, int], max_tokens: int) -> list[tuple[tuple[
             while space >= length and not room[space]:
                 space -= 1
             if space < length:
-                room[max_tokens - length].append(((length,), left))
+                each = max_tokens // length  # a new sequence takes the next of its length while they fit
+                for k, n in ((each, left // each), (left % each, 1)):
+                    if k and n:
+                        room[max_tokens - k * length].append(((length,) * k, n))
                 break
             pattern, n = room[space].pop()
             used = min(n, left)

@@ -45,6 +45,24 @@ def test_pack_histogram():
         assert {k // RANKS for k in table[:, 0].tolist()} == set(counts)
 
 
+@pytest.mark.parametrize("short, copies", [(150, 10_000), (60, 300_000), (1, 100_000)])
+def test_pack_histogram_with_one_frequent_short_length(short, copies):
+    rng = random.Random(1)
+    counts = defaultdict(int, {short: copies})
+    for _ in range(20_000):
+        counts[rng.randint(30, 600)] += 1
+    patterns = pack_histogram(counts, 2048)
+    placed = defaultdict(int)
+    for p, n in patterns:
+        assert sum(p) <= 2048
+        for x in p:
+            placed[x] += n
+    assert placed == counts
+    assert len(slots(patterns)) == sum(len(p) for p, _ in patterns)
+    total = sum(x * n for x, n in counts.items())
+    assert total > 0.99 * 2048 * sum(n for _, n in patterns)
+
+
 def check_pack(docs, max_tokens):
     got = pack(docs, BPE, max_tokens=max_tokens, with_ids=True).collect()
     want = defaultdict(int)
@@ -77,6 +95,7 @@ def test_pack(saved):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma"], k=rng.randint(0, 90)))) for i in range(300)]
     assert check_pack(saved(rows), 64) > 0.95
+    assert check_pack(saved(rows + [(i, "beta gamma") for i in range(1000, 2000)]), 64) > 0.95
     assert pack(saved([]), BPE).count() == 0
 
 
