@@ -6,7 +6,8 @@ The node with the largest sum is the article's body (an <article> element around
 taken with it, which keeps its headings), and the least density on the
 path from it to <body> is the threshold: below each node that reaches it, the
 subtree with the largest density sum is content. Elements that are never content (menus, forms,
-scripts, adverts, reader comments) leave the tree before densities are taken.
+scripts, adverts, reader comments) leave the tree before densities are taken; names count as wholes,
+and inside the article a name with a second meaning needs a second sign.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from tessera.llm.common import map_arrow, text_batches
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_NAME = re.compile(r"[A-Za-z0-9_-]+")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none""", re.I)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,31 +46,77 @@ ENDS = {
 #: Never content, whatever their names.
 DROP = frozenset("nav footer aside form button input script style head noscript template iframe textarea "
                  "title svg math object select dialog menu".split())
-#: Words in class, id or role that mark what isn't the article.
+#: Roles of what isn't the article, like the tags in DROP.
+DROP_ROLES = frozenset("navigation menu menubar toolbar".split())
+#: Words of names for what isn't the article. A name counts only as a whole: "related", not "related-work".
 DROP_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "disqus footer masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo "
     "promoted related reply replies respond share sharing sidebar social sponsor sponsored subscribe "
     "toolbar widget".split())
+#: Words that may stand beside one of these in a name.
+BESIDE = frozenset(
+    "area articles bar block bottom box button buttons container form global group icons inner items label left "
+    "links list main message outer page posts primary right section secondary signup site slot stories thread top "
+    "unit widgets wrap wrapper".split())
+#: Class names that say it by themselves, also inside the article: one of these, or first word and second word.
+ADS = frozenset("ad ads advert advertisement adverts".split())
+PAIRS = {
+    **dict.fromkeys(ADS, frozenset("banner block box container label slot unit wrapper".split())),
+    **dict.fromkeys(("cookie", "cookies"), frozenset("banner bar consent modal notice popup".split())),
+    **dict.fromkeys(("comment", "comments"), frozenset("area form list respond section thread".split())),
+    **dict.fromkeys(("share", "sharing", "social"), frozenset("bar button buttons icons links share sharing".split())),
+    "related": frozenset("articles links posts stories".split()),
+    "newsletter": frozenset("box form signup".split()),
+    "nav": frozenset("bar links menu".split()),
+}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Of comments, replies to them and forms for them are a second sign.
+REPLIES = frozenset("comment comments reply replies respond".split())
+LINKED = 0.5  # share of linked text that is a second sign
+#: How an element is named: surely not content, by its class, by its id.
+SURE, BY_CLASS, BY_ID = 1, 2, 3
+
 
+def _words(name: str) -> list[str]:
+    """The words of a name if all are known, else none."""
+    if not _NAME.fullmatch(name):
+        return []
+    words = [w.lower() for w in _WORDS.findall(name)]
+    known = any(w in DROP_WORDS for w in words) and all(w in DROP_WORDS or w in BESIDE for w in words)
+    return words if known else []
 
-def _unwanted(tag: str, attrs: str) -> bool:
-    if not attrs:
-        return False
-    if _HIDDEN.search(attrs):
-        return True
-    for m in _NAMES.finditer(attrs):
-        value = m[1] or m[2] or m[3] or ""
-        if any(w.lower() in DROP_WORDS for w in _WORDS.findall(value)):
-            return True
-    return False
+
+def _named(tag: str, attrs: str) -> tuple[int, bool]:
+    """(SURE, BY_CLASS, BY_ID or 0; whether the name is that of comments)."""
+    found, replies = 0, False
+    for m in _ATTR.finditer(attrs):
+        attr, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if attr == "hidden" or attr == "style" and _NO_DISPLAY.search(value):
+            return SURE, False
+        if attr == "role":
+            if value.strip().lower() in DROP_ROLES:
+                return SURE, False
+            if value.strip().lower() == "banner":
+                found = BY_CLASS
+        elif attr == "class":
+            for words in map(_words, value.split()):
+                if words and (words[0] in ADS if len(words) == 1
+                              else len(words) == 2 and words[1] in PAIRS.get(words[0], ())):
+                    return SURE, False
+                if words and tag not in HEADINGS:
+                    found, replies = BY_CLASS, replies or not REPLIES.isdisjoint(words)
+        elif attr == "id" and tag in BLOCKS and tag not in HEADINGS and found != BY_CLASS:
+            if words := _words(value.strip()):
+                found, replies = BY_ID, not REPLIES.isdisjoint(words)
+    return found, replies
 
 
 class Page:
     """A page's tree: nodes in page order, texts and block edges in page order."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.named = ["#root"], [-1], [False]
+        self.tag, self.parent, self.named = ["#root"], [-1], [(0, False)]
         self.flow: list[tuple[int, str | None]] = []  # (node, text); None is a block's edge
         self._read(source)
 
@@ -104,7 +152,7 @@ class Page:
             node = len(tag)
             tag.append(name)
             parent.append(stack[-1])
-            self.named.append(_unwanted(name, m[3]))
+            self.named.append(_named(name, m[3]) if m[3] else (0, False))
             if name in BLOCKS:
                 flow.append((node, None))
             elif name == "br":
@@ -125,20 +173,51 @@ class Page:
                 return
 
     def left_out(self) -> list[bool]:
-        """Nodes that are never content, with all below them."""
+        """Nodes that are never content, with all below them.
+
+        A name with a second meaning (a section on social reforms may be called "social") needs
+        a second sign inside the article; so does an id on a page that marks no article.
+        """
         n = len(self.tag)
         holds = [t in ("article", "main", "body") for t in self.tag]
         for i in range(n - 1, 0, -1):
             holds[self.parent[i]] |= holds[i]
+        marked = "article" in self.tag or "main" in self.tag
+        signs = self._second_signs() if any(how > SURE for how, _ in self.named) else []
         inside = [False] * n
         out = [False] * n
         for i in range(1, n):
             p = self.parent[i]
             inside[i] = inside[p] or self.tag[i] in ("article", "main")
-            out[i] = (out[p] or self.tag[i] in DROP or self.named[i] and not holds[i]
+            how = self.named[i][0]
+            if how == BY_ID and not marked or how > SURE and inside[i]:
+                named = signs[i] and self.tag[i] in BLOCKS
+            else:
+                named = how > 0
+            out[i] = (out[p] or self.tag[i] in DROP or named and not holds[i]
                       or self.tag[i] == "header" and not inside[i])
         return out
 
+    def _second_signs(self) -> list[bool]:
+        """Nodes whose text is mostly links, and nodes of comments that hold replies or a form."""
+        n, parent, tag = len(self.tag), self.parent, self.tag
+        chars, link_chars, answers = [0] * n, [0] * n, [False] * n
+        linked = [False] * n
+        for i in range(1, n):
+            linked[i] = linked[parent[i]] or tag[i] == "a"
+        for node, piece in self.flow:
+            if piece and not piece.isspace():
+                chars[node] += len(piece)
+                if linked[node]:
+                    link_chars[node] += len(piece)
+        for i in range(n - 1, 0, -1):
+            p = parent[i]
+            chars[p] += chars[i]
+            link_chars[p] += link_chars[i]
+            how, replies = self.named[i]
+            answers[p] |= answers[i] or tag[i] in ("form", "textarea") or how == BY_CLASS and replies
+        return [link_chars[i] > LINKED * chars[i] or self.named[i][1] and answers[i] for i in range(n)]
+
     def text(self) -> str:
         out = self.left_out()
         content = self._content(out)

@@ -145,6 +145,45 @@ def test_main_text():
     assert main_text("<p>a<p>b") == "a\n\nb"
 
 
+def test_names_made_from_titles_keep_their_text():
+    more = "Many more words follow here, and then some. " * 9
+    parts = [
+        '<h2 id="Social_reforms">Social reforms</h2>', f'<section id="related-work"><p>Others. {more}</p></section>',
+        '<h2 id="ad-hoc-networks">Ad hoc</h2>', f'<section id="comments-on-the-text"><p>On it. {more}</p></section>',
+        f'<p>In <a href="/c" title="the hidden city">that city</a> lay. {more}</p>',
+        f'<p data-note="display:none" title="a hidden b">Shown. {more}</p>',
+        '<h2 id="comments">Comments</h2>', '<h2 class="notice"><a href="#n">Notice</a></h2>',
+        f'<section id="social"><p>Society. {more}</p></section>', f'<div class="notice"><p>Mind this. {more}</p></div>',
+        f'<section id="notice-日本"><p>Abroad. {more}</p></section>',
+        f'<section class="ad-hoc related-work"><p>Classes. {more}</p></section>']
+    firsts = ["Social reforms", "Others.", "Ad hoc", "On it.", "In that city lay.", "Shown.", "Comments", "Notice",
+              "Society.", "Mind this.", "Abroad.", "Classes."]
+    for wrap in ("article", "main"):
+        blocks = main_text(f"<body><{wrap}>{''.join(parts)}</{wrap}></body>").split("\n\n")
+        assert len(blocks) == len(firsts) and all(b.startswith(f) for b, f in zip(blocks, firsts))
+    # a page that marks no article: ids alone drop nothing
+    plain = "".join(p for p in parts if "class=" not in p)
+    assert main_text(f"<body><div>{plain}</div></body>").count("\n\n") == len(firsts) - 4
+
+
+def test_named_parts_leave():
+    more = "Many more words follow here, and then some. " * 9
+    gone = [
+        f'<div class="ad">Buy. {more}</div>', f'<div class="x cookie-notice">Cookies. {more}</div>',
+        f'<ol class="commentList"><li>First! {more}</li></ol>', f'<div hidden>Unseen. {more}</div>',
+        f'<div style="color:red; display : none">Unseen. {more}</div>', f'<div role="navigation">Go. {more}</div>',
+        '<ul class="related"><li><a href="/a">Another long story title</a><li><a href="/b">One more title</a></ul>',
+        f'<section class="comments"><div class="comment">First! {more}</div></section>',
+        f'<section id="comments"><p>First! {more}</p><form><textarea></textarea></form></section>']
+    for part in gone:
+        assert main_text(f"<body><article><p>Body. {more}</p>{part}<p>End. {more}</p></article></body>") == \
+            f"Body. {more.strip()}\n\nEnd. {more.strip()}", part
+    for part in ('<div class="related-posts">%s</div>', '<div id="sidebar">%s</div>', '<div class="social">%s</div>',
+                 '<div id="page-footer">%s</div>', '<div role="banner">%s</div>'):
+        assert main_text(f"<body>{part % more}<article><p>Body. {more}</p></article></body>") == \
+            f"Body. {more.strip()}", part
+
+
 def test_densest_subtree_without_article():
     text = "This sentence has quite a few words in it. " * 12
     links = "".join(f"<div><a href=/{i}>some linked story title {i}</a></div>" for i in range(30))
