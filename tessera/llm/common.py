@@ -71,23 +71,69 @@ def whole_text(col: str | Column = "text") -> Column:
 def row_key(id_col: str, rid: str = "_rid") -> Column:
     """Order of rows: id, nulls last, then the row's place in the table.
 
-    ``_rid`` is ``monotonically_increasing_id()``: unique, and the same in each
-    run over a table read from files, so rows that repeat an id stay apart.
+    ``_rid`` (see ``with_rid``) is unique, so rows that repeat an id stay apart.
     """
     return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"),
                     F.col(rid).alias("rid"))
 
 
-def with_rid(df: DataFrame, rid: str = "_rid") -> DataFrame:
-    return df.withColumn(rid, F.monotonically_increasing_id())
+def _scans_parquet(df: DataFrame) -> bool:
+    """Whether ``df`` is a Parquet scan with columns chosen or computed, one row per stored row."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return (plan.nodeName() == "LogicalRelation" and not plan.isStreaming()
+            and plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
+            and plan.relation().fileFormat().toString() == "Parquet")
 
 
-def rows_with(docs: DataFrame, rids: DataFrame, how: str = "left_semi") -> DataFrame:
+def in_files(df: DataFrame, name: str = "rows") -> DataFrame:
+    """``df`` if it is a scan of Parquet files, else what is written of it once.
+
+    For operators that scan their input more than once: ``file_seed`` needs files.
+    """
+    return df if _scans_parquet(df) else written(df, name)
+
+
+def _file_no(seed: int, path: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), path), F.lit(1 << 31))
+
+
+def file_seed(docs: DataFrame) -> int:
+    """A seed for ``with_rid`` with which no two files of ``docs``, a table from ``in_files``, share a number."""
+    meta = docs.metadataColumn("_metadata")
+    files = docs.groupBy(meta["file_path"].alias("file")).agg(F.max(meta["row_index"]).alias("last"))
+    files = files.select("last", *[_file_no(k, F.col("file")) for k in range(16)]).collect()
+    if any(f["last"] >> 32 for f in files):
+        raise ValueError("a file has more than 2 ** 32 rows")
+    for k in range(16):
+        if len({f[k + 1] for f in files}) == len(files):
+            return k
+    raise ValueError(f"{len(files)} files are too many to number their rows")
+
+
+def with_rid(df: DataFrame, seed: int | None = None, rid: str = "_rid") -> DataFrame:
+    """``df`` with a unique number of each row.
+
+    With the ``seed`` from ``file_seed`` it is the file's number and the row's place in the file: the
+    same in each scan. Without, it is ``monotonically_increasing_id()`` and holds for one scan only: how
+    files are split follows the cores that are registered when a job is planned.
+    """
+    if seed is None:
+        return df.withColumn(rid, F.monotonically_increasing_id())
+    meta = df.metadataColumn("_metadata")
+    return df.withColumn(rid, F.shiftleft(_file_no(seed, meta["file_path"]), 32) + meta["row_index"])
+
+
+def rows_with(docs: DataFrame, rids: DataFrame, seed: int, how: str = "left_semi") -> DataFrame:
     """Rows of ``docs`` joined with ``rids`` on ``_rid``: (row, and the columns of ``rids``).
 
-    ``row`` holds all columns of ``docs``, so none can clash; ``rids`` has each ``_rid`` once.
+    ``row`` holds all columns of ``docs``, so none can clash; ``rids`` has each ``_rid`` once, made
+    with the same ``seed`` from the same table (see ``in_files``).
     """
-    return with_rid(docs.select(F.struct("*").alias("row"))).join(rids, "_rid", how)
+    return with_rid(docs.select(F.struct("*").alias("row")), seed).join(rids, "_rid", how)
 
 
 def text_batches(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20,

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, row_key, rows_with, whole_text, with_rid, written
+from tessera.llm.common import SPACES, file_seed, in_files, row_key, rows_with, whole_text, with_rid, written
 
 
 def normalised(col: str = "text"):
@@ -25,7 +25,7 @@ def normalised(col: str = "text"):
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                first_bytes: int = 56, growth: int = 8) -> DataFrame:
+                first_bytes: int = 56, growth: int = 8, file_no: int | None = None) -> DataFrame:
     """One row per input row: ``_rid``, id, keep_id, group_size, kept, text_sha256.
 
     Null and empty texts are equal to each other. Of equal texts the smallest id
@@ -33,9 +33,11 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     table stays, so exactly one row of each group is kept. Other columns of
     ``docs`` are ignored, whatever their names. An empty table gives no rows.
     ``text_sha256`` is output only. ``_rid`` is the row's place in the table
-    (see ``common.row_key``); ``docs`` must be a table read from files.
+    (see ``common.with_rid``; ``file_no`` is its seed, if the caller has one).
     """
-    rows = with_rid(docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm")))
+    docs = in_files(docs)
+    file_no = file_seed(docs) if file_no is None else file_no
+    rows = with_rid(docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm")), file_no)
     rows = rows.select(
         "id", "_rid", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"),
         F.octet_length("norm").alias("group_no"), F.col("norm").cast("binary").alias("rest"))
@@ -70,5 +72,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_exact_copies(docs: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, **params).where("kept").select("_rid")
-    return rows_with(docs, kept).select("row.*")
+    docs = in_files(docs)
+    seed = file_seed(docs)
+    kept = exact_dedup(docs, file_no=seed, **params).where("kept").select("_rid")
+    return rows_with(docs, kept, seed).select("row.*")

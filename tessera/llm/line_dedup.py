@@ -14,22 +14,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import row_key, rows_with, whole_text, with_rid, written
+from tessera.llm.common import file_seed, in_files, row_key, rows_with, whole_text, with_rid, written
 
 WIDTH = 3
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+               file_no: int | None = None) -> DataFrame:
     """One row per input row: ``_rid``, id, n_lines, n_removed, n_spans, text (what is left).
 
     Lines are split at \\n and compared as they are, empty ones too. Occurrences
     are ordered by id (nulls last), the row's place, then position; all but
     the first are removed, also within one document, and spans that overlap or
     touch count as one. Null text is empty: one empty line. A text of fewer
-    than three lines stays whole. Other columns are ignored. ``docs`` must be a
-    table read from files. No rows give no rows.
+    than three lines stays whole. Other columns are ignored. No rows give no
+    rows. ``_rid`` holds for one scan, or with ``file_no`` from ``common.file_seed`` for all.
     """
-    base = with_rid(docs.select(F.col(id_col).alias("id"), F.split(whole_text(text_col), "\n").alias("lines")))
+    docs = in_files(docs)
+    seed = file_seed(docs) if file_no is None else file_no
+    base = with_rid(docs.select(F.col(id_col).alias("id"), F.split(whole_text(text_col), "\n").alias("lines")), seed)
 
     def at(arr, i, k):
         return F.get(arr, i + k)
@@ -63,7 +66,8 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     spans = spans.groupBy("_rid").agg(
         F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
-    out = base.join(spans, "_rid", "left").withColumn(
+    given = base.withColumn("given", F.monotonically_increasing_id() if file_no is None else F.col("_rid"))
+    out = given.join(spans, "_rid", "left").withColumn(
         "spans", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")))
     gaps = F.arrays_zip(
         F.concat(F.array(F.lit(0)), F.col("spans.hi")).alias("lo"),
@@ -72,13 +76,15 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         F.col("lines"), g["lo"] + 1, g["hi"] - g["lo"])))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + (s["hi"] - s["lo"]))
     return out.select(
-        "_rid", F.col("id").alias(id_col), F.size("lines").cast("long").alias("n_lines"),
+        F.col("given").alias("_rid"), F.col("id").alias(id_col), F.size("lines").cast("long").alias("n_lines"),
         removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.array_join(kept, "\n").alias(text_col))
 
 
 def drop_repeated_lines(docs: DataFrame, *, text_col: str = "text", **params) -> DataFrame:
     """``docs`` with all columns, the text replaced by what is left of it."""
-    left = line_dedup(docs, text_col=text_col, **params).select("_rid", F.col(text_col).alias("left"))
-    return rows_with(docs, left, "inner").select(*[
+    docs = in_files(docs)
+    seed = file_seed(docs)
+    left = line_dedup(docs, text_col=text_col, file_no=seed, **params).select("_rid", F.col(text_col).alias("left"))
+    return rows_with(docs, left, seed, "inner").select(*[
         F.col("left").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

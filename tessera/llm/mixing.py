@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, rows_with, whole_text, with_rid, written
+from tessera.llm.common import WORD, file_seed, in_files, rows_with, whole_text, with_rid, written
 
 
 def word_count(col: str = "text") -> Column:
@@ -68,7 +68,7 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFra
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", weights=(5, 2, 1), cap: int = 3, seed: int = 17,
-        rows_per_range: int = 2_000, broadcast_sources: int = 5_000) -> DataFrame:
+        rows_per_range: int = 2_000, broadcast_sources: int = 5_000, file_no: int | None = None) -> DataFrame:
     """One row per document: ``_rid``, id, size, source_size, target, copies, taken, weight, key.
 
     ``copies`` is how often the mix takes the document whole, ``taken`` its words
@@ -78,12 +78,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     reruns give the same rows. A source's taken words differ from its target by
     half a document at most. Other columns are ignored. No rows give no rows.
     ``rows_per_range`` sets how many key ranges a source gets; the join is
-    broadcast only if there are at most ``broadcast_sources`` sources.
+    broadcast only if there are at most ``broadcast_sources`` sources. ``_rid`` holds
+    for one scan, or with ``file_no`` from ``common.file_seed`` for all.
     """
     size = word_count(text_col)
     narrow = with_rid(docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"),
-        F.length(whole_text(text_col)).alias("n_chars")))
+        F.length(whole_text(text_col)).alias("n_chars")), file_no)
     narrow = narrow.withColumn("weight", quality_weight(F.col("size"), F.col("n_chars")))
     narrow = narrow.withColumn("u", uniform(F.col("id"), seed))
     narrow = written(narrow.select("_rid", "id", "source", "size", "weight",
@@ -135,6 +136,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def mixed(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with all columns, each row as often as the mix takes it."""
-    taken = mix(docs, **params).where("copies > 0").select("_rid", "copies")
-    rows = rows_with(docs, taken, "inner")
+    docs = in_files(docs)
+    file_no = file_seed(docs)
+    taken = mix(docs, file_no=file_no, **params).where("copies > 0").select("_rid", "copies")
+    rows = rows_with(docs, taken, file_no, "inner")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, rows_with, written
+from tessera.llm.common import file_seed, in_files, map_arrow, rows_with, written
 from tessera.llm.stats import FEATURES, document_stats
 
 
@@ -91,15 +91,16 @@ def fit(stats: DataFrame, labels: DataFrame, **params) -> QDA:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
-                   text_col: str = "text", **params) -> DataFrame:
+                   text_col: str = "text", file_no: int | None = None, **params) -> DataFrame:
     """One row per input row: ``_rid``, id, held_out, score, predicted (1 if score >= 0.5).
 
     Learnt from labelled rows that aren't held out. Null and empty texts get the
     score of their statistics (all counts zero). Without two labelled rows of either
     class all rows get the share of label 1 (0.5 without labels). Rows that
     repeat an id are scored, and learnt from, each for itself; other columns are ignored.
+    ``_rid`` holds for one scan, or with ``file_no`` from ``common.file_seed`` for all.
     """
-    stats = written(document_stats(docs, (), id_col=id_col, text_col=text_col), "quality_stats")
+    stats = written(document_stats(docs, (), id_col=id_col, text_col=text_col, file_no=file_no), "quality_stats")
     model = fit(stats.where(~held_out(F.col("id"))), clean_labels(labels), **params)
     d = len(FEATURES)
 
@@ -116,5 +117,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` that the classifier predicts as 1, with all their columns."""
-    kept = quality_scores(docs, labels, **params).where("predicted = 1").select("_rid")
-    return rows_with(docs, kept).select("row.*")
+    docs = in_files(docs)
+    seed = file_seed(docs)
+    kept = quality_scores(docs, labels, file_no=seed, **params).where("predicted = 1").select("_rid")
+    return rows_with(docs, kept, seed).select("row.*")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, map_arrow, row_key, rows_with, text_batches, with_rid, written
+from tessera.llm.common import components, file_seed, in_files, map_arrow, row_key, rows_with, text_batches, with_rid, written
 
 WORDS = 4  # 16-bit words of a fingerprint
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -48,7 +48,7 @@ def fingerprint(text: bytes, shingle: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
+                 text_col: str = "text", file_no: int | None = None) -> DataFrame:
     """(_rid, id, fp long): fp is the fingerprint's 64 bits as a signed long."""
     def make(batches):
         for batch in text_batches(batches):
@@ -58,7 +58,8 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, id_col: s
                 "_rid": batch["_rid"], "id": batch["id"],
                 "fp": pa.array(np.array(fps, np.uint64).view(np.int64))})
 
-    rows = with_rid(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    rows = with_rid(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")),
+                    file_no)
     return map_arrow(rows.select("_rid", "id", "text"), make, "_rid long, id long, fp long")
 
 
@@ -161,7 +162,7 @@ def links(fps: DataFrame, radius: int, block: int = 2048) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, *, shingle: int = 3, radius: int = 2, seed: int = 42,
-               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+               id_col: str = "doc_id", text_col: str = "text", file_no: int | None = None) -> DataFrame:
     """One row per input row: ``_rid``, id, fingerprint, component_id, stays.
 
     Documents are linked if their fingerprints differ in ``radius`` bits or less;
@@ -169,10 +170,11 @@ def near_dedup(docs: DataFrame, *, shingle: int = 3, radius: int = 2, seed: int
     in the group are null). One row of each group stays: the smallest id, of rows
     that repeat it the first in the table. Null and empty texts and texts of white
     space have fingerprint zero, linked like any other. Other columns are
-    ignored. ``docs`` must be a table read from files. No rows give no rows.
+    ignored. No rows give no rows. ``_rid`` holds for one scan, or with ``file_no`` from
+    ``common.file_seed`` for all.
     """
-    rows = written(fingerprints(docs, shingle=shingle, seed=seed, id_col=id_col, text_col=text_col),
-                   "simhash")
+    rows = written(fingerprints(docs, shingle=shingle, seed=seed, id_col=id_col, text_col=text_col,
+                                file_no=file_no), "simhash")
     distinct = written(rows.groupBy("fp").agg(F.min(row_key("id")).alias("first")), "simhash_distinct")
     group = components(links(distinct, radius), "simhash_components")
     distinct = distinct.join(group.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
@@ -186,5 +188,7 @@ def near_dedup(docs: DataFrame, *, shingle: int = 3, radius: int = 2, seed: int
 
 def drop_near_copies(docs: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = near_dedup(docs, **params).where("stays").select("_rid")
-    return rows_with(docs, kept).select("row.*")
+    docs = in_files(docs)
+    seed = file_seed(docs)
+    kept = near_dedup(docs, file_no=seed, **params).where("stays").select("_rid")
+    return rows_with(docs, kept, seed).select("row.*")

@@ -98,7 +98,7 @@ def features(c: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def document_stats(docs: DataFrame, names: tuple[str, ...], *, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", file_no: int | None = None) -> DataFrame:
     """(_rid, id, features array<double>, and the counts in ``names``) of each row."""
     schema = "_rid long, id long, features array<double>" + "".join(f", {n} long" for n in names)
 
@@ -111,5 +111,6 @@ def document_stats(docs: DataFrame, names: tuple[str, ...], *, id_col: str = "do
                         pa.array(f.ravel()), f.shape[1]).cast(pa.list_(pa.float64()))}
             yield pa.RecordBatch.from_pydict(cols | {n: pa.array(c[n]) for n in names})
 
-    rows = with_rid(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    rows = with_rid(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")),
+                    file_no)
     return map_arrow(rows.select("_rid", "id", "text"), make, schema)

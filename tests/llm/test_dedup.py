@@ -5,9 +5,14 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from edge_rows import EDGE_ROWS, LONG
 
+from tessera.llm import common
+from tessera.llm import exact_dedup as E
+from tessera.llm import line_dedup as L
+from tessera.llm import simhash as N
 from tessera.llm import suffix_dedup as S
 from tessera.llm.common import components
 from tessera.llm.exact_dedup import drop_exact_copies, exact_dedup
@@ -63,6 +68,57 @@ def test_exact(saved):
     check_exact(saved(shared_corpus()))
 
 
+@pytest.fixture()
+def other_splits(spark, monkeypatch):
+    """Each written table and each scan after it is planned for another number of cores."""
+    key, n = "spark.sql.files.minPartitionNum", iter(range(10 ** 6))
+
+    def flip():
+        spark.conf.set(key, [1, 12, 3][next(n) % 3])
+
+    def patched(module):
+        def write(df, name, real=module.written):
+            flip()
+            return real(df, name)
+        monkeypatch.setattr(module, "written", write)
+    yield flip, patched
+    spark.conf.unset(key)
+
+
+def test_rows_stay_the_same_when_splits_change(saved, other_splits):
+    flip, patched = other_splits
+    for module in (common, E, L, N):
+        patched(module)
+    rows = [(i % 40, f"text {i % 50}\nsecond {i % 50}\nthird\nfourth {i}" if i % 3 else f"copy {i % 7}") for i in range(400)]
+    docs = saved(rows, parts=9)
+    texts = Counter(r[1] for r in rows)
+    got = exact_dedup(docs)
+    flip()
+    got = got.collect()
+    assert len(got) == len({r._rid for r in got}) == len(rows)
+    assert Counter(r.text_sha256 for r in got if r.kept) == Counter(hashlib.sha256(norm(t).encode()).hexdigest() for t in texts)
+    for drop in (drop_exact_copies, drop_near_copies):
+        left = drop(docs) if drop is drop_exact_copies else drop(docs, radius=0)
+        flip()
+        assert Counter(r.text for r in left.collect()) == Counter(texts.keys())
+    left = drop_repeated_lines(docs)
+    flip()
+    left = left.collect()
+    assert len(left) == len(rows) and sum(r.text.count("third") for r in left) == sum("third" in t for t in {
+        norm(r[1].split("fourth")[0]) for r in rows})
+
+
+def test_input_that_is_no_parquet_scan(saved, spark):
+    rows = shared_corpus() + [(i, "equal text") for i in range(20)]
+    docs = saved(rows)
+    for other in (docs.where("doc_id >= 0"), docs.union(docs), spark.createDataFrame(docs.collect(), docs.schema)):
+        left = drop_exact_copies(other)
+        assert left.columns == docs.columns
+        assert Counter(r.text for r in left.collect()) == Counter({r[1] for r in rows})
+    named = docs.withColumnRenamed("n", "_metadata")
+    assert drop_exact_copies(named).count() == len({r[1] for r in rows})
+
+
 def test_exact_splits_late(saved):
     check_exact(saved([(i, LONG[:3000] + "ab"[i % 2] + LONG[3000:]) for i in range(7)]))
 
