@@ -5,7 +5,8 @@ equal pieces always get equal ids. A batch of texts is split with numpy over its
 byte buffer, equal pieces are found by a 128-bit hash, and only pieces that the
 worker hasn't met are given to the library. Texts with characters outside
 ASCII and the Latin-1 letters, or with an apostrophe (the pattern has rules for
-these), are encoded by the library directly.
+these), are encoded by the library directly, and so are, as a whole, texts that hold the
+content of an added token such as <|endoftext|>, which the library takes as that token.
 """
 
 from __future__ import annotations
@@ -75,7 +76,8 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        added = sorted((t.content.encode() for t in self.lib.get_added_tokens_decoder().values()), key=len)
+        self.added = re.compile(b"|".join(map(re.escape, reversed(added))) or rb"(?!)")
         self._clear()
 
     def _clear(self):
@@ -94,6 +96,8 @@ class Encoder:
         """
         joint = [w for w in words if w[0] == 32 and len(w) > 1 and _CLASS[w[1]] == LETTER]
         other = [w for w in words if not (w[0] == 32 and len(w) > 1 and _CLASS[w[1]] == LETTER)]
+        if self.added.search(b"".join(joint)):  # words side by side would be an added token
+            joint, other = [], words
         runs = [b"".join(joint[i:i + 1000]).decode() for i in range(0, len(joint), 1000)]
         found, sizes = [], []
         for e in self.lib.encode_batch(runs, add_special_tokens=False):
@@ -148,12 +152,12 @@ class Encoder:
         parts, owner, odd = [], [], {}
         for i, t in enumerate(texts.cast(pa.binary()).to_pylist()):
             t = t or b""
-            cuts = [0]
-            while len(t) - cuts[-1] > SPLIT_BYTES and (m := _SAFE.search(t, cuts[-1] + SPLIT_BYTES - 1)):
+            cuts, whole = [0], bool(self.added.search(t))
+            while not whole and len(t) - cuts[-1] > SPLIT_BYTES and (m := _SAFE.search(t, cuts[-1] + SPLIT_BYTES - 1)):
                 cuts.append(m.end())
             for a, b in zip(cuts, [*cuts[1:], len(t)]):
                 p = t[a:b] if len(cuts) > 1 else t
-                if (_CLASS[np.frombuffer(p, np.uint8)] == ODD).any():
+                if whole or (_CLASS[np.frombuffer(p, np.uint8)] == ODD).any():
                     odd[len(owner)] = self._direct(p)
                     p = b""
                 owner.append(i)

@@ -43,6 +43,27 @@ def test_whole_long_text_is_split_safely(monkeypatch):
     check([" ".join(rng.choices(words, k=400)) for _ in range(30)])
 
 
+def test_added_tokens_as_the_library_takes_them(monkeypatch, tmp_path):
+    from tokenizers import Tokenizer
+    rng = random.Random(5)
+    parts = ["<|endoftext|>", "<|endoftext|", "|>", " plain words", "word", "x1\n", " <", "don't", "été "]
+    texts = ["a<|endoftext|> x", "<|endoftext|>", "<|endoftext|><|endoftext|>"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(300)]
+    texts += ["one two three " * 40 + "<|endoftext|>" + " four five" * 40]
+    lib = Tokenizer.from_file(PATH)
+    assert lib.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 2124]
+    for size in (tokens.SPLIT_BYTES, 100):
+        monkeypatch.setattr(tokens, "SPLIT_BYTES", size)
+        got = Encoder(PATH).encode(pa.array(texts, pa.string()))
+        assert [g.tolist() for g in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    lib.add_tokens(["one two", " lead"])  # tokens of letters and spaces
+    path = str(tmp_path / "more.json")
+    lib.save(path)
+    texts += ["zero one", "a two", "x lead", "one two three", "mis leading", " one", " two", " zero one", " so two"]
+    got = Encoder(path).encode(pa.array(texts, pa.string()))
+    assert [g.tolist() for g in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_memo_stays_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "MEMO_ENTRIES", 50)
     check([f"w{i} q{i * 7} common words here" for i in range(400)])
