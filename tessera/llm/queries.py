@@ -1,9 +1,10 @@
-"""The registered queries of the ten operators and their DuckDB SQL."""
+"""The registered queries of the operators and their DuckDB SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.llm.centroids import cluster
 from tessera.llm.common import table
 from tessera.session import shared_path
 from tessera.llm.exact_dedup import exact_dedup
@@ -16,6 +17,8 @@ from tessera.llm.quality_rules import BASE, quality_rules
 from tessera.llm.simhash import near_dedup
 from tessera.llm.suffix_dedup import suffix_dedup
 from tessera.llm.token_files import read_token_files, write_token_files
+from tessera.llm.top_k import top_k
+from tessera.llm.whitening import whiten
 
 
 def op1_line_dedup(spark, sf_dir):
@@ -70,6 +73,20 @@ def op10_mixing(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_centroids(spark, sf_dir):
+    return cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed=3)[0]
+
+
+def op12_top_k(spark, sf_dir):
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256).select(
+        "query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op13_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"), components=16, scale=64).withColumn(
+        "deviation", F.col("deviation").cast("long"))
+
+
 OP1_SQL = """
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 w AS (SELECT doc_id, pos, ls[pos + 1] || chr(10) || ls[pos + 2] || chr(10) || ls[pos + 3] AS win
@@ -129,11 +146,52 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM
 """)
 
 
+USABLE_SQL = "embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+
+
+def centroids_sql(k=8, rounds=10, dim=64, scale=1024, seed=3):
+    """Ten rounds written out, each one with its table of centroids."""
+    def dist(a, b):
+        return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+
+    def nearest(c):
+        return f"""SELECT r, arg_min(no, (d, no)) AS no, min(d) AS d FROM (
+            SELECT r, no, {dist('v.x', 'c.x')} AS d FROM v, {c} c) GROUP BY r"""
+
+    parts = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, sha256('{seed}:' || vec_id) AS h,
+            list_transform(embedding, lambda c: floor({scale} * c::DOUBLE)::BIGINT) AS x
+        FROM embeddings WHERE {USABLE_SQL} AND len(embedding) = {dim})""",
+             f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS no, x FROM v ORDER BY h, x LIMIT {k})"]
+    for i in range(rounds):
+        parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.no, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (
+            SELECT no, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS x FROM (
+                SELECT no, j, sum(x)::BIGINT AS s, count(*) AS n FROM (
+                    SELECT a.no, unnest(v.x) AS x, unnest(range(len(v.x))) AS j
+                    FROM ({nearest(f'c{i}')}) a JOIN v USING (r)) GROUP BY no, j) GROUP BY no) m USING (no))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, no::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY no))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM ({nearest(f'c{rounds}')}) a JOIN v USING (r) JOIN c{rounds} c USING (no)"""
+
+
+TOP_K_SQL = f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id,
+                  list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x
+           FROM embeddings WHERE {USABLE_SQL}),
+s AS (SELECT q.r, q.vec_id AS query_id, v.vec_id, v.r AS r2,
+             list_sum(list_transform(list_zip(q.x, v.x), lambda z: z[1] * z[2]))::BIGINT AS score
+      FROM v q JOIN v ON q.r <> v.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER o)::INTEGER AS rank, vec_id, score FROM s
+WINDOW o AS (PARTITION BY r ORDER BY score DESC, vec_id, r2) QUALIFY row_number() OVER o <= 5
+"""
+
+
 def queries():
     return {f.__name__: f for f in (
         op1_line_dedup, op2_packing, op3_exact_dedup, op4_suffix_dedup, op5_html_text, op6_quality_classifier, op7_token_files, op8_simhash,
-        op9_quality_rules, op10_mixing)}
+        op9_quality_rules, op10_mixing, op11_centroids, op12_top_k, op13_whitening)}
 
 
 def oracle_sql():
-    return {"op1_line_dedup": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op10_mixing": OP10_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op10_mixing": OP10_SQL,
+            "op11_centroids": centroids_sql(), "op12_top_k": TOP_K_SQL}
