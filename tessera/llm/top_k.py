@@ -35,7 +35,8 @@ CELL_ROWS = 4_096     # rows of a data block, about
 QUERY_ROWS = 1_024    # rows of a query block, about
 MAX_CELLS = 1_024     # net points
 NET_SAMPLE = 8_192    # rows that net points are chosen from
-LEAF = 64             # points of a leaf
+LEAF = 64             # points of a leaf, of data
+QUERY_LEAF = 32       # of queries: a group that shares bounds
 CHUNK = 2_048         # points whose scores are computed at a time
 LANES = 64            # lanes of the first merge
 LOWEST = np.iinfo(np.int64).min
@@ -179,7 +180,7 @@ class Block:
     ids: np.ndarray  # FOUND-like rows: no_id, id, rid
 
     @classmethod
-    def of(cls, x: np.ndarray, no_id, ids, rids, keep: int | None) -> Block:
+    def of(cls, x: np.ndarray, no_id, ids, rids, keep: int | None, leaf: int = LEAF) -> Block:
         """Of each distinct vector the first ``keep`` rows, all without it."""
         points, which = np.unique(x, axis=0, return_inverse=True)
         which = which.ravel()
@@ -188,7 +189,7 @@ class Block:
         first = np.searchsorted(w, np.arange(len(points)))
         if keep is not None:
             order = order[np.arange(len(w)) - first[w] < keep]
-        tree, place = CoverTree.of(points)
+        tree, place = CoverTree.of(points, leaf)
         at = np.empty(len(points), np.int64)
         at[place] = np.arange(len(points))
         own = at[which[order]]
@@ -291,7 +292,8 @@ def _blocks(rows: DataFrame, name: str, width: int, keep: int | None) -> DataFra
             x = np.concatenate([matrix(b["x"], width=width) for b in held])
             whole = pa.Table.from_batches(held)
             block = Block.of(x, whole["id"].is_null().to_numpy().astype(np.int8),
-                             whole["id"].fill_null(0).to_numpy(), whole["_rid"].to_numpy(), keep)
+                             whole["id"].fill_null(0).to_numpy(), whole["_rid"].to_numpy(), keep,
+                             LEAF if keep else QUERY_LEAF)
             yield pa.RecordBatch.from_pydict({
                 "no": pa.array([no], pa.int64()), "home": held[0]["home"].slice(0, 1),
                 "blob": pa.array([pickle.dumps(block, 5)], pa.binary())})
