@@ -7,6 +7,7 @@ import os
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,41 +98,57 @@ def in_files(df: DataFrame, name: str = "rows") -> DataFrame:
     return df if _scans_parquet(df) else written(df, name)
 
 
-def _file_no(seed: int, path: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), path), F.lit(1 << 31))
+class FileNumbers(NamedTuple):
+    """How rows are numbered: a hash of the file's path, then ``bits`` bits of the row's place in the file."""
+    seed: int
+    bits: int
 
+    def of(self, path: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(F.lit(self.seed), path), self.bits + 1)
 
-def file_seed(docs: DataFrame) -> int:
-    """A seed for ``with_rid`` with which no two files of ``docs``, a table from ``in_files``, share a number."""
+
+def free_numbers(paths: DataFrame, last: int, tries: int = 64) -> FileNumbers:
+    """Numbers with which no two of ``paths`` (column file, each once) meet, for files whose last row is ``last``.
+
+    What the rows' places leave of 63 bits tells files apart, so a seed is found at once: a million files of
+    128 MB with up to a million rows each have 43 bits. Numbers are counted by Spark, none is collected.
+    """
+    bits = max(10, int(last).bit_length())
+    for seed in range(tries):
+        numbers = FileNumbers(seed, bits)
+        files = paths.select(numbers.of(F.col("file")).alias("no")).agg(
+            F.count("*"), F.count_distinct("no")).first()
+        if files[0] == files[1]:
+            return numbers
+    raise ValueError(f"{files[0]} files with up to {last + 1} rows are too many to number their rows in 63 bits")
+
+
+def file_seed(docs: DataFrame) -> FileNumbers:
+    """Numbers for ``with_rid`` with which no two rows of ``docs``, a table from ``in_files``, share one."""
     meta = docs.metadataColumn("_metadata")
     files = docs.groupBy(meta["file_path"].alias("file")).agg(F.max(meta["row_index"]).alias("last"))
-    files = files.select("last", *[_file_no(k, F.col("file")) for k in range(16)]).collect()
-    if any(f["last"] >> 32 for f in files):
-        raise ValueError("a file has more than 2 ** 32 rows")
-    for k in range(16):
-        if len({f[k + 1] for f in files}) == len(files):
-            return k
-    raise ValueError(f"{len(files)} files are too many to number their rows")
+    files = written(files, "files")
+    return free_numbers(files, files.agg(F.max("last")).first()[0] or 0)
 
 
-def with_rid(df: DataFrame, seed: int | None = None, rid: str = "_rid") -> DataFrame:
+def with_rid(df: DataFrame, numbers: FileNumbers | None = None, rid: str = "_rid") -> DataFrame:
     """``df`` with a unique number of each row.
 
-    With the ``seed`` from ``file_seed`` it is the file's number and the row's place in the file: the
+    With ``numbers`` from ``file_seed`` it is the file's number and the row's place in the file: the
     same in each scan. Without, it is ``monotonically_increasing_id()`` and holds for one scan only: how
     files are split follows the cores that are registered when a job is planned.
     """
-    if seed is None:
+    if numbers is None:
         return df.withColumn(rid, F.monotonically_increasing_id())
     meta = df.metadataColumn("_metadata")
-    return df.withColumn(rid, F.shiftleft(_file_no(seed, meta["file_path"]), 32) + meta["row_index"])
+    return df.withColumn(rid, F.shiftleft(numbers.of(meta["file_path"]), numbers.bits) + meta["row_index"])
 
 
-def rows_with(docs: DataFrame, rids: DataFrame, seed: int, how: str = "left_semi") -> DataFrame:
+def rows_with(docs: DataFrame, rids: DataFrame, seed: FileNumbers, how: str = "left_semi") -> DataFrame:
     """Rows of ``docs`` joined with ``rids`` on ``_rid``: (row, and the columns of ``rids``).
 
     ``row`` holds all columns of ``docs``, so none can clash; ``rids`` has each ``_rid`` once, made
-    with the same ``seed`` from the same table (see ``in_files``).
+    with the same numbers from the same table (see ``in_files``).
     """
     return with_rid(docs.select(F.struct("*").alias("row")), seed).join(rids, "_rid", how)
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, file_seed, in_files, row_key, rows_with, whole_text, with_rid, written
+from tessera.llm.common import FileNumbers, SPACES, file_seed, in_files, row_key, rows_with, whole_text, with_rid, written
 
 
 def normalised(col: str = "text"):
@@ -25,7 +25,7 @@ def normalised(col: str = "text"):
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                first_bytes: int = 56, growth: int = 8, file_no: int | None = None) -> DataFrame:
+                first_bytes: int = 56, growth: int = 8, file_no: FileNumbers | None = None) -> DataFrame:
     """One row per input row: ``_rid``, id, keep_id, group_size, kept, text_sha256.
 
     Null and empty texts are equal to each other. Of equal texts the smallest id
@@ -33,7 +33,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     table stays, so exactly one row of each group is kept. Other columns of
     ``docs`` are ignored, whatever their names. An empty table gives no rows.
     ``text_sha256`` is output only. ``_rid`` is the row's place in the table
-    (see ``common.with_rid``; ``file_no`` is its seed, if the caller has one).
+    (see ``common.with_rid``; ``file_no`` are its numbers, if the caller has them).
     """
     docs = in_files(docs)
     file_no = file_seed(docs) if file_no is None else file_no

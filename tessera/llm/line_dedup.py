@@ -14,13 +14,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import file_seed, in_files, row_key, rows_with, whole_text, with_rid, written
+from tessera.llm.common import FileNumbers, file_seed, in_files, row_key, rows_with, whole_text, with_rid, written
 
 WIDTH = 3
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-               file_no: int | None = None) -> DataFrame:
+               file_no: FileNumbers | None = None) -> DataFrame:
     """One row per input row: ``_rid``, id, n_lines, n_removed, n_spans, text (what is left).
 
     Lines are split at \\n and compared as they are, empty ones too. Occurrences

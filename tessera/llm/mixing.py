@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, file_seed, in_files, rows_with, whole_text, with_rid, written
+from tessera.llm.common import FileNumbers, WORD, file_seed, in_files, rows_with, whole_text, with_rid, written
 
 
 def word_count(col: str = "text") -> Column:
@@ -68,7 +68,7 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFra
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", weights=(5, 2, 1), cap: int = 3, seed: int = 17,
-        rows_per_range: int = 2_000, broadcast_sources: int = 5_000, file_no: int | None = None) -> DataFrame:
+        rows_per_range: int = 2_000, broadcast_sources: int = 5_000, file_no: FileNumbers | None = None) -> DataFrame:
     """One row per document: ``_rid``, id, size, source_size, target, copies, taken, weight, key.
 
     ``copies`` is how often the mix takes the document whole, ``taken`` its words

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import file_seed, in_files, map_arrow, rows_with, written
+from tessera.llm.common import FileNumbers, file_seed, in_files, map_arrow, rows_with, written
 from tessera.llm.stats import FEATURES, document_stats
 
 
@@ -91,7 +91,7 @@ def fit(stats: DataFrame, labels: DataFrame, **params) -> QDA:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
-                   text_col: str = "text", file_no: int | None = None, **params) -> DataFrame:
+                   text_col: str = "text", file_no: FileNumbers | None = None, **params) -> DataFrame:
     """One row per input row: ``_rid``, id, held_out, score, predicted (1 if score >= 0.5).
 
     Learnt from labelled rows that aren't held out. Null and empty texts get the

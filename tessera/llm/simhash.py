@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, file_seed, in_files, map_arrow, row_key, rows_with, text_batches, with_rid, written
+from tessera.llm.common import FileNumbers, components, file_seed, in_files, map_arrow, row_key, rows_with, text_batches, with_rid, written
 
 WORDS = 4  # 16-bit words of a fingerprint
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -48,7 +48,7 @@ def fingerprint(text: bytes, shingle: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, id_col: str = "doc_id",
-                 text_col: str = "text", file_no: int | None = None) -> DataFrame:
+                 text_col: str = "text", file_no: FileNumbers | None = None) -> DataFrame:
     """(_rid, id, fp long): fp is the fingerprint's 64 bits as a signed long."""
     def make(batches):
         for batch in text_batches(batches):
@@ -120,7 +120,22 @@ def forest(left: np.ndarray, right: np.ndarray, radius: int, rows: int = 256):
     return nodes[np.array(u, np.int64)], nodes[np.array(v, np.int64)]
 
 
-def links(fps: DataFrame, radius: int, block: int = 2048) -> DataFrame:
+def tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
+    """(tile, tile2): all tiles whose bit counts differ by at most ``radius`` in sum, each pair once, some of them empty.
+
+    A word's count is shifted at a time, by what is left of the radius, so the plan is the same for every radius.
+    """
+    out = tiles.select("tile", F.lit(0).alias("tile2"), F.lit(radius).alias("left"))
+    for k in range(WORDS):
+        count = F.shiftright(F.col("tile"), 5 * k).bitwiseAND(F.lit(31))
+        out = out.select("*", F.explode(F.sequence(F.greatest(-F.col("left"), -count),
+                                                   F.least(F.col("left"), F.lit(16) - count))).alias("d"))
+        out = out.select("tile", (F.col("tile2") + (count + F.col("d")) * F.lit(32 ** k)).alias("tile2"),
+                         (F.col("left") - F.abs("d")).alias("left"))
+    return out.where("tile2 >= tile").select("tile", "tile2")
+
+
+def links(fps: DataFrame, radius: int, block: int = 8192) -> DataFrame:
     """(u, v): links between distinct fingerprints (column fp), enough to connect all that are linked."""
     fps = fps.select("fp").withColumn("tile", tile_of(F.col("fp")))
     # a tile number is below 32 ** 4 and at most 17 ** 4 occur: a table of bounded size
@@ -130,21 +145,15 @@ def links(fps: DataFrame, radius: int, block: int = 2048) -> DataFrame:
         "no", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
     blocks = written(blocks.groupBy("tile", "no").agg(F.collect_list("fp").alias("fps")), "simhash_tiles")
 
-    def shifted(step):
-        """The tile at ``step`` from this one, or null where a count would leave 0..16."""
-        key, ok = F.lit(0), F.lit(True)
-        for k, d in enumerate(step):
-            c = F.shiftright(F.col("tile"), 5 * k).bitwiseAND(F.lit(31)) + F.lit(d)
-            key, ok = key + c * F.lit(32 ** k), ok & c.between(0, 16)
-        return F.when(ok, key)
-
-    near = F.array(*[shifted(s) for s in near_tiles(radius)])
-    left = blocks.select("tile", "no", F.col("fps").alias("a"), F.explode(near).alias("tile2"))
-    left = left.join(tiles.select(F.col("tile").alias("tile2"), "n"), "tile2")
+    near = tile_pairs(tiles.select("tile"), radius)
+    near = near.join(tiles, "tile").join(tiles.select(F.col("tile").alias("tile2"), F.col("n").alias("n2")), "tile2")
+    # block numbers first, fingerprints last: a block travels once for each block it is compared with
     first = F.when(F.col("tile") == F.col("tile2"), F.col("no")).otherwise(F.lit(0))
-    left = left.withColumn("no2", F.explode(F.sequence(first, F.col("n") - 1)))
+    near = near.withColumn("no", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn(
+        "no2", F.explode(F.sequence(first, F.col("n2") - 1)))
+    left = blocks.select("tile", "no", F.col("fps").alias("a"))
     right = blocks.select(F.col("tile").alias("tile2"), F.col("no").alias("no2"), F.col("fps").alias("b"))
-    pairs = left.join(right, ["tile2", "no2"]).select("a", "b")
+    pairs = near.join(left, ["tile", "no"]).join(right, ["tile2", "no2"]).select("a", "b")
 
     def compare(batches):
         for batch in batches:
@@ -162,7 +171,7 @@ def links(fps: DataFrame, radius: int, block: int = 2048) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, *, shingle: int = 3, radius: int = 2, seed: int = 42,
-               id_col: str = "doc_id", text_col: str = "text", file_no: int | None = None) -> DataFrame:
+               id_col: str = "doc_id", text_col: str = "text", file_no: FileNumbers | None = None) -> DataFrame:
     """One row per input row: ``_rid``, id, fingerprint, component_id, stays.
 
     Documents are linked if their fingerprints differ in ``radius`` bits or less;

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, text_batches, with_rid
+from tessera.llm.common import FileNumbers, map_arrow, text_batches, with_rid
 
 #: Counts of a text, in this order.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
@@ -98,7 +98,7 @@ def features(c: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def document_stats(docs: DataFrame, names: tuple[str, ...], *, id_col: str = "doc_id",
-                   text_col: str = "text", file_no: int | None = None) -> DataFrame:
+                   text_col: str = "text", file_no: FileNumbers | None = None) -> DataFrame:
     """(_rid, id, features array<double>, and the counts in ``names``) of each row."""
     schema = "_rid long, id long, features array<double>" + "".join(f", {n} long" for n in names)
 
