@@ -123,6 +123,32 @@ def test_exact_splits_late(saved):
     check_exact(saved([(i, LONG[:3000] + "ab"[i % 2] + LONG[3000:]) for i in range(7)]))
 
 
+def test_suffixes_stay_the_same_when_splits_change(saved, other_splits):
+    flip, patched = other_splits
+    patched(common)
+    patched(S)
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
+    base = [" ".join(rng.choices(words, k=40)) for _ in range(12)]
+    rows = [(i, base[i % 12][:200] + f" own {i} " + base[i % 7]) for i in range(400)]
+    docs = saved(rows, parts=9)
+    steady = Counter((r.doc_id, r.n_removed, bytes(r.kept)) for r in suffix_dedup(docs).collect())
+    got = suffix_dedup(docs)
+    flip()
+    assert Counter((r.doc_id, r.n_removed, bytes(r.kept)) for r in got.collect()) == steady
+    assert sum(n for _, n, _ in steady) > 100_000
+
+
+def test_files_without_a_limit(spark):
+    """300,000 paths with rows numbered apart; more than the numbers can tell apart is an error."""
+    paths = spark.range(300_000).selectExpr("concat('s3://bucket/table/part-', id, '.parquet') AS file")
+    numbers = common.free_numbers(paths, last=1_000_000)
+    got = paths.select(numbers.of(paths["file"]).alias("n")).selectExpr("count(distinct n)", "max(n)", "min(n)").first()
+    assert got[0] == 300_000 and got[1] < 1 << (63 - numbers.bits) and got[2] >= 0 and numbers.bits == 20
+    with pytest.raises(ValueError, match="too many"):
+        common.free_numbers(paths, last=1 << 50, tries=2)
+
+
 # ------------------------------------------------------------------ lines
 def check_lines(docs):
     got = {r._rid: r for r in line_dedup(docs).collect()}
@@ -232,6 +258,30 @@ def test_near_tiles_cover_half():
     assert [0, 0, 0, 0] in tiles and len(tiles) == (1 + 8 + 32) // 2 + 1
 
 
+@pytest.mark.parametrize("radius", [0, 1, 2, 6])
+def test_tile_pairs(spark, radius):
+    rng = random.Random(radius)
+    tiles = {tuple(min(16, max(0, 8 + rng.randint(-9, 9))) for _ in range(4)) for _ in range(30)}
+    key = lambda c: sum(x * 32 ** k for k, x in enumerate(c))
+    df = spark.createDataFrame([(key(c),) for c in tiles], "tile int")
+    pairs = N.tile_pairs(df, radius)
+    got = Counter((r.tile, r.tile2) for r in pairs.collect())
+    assert max(got.values()) == 1
+    one = {(a, b) for a, b in got if b in {key(c) for c in tiles}}
+    assert one == {(key(a), key(b)) for a in tiles for b in tiles
+                   if key(a) <= key(b) and sum(abs(x - y) for x, y in zip(a, b)) <= radius}
+    inside = [d for d in near_tiles(radius)]
+    middle = key((8, 8, 8, 8))
+    if middle in {key(c) for c in tiles}:
+        assert sum(1 for a, _ in got if a == middle) == len(inside)
+
+
+def test_plan_of_links_does_not_grow_with_the_radius(spark):
+    fps = spark.range(60).selectExpr("xxhash64(id) AS fp")
+    sizes = [len(N.links(fps, r)._jdf.queryExecution().logical().toString()) for r in (1, 6, 12)]
+    assert max(sizes) < 1.1 * min(sizes)
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(100, 140)] + [(5, k) for k in range(6, 40)] + \
@@ -290,6 +340,12 @@ def test_suffix(saved):
     check_suffix(saved([(i, (t or "")[:9000] if t else t, s) for i, t, s in EDGE_ROWS]))
 
 
+def test_suffix_whole_long_texts(saved, monkeypatch):
+    check_suffix(saved([(i, t, s) for i, t, s in EDGE_ROWS if i in (8, 9, 10, 1, None)]))
+    monkeypatch.setattr(S, "ALONE", 300)  # every longer text a group of its own
+    check_suffix(saved([(i, t.replace("\n", " ")) for i, t in shared_corpus(50)]))
+
+
 def test_suffix_shared_passages_and_hot_anchors(saved):
     docs = saved([(i, t.replace("\n", " ")) for i, t in shared_corpus(50)])
     check_suffix(docs)
