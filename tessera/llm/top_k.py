@@ -400,14 +400,14 @@ def top_k(df: DataFrame, is_query: Column, *, k: int = 5, scale: int = 256, id_c
 
     seeded = written(map_arrow(
         queries.withColumnRenamed("blob", "q").join(
-            data.select(F.col("no").alias("home"), F.col("blob").alias("d")), "home").select("no", "home", "q", "d"),
+            data.select(F.col("no").alias("home"), F.col("blob").alias("d")).hint("merge"), "home").select("no", "home", "q", "d"),
         seed, "no long, home long, blob binary, reach binary, cells array<int>"), "search_seeds")
     pairs = seeded.select("no", "home", "reach", F.explode("cells").alias("cell")).join(
         F.broadcast(known.select("cell", "base", "parts")), "cell").select(
         "no", "home", "reach", F.explode(F.expr("sequence(base, base + parts - 1)")).alias("other")).where(
         "other <> home")
-    pairs = pairs.join(queries.select("no", F.col("blob").alias("q")), "no").join(
-        data.select(F.col("no").alias("other"), F.col("blob").alias("d")), "other")
+    pairs = pairs.join(queries.select("no", F.col("blob").alias("q")).hint("merge"), "no").join(
+        data.select(F.col("no").alias("other"), F.col("blob").alias("d")).hint("merge"), "other")
 
     def meet(batches):
         for batch in batches:
