@@ -151,8 +151,8 @@ def links(fps: DataFrame, radius: int, block: int = 8192) -> DataFrame:
     first = F.when(F.col("tile") == F.col("tile2"), F.col("no")).otherwise(F.lit(0))
     near = near.withColumn("no", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn(
         "no2", F.explode(F.sequence(first, F.col("n2") - 1)))
-    left = blocks.select("tile", "no", F.col("fps").alias("a"))
-    right = blocks.select(F.col("tile").alias("tile2"), F.col("no").alias("no2"), F.col("fps").alias("b"))
+    left = blocks.select("tile", "no", F.col("fps").alias("a")).hint("merge")
+    right = blocks.select(F.col("tile").alias("tile2"), F.col("no").alias("no2"), F.col("fps").alias("b")).hint("merge")
     pairs = near.join(left, ["tile", "no"]).join(right, ["tile2", "no2"]).select("a", "b")
 
     def compare(batches):
