@@ -29,6 +29,7 @@ from .sentences import checked_length
 from .crf_kernels import (make_gradient_step, make_max_transfer_step, make_message_scan,
                           make_segment_decode_step, make_segment_step, make_sequence_scorer,
                           make_transfer_step, make_viterbi_scan)
+from .vector_sums import block_rows, collected, merged_blocks
 
 # fixed values of the reference's sequence model
 DEFAULT_C2 = 0.01
@@ -163,11 +164,16 @@ def _label_index(labels: tuple, y: Column) -> Column:
         F.raise_error(F.lit("label unknown to the model")).cast("int")))
 
 
-def _summed(parts: DataFrame) -> DataFrame:
-    """``(i, value)``: loss (0), sequences (1) and gradient (from 2) summed in one pass over ``parts``."""
-    row = F.concat(F.array("loss", F.col("nseq").cast("double")), "grad")
-    return (parts.select(F.posexplode(row).alias("i", "value")).groupBy("i")
-            .agg(F.sum("value").alias("value")))
+def _summed(parts: DataFrame) -> np.ndarray:
+    """Loss (0), sequences (1) and gradient (from 2) summed over ``parts`` as packed blocks, in a tree."""
+    def pack(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for loss, grad, n in zip(b.column("loss").to_pylist(), b.column("grad"), b.column("nseq").to_pylist()):
+                v = np.concatenate([[loss, n], grad.values.to_numpy()])
+                yield block_rows({(): v}, {}, "<f8")
+    return collected(merged_blocks(parts.mapInArrow(pack, "block int, blob binary")))
 
 
 # --------------------------------------------------------------------------- fit
@@ -196,9 +202,8 @@ class CRFObjective:
             loss = float(sum(r.loss for r in rows))
             grad = np.sum([np.asarray(r.grad) for r in rows], axis=0) if rows else np.zeros(size)
             return loss, grad, int(sum(r.nseq for r in rows))
-        total = np.zeros(size + 2)
-        for r in _summed(parts).collect():  # one row per weight, loss and count with them
-            total[r.i] = r.value
+        total = _summed(parts)
+        total = np.zeros(size + 2) if total is None else total
         return float(total[0]), total[2:], int(total[1])
 
     def data_term(self, w: np.ndarray) -> tuple[float, np.ndarray, int]:
@@ -250,13 +255,13 @@ def training_partitions(spark: SparkSession, partitions: int | None = None) -> i
     return partitions or spark.sparkContext.defaultParallelism
 
 
-def build_segments(hot: DataFrame, d: int, segment_len: int = SEGMENT_LEN) -> DataFrame:
-    """Cut long sequences into segments ``(article_id, seg, n, x, y, y_prev)``
+def build_segments(hot: DataFrame, d: int, segment_len: int = SEGMENT_LEN, keep: tuple = ()) -> DataFrame:
+    """Cut long sequences into segments ``(article_id, seg, n, x, y, y_prev, *keep)``
     and spread the segments over tasks by (article_id, seg)."""
     S = segment_len
     with_y = "y" in hot.columns
     n_seg = F.ceil(F.col("n") / F.lit(S)).cast("int")
-    rows = hot.select("article_id", "n", "x", *(["y"] if with_y else []),
+    rows = hot.select("article_id", "n", "x", *(["y"] if with_y else []), *keep,
                       F.explode(F.sequence(F.lit(0), n_seg - 1)).alias("seg"))
     start = F.col("seg") * S
     length = F.least(F.lit(S), F.col("n") - start)
@@ -264,7 +269,7 @@ def build_segments(hot: DataFrame, d: int, segment_len: int = SEGMENT_LEN) -> Da
                F.when(F.col("seg") > 0, F.element_at("y", start)).alias("y_prev")] if with_y else [])
     return (rows.select(
         "article_id", F.col("seg").cast("int").alias("seg"), length.cast("int").alias("n"),
-        F.slice("x", start * d + 1, length * d).alias("x"), *labels)
+        F.slice("x", start * d + 1, length * d).alias("x"), *labels, *keep)
         .repartition("article_id", "seg"))
 
 
@@ -353,9 +358,11 @@ def gradient_rows(seqs: DataFrame, model: CRFModel) -> DataFrame:
     parts = data.mapInArrow(make_gradient_step(W, A, model.labels), STEP_SCHEMA)
     names = [f"{n}|{lab}" for n in model.feature_names for lab in model.labels]
     names += [f"trans|{a}|{b}" for a in model.labels for b in model.labels]
-    name_map = F.array(*[F.lit(n) for n in ["loss", "nseq", *names]])
-    return _summed(parts).select(F.element_at(name_map, F.col("i") + 1).alias("param"), "value").where(
-        "param <> 'nseq'")
+    total = _summed(parts)
+    if total is None:
+        total = np.zeros(2 + len(names))
+    rows = [("loss", float(total[0])), *zip(names, total[2:].tolist())]
+    return seqs.sparkSession.createDataFrame(rows, "param string, value double")
 
 
 # ------------------------------------------------------------------------ decode

@@ -6,7 +6,7 @@ Spark pass, so the optimiser itself is a few vector operations per round.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,11 +22,11 @@ class LBFGSResult:
     history: list = field(default_factory=list)
 
 
-def minimize(fg: Callable[[np.ndarray], tuple[float, np.ndarray]], w0: np.ndarray,
-             max_iter: int = 50, m: int = 6, epsilon: float = 1e-5,
-             past: int = 10, delta: float = 1e-5, max_linesearch: int = 20,
-             free: np.ndarray | None = None) -> LBFGSResult:
-    """Minimise ``f`` with L-BFGS and a backtracking (Armijo) line search.
+def steps(w0: np.ndarray, max_iter: int = 50, m: int = 6, epsilon: float = 1e-5,
+          past: int = 10, delta: float = 1e-5, max_linesearch: int = 20, free: np.ndarray | None = None,
+          ) -> Generator[np.ndarray, tuple[float, np.ndarray], LBFGSResult]:
+    """L-BFGS with a backtracking (Armijo) line search, as a generator: it yields weights, is sent
+    their objective and gradient, and returns the result. So several fits can advance together.
 
     ``free`` marks weights that may move; the others stay at their start value.
     Stops on ``max_iter`` rounds, on a small gradient
@@ -35,7 +35,7 @@ def minimize(fg: Callable[[np.ndarray], tuple[float, np.ndarray]], w0: np.ndarra
     """
     free = np.ones_like(w0, dtype=bool) if free is None else free.astype(bool)
     w = w0.astype(float).copy()
-    f, g = fg(w)
+    f, g = yield w
     g = np.where(free, g, 0.0)
     evals = 1
     s_hist: list[np.ndarray] = []
@@ -75,7 +75,7 @@ def minimize(fg: Callable[[np.ndarray], tuple[float, np.ndarray]], w0: np.ndarra
         step = 1.0
         for _ in range(max_linesearch):
             w_new = w + step * d
-            f_new, g_new = fg(w_new)
+            f_new, g_new = yield w_new
             evals += 1
             if f_new <= f + 1e-4 * step * slope:
                 break
@@ -100,3 +100,28 @@ def minimize(fg: Callable[[np.ndarray], tuple[float, np.ndarray]], w0: np.ndarra
                 break
     return LBFGSResult(w=w, f=f, iterations=it, evaluations=evals, converged=reason,
                        history=f_hist)
+
+
+def minimize(fg: Callable[[np.ndarray], tuple[float, np.ndarray]], w0: np.ndarray, **params) -> LBFGSResult:
+    """Minimise one function; the parameters are those of ``steps``."""
+    return minimize_together(lambda at: {k: fg(w) for k, w in at.items()}, {0: steps(w0, **params)})[0]
+
+
+def minimize_together(evaluate: Callable[[dict], dict], fits: dict) -> dict:
+    """Advance several ``steps`` in step: ``evaluate`` gets the weights each unfinished one asks for
+    and returns their (objective, gradient). A finished one leaves."""
+    done, asked = {}, {}
+
+    def advance(key, value):
+        try:
+            asked[key] = fits[key].send(value)
+        except StopIteration as end:
+            asked.pop(key, None)
+            done[key] = end.value
+
+    for key in fits:
+        advance(key, None)
+    while asked:
+        for key, value in evaluate(dict(asked)).items():
+            advance(key, value)
+    return done

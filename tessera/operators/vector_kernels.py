@@ -7,6 +7,8 @@ import sys
 import numpy as np
 from pyspark import cloudpickle
 
+from .vector_sums import BLOCK, HELD, block_rows
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need numpy and pyarrow only
 
 
@@ -15,20 +17,28 @@ def _matrix(col) -> np.ndarray:
     return flat.reshape(len(col), -1)
 
 
-def make_moments(vec: str):
-    """Batches -> one row per partition: count, sum and sum of outer products."""
+def make_moments(vec: str, groups: int = 0):
+    """Batches -> per partition the count, sum and sum of outer products, as packed blocks.
+
+    With ``groups`` one such sum per row group, by the bits of the column ``member``."""
     def run(batches):
         import pyarrow as pa
 
-        total = None
+        total = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             x = _matrix(batch.column(vec))
-            m = np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
-            total = m if total is None else total + m
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"m": pa.array([total.tolist()], pa.list_(pa.float64()))})
+            parts = {(): x}
+            if groups:
+                member = batch.column("member").to_numpy(zero_copy_only=False)
+                parts = {(g,): x[(member >> g & 1) > 0] for g in range(groups)}
+            for key, v in parts.items():
+                if len(v):
+                    m = np.concatenate([[len(v)], v.sum(axis=0), (v.T @ v).ravel()])
+                    total[key] = total.get(key, 0.0) + m
+        if total:
+            yield block_rows(total, {"model": pa.int32()} if groups else {}, "<f8")
 
     return run
 
@@ -47,3 +57,50 @@ def make_projector(components: np.ndarray, mean: np.ndarray, keep: list, vec: st
                                              names=[*keep, out])
 
     return run
+
+
+def make_mean_sums(keys: int):
+    """Batches (k0.., m, v) -> per partition and group the sums of m * v and of m, element by element.
+
+    Sent as pairs (sum, weight); what a partition holds is sent on beyond ``HELD`` bytes."""
+    def run(batches):
+        held, fields = {}, None
+        for batch in batches:
+            fields = {f"k{i}": batch.schema.field(f"k{i}").type for i in range(keys)}
+            groups = list(zip(*[batch.column(f"k{i}").to_pylist() for i in range(keys)])) or [()] * batch.num_rows
+            weight = batch.column("m").to_numpy(zero_copy_only=False)
+            for key, m, v in zip(groups, weight.tolist(), batch.column("v")):
+                x = v.values.fill_null(0.0).to_numpy()
+                pair = np.stack([x * m, np.full(len(x), m)], axis=1).ravel()
+                old = held.get(key)
+                if old is None:
+                    held[key] = pair
+                elif len(old) >= len(pair):
+                    old[:len(pair)] += pair
+                else:
+                    pair[:len(old)] += old
+                    held[key] = pair
+            if sum(v.nbytes for v in held.values()) > HELD:
+                yield block_rows(held, fields, "<f8")
+                held = {}
+        if held:
+            yield block_rows(held, fields, "<f8")
+    return run
+
+
+def make_means(keys: int):
+    """Summed pairs -> rows (k0.., dim, value): the means, with a denominator of 1 at least."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                pair = np.frombuffer(batch.column("blob")[r].as_buffer(), "<f8").reshape(-1, 2)
+                first = batch.column("block")[r].as_py() * (BLOCK // 2)
+                cols = [pa.array([batch.column(f"k{i}")[r].as_py()] * len(pair), batch.schema.field(f"k{i}").type)
+                        for i in range(keys)]
+                yield pa.RecordBatch.from_arrays(
+                    [*cols, pa.array(np.arange(first, first + len(pair), dtype=np.int32)),
+                     pa.array(pair[:, 0] / np.maximum(pair[:, 1], 1.0))],
+                    names=[*[f"k{i}" for i in range(keys)], "dim", "value"])
+    return run

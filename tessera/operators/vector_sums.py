@@ -59,8 +59,12 @@ def make_merger(keys: tuple, dtype: str):
                     if current is not None:
                         yield row(schema)
                     current, total = key, v.copy()
-                else:
-                    total += v
+                elif len(v) <= len(total):
+                    total[:len(v)] += v
+                else:  # vectors of a key may differ in length
+                    v = v.copy()
+                    v[:len(total)] += total
+                    total = v
         if current is not None:
             yield row(schema)
     return run

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens
-from .vector_kernels import make_moments, make_projector
+from .vector_kernels import make_mean_sums, make_means, make_moments, make_projector
+from .vector_sums import collected, merged_blocks
 
 BROADCAST_MAX_BYTES = 64 << 20   # vector tables up to this size may be broadcast
 DEFAULT_PCA_DIM = 50             # fixed value of the reference's experiment config
@@ -62,19 +63,14 @@ def checked_broadcast(df: DataFrame, vec: str, max_bytes: int = BROADCAST_MAX_BY
 def testdata_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector for every sentence of the documents table, from the whole
     ``embeddings`` table (FIXTURES.md section 3): vector ``(doc_id * 31 + pos)``
-    modulo the number of vector ids. For R10, 1/16 of the articles (by hash)
-    have no vectors and another 1/16 lack their last sentence's."""
+    modulo the number of vector ids."""
     from ..functions.text import split_sentences
-    from ..sources.articles import hash_bucket
     emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     ids = (emb.agg(F.max("vec_id")).first()[0] or 0) + 1
-    bucket = hash_bucket(F.col("doc_id"), 16, "vectors")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
-        "doc_id", F.coalesce(F.size(split_sentences("text")), F.lit(0)).alias("n"), bucket.alias("b"))
-    last = F.col("n") - F.when(F.col("b") == 1, 2).otherwise(1)
-    keys = (docs.filter((F.col("b") != 0))
-            .select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("article_id"), "doc_id",
-                    F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("pos"))
+        "doc_id", F.coalesce(F.size(split_sentences("text")), F.lit(0)).alias("n"))
+    keys = (docs.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("article_id"), "doc_id",
+                        F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1))).alias("pos"))
             .withColumn("vec_id", F.pmod(F.col("doc_id") * 31 + F.col("pos"), F.lit(ids))))
     return (keys.join(checked_broadcast(emb, "embedding"), "vec_id")
             .select("article_id", "pos", F.col("embedding").alias("vec")))
@@ -82,13 +78,18 @@ def testdata_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ pooling
 def pool_mean(df: DataFrame, keys: list[str], vec: str, mask: Column | None = None) -> DataFrame:
-    """Masked element-wise mean per group, denominator at least 1:
-    long output ``(*keys, dim, value)``; partial aggregation per (key, dim)."""
+    """Masked element-wise mean per group, denominator at least 1: long output ``(*keys, dim, value)``.
+
+    A partition sends one packed sum per group, not a row per element. A group's vectors may differ in
+    length: each element has its own denominator."""
     m = F.lit(1.0) if mask is None else mask.cast("double")
-    rows = df.select(*keys, m.alias("_m"), F.posexplode(vec).alias("dim", "_v"))
-    return (rows.groupBy(*keys, "dim")
-            .agg((F.sum(F.col("_v").cast("double") * F.col("_m")) / F.greatest(F.sum("_m"), F.lit(1.0)))
-                 .alias("value")))
+    staged = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.coalesce(m, F.lit(0.0)).alias("m"),
+                       F.col(vec).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+    kinds = ", ".join(f"k{i} {staged.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keys)))
+    parts = staged.mapInArrow(make_mean_sums(len(keys)), f"{kinds}, block int, blob binary")
+    sums = merged_blocks(parts).mapInArrow(
+        make_means(len(keys)), f"{kinds}, dim int, value double")
+    return sums.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "dim", "value")
 
 
 def pool_first(df: DataFrame, keys: list[str], vec: str, order: str) -> DataFrame:
@@ -144,15 +145,14 @@ class PCAProjection:
 
 def vector_moments(vectors: DataFrame, vec: str = "vec", zero_rows: int = 0):
     """(rows, mean, covariance) in one pass: each partition sends its count, sum and sum of
-    outer products. ``zero_rows`` all-zero vectors count as rows."""
+    outer products as packed blocks. ``zero_rows`` all-zero vectors count as rows."""
     parts = vectors.select(F.col(vec).cast("array<double>").alias("v")).mapInArrow(
-        make_moments("v"), "m array<double>")
-    got = (parts.select(F.posexplode("m").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect())
-    if not got:
-        return 0, None, None
-    m = np.zeros(len(got))
-    for r in got:  # d * d + d + 1 numbers
-        m[r.i] = r.x
+        make_moments("v"), "block int, blob binary")
+    m = collected(merged_blocks(parts))
+    return (0, None, None) if m is None else _moments(m, zero_rows)
+
+
+def _moments(m: np.ndarray, zero_rows: int):
     d = int(round((np.sqrt(4 * len(m) - 3) - 1) / 2))
     n = int(m[0]) + zero_rows
     mean = m[1:1 + d] / n
@@ -160,16 +160,38 @@ def vector_moments(vectors: DataFrame, vec: str = "vec", zero_rows: int = 0):
     return n, mean, cov
 
 
+def _pca(mean: np.ndarray, cov: np.ndarray, k: int) -> PCAProjection:
+    values, comps = np.linalg.eigh(cov)
+    order = np.argsort(values)[::-1][:min(k, len(mean))]
+    return PCAProjection(mean, comps[:, order].T, np.maximum(values[order], 0.0), float(np.trace(cov)))
+
+
 def fit_pca(vectors: DataFrame, vec: str = "vec", k: int = DEFAULT_PCA_DIM,
             zero_rows: int = 0) -> PCAProjection | None:
     """k = min(k, width); fitted on the rows given; None when there are none.
     Only the width x width covariance reaches the driver."""
     n, mean, cov = vector_moments(vectors.filter(F.col(vec).isNotNull()), vec, zero_rows)
-    if not n:
-        return None
-    values, comps = np.linalg.eigh(cov)
-    order = np.argsort(values)[::-1][:min(k, len(mean))]
-    return PCAProjection(mean, comps[:, order].T, np.maximum(values[order], 0.0), float(np.trace(cov)))
+    return _pca(mean, cov, k) if n else None
+
+
+def fit_pca_groups(articles: DataFrame, vectors: DataFrame, groups: int, k: int = DEFAULT_PCA_DIM) -> list:
+    """D9 for each row group (bits of the articles' column ``member``) in one pass over the vectors;
+    a sentence without a vector in an article that has some is a zero vector. None for a group without vectors."""
+    n = articles.select("article_id", F.size("sentences").alias("n"), "member")
+    rows = vectors.filter(F.col("vec").isNotNull()).select("article_id", "pos", "vec").join(n, "article_id").where("pos < n")
+    parts = rows.select(F.col("vec").cast("array<double>").alias("v"), "member").mapInArrow(
+        make_moments("v", groups), "model int, block int, blob binary")
+    blocks: dict = {}
+    for r in merged_blocks(parts).orderBy("block").collect():  # width * width numbers a group
+        blocks.setdefault(r.model, []).append(np.frombuffer(bytes(r.blob), "<f8"))
+    have = n.join(vectors.select("article_id").distinct(), "article_id", "left_semi")
+    total = have.agg(*[F.coalesce(F.sum(F.when(F.shiftright("member", g).bitwiseAND(F.lit(1)) > 0, F.col("n"))),
+                                  F.lit(0)) for g in range(groups)]).first()
+    out = []
+    for g in range(groups):
+        m = np.concatenate(blocks[g]) if g in blocks else None
+        out.append(None if m is None else _pca(*_moments(m, int(total[g]) - int(m[0]))[1:], k))
+    return out
 
 
 def training_rows(articles: DataFrame, vectors: DataFrame) -> tuple[DataFrame, int]:

@@ -5,16 +5,19 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, replace
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import any_positive
 from ..functions.text import DEFAULT_DOMAIN
-from ..operators import crf
+from ..operators import crf, crf_fused
 from ..operators import metrics as M
 from ..operators.features import FeatureContext, feature_names, with_feature_arrays
-from ..operators.vectors import PCAProjection, embedding_features, fit_pca_articles
+from ..operators.sentences import checked_length
+from ..operators.vectors import (PCAProjection, article_matrices, attach_vectors, embedding_features, fit_pca_articles,
+                                 fit_pca_groups)
 from ..sources import sinks
 from ..sources.articles import hash_bucket, split_filter
 
@@ -152,35 +155,81 @@ def run_eval(spark: SparkSession, articles: DataFrame, ctx: FeatureContext, mode
     return pred
 
 
+def _score_together(spark: SparkSession, articles: DataFrame, ctx: FeatureContext, vectors: DataFrame | None,
+                    groups: list, variants: list, scored, keys: tuple = ()) -> tuple[list, list]:
+    """Fit ``variants`` (config, index of a row group) together, then score all of them on the rows that ``scored``
+    selects. Returns (models, metric rows with ``model`` and ``keys``).
+
+    The attributes are computed once, for all articles of a group or to be scored, and kept: named features,
+    raw sentence vectors, a flag that an article has them. Fitting takes the passes of the longest fit
+    (``crf_fused``), decoding one. Each group's PCA comes from one pass over the vectors."""
+    use_vectors = vectors is not None and any(c.use_vectors for c, _ in variants)
+    member = crf_fused.member_mask(groups)
+    a = with_feature_arrays(articles, ctx, any(c.use_lexicons for c, _ in variants)).withColumn("member", member)
+    a = a.withColumn("_scored", F.coalesce(scored, F.lit(False))).filter("member <> 0 OR _scored")
+    named = feature_names(any(c.use_lexicons for c, _ in variants))
+    projections, width, x = [None] * len(groups), 0, crf.sequence_values(named)
+    if use_vectors:
+        dims = {c.pca_dim for c, _ in variants if c.use_vectors}
+        if len(dims) != 1:
+            raise ValueError("models fitted together need one pca_dim")
+        projections = fit_pca_groups(articles.withColumn("member", member).filter("member <> 0"), vectors, len(groups),
+                                     dims.pop())
+        width = next((len(p.mean) for p in projections if p is not None), 0)
+    if width:
+        a = attach_vectors(a, article_matrices(vectors))
+        train_only = F.lit(any(c.embed_scope == "train" for c, _ in variants)) & (F.col("member") == 0)  # X2
+        zeros = F.array_repeat(F.lit(0.0), width + 1)
+        none = F.transform("sentences", lambda s: zeros)
+        vecs = F.transform("vecs", lambda v: F.concat(v, F.array(F.lit(1.0))))
+        a = a.withColumn("_v", F.when(F.col("vecs").isNull() | train_only, none).otherwise(vecs))
+        x = crf.sequence_values((*named, "emb"), emb="_v")
+    rows = a.select("article_id", *keys, F.size("sentences").alias("n"), x.alias("x"),
+                    F.slice("sentence_labels", 1, checked_length()).alias("y"), "member", "_scored",
+                    any_positive("sentence_labels").alias("y_true")).persist(StorageLevel.MEMORY_AND_DISK)
+    specs = [_spec(c, g, named, projections[g] if c.use_vectors and vectors is not None else None, width)
+             for c, g in variants]
+    try:
+        models = crf_fused.fit_together(rows, specs, variants[0][0].partitions)
+        pred = crf_fused.predict_together(rows.filter("_scored"), models, specs, (*keys, "y_true"))
+        return models, article_metrics(pred, keys=["model", *keys]).collect()  # a few rows a model
+    finally:
+        rows.unpersist()
+
+
+def _spec(cfg: CRFConfig, group: int, named: tuple, proj: PCAProjection | None, width: int) -> crf_fused.Spec:
+    """A config's attributes as a map of the common ones: chosen features, and its own PCA scores, which are
+    ``vector @ components.T - mean @ components.T`` where the article has vectors."""
+    names = feature_names(cfg.use_lexicons) + _emb_dim_names(proj)
+    common = len(named) + (width + 1 if width else 0)
+    P = np.zeros((common, len(names)))
+    plain = [n for n in names if not n.startswith("emb")]
+    for j, n in enumerate(plain):
+        P[named.index(n), j] = 1.0
+    if proj is not None:
+        P[len(named):len(named) + width, len(plain):] = proj.components.T
+        P[len(named) + width, len(plain):] = -proj.offset
+    toggles = {"use_lexicons": cfg.use_lexicons, "use_vectors": proj is not None}
+    return crf_fused.Spec(names, P, group, cfg.transitions, cfg.c2, cfg.max_iter, toggles)
+
+
 def cross_domain(spark: SparkSession, articles: DataFrame, ctx: FeatureContext,
                  domains: list[str], cfg: CRFConfig = CRFConfig(use_vectors=False),
                  vectors: DataFrame | None = None) -> DataFrame:
     """H11 with the CRF: for every ordered pair of distinct domains, fit on
-    all of A (X6) and test on all of B. Lexicon features are computed once
-    for all articles and persisted; each train domain adds its own PCA
-    projection, fits once and scores its test domains in one pass. Only the
+    all of A (X6) and test on all of B. The domains' models are fitted together, a domain being
+    a row group, and score the corpus in one pass. Only the
     metric rows (a few per pair) come back to the driver."""
     from ..schemas import METRICS_SCHEMA, counted
-    feats = with_feature_arrays(articles, ctx, cfg.use_lexicons).persist(StorageLevel.MEMORY_AND_DISK)
+    own = [F.col("domain").eqNullSafe(F.lit(a)) for a in domains]  # a null domain is a domain
     rows = []
-    try:
-        for a in domains:
-            own = F.col("domain").eqNullSafe(F.lit(a))  # a null domain is a domain
-            tr = feats.filter(own)
-            proj = None
-            if cfg.use_vectors and vectors is not None:
-                proj = fit_pca_articles(tr, vectors, k=cfg.pca_dim)
-            run = _fit_featurised(embedding_features(tr, vectors, proj) if proj else tr, cfg, proj)
-            others = feats.filter(~own & in_domains(domains))
-            test_vectors = None if cfg.embed_scope == "train" else vectors
-            use_emb = run.proj is not None and test_vectors is not None
-            scored = decode_frame(run, embedding_features(others, test_vectors, proj) if use_emb else others,
-                                  use_emb)
-            for r in article_metrics(scored, keys=["domain"]).collect():
-                rows.append(("CRF", "cross", "test", r.accuracy, r.precision, r.recall, r.f1,
-                             f"{a}->{r.domain}", r.n, r.tp + r.fn))
-    finally:
-        feats.unpersist()
+    size = crf_fused.MAX_GROUPS
+    for at in range(0, len(domains), size):
+        part = domains[at:at + size]
+        _, got = _score_together(spark, articles, ctx, vectors, own[at:at + size],
+                                 [(cfg, g) for g in range(len(part))], in_domains(domains), ("domain",))
+        rows += [("CRF", "cross", "test", r.accuracy, r.precision, r.recall, r.f1, f"{part[r.model]}->{r.domain}",
+                  r.n, r.tp + r.fn) for r in got if r.domain != part[r.model]]
     return spark.createDataFrame(rows, counted(METRICS_SCHEMA))
 
 
@@ -198,54 +247,25 @@ ABLATIONS = {
 }
 
 
-def _concurrently(fn, items, max_workers: int = 4) -> list:
-    """Run independent fits from driver threads so their small per-round
-    jobs overlap on the cluster; results keep the input order."""
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=max(1, min(max_workers, len(items)))) as pool:
-        return list(pool.map(fn, items))
-
-
-def _fit_featurised(fa: DataFrame, cfg: CRFConfig, proj: PCAProjection | None) -> CRFRun:
-    """H1 on already featurised training rows, using the features ``cfg`` selects."""
-    use_emb = cfg.use_vectors and proj is not None
-    names = feature_names(cfg.use_lexicons) + (_emb_dim_names(proj) if use_emb else ())
-    seqs = crf.sequences(fa, names, emb="emb" if use_emb else None)
-    toggles = {"use_lexicons": cfg.use_lexicons, "use_vectors": use_emb}
-    model = crf.fit(seqs, names, cfg.transitions, cfg.c2, cfg.max_iter, cfg.partitions, toggles)
-    return CRFRun(model, proj if use_emb else None, cfg)
-
-
 def ablation(spark: SparkSession, articles: DataFrame, ctx: FeatureContext,
              vectors: DataFrame | None = None, base: CRFConfig = CRFConfig(),
              variants: dict = ABLATIONS, eval_split: str = "val", record_dir: str | None = None) -> DataFrame:
     """Each toggle set trained and evaluated, plus F1 change vs 'full'.
 
-    Features (all of them) and the PCA are computed once for the training and
-    evaluation splits and persisted; each variant fits on the columns its
-    toggles select (a variant without lexicons reads only position/lead)."""
-    tr, ev = split_filter(articles, "train"), split_filter(articles, eval_split)
-    proj = None
-    if vectors is not None and any(replace(base, **c).use_vectors for c in variants.values()):
-        proj = fit_pca_articles(tr, vectors, k=base.pca_dim)
-    full = replace(base, use_lexicons=True, use_vectors=True)
-    ftr = featurise(tr, ctx, full, proj, vectors).persist(StorageLevel.MEMORY_AND_DISK)
-    fev = featurise(ev, ctx, full, proj, vectors).persist(StorageLevel.MEMORY_AND_DISK)
-    def one(item):
-        name, change = item
-        run = _fit_featurised(ftr, replace(base, **change), proj)
-        m = article_metrics(decode_frame(run, fev, run.proj is not None)).first()
+    The variants are one fit: each is a map of the same attributes (``_score_together``)."""
+    configs = [(replace(base, **c), 0) for c in variants.values()]
+    models, got = _score_together(spark, articles, ctx, vectors, [F.col("split") == "train"], configs,
+                                  F.col("split") == eval_split)
+    found = {r.model: r for r in got}
+    rows = []
+    for i, name in enumerate(variants):
+        if (m := found.get(i)) is None:
+            continue  # nothing to evaluate on
         if record_dir:  # a result row per variant, as other runs leave
             sinks.dump_result_row(sinks.metrics_row(
                 spark.createDataFrame([m]), "CRF", "all", eval_split, name, counts=True), f"{record_dir}/{name}")
-        return (name, eval_split, m.n, m.accuracy, m.precision, m.recall, m.f1,
-                run.model.info.get("iterations"), m.tp + m.fn)
-
-    try:
-        rows = _concurrently(one, list(variants.items()))
-    finally:
-        ftr.unpersist()
-        fev.unpersist()
+        rows.append((name, eval_split, m.n, m.accuracy, m.precision, m.recall, m.f1,
+                     models[i].info.get("iterations"), m.tp + m.fn))
     df = spark.createDataFrame(rows, "variant string, split string, n bigint, accuracy double, "
                                      "precision double, recall double, f1 double, iterations int, n_pos bigint")
     full_f1 = next((r[6] for r in rows if r[0] == "full"), None)
@@ -262,27 +282,10 @@ def learning_curve(spark: SparkSession, articles: DataFrame, ctx: FeatureContext
                    vectors: DataFrame | None = None, model: str = "CRF") -> DataFrame:
     """H9: refit on nested training samples, F1 on the full test split.
 
-    Without vectors the training and test features are computed once and
-    persisted; each sample is a filter on them. With vectors the PCA belongs
-    to each sample, so every sample is featurised on its own."""
-    test = split_filter(articles, "test")
-    rows = []
-    if cfg.use_vectors and vectors is not None:
-        for pct in pcts:
-            run = train(spark, nested_sample(split_filter(articles, "train"), pct), ctx, cfg, vectors, split=None)
-            m = article_metrics(predict(run, test, ctx, vectors)).first()
-            rows.append((model, float(pct), float(m.f1), m.n, m.tp + m.fn))
-    else:
-        ftr = featurise(split_filter(articles, "train"), ctx, cfg, None, None).persist(StorageLevel.MEMORY_AND_DISK)
-        fte = featurise(test, ctx, cfg, None, None).persist(StorageLevel.MEMORY_AND_DISK)
-        def one(pct):
-            run = _fit_featurised(nested_sample(ftr, pct), cfg, None)
-            m = article_metrics(decode_frame(run, fte, False)).first()
-            return (model, float(pct), float(m.f1), m.n, m.tp + m.fn)
-
-        try:
-            rows = _concurrently(one, list(pcts))
-        finally:
-            ftr.unpersist()
-            fte.unpersist()
+    A sample is a row group: all are fitted together, with a PCA of each group's own, and score test in one pass."""
+    bucket = hash_bucket(F.col("article_id"), 100, "curve")
+    groups = [(F.col("split") == "train") & (bucket < F.lit(p)) for p in pcts]
+    _, got = _score_together(spark, articles, ctx, vectors, groups, [(cfg, g) for g in range(len(pcts))],
+                             F.col("split") == "test")
+    rows = [(model, float(pcts[r.model]), float(r.f1), r.n, r.tp + r.fn) for r in got]
     return spark.createDataFrame(rows, "model string, train_pct double, f1 double, n bigint, n_pos bigint")
