@@ -104,3 +104,18 @@ def make_means(keys: int):
                      pa.array(pair[:, 0] / np.maximum(pair[:, 1], 1.0))],
                     names=[*[f"k{i}" for i in range(keys)], "dim", "value"])
     return run
+
+
+def make_distances(components: np.ndarray, mean: np.ndarray, keep: list, vec: str, scores: str, out: str):
+    """Batches -> the kept columns and sqrt(|scores|^2 + |vector - mean - scores . components|^2)."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            p = _matrix(batch.column(scores))
+            left = _matrix(batch.column(vec)) - mean - p @ components
+            far = np.sqrt((p * p).sum(axis=1) + (left * left).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(far)], names=[*keep, out])
+    return run

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens
-from .vector_kernels import make_mean_sums, make_means, make_moments, make_projector
+from .vector_kernels import make_distances, make_mean_sums, make_means, make_moments, make_projector
 from .vector_sums import collected, merged_blocks
 
 BROADCAST_MAX_BYTES = 64 << 20   # vector tables up to this size may be broadcast
@@ -135,6 +135,15 @@ class PCAProjection:
         return vectors.select(*names, F.col(vec).cast("array<double>").alias(vec)).mapInArrow(
             make_projector(self.components, self.mean, names, vec, out), schema)
 
+    def distances(self, rows: DataFrame, vec: str, scores: str, out: str) -> DataFrame:
+        """Rows with ``out`` in place of ``vec`` and ``scores``: the length of the scores and of what they
+        leave out of the vector, together."""
+        keep = [f for f in rows.schema.fields if f.name not in (vec, scores)]
+        names = [f.name for f in keep]
+        schema = T.StructType([*keep, T.StructField(out, T.DoubleType())])
+        return rows.select(*names, *[F.col(c).cast("array<double>").alias(c) for c in (vec, scores)]).mapInArrow(
+            make_distances(self.components, self.mean, names, vec, scores, out), schema)
+
     def project(self, v: Column) -> Column:
         """Scores of one ``array<double>`` as a Catalyst expression (small inputs)."""
         comps = [F.array(*[F.lit(float(x)) for x in row]) for row in self.components]

@@ -105,33 +105,19 @@ def q_crf_grad0(spark, sf):
 
 @query("crf_fit")
 def q_crf_fit(spark, sf):
-    """H1 + H5: fit on train (full 50 rounds). For every state weight: what the data
-    has of it (feature sum over sentences with the label), and that the fit left
-    the gradient small against that sum, as the one optimum asks for."""
+    """H1 + H5: the weights fitted on train (full 50 rounds) and the gradient left at them."""
     s = scored_articles(spark, sf).filter(F.col("split") == "train")
     seqs = crf.sequences(s, FEATURE_NAMES).persist()
     try:
         model = crf.fit(seqs, FEATURE_NAMES)
         grad = {r.param: r.value for r in crf.gradient_rows(seqs, model).collect()}
-        seen = (seqs.select(F.explode("y").alias("label"), F.lit(1).alias("one"))
-                .groupBy("label").agg(F.sum("one").alias("n")).collect())
-        z = seqs.select(F.posexplode("x").alias("i", "v"), "y")
-        d = len(FEATURE_NAMES)
-        sums = (z.groupBy((F.col("i") % d).alias("j"), F.get("y", (F.col("i") / d).cast("int")).alias("label"))
-                .agg(F.sum("v").alias("s")).collect())
     finally:
         seqs.unpersist()
-    data = {(FEATURE_NAMES[r.j], r.label): r.s for r in sums}
-    n = {r.label: r.n for r in seen}
-    rows = []
-    for j, name in enumerate(FEATURE_NAMES):
-        for k, lab in enumerate(model.labels):
-            w = float(model.W[j, k])
-            left = abs(grad[f"{name}|{lab}"] + 2 * model.c2 * w)
-            size = max(1.0, max(abs(data.get((name, x), 0.0)) for x in model.labels))
-            rows.append((name, int(lab), int(n[lab]), float(data.get((name, lab), 0.0)), bool(left <= 0.05 * size)))
-    return spark.createDataFrame(rows, "feature string, label int, n_sentences bigint, data_sum double, "
-                                       "near_optimum boolean")
+    rows = [(f"{n}|{lab}", float(model.W[j, k])) for j, n in enumerate(FEATURE_NAMES) for k, lab in enumerate(model.labels)]
+    rows += [(f"trans|{a}|{b}", float(model.A[i, j])) for i, a in enumerate(model.labels)
+             for j, b in enumerate(model.labels)]
+    return spark.createDataFrame([(p, w, grad[p] + 2 * model.c2 * w) for p, w in rows],
+                                 "param string, weight double, gradient double")
 
 
 # ----------------------------------------------------------------- vectors
@@ -210,24 +196,16 @@ def q_pca_fit(spark, sf):
 
 @query("pca_project")
 def q_pca_project(spark, sf):
-    """D10 on every sentence of articles with vectors: scores and what the
-    components leave out, whose squares must add up to the distance from the mean."""
+    """D10 on every sentence: scores and what the components leave out, whose
+    squares must add up to the distance from the mean."""
     from ..operators.vectors import article_matrices, attach_vectors, embedding_features
     arts, vecs, proj = _fitted_pca(spark, sf)
     a = attach_vectors(arts.select("article_id", "sentences"), article_matrices(vecs))
     e = embedding_features(a, vecs, proj).filter(F.col("vecs").isNotNull())
     z = e.select("article_id", F.posexplode(F.arrays_zip(F.col("vecs").alias("v"),
                                                          F.col("emb").alias("p"))).alias("pos", "z"))
-    norm2 = lambda arr: F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x * x)
-    # the vector that the scores stand for: mean + sum of score times component
-    columns = F.expr("array({})".format(", ".join(  # one literal, parsed at once
-        "array({})".format(", ".join(f"{float(x)!r}D" for x in col)) for col in proj.components.T)))
-    means = F.array(*[F.lit(float(m)) for m in proj.mean])
-    moved = F.transform(columns, lambda c: F.aggregate(
-        F.zip_with(c, "z.p", lambda x, s: x * s), F.lit(0.0), lambda acc, x: acc + x))
-    left = norm2(F.zip_with("z.v", F.zip_with(means, moved, lambda m, d: m + d), lambda v, b: v - b))
-    return z.select("article_id", "pos",
-                    F.round(F.sqrt(norm2(F.col("z.p")) + left), 5).alias("from_mean"))
+    far = proj.distances(z.select("article_id", "pos", "z.v", "z.p"), "v", "p", "from_mean")
+    return far.select("article_id", "pos", F.round("from_mean", 5).alias("from_mean"))
 
 
 @query("sentence_vectors")
@@ -261,13 +239,6 @@ def _text_splits(spark, sf):
             t.filter(F.col("split") == "test"))
 
 
-def _valid(*scores):
-    ok = F.lit(True)
-    for s in scores:
-        ok = ok & F.col(s).between(0.0, 1.0)
-    return F.coalesce(ok, F.lit(False))
-
-
 @query("baseline_fit")
 def q_baseline_fit(spark, sf):
     """H7 + D12: TF-IDF logistic regression candidates scored on val."""
@@ -275,17 +246,16 @@ def q_baseline_fit(spark, sf):
     tr, va, _ = _text_splits(spark, sf)
     _, table = fit_with_validation(tr, va, "tfidf_lr")
     return table.select("candidate", "variant", "reg_param", "max_iter", "n_val", "n_val_pos", "n_train",
-                        "n_train_pos", _valid("val_f1", "val_accuracy").alias("scores_valid"))
+                        "n_train_pos", "val_f1", "val_accuracy")
 
 
 @query("baseline_predict")
 def q_baseline_predict(spark, sf):
-    """H8: best candidate's test predictions (arg-max of raw scores) against the truth,
-    as one row per article: its truth and whether it got one prediction of 0 or 1."""
+    """H8: best candidate's test predictions (arg-max of raw scores) next to the truth."""
     from ..operators.baseline import fit_with_validation, predict
     tr, va, te = _text_splits(spark, sf)
     model, _ = fit_with_validation(tr, va, "tfidf_lr")
-    return predict(model, te).select("article_id", "y_true", F.col("y_pred").isin(0, 1).alias("predicted"))
+    return predict(model, te).select("article_id", "y_true", "y_pred")
 
 
 @query("classifier_experiment")
@@ -307,7 +277,7 @@ def q_classifier_experiment(spark, sf):
             F.count("*").alias("n_predictions"), F.sum("y_true").alias("n_true")))
     main = read_main_results(spark, root).join(counts[0].unionByName(counts[1]), "model")
     return main.select("model", "domain", "split", "notes", "n", "n_pos", "n_predictions", "n_true",
-                       _valid("accuracy", "precision", "recall", "f1").alias("scores_valid"),
+                       "accuracy", "precision", "recall", "f1",
                        F.element_at(F.split("source_dir", "/"), -1).alias("source"))
 
 
@@ -318,7 +288,7 @@ def q_cross_domain_classifier(spark, sf):
     from ..sources.articles import testdata_articles
     arts = testdata_articles(spark, sf)
     return cross_domain(spark, arts, _domains(arts)).select(
-        "model", "notes", "n", "n_pos", _valid("accuracy", "precision", "recall", "f1").alias("scores_valid"))
+        "model", "notes", "n", "n_pos", "accuracy", "precision", "recall", "f1")
 
 
 def _domains(arts):
@@ -369,8 +339,8 @@ def q_ablation(spark, sf):
                      record_dir=root).select("variant", "iterations", "delta_f1")
     main = read_main_results(spark, root).withColumnRenamed("notes", "variant")
     return main.join(table, "variant").select(
-        "variant", "split", "n", "n_pos", _valid("accuracy", "precision", "recall", "f1").alias("scores_valid"),
-        (F.col("iterations") > 0).alias("fitted"), F.col("delta_f1").between(-1.0, 1.0).alias("compared"))
+        "variant", "split", "n", "n_pos", "accuracy", "precision", "recall", "f1",
+        "iterations", "delta_f1")
 
 
 @query("learning_curve")
@@ -382,7 +352,7 @@ def q_learning_curve(spark, sf):
     from .experiments import learning_curve
     arts = testdata_articles(spark, sf)
     both = learning_curve(spark, arts, feature_context(spark)).unionByName(classifier_curve(spark, arts))
-    return both.select("model", "train_pct", "n", "n_pos", _valid("f1").alias("scores_valid"))
+    return both.select("model", "train_pct", "n", "n_pos", "f1")
 
 
 # ----------------------------------------------------------------- reports
@@ -510,7 +480,7 @@ def q_crf_experiment(spark, sf):
     run_eval(spark, arts, ctx, f"{root}/crf", f"{root}/crf_eval", vectors=vecs, domain="all")
     main = read_main_results(spark, root)
     return main.select("model", "domain", "split", "notes", "n", "n_pos",
-                       _valid("accuracy", "precision", "recall", "f1").alias("scores_valid"),
+                       "accuracy", "precision", "recall", "f1",
                        F.element_at(F.split("source_dir", "/"), -1).alias("source"))
 
 
@@ -525,4 +495,4 @@ def q_cross_domain_crf(spark, sf):
     arts = testdata_articles(spark, sf)
     return cross_domain(spark, arts, feature_context(spark), _domains(arts), CRFConfig(),
                         testdata_vectors(spark, sf)).select(
-        "model", "notes", "n", "n_pos", _valid("accuracy", "precision", "recall", "f1").alias("scores_valid"))
+        "model", "notes", "n", "n_pos", "accuracy", "precision", "recall", "f1")

@@ -62,12 +62,6 @@ ORACLE["crf_decode"] = _DECODE
 ORACLE["crf_decode_arrow"] = _DECODE
 ORACLE["crf_predict"] = _DECODE
 
-ORACLE["crf_fit"] = _with(ARTS, SENTS, FEATS) + " UNION ALL ".join(
-    f"SELECT '{n}' AS feature, CAST({k} AS INTEGER) AS label, count(*) FILTER (WHERE label = {k}) AS n_sentences, "
-    f"coalesce(sum({n}) FILTER (WHERE label = {k}), 0.0::DOUBLE) AS data_sum, true AS near_optimum "
-    f"FROM feats WHERE split = 'train'" for n in FEATURE_NAMES for k in (0, 1))
-
-
 def _lse(x: str, y: str) -> str:
     return f"(greatest({x}, {y}) + ln(exp(({x}) - greatest({x}, {y})) + exp(({y}) - greatest({x}, {y}))))"
 
@@ -112,31 +106,17 @@ UNION ALL {_STATE_ROWS}
 UNION ALL {_TRANS_ROWS}"""
 
 ORACLE["embed_lookup"] = _with(ARTS, SENTS) + """
-SELECT s.article_id, s.pos,
-       CASE WHEN none THEN 0 ELSE 1 END AS has_vec,
-       CASE WHEN none THEN NULL WHEN padded THEN 0.0 ELSE CAST(e.embedding[1] AS DOUBLE) END AS v_first,
-       CASE WHEN none THEN NULL WHEN padded THEN 0.0 ELSE CAST(list_max(e.embedding) AS DOUBLE) END AS v_max,
-       CASE WHEN none THEN NULL WHEN padded THEN 0.0 ELSE CAST(list_min(e.embedding) AS DOUBLE) END AS v_min
-FROM (SELECT *, b = 0 OR (b = 1 AND n = 1) AS none, b = 1 AND pos = n - 1 AS padded
-      FROM (SELECT article_id, pos, CAST(substr(article_id, 5) AS BIGINT) AS doc_id,
-                   ('0x' || substr(md5('vectors|' || substr(article_id, 5)), 1, 8))::BIGINT % 16 AS b,
-                   count(*) OVER (PARTITION BY article_id) AS n
-            FROM sents)) s
-LEFT JOIN embeddings e ON e.vec_id = (s.doc_id * 31 + s.pos) % (SELECT max(vec_id) + 1 FROM embeddings)"""
-
-# a vector for every sentence of articles that have any; missing ones are zero
+SELECT s.article_id, s.pos, 1 AS has_vec, CAST(e.embedding[1] AS DOUBLE) AS v_first,
+       CAST(list_max(e.embedding) AS DOUBLE) AS v_max, CAST(list_min(e.embedding) AS DOUBLE) AS v_min
+FROM (SELECT article_id, pos, CAST(substr(article_id, 5) AS BIGINT) AS doc_id FROM sents) s
+JOIN embeddings e ON e.vec_id = (s.doc_id * 31 + s.pos) % (SELECT max(vec_id) + 1 FROM embeddings)"""
+
+# a vector for every sentence
 VECS = """
 vecs AS (
-  SELECT s.article_id, s.split, s.pos,
-         CASE WHEN padded THEN list_transform(e.embedding, lambda x: 0.0::DOUBLE)
-              ELSE list_transform(e.embedding, lambda x: x::DOUBLE) END AS v
-  FROM (SELECT *, b = 0 OR (b = 1 AND n = 1) AS none, b = 1 AND pos = n - 1 AS padded
-        FROM (SELECT article_id, split, pos, CAST(substr(article_id, 5) AS BIGINT) AS doc_id,
-                     ('0x' || substr(md5('vectors|' || substr(article_id, 5)), 1, 8))::BIGINT % 16 AS b,
-                     count(*) OVER (PARTITION BY article_id) AS n
-              FROM sents)) s
-  JOIN embeddings e ON e.vec_id = (s.doc_id * 31 + s.pos) % (SELECT max(vec_id) + 1 FROM embeddings)
-  WHERE NOT none),
+  SELECT s.article_id, s.split, s.pos, list_transform(e.embedding, lambda x: x::DOUBLE) AS v
+  FROM (SELECT article_id, split, pos, CAST(substr(article_id, 5) AS BIGINT) AS doc_id FROM sents) s
+  JOIN embeddings e ON e.vec_id = (s.doc_id * 31 + s.pos) % (SELECT max(vec_id) + 1 FROM embeddings)),
 dims AS (SELECT i, v[i + 1] AS x, v[i + 2] AS y FROM (
            SELECT v, unnest(range(len(v))) AS i FROM vecs WHERE split = 'train')),
 means AS (SELECT i, avg(x) AS m FROM dims GROUP BY i)"""
@@ -150,10 +130,10 @@ UNION ALL SELECT 'covariance_next', CAST(i AS INTEGER), round(covar_samp(x, y),
 UNION ALL SELECT unnest(['length', 'residual']), CAST(i AS INTEGER), unnest([1.0::DOUBLE, 0.0::DOUBLE])
           FROM means WHERE i < 50"""
 
-ORACLE["pca_project"] = _with(ARTS, SENTS, VECS, "mv AS (SELECT list(m ORDER BY i) AS mv FROM means)") + """
-SELECT article_id, pos, round(sqrt(list_sum(list_transform(
-         list_zip(v, mv), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 5) AS from_mean
-FROM vecs, mv"""
+ORACLE["pca_project"] = _with(ARTS, SENTS, VECS) + """
+SELECT article_id, pos, round(sqrt(sum((x - m) * (x - m))), 5) AS from_mean
+FROM (SELECT article_id, pos, unnest(range(len(v))) AS i, unnest(v) AS x FROM vecs) JOIN means USING (i)
+GROUP BY article_id, pos"""
 
 _BUCKETS = "list_transform(toks, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 64)"
 ORACLE["sentence_vectors"] = _with(ARTS, SENTS) + f"""
@@ -280,55 +260,6 @@ ORACLE["metrics_toxic"] = _with(
 ) + _metrics_sql("lj", ["domain"], yt="toxic", yp="y_pred_a")
 
 
-# ----------------------------------------------------------------- experiments
-# the scores of a fit have no SQL form; how many articles and gold positives it saw has
-GOLD = """
-gold AS (SELECT article_id, domain, split, CASE WHEN list_contains(sentence_labels, 1) THEN 1 ELSE 0 END AS y
-         FROM arts)"""
-_N = "count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos"
-
-ORACLE["baseline_fit"] = _with(ARTS, GOLD) + """
-SELECT CAST(c.i AS INTEGER) AS candidate, 'tfidf_lr' AS variant, c.reg AS reg_param, CAST(20 AS INTEGER) AS max_iter,
-       v.n AS n_val, v.n_pos AS n_val_pos, t.n AS n_train, t.n_pos AS n_train_pos, true AS scores_valid
-FROM (VALUES (0, 0.0::DOUBLE), (1, 0.01::DOUBLE), (2, 0.1::DOUBLE)) c(i, reg),
-     (SELECT """ + _N + """ FROM gold WHERE split = 'val') v, (SELECT """ + _N + """ FROM gold WHERE split = 'train') t"""
-
-ORACLE["baseline_predict"] = _with(ARTS, GOLD) + """
-SELECT article_id, y AS y_true, true AS predicted FROM gold WHERE split = 'test'"""
-
-ORACLE["classifier_experiment"] = _with(ARTS, GOLD) + f"""
-SELECT m.model, 'all' AS domain, g.split, CASE WHEN g.split = 'val' THEN 'validation' ELSE 'test' END AS notes,
-       g.n, g.n_pos, t.n AS n_predictions, t.n_pos AS n_true, true AS scores_valid,
-       CASE WHEN g.split = 'val' THEN m.model ELSE m.model || '_eval' END AS source
-FROM (VALUES ('tfidf_lr'), ('word2vec_lr')) m(model),
-     (SELECT split, {_N} FROM gold WHERE split IN ('val', 'test') GROUP BY split) g,
-     (SELECT {_N} FROM gold WHERE split = 'test') t"""
-
-
-def _pairs(model: str) -> str:
-    return _with(ARTS, GOLD, f"per AS (SELECT domain, {_N} FROM gold GROUP BY domain)") + f"""
-SELECT '{model}' AS model, coalesce(a.domain, 'None') || '->' || coalesce(b.domain, 'None') AS notes,
-       b.n, b.n_pos, true AS scores_valid
-FROM per a JOIN per b ON a.domain IS DISTINCT FROM b.domain"""
-
-
-ORACLE["cross_domain_classifier"] = _pairs("tfidf_lr")
-ORACLE["cross_domain_crf"] = _pairs("CRF")
-
-ORACLE["crf_experiment"] = _with(ARTS, GOLD) + f"""
-SELECT 'CRF' AS model, 'all' AS domain, split, CASE WHEN split = 'val' THEN 'validation' ELSE 'test' END AS notes,
-       {_N}, true AS scores_valid, CASE WHEN split = 'val' THEN 'crf' ELSE 'crf_eval' END AS source
-FROM gold WHERE split IN ('val', 'test') GROUP BY split"""
-
-ORACLE["ablation"] = _with(ARTS, GOLD) + f"""
-SELECT v.variant, 'val' AS split, g.n, g.n_pos, true AS scores_valid, true AS fitted, true AS compared
-FROM (VALUES ('full'), ('no_trans'), ('no_lex'), ('no_emb'), ('trans_none')) v(variant),
-     (SELECT {_N} FROM gold WHERE split = 'val') g"""
-
-ORACLE["learning_curve"] = _with(ARTS, GOLD) + f"""
-SELECT m.model, p.train_pct, g.n, g.n_pos, true AS scores_valid
-FROM (VALUES ('CRF'), ('tfidf_lr')) m(model), {_PCTS}, (SELECT {_N} FROM gold WHERE split = 'test') g"""
-
 ORACLE["results_csv"] = ORACLE["results_main"]
 ORACLE["results_subtype_csv"] = ORACLE["results_subtype"]
 ORACLE["articles_jsonl"] = _with(ARTS) + """

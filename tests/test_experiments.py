@@ -125,3 +125,22 @@ def test_result_scan_ignores_other_tables(spark, tmp_dir):
         .write.parquet(f"{tmp_dir}/root/run1/model/other")
     rows = read_main_results(spark, f"{tmp_dir}/root").collect()
     assert len(rows) == 1 and rows[0].f1 == 0.5 and rows[0].source_dir.endswith("/run1")
+
+
+def test_csv_results_of_any_width_and_quoted_line_ends(spark, tmp_dir):
+    """More columns than any fixed number, a record over two lines, a short record, a nameless and a repeated column."""
+    import os
+
+    from tessera.sources.results import read_main_results
+    os.makedirs(f"{tmp_dir}/a")
+    os.makedirs(f"{tmp_dir}/b")
+    wide = [f"x{i}" for i in range(90)]
+    with open(f"{tmp_dir}/a/metrics.csv", "w") as f:
+        f.write("model,f1,notes," + ",".join(wide) + "\n")
+        f.write('M,0.5,"two\nlines, one cell",' + ",".join(str(i) for i in range(90)) + "\n\n")
+    with open(f"{tmp_dir}/b/metrics.csv", "wb") as f:
+        f.write(b"\xef\xbb\xbfmodel,f1,,twice,twice\r\nN,0.25,skipped,1,2\r\nO,\r\n")
+    rows = {r.model: r for r in read_main_results(spark, tmp_dir).collect()}
+    assert rows["M"].notes == "two\nlines, one cell" and rows["M"].x89 == "89" and rows["M"].f1 == 0.5
+    assert rows["N"].twice == "2" and rows["N"].x0 is None and rows["O"].f1 is None
+    assert rows["N"].source_dir.endswith("/b")
