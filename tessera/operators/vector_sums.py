@@ -20,6 +20,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need nu
 
 BLOCK = 8_192   # numbers of a block
 LANES = 64      # lanes of the first merge
+DIRECT = 16 << 20  # bytes of partitions' sums that the driver may add up itself
 HELD = 64 << 20  # bytes of sums that a partition holds before it sends them
 
 
@@ -87,3 +88,15 @@ def collected(blocks: DataFrame, dtype: str = "<f8") -> np.ndarray | None:
     """The summed vector of rows (``block``, ``blob``) without keys; None without rows."""
     rows = sorted(blocks.select("block", "blob").collect(), key=lambda r: r.block)
     return np.concatenate([np.frombuffer(bytes(r.blob), dtype) for r in rows]) if rows else None
+
+
+def summed(parts: DataFrame, partitions: int, size: int, dtype: str = "<f8") -> np.ndarray | None:
+    """The sum of one vector of ``size`` numbers a partition: added on the driver if all of them are few bytes,
+    else merged in the tree first."""
+    if partitions * size * np.dtype(dtype).itemsize > DIRECT:
+        return collected(merged_blocks(parts, dtype), dtype)
+    total: dict = {}
+    for r in parts.select("block", "blob").collect():
+        v = np.frombuffer(bytes(r.blob), dtype)
+        total[r.block] = total[r.block] + v if r.block in total else v
+    return np.concatenate([total[b] for b in sorted(total)]) if total else None

@@ -258,6 +258,46 @@ def q_baseline_predict(spark, sf):
     return predict(model, te).select("article_id", "y_true", "y_pred")
 
 
+# fixed sizes of the round-wise query, which the SQL spells out step by step
+ROUNDS = {"epochs": 4, "batches": 4, "peak": 8.0, "warmup": 0.25, "decay": 0.01}
+ROUND_FEATURES = ("bias_lex", "sent_neg", "sent_pos")
+
+
+@query("round_training")
+def q_round_training(spark, sf):
+    """H7 + D12: a linear article classifier over three feature maxima, trained in rounds of mini-batch steps;
+    validation scores after each epoch, which epoch was kept, and its weights."""
+    from ..operators.baseline import _field
+    from ..operators.rounds import sparse_rows, train_rounds
+    s = scored_articles(spark, sf)
+    top = [F.greatest(F.coalesce(F.array_max(F.transform("feats", _field(n))), F.lit(0.0)), F.lit(0.0))
+           for n in ROUND_FEATURES]
+    s = s.select("article_id", "split", "y_true", F.array(*top).alias("features"))
+    tr, va = (sparse_rows(s.filter(F.col("split") == k), "features", "y_true") for k in ("train", "val"))
+    model = train_rounds(tr, va, len(ROUND_FEATURES) + 1, **ROUNDS)
+    kept = [F.round(F.lit(float(w)), 6).alias(f"w_{n}") for n, w in zip((*ROUND_FEATURES, "intercept"), model.weights)]
+    return model.rounds_frame(spark).select("*", *kept)
+
+
+@query("baseline_rounds")
+def q_baseline_rounds(spark, sf):
+    """H7 + H8 + D12 on texts: hashed token shares, trained in rounds; the best round's model is saved, loaded and
+    scored on test."""
+    from ..operators import metrics as Mx
+    from ..operators.rounds import RoundModel, hashed_rows, predict_rows, train_rounds
+    from ..session import shared_path
+    tr, va, te = (hashed_rows(t) for t in _text_splits(spark, sf))
+    model = train_rounds(tr, va, (1 << 18) + 1, epochs=5, batches=4, peak=500.0, decay=0.0)
+    path = shared_path(spark, "rounds")
+    model.save(spark, path)
+    test = Mx.global_binary_metrics(predict_rows(te, RoundModel.load(spark, path).weights)).select(
+        F.lit("test").alias("split"), F.lit(None).cast("int").alias("epoch"), "n", "f1", "accuracy",
+        F.lit(True).alias("is_best"))
+    return model.rounds_frame(spark).select(
+        F.lit("val").alias("split"), "epoch", "n", F.col("val_f1").alias("f1"), F.col("val_accuracy").alias("accuracy"),
+        "is_best").unionByName(test)
+
+
 @query("classifier_experiment")
 def q_classifier_experiment(spark, sf):
     """H7 + H8 as runs, both variants: train, validate, record, save; reload, test, record,

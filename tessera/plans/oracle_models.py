@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.features import FEATURE_NAMES
-from .catalog_models import FIXED_STATE, FIXED_TRANS
+from .catalog_models import FIXED_STATE, FIXED_TRANS, ROUND_FEATURES, ROUNDS
 from .oracle import ARTS, FEATS, ORACLE, SENTS, _tok, _with
 
 A = FIXED_TRANS
@@ -260,6 +260,40 @@ ORACLE["metrics_toxic"] = _with(
 ) + _metrics_sql("lj", ["domain"], yt="toxic", yp="y_pred_a")
 
 
+# ----------------------------------------------------------------- rounds
+def _rounds_sql() -> str:
+    """Every mini-batch step of the fixed-step training written out, then the scores after each epoch."""
+    from ..operators.rounds import rate
+    epochs, batches, peak, warmup, decay = (ROUNDS[k] for k in ("epochs", "batches", "peak", "warmup", "decay"))
+    names = [f"x{i}" for i in range(len(ROUND_FEATURES))]
+    margin = " + ".join([f"r.{n} * w.{n}" for n in names] + ["w.b"])
+    parts = ["r AS MATERIALIZED (SELECT article_id, split, y_true, "
+             + ", ".join(f"greatest(mx_{f}, 0.0::DOUBLE) AS {n}" for f, n in zip(ROUND_FEATURES, names)) + " FROM amax)",
+             "w0 AS MATERIALIZED (SELECT " + ", ".join(f"0.0::DOUBLE AS {n}" for n in names) + ", 0.0::DOUBLE AS b)"]
+    for t in range(epochs * batches):
+        lr, epoch = rate(t, epochs * batches, peak, warmup), t // batches
+        grads = ", ".join([f"avg((p - y_true) * {n}) AS g{n}" for n in names] + ["avg(p - y_true) AS gb"])
+        moved = ", ".join([f"w.{n} - {_d(lr)} * coalesce(g{n} + {_d(decay)} * w.{n}, 0) AS {n}" for n in names]
+                          + [f"w.b - {_d(lr)} * coalesce(gb, 0) AS b"])
+        parts.append(f"""w{t + 1} AS MATERIALIZED (SELECT {moved} FROM w{t} w, (SELECT {grads} FROM (
+            SELECT r.*, 1.0 / (1.0 + exp(-({margin}))) AS p FROM r, w{t} w WHERE r.split = 'train' AND
+            ('0x' || substr(md5('round|{epoch}|' || r.article_id), 1, 8))::BIGINT % {batches} = {t % batches})))""")
+    ends = [(e, f"w{(e + 1) * batches}") for e in range(epochs)]
+    scored = " UNION ALL ".join(
+        f"SELECT {e} AS epoch, r.y_true, CASE WHEN {margin} > 0 THEN 1 ELSE 0 END AS y_pred FROM r, {w} w "
+        "WHERE r.split = 'val'" for e, w in ends)
+    every = " UNION ALL ".join(f"SELECT {e} AS epoch, * FROM {w}" for e, w in ends)
+    parts += [f"em AS MATERIALIZED ({_metrics_sql(f'({scored})', ['epoch'])})", f"ew AS ({every})",
+              "best AS (SELECT epoch FROM em ORDER BY f1 DESC, epoch LIMIT 1)"]
+    kept = ", ".join(f"round(k.{n}, 6) AS w_{f}" for n, f in zip([*names, "b"], [*ROUND_FEATURES, "intercept"]))
+    return _with(ARTS, SENTS, FEATS, CROW, *parts) + f"""
+SELECT CAST(em.epoch AS INTEGER) AS epoch, em.f1 AS val_f1, em.accuracy AS val_accuracy, em.n,
+       em.epoch = best.epoch AS is_best, {kept}
+FROM em, best JOIN ew k ON k.epoch = best.epoch"""
+
+
+ORACLE["round_training"] = _rounds_sql()
+
 ORACLE["results_csv"] = ORACLE["results_main"]
 ORACLE["results_subtype_csv"] = ORACLE["results_subtype"]
 ORACLE["articles_jsonl"] = _with(ARTS) + """

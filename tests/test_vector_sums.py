@@ -39,3 +39,13 @@ def test_one_row_per_partition_key_and_block(spark):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "block int, blob binary")
     assert S.collected(S.merged_blocks(empty)) is None
+
+
+def test_few_bytes_are_added_directly(spark, monkeypatch):
+    def run(batches):
+        n = sum(b.num_rows for b in batches)
+        yield S.block_rows({(): n * np.arange(20.0)}, {}, "<f8", 8)
+    parts = spark.range(0, 90, 1, 6).mapInArrow(run, "block int, blob binary")
+    direct = S.summed(parts, 6, 20)
+    monkeypatch.setattr(S, "DIRECT", 0)
+    assert np.array_equal(direct, 90 * np.arange(20.0)) and np.array_equal(S.summed(parts, 6, 20), direct)
