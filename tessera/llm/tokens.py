@@ -2,7 +2,7 @@
 
 The library splits a text by a fixed pattern and merges each piece on its own, so
 equal pieces always get equal ids. A batch of texts is split with numpy over its
-byte buffer, equal pieces are found by a 128-bit hash, and only pieces that the
+byte buffer, equal pieces are found by a hash and compared byte by byte, and only pieces that the
 worker hasn't met are given to the library. Texts with characters outside
 ASCII and the Latin-1 letters, or with an apostrophe (the pattern has rules for
 these), are encoded by the library directly, and so are, as a whole, texts that hold the
@@ -40,9 +40,7 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
-_POW = [np.cumprod(np.append(np.uint64(1), np.full(LONGEST_PIECE - 1, m, np.uint64)), dtype=np.uint64)
-        for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
-assert all(p.dtype == np.uint64 for p in _POW)
+_POW = np.cumprod(np.append(np.uint64(1), np.full(LONGEST_PIECE - 1, 0x9E3779B97F4A7C15, np.uint64)), dtype=np.uint64)
 
 
 def piece_starts(data: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
@@ -131,10 +129,9 @@ class Encoder:
             return [self._direct(p) for p in parts]
         place = np.arange(len(data)) - np.repeat(start, size)
         value = data.astype(np.uint64) + np.uint64(1)
-        h1, h2 = (np.add.reduceat(value * p[place], start) for p in _POW)
-        _, index, inverse = np.unique(h1, return_index=True, return_inverse=True)
-        if not (h2 == h2[index][inverse]).all():
-            return [self._direct(p) for p in parts]
+        _, index, inverse = np.unique(np.add.reduceat(value * _POW[place], start), return_index=True, return_inverse=True)
+        if (size != size[index][inverse]).any() or (data != data[np.repeat(start[index][inverse], size) + place]).any():
+            return [self._direct(p) for p in parts]  # unlike pieces with one hash
         if len(self.memo) + len(index) > MEMO_ENTRIES:
             self._clear()
         words = [raw[a:b] for a, b in zip(start[index].tolist(), (start + size)[index].tolist())]

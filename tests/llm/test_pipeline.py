@@ -71,5 +71,5 @@ def test_stages(spark):
 def test_registered(spark):
     import __spark_entry__ as E
     names = [q for q in E.queries() if re.match(r"op\d+_", q)]
-    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 14))
     assert "pipeline" in E.queries()

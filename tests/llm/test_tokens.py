@@ -30,6 +30,15 @@ def test_edges():
            "tab\t\tend\r\n", "  lead", "trail  ", "a" * 9000 + " b", "\x00\x85 ok"])
 
 
+def test_unlike_words_with_one_hash():
+    """Thue-Morse words collide under every polynomial hash modulo a power of two."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    check([word, other, f"{other} {word} {other}", f"x {word}"])
+
+
 def test_random_texts():
     rng = random.Random(3)
     alphabet = "abAB12 .,!?#\n\t\r  éèñß×'日 \x1c"
@@ -82,6 +91,9 @@ def test_elias_fano():
         ef = EliasFano.of(ends)
         assert ef.all().tolist() == ends.tolist()
         assert [ef.select(i) for i in range(len(ends))] == ends.tolist()
+        assert ef.select_many(np.arange(len(ends))).tolist() == ends.tolist()
+        some = np.array([len(ends) - 1, 0, len(ends) // 2] if len(ends) else [], np.int64)
+        assert ef.select_many(some).tolist() == ends[some].tolist()
 
 
 def test_block_round_trip():
