@@ -81,6 +81,31 @@ class EliasFano:
         low = int.from_bytes(span, "little") >> (first & 7) & ((1 << self.low_bits) - 1)
         return (at - i) << self.low_bits | low
 
+    def select_many(self, i: np.ndarray) -> np.ndarray:
+        """Values ``i``, as ``select`` finds them, for many at a time."""
+        i = np.asarray(i, np.int64)
+        at = self.samples[i // SAMPLE].astype(np.int64)
+        word, left = at >> 6, i % SAMPLE
+        cut = (at & 63).astype(np.uint64)
+        bits = self.upper[word] >> cut << cut
+        todo = np.arange(len(i))
+        while len(todo):  # words are skipped by their bit counts
+            ones = np.bitwise_count(bits[todo]).astype(np.int64)
+            far = ones <= left[todo]
+            todo = todo[far]
+            left[todo] -= ones[far]
+            word[todo] += 1
+            bits[todo] = self.upper[word[todo]]
+        at = word << 6
+        for half in (32, 16, 8, 4, 2, 1):  # the set bit wanted in its word
+            part = bits & np.uint64((1 << half) - 1)
+            ones = np.bitwise_count(part).astype(np.int64)
+            up = ones <= left
+            left -= np.where(up, ones, 0)
+            at += np.where(up, half, 0)
+            bits = np.where(up, bits >> np.uint64(half), part)
+        return (at - i) << self.low_bits | self._low(i)
+
     def all(self) -> np.ndarray:
         at = np.flatnonzero(np.unpackbits(self.upper.view(np.uint8), bitorder="little"))
         i = np.arange(self.n)
@@ -147,9 +172,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
             yield row()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    order = [F.col("id").isNull(), F.col("id"), F.xxhash64(whole_text("text"))]
+    # the row's number lets equal rows, which may be a third of all, be dealt to several tasks
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    order = [F.col("id").isNull(), F.col("id"), F.xxhash64(whole_text("text")), F.col("row")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    (map_arrow(rows, blocks, "shard int, block int, doc_ids array<long>, n_ids long, payload binary")
+    (map_arrow(rows.drop("row"), blocks, "shard int, block int, doc_ids array<long>, n_ids long, payload binary")
      .write.option("compression", "zstd").parquet(path))
 
 
@@ -165,7 +192,7 @@ def read_token_files(spark: SparkSession, path: str, *, id_col: str = "doc_id",
             for shard, block, names, payload in zip(*(batch[c].to_pylist() for c in (
                     "shard", "block", "doc_ids", "payload"))):
                 ends, ids = decode_block(payload)
-                end = ends.all()
+                end = ends.select_many(np.arange(ends.n))
                 start = np.append(0, end[:-1])
                 wide = ids.astype("<u4")
                 parts = [wide[a:b] for a, b in zip(start.tolist(), end.tolist())]
