@@ -109,14 +109,14 @@ def fit_trees(x: np.ndarray, y: np.ndarray, *, n_trees: int = 60, depth: int = 3
 def fit(stats: DataFrame, labels: DataFrame, *, max_rows_per_class: int = 30_000, **params) -> Trees:
     """Fit on about ``max_rows_per_class`` labelled rows of each class, or all if there are fewer.
 
-    A class's rows are taken by a hash of the id below the share that the bound is of the class, so
-    no task sends more than its part of the sample."""
+    A class's rows are taken by a hash of the id and the row below the share that the bound is of the class, so
+    no task sends more than its part of the sample and rows that repeat an id are taken one by one."""
     rows = stats.join(labels, "id").where(~base_failed()).select("id", "features", "y")
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     share = F.lit(0.0)
     for c, n in sizes.items():
         share = F.when(F.col("y") == c, F.lit(min(1.0, max_rows_per_class / n))).otherwise(share)
-    got = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)).orderBy("y", "id").collect()
+    got = rows.where(F.pmod(F.xxhash64("id", "_rid"), F.lit(1 << 20)) < share * (1 << 20)).orderBy("y", "id", "_rid").collect()
     x = np.array([r["features"] for r in got]).reshape(-1, len(FEATURES))
     return fit_trees(x, np.array([r["y"] for r in got], float), **params)
 
