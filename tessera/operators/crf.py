@@ -358,11 +358,10 @@ def gradient_rows(seqs: DataFrame, model: CRFModel) -> DataFrame:
     parts = data.mapInArrow(make_gradient_step(W, A, model.labels), STEP_SCHEMA)
     names = [f"{n}|{lab}" for n in model.feature_names for lab in model.labels]
     names += [f"trans|{a}|{b}" for a in model.labels for b in model.labels]
-    total = _summed(parts)
-    if total is None:
-        total = np.zeros(2 + len(names))
-    rows = [("loss", float(total[0])), *zip(names, total[2:].tolist())]
-    return seqs.sparkSession.createDataFrame(rows, "param string, value double")
+    name_map = F.array(*[F.lit(n) for n in ["loss", *names]])
+    row = F.concat(F.array("loss"), "grad")
+    total = parts.select(F.posexplode(row).alias("i", "value")).groupBy("i").agg(F.sum("value").alias("value"))
+    return total.select(F.element_at(name_map, F.col("i") + 1).alias("param"), "value")
 
 
 # ------------------------------------------------------------------------ decode
