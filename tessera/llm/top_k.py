@@ -34,7 +34,7 @@ from tessera.llm.vectors import integer_rows, matrix, slices
 CELL_ROWS = 4_096     # rows of a data block, about
 QUERY_ROWS = 1_024    # rows of a query block, about
 MAX_CELLS = 1_024     # net points
-NET_SAMPLE = 8_192    # rows that net points are chosen from
+NET_SAMPLE = 8_192    # rows that net points are chosen from, about
 LEAF = 64             # points of a leaf, of data
 QUERY_LEAF = 32       # of queries: a group that shares bounds
 CHUNK = 2_048         # points whose scores are computed at a time
@@ -339,7 +339,7 @@ def top_k(df: DataFrame, is_query: Column, *, k: int = 5, scale: int = 256, id_c
     are all other rows of the table. Ties go to the smaller id, null ids last, then to the earlier row. Vectors that are null
     or hold null or non-finite components take no part. A shorter vector counts as followed by zeros. Rows
     that repeat an id are separate rows, as queries too. Other columns are ignored; no rows or
-    no queries give no rows. ``sample`` rows and ``max_cells`` cells reach the driver; they shape the
+    no queries give no rows. About ``sample`` rows and ``max_cells`` cells reach the driver; they shape the
     index, not the result.
     """
     spark = df.sparkSession
@@ -349,7 +349,9 @@ def top_k(df: DataFrame, is_query: Column, *, k: int = 5, scale: int = 256, id_c
     width = max(1, (width or 0) // 4)
     if not n:
         return spark.createDataFrame([], schema)
-    some = rows.orderBy(F.xxhash64("_rid"), "_rid").limit(sample).select("x").collect()
+    share = min(1.0, sample / n)  # by hash, so a task sends its part of the sample only
+    some = rows.where(F.pmod(F.xxhash64("_rid"), F.lit(1 << 30)) < share * (1 << 30)).orderBy("_rid").select("x").collect() \
+        or rows.limit(1).select("x").collect()
     points = net(matrix(pa.array([bytes(r.x) for r in some], pa.binary()), width=width),
                  min(max_cells, -(-n // cell_rows)))
     size = norms(points)
