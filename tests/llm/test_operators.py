@@ -1,6 +1,8 @@
 """Extraction, scoring, mixing, packing and token files against brute force, with edge rows and empty tables."""
+import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -191,6 +193,115 @@ def test_densest_subtree_without_article():
     assert main_text(page) == "\n\n".join([text.strip()] * 3)
 
 
+def _tree(rnd, depth):
+    """(tag, children and texts) of a random page body."""
+    kids = []
+    for _ in range(rnd.randint(1, 5)):
+        kind = rnd.random()
+        if kind < 0.45 and depth:
+            kids.append(_tree(rnd, depth - 1))
+        elif kind < 0.8:
+            kids.append(("p", [" ".join(["word"] * rnd.randint(1, 60))]))
+        else:
+            kids.append(("div", [("a", [" ".join(["link"] * rnd.randint(1, 6))])]))
+    return "div", kids
+
+
+def _markup(node):
+    return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(_markup, node[1]))}</{node[0]}>"
+
+
+def _dense_blocks(body):
+    """Blocks that the method takes of a tree, each number counted anew for each node."""
+    def below(node):
+        return [] if isinstance(node, str) else [k for c in node[1] for k in [c, *below(c)]]
+
+    def chars(node):
+        return sum(len(t) for t in [node, *below(node)] if isinstance(t, str))
+
+    def tags(node, only=None):
+        return sum(not isinstance(t, str) and only in (None, t[0]) for t in below(node))
+
+    def linked(node):
+        return chars(node) if node[0] == "a" else sum(linked(c) for c in node[1] if not isinstance(c, str))
+
+    ratio = linked(body) / max(chars(body), 1)
+
+    def density(node):
+        c, lc, lt, t = chars(node), max(linked(node), 1), max(tags(node, "a"), 1), max(tags(node), 1)
+        base = c / max(c - linked(node), 1) * lc + ratio * c + math.e
+        return c / t * math.log(c / lc * t / lt) / math.log(math.log(base)) if c else 0.0
+
+    def total(node):
+        return sum(density(c) for c in node[1] if not isinstance(c, str) and c[0] != "a")
+
+    def best(node):
+        inner = [n for n in [node, *below(node)] if not isinstance(n, str)]
+        return max(inner, key=total)
+
+    def path(node, target):
+        if node is target:
+            return [node]
+        for c in node[1] if not isinstance(node, str) else ():
+            if found := path(c, target):
+                return [node, *found]
+        return []
+
+    top = best(body)
+    low = min(map(density, path(body, top)))
+    nodes = [n for n in below(body) if not isinstance(n, str)]
+    chosen = [top, *(best(n) for n in nodes if density(n) >= low)]
+    ids = {id(k) for n in chosen for k in [n, *below(n)]}
+    return ["".join(n[1]) for n in nodes if id(n) in ids and n[0] in ("p", "a")]
+
+
+def test_density_against_brute_force():
+    taken = 0
+    for seed in range(150):
+        body = ("body", _tree(random.Random(seed), 4)[1])
+        want = _dense_blocks(body)
+        assert main_text(_markup(body)) == "\n\n".join(want), seed
+        taken += len(want) < _markup(body).count("<p>") + _markup(body).count("<a>")
+    assert taken > 30  # on many pages the method leaves something out
+
+
+def test_containers_that_hold_the_article():
+    more = "Many more words follow here, and then some. " * 9
+    a, b = f"<p>First. {more}</p>", f"<p>Second. {more}</p>"
+    want = f"First. {more.strip()}\n\nSecond. {more.strip()}"
+    menu = "<ul><li><a href=/>Home</a><li><a href=/b>All stories</a></ul>"
+    for page in (f"<body><form id=f><div>{a}{b}</div><input></form></body>",
+                 f"<body><form>{menu}<article>{a}{b}</article></form></body>",
+                 f"<body><nav>{menu}{a}{b}</body>", f"<body><nav>{menu}<article>{a}{b}</article></body>",
+                 f"<body><noscript>{a}{b}", f"<head><title>T</title><body>{a}{b}", f"<svg><text>x</text>{a}{b}",
+                 f"<body><article><form>{a}{b}<textarea>mail</textarea></form></article>"):
+        assert main_text(page) == want, page[:60]
+    for page in (f"<body><article>{a}{b}</article><footer>{a}{b}{a}{b}</footer></body>",
+                 f"<body><article>{a}{b}</article><form>{a}{b}{a}{b}</form></body>",
+                 f"<body><nav>{a}{b}{a}</nav><article>{a}{b}</article></body>"):
+        assert main_text(page) == want, page[:60]
+    assert main_text("<article><p>So <math><mi>E</mi>=mc<annotation>tex</annotation></math> holds.</p></article>") \
+        == "So E=mc holds."
+    assert main_text(f"<article>{a}<object>{b}</object></article>") == want
+    for name in ("comments", "sidebar", "newsletter", "comment-list", "widget"):
+        assert main_text(f"<body><article>{a}<div class={name}><p>Other. {more}</p></div>{b}</article>") == want
+    links = "".join(f"<span>{i}</span>" for i in range(40))  # a low density and a name: not content
+    assert main_text(f"<body><article>{a}<div class=notice>{links}</div>{b}</article>") == want
+
+
+def test_deep_and_malformed_pages_take_linear_time():
+    for size in (20_000, 100_000):
+        pages = ["<div>" * size + "text", "<article>" * size + "text", "<a x " * size, "<a x=\"> " * size,
+                 "<div>" * size + "</span>" * size, "<p " + "a " * size + ">text", "<form><nav>" * size + "text",
+                 "<!--" * size, "<script>" * size, "< " * size]
+        start = time.process_time()
+        for page in pages:
+            assert isinstance(main_text(page), str)
+        took = time.process_time() - start
+        assert took < 60 * size / 20_000, size
+    assert main_text(pages[0]) == main_text(pages[1]) == "text"
+
+
 def test_extract_table(spark, saved):
     schema = "page_id long, url string, html string, text string, n_chars long, id string"
     rows = [(1, "u", "<p>été \U0001f600</p>", "x", 5, "x"), (1, "u", None, "x", 5, "x"), (None, None, "", "x", 5, "x"),
