@@ -6,7 +6,8 @@ epochs (every document once each) and a rest, which a weighted sample without
 replacement fills: documents in ascending order of -ln(u)/w, prefix-summed to the
 budget. Instead of sorting a whole source, its keys are cut into ranges; the
 ranges' sizes are prefix-summed and only the range where the budget ends is
-sorted, so a source with a third of all rows is never in one task.
+looked into. Rows that repeat a key (a repeated id) are cut once more, by a hash of the
+row's number, so neither a source nor an id with a third of all rows is ever in one task.
 """
 
 from __future__ import annotations
@@ -74,8 +75,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     ``copies`` is how often the mix takes the document whole, ``taken`` its words
     counted so often (at most ``cap`` times its size). A null text has size 0;
     a null source is a source; null ids share one sampling key. Documents with
-    equal keys are ordered by id, then size; rows equal in these are alike, so
-    reruns give the same rows. A source's taken words differ from its target by
+    equal keys are ordered by id, then size, then a hash of their place in the table (see
+    ``common.with_rid``), so reruns with ``file_no`` give the same rows. A source's taken words differ from its target by
     half a document at most. Other columns are ignored. No rows give no rows.
     ``rows_per_range`` sets how many key ranges a source gets; the join is
     broadcast only if there are at most ``broadcast_sources`` sources. ``_rid`` holds
@@ -109,25 +110,36 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # keys are about exponential with rate mean_w; ranges of equal probability
     place = F.floor(F.col("n_ranges") * (F.lit(1.0) - F.exp(-F.col("key") * F.col("mean_w"))))
     rows = beside(narrow, per).withColumn("range", F.least(place, F.col("n_ranges") - 1))
-    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"), F.count("*").alias("range_rows"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
     ends = beside(sums, per.select("source", "budget")).where(
         "before <= budget AND budget < before + range_size")
-    ends = written(ends.select("source", F.col("range").alias("end_range"),
-                               F.col("before").alias("end_before")), "mix_ends")
-    per = per.join(ends.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")),
-                   "left").drop("_s")
+    ends = ends.select("source", F.col("range").alias("end_range"), F.col("before").alias("end_before"),
+                       F.ceil(F.col("range_rows") / F.lit(rows_per_range)).alias("n_slots"))
+    per = written(per.join(ends.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")),
+                           "left").drop("_s"), "mix_ends")
     rows = beside(narrow, per).withColumn("range", F.least(place, F.col("n_ranges") - 1))
+
+    # in the end range, rows equal in key, id and size are cut into slots by a hash of their number
+    tie = F.pmod(F.xxhash64("_rid", F.lit(seed)), F.lit(1 << 30))
+    cut = rows.where("range = end_range").withColumn("tie", tie).withColumn(
+        "part", F.struct("key", "id", "size", F.floor(F.col("tie") * F.col("n_slots") / F.lit(1 << 30)).alias("slot")))
+    parts = cut.groupBy("source", "part", "end_before", "budget").agg(F.sum("size").alias("part_size"))
+    so_far = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.col("end_before") + F.coalesce(F.sum("part_size").over(so_far), F.lit(0)))
+    last = written(parts.where("before <= budget AND budget < before + part_size").select(
+        "source", F.col("part").alias("end_part"), F.col("before").alias("part_before")), "mix_parts")
+    cut = beside(cut, last)
     whole = rows.where("end_range IS NULL OR range <> end_range").withColumn(
         "more", F.when(F.col("end_range").isNull(), F.lit(0)).otherwise(
             (F.col("range") < F.col("end_range")).cast("int")))
-    in_order = (Window.partitionBy("source").orderBy("key", "id", "size")
-                .rowsBetween(Window.unboundedPreceding, -1))
-    cut = rows.where("range = end_range").withColumn(
-        "ahead", F.col("end_before") + F.coalesce(F.sum("size").over(in_order), F.lit(0)))
-    cut = cut.withColumn("more", (F.col("ahead") + F.col("size") / 2 <= F.col("budget"))
-                         .cast("int")).drop("ahead")
+    in_order = Window.partitionBy("source").orderBy("tie", "_rid").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("part_before") + F.coalesce(F.sum("size").over(in_order), F.lit(0))
+    at_end = cut.where("part = end_part").withColumn(
+        "more", (ahead + F.col("size") / 2 <= F.col("budget")).cast("int"))
+    others = cut.where("part <> end_part").withColumn("more", (F.col("part") < F.col("end_part")).cast("int"))
+    cut = others.unionByName(at_end).drop("tie", "part", "end_part", "part_before")
     out = whole.unionByName(cut).withColumn(
         "copies", F.least(F.col("epochs") + F.col("more"), F.lit(cap)).cast("long"))
     return out.select("_rid", F.col("id").alias(id_col), "size", "source_size", "target", "copies",

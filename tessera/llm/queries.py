@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.llm.centroids import cluster
-from tessera.llm.common import table
+from tessera.llm.common import file_seed, table
 from tessera.session import shared_path
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.html_text import extract_text
@@ -69,7 +69,8 @@ def op9_quality_rules(spark, sf_dir):
 
 
 def op10_mixing(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents")).select(
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs, file_no=file_seed(docs)).select(
         "doc_id", "size", "source_size", "target", "taken")
 
 
