@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import lbfgs
+from . import fit_state, lbfgs
 from .sentences import checked_length
 from .crf_kernels import (make_gradient_step, make_max_transfer_step, make_message_scan,
                           make_segment_decode_step, make_segment_step, make_sequence_scorer,
@@ -296,7 +296,7 @@ def fit(seqs: DataFrame, feature_names: tuple, transitions: str = "all",
         c2: float = DEFAULT_C2, max_iter: int = DEFAULT_MAX_ITER,
         partitions: int | None = None, toggles: dict | None = None,
         hot_len: int = HOT_SEQUENCE_LEN, segment_len: int = SEGMENT_LEN,
-        precondition: bool = True) -> CRFModel:
+        precondition: bool = True, state_path: str | None = None, state_every: int = 10) -> CRFModel:
     """H1: fit weights on ``sequences(...)`` rows of the training split.
 
     The training rows are persisted first; the label set and observed
@@ -305,7 +305,9 @@ def fit(seqs: DataFrame, feature_names: tuple, transitions: str = "all",
     (raw positions and lengths are in the hundreds, which makes the problem
     badly conditioned). The objective and its minimiser are unchanged; within
     the same rounds it gets much closer to the optimum with fewer distributed
-    evaluations."""
+    evaluations.
+    ``state_path``: a table in the shared folder to which the optimiser's state is appended every
+    ``state_every`` rounds; the same call over the same rows goes on from the latest state there."""
     data = prepare_training_data(seqs, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     cached, segments = data, None
     try:
@@ -337,7 +339,18 @@ def fit(seqs: DataFrame, feature_names: tuple, transitions: str = "all",
             f, g = obj(v / sv)
             return f, g / sv
 
-        res = lbfgs.minimize(scaled, np.zeros(d * K + K * K), max_iter=max_iter, free=obj.free_vector())
+        resume = each_round = None
+        if state_path:
+            spark = data.sparkSession
+            key = fit_state.fit_key(sv, feature_names, labels, mask.tolist(), c2, transitions)
+            resume = fit_state.load_state(spark, state_path, key, max_iter)
+
+            def each_round(state):
+                if state.iterations % state_every == 0:
+                    fit_state.save_state(spark, state_path, key, state)
+
+        res = lbfgs.minimize(scaled, np.zeros(d * K + K * K), max_iter=max_iter, free=obj.free_vector(),
+                             resume=resume, each_round=each_round)
         res.w = res.w / sv
         W, A = obj.split(res.w)
     finally:

@@ -22,8 +22,23 @@ class LBFGSResult:
     history: list = field(default_factory=list)
 
 
+@dataclass
+class State:
+    """All that the rounds after this one depend on."""
+
+    iterations: int
+    evaluations: int
+    w: np.ndarray
+    f: float
+    g: np.ndarray
+    s_hist: list
+    y_hist: list
+    f_hist: list
+
+
 def steps(w0: np.ndarray, max_iter: int = 50, m: int = 6, epsilon: float = 1e-5,
           past: int = 10, delta: float = 1e-5, max_linesearch: int = 20, free: np.ndarray | None = None,
+          resume: State | None = None, each_round: Callable[[State], None] | None = None,
           ) -> Generator[np.ndarray, tuple[float, np.ndarray], LBFGSResult]:
     """L-BFGS with a backtracking (Armijo) line search, as a generator: it yields weights, is sent
     their objective and gradient, and returns the result. So several fits can advance together.
@@ -31,19 +46,20 @@ def steps(w0: np.ndarray, max_iter: int = 50, m: int = 6, epsilon: float = 1e-5,
     ``free`` marks weights that may move; the others stay at their start value.
     Stops on ``max_iter`` rounds, on a small gradient
     (``|g| / max(1, |w|) < epsilon``) or when the objective improved by less
-    than ``delta`` (relative) over the last ``past`` rounds.
+    than ``delta`` (relative) over the last ``past`` rounds. ``each_round`` is called with the state after
+    each round that another one follows; a run that starts with ``resume`` takes the same rounds from there.
     """
     free = np.ones_like(w0, dtype=bool) if free is None else free.astype(bool)
-    w = w0.astype(float).copy()
-    f, g = yield w
-    g = np.where(free, g, 0.0)
-    evals = 1
-    s_hist: list[np.ndarray] = []
-    y_hist: list[np.ndarray] = []
-    f_hist = [f]
+    if resume:
+        it, evals, w, f, g = resume.iterations, resume.evaluations, resume.w, resume.f, resume.g
+        s_hist, y_hist, f_hist = list(resume.s_hist), list(resume.y_hist), list(resume.f_hist)
+    else:
+        w = w0.astype(float).copy()
+        f, g = yield w
+        g = np.where(free, g, 0.0)
+        it, evals, s_hist, y_hist, f_hist = 0, 1, [], [], [f]
     reason = "max_iter"
-    it = 0
-    for it in range(1, max_iter + 1):
+    for it in range(it + 1, max_iter + 1):
         gnorm = np.linalg.norm(g)
         if gnorm / max(1.0, np.linalg.norm(w)) < epsilon:
             reason = "gradient"
@@ -98,6 +114,8 @@ def steps(w0: np.ndarray, max_iter: int = 50, m: int = 6, epsilon: float = 1e-5,
             if abs(old - f) / max(abs(f), 1e-300) < delta:
                 reason = "delta"
                 break
+        if each_round:
+            each_round(State(it, evals, w, f, g, list(s_hist), list(y_hist), list(f_hist)))
     return LBFGSResult(w=w, f=f, iterations=it, evaluations=evals, converged=reason,
                        history=f_hist)
 

@@ -121,6 +121,28 @@ def q_crf_fit(spark, sf):
 
 
 # ----------------------------------------------------------------- vectors
+@query("stored_lookup")
+def q_stored_lookup(spark, sf):
+    """B1 + C3 on the stored layout: the test articles' folder joined with their vectors bucket by bucket."""
+    return _vector_rows(stored_articles_with_vectors(spark, sf, "test"))
+
+
+def stored_articles_with_vectors(spark, sf, split):
+    """Articles and vectors stored by article id, then one split of them read and joined."""
+    from uuid import uuid4
+    from ..operators.vectors import article_matrices, attach_vectors, testdata_vectors
+    from ..session import shared_path
+    from ..sources.articles import split_filter, testdata_articles
+    from ..sources.sinks import buckets_for, store_by_article
+    buckets = buckets_for(spark.read.parquet(f"{sf}/documents.parquet"), growth=16)  # vectors are larger than texts
+    run = uuid4().hex[:12]
+    articles = store_by_article(testdata_articles(spark, sf), f"stored_articles_{run}",
+                                shared_path(spark, "stored_articles"), buckets)
+    matrices = store_by_article(article_matrices(testdata_vectors(spark, sf)), f"stored_vectors_{run}",
+                                shared_path(spark, "stored_vectors"), buckets, by_split=False)
+    return attach_vectors(split_filter(articles, split), matrices)
+
+
 def _articles_with_vectors(spark, sf):
     from ..operators.vectors import article_matrices, attach_vectors, testdata_vectors
     from ..sources.articles import testdata_articles
@@ -130,13 +152,16 @@ def _articles_with_vectors(spark, sf):
 @query("embed_lookup")
 def q_embed_lookup(spark, sf):
     """C3 with both R10 cases: no vector (null) and zero padding."""
-    a = _articles_with_vectors(spark, sf)
+    return _vector_rows(_articles_with_vectors(spark, sf)).drop("split")
+
+
+def _vector_rows(a):
     # posexplode_outer: no inferred size(sentences) > 0 filter pushed below the
     # exchange (which would split every document twice)
-    rows = (a.select("article_id", F.posexplode_outer("sentences").alias("pos", "_s"), "vecs")
+    rows = (a.select("article_id", "split", F.posexplode_outer("sentences").alias("pos", "_s"), "vecs")
             .filter(F.col("pos").isNotNull()))
     v = F.try_element_at("vecs", F.col("pos") + 1)
-    return rows.select("article_id", "pos",
+    return rows.select("article_id", "split", "pos",
                        F.col("vecs").isNotNull().cast("int").alias("has_vec"),
                        F.try_element_at(v, F.lit(1)).alias("v_first"),
                        F.array_max(v).alias("v_max"), F.array_min(v).alias("v_min"))

@@ -111,6 +111,13 @@ SELECT s.article_id, s.pos, 1 AS has_vec, CAST(e.embedding[1] AS DOUBLE) AS v_fi
 FROM (SELECT article_id, pos, CAST(substr(article_id, 5) AS BIGINT) AS doc_id FROM sents) s
 JOIN embeddings e ON e.vec_id = (s.doc_id * 31 + s.pos) % (SELECT max(vec_id) + 1 FROM embeddings)"""
 
+ORACLE["stored_lookup"] = _with(ARTS, SENTS) + """
+SELECT s.article_id, s.split, s.pos, 1 AS has_vec, CAST(e.embedding[1] AS DOUBLE) AS v_first,
+       CAST(list_max(e.embedding) AS DOUBLE) AS v_max, CAST(list_min(e.embedding) AS DOUBLE) AS v_min
+FROM (SELECT article_id, split, pos, CAST(substr(article_id, 5) AS BIGINT) AS doc_id FROM sents
+      WHERE split = 'test') s
+JOIN embeddings e ON e.vec_id = (s.doc_id * 31 + s.pos) % (SELECT max(vec_id) + 1 FROM embeddings)"""
+
 # a vector for every sentence
 VECS = """
 vecs AS (

@@ -7,6 +7,9 @@ Layout under a results root, one folder per run::
     <root>/<run>/<model>_by_subtype/      A11 (only when rows exist)
     <root>/<run>/model/                   A13
     <root>/main_results/, subtype/        A12
+
+Articles and their vectors can be stored for later runs: a folder per split, and in it rows bucketed by
+article id, so a split filter reads one folder and joins on the id need no shuffle.
 """
 
 from __future__ import annotations
@@ -27,6 +30,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_by_article(df: DataFrame, table: str, path: str, buckets: int, by_split: bool = True) -> DataFrame:
+    """Write rows with an ``article_id`` as an external table in ``path``, bucketed by it (and in a folder for each
+    ``split``), and read it. Tables with equally many buckets join on ``article_id`` without an exchange.
+
+    Rows go to their bucket's task first, so a bucket has one file for each split, not one for each task."""
+    out = df.repartition(buckets, "article_id").write.bucketBy(buckets, "article_id").sortBy("article_id")
+    out = out.partitionBy("split") if by_split else out
+    out.format("parquet").option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def buckets_for(source: DataFrame, growth: float = 1.0, bucket_bytes: int = 256 << 20) -> int:
+    """Buckets of about ``bucket_bytes`` each, at least one for each core, for what is made of a scan of files
+    and is ``growth`` times as large. Reads the files' sizes, no columns."""
+    meta = source.metadataColumn("_metadata")
+    files = source.select(meta["file_path"].alias("file"), meta["file_size"].alias("size")).distinct()
+    n_bytes = files.agg(F.sum("size")).first()[0] or 0
+    return max(source.sparkSession.sparkContext.defaultParallelism, int(-(-n_bytes * growth // bucket_bytes)))
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One JSON object per line, UTF-8 (not ASCII-escaped)."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
