@@ -138,9 +138,10 @@ def stored_articles_with_vectors(spark, sf, split):
     run = uuid4().hex[:12]
     articles = store_by_article(testdata_articles(spark, sf), f"stored_articles_{run}",
                                 shared_path(spark, "stored_articles"), buckets)
-    matrices = store_by_article(article_matrices(testdata_vectors(spark, sf)), f"stored_vectors_{run}",
-                                shared_path(spark, "stored_vectors"), buckets, by_split=False)
-    return attach_vectors(split_filter(articles, split), matrices)
+    # a row per vector: they are shuffled once, as floats, and grouped bucket by bucket when they are read
+    vectors = store_by_article(testdata_vectors(spark, sf), f"stored_vectors_{run}",
+                               shared_path(spark, "stored_vectors"), buckets, by_split=False)
+    return attach_vectors(split_filter(articles, split), article_matrices(vectors))
 
 
 def _articles_with_vectors(spark, sf):
