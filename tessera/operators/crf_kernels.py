@@ -63,7 +63,16 @@ SCALED_MAX_ABS_TRANSITION = 50.0
 
 def nll_and_grad(X: np.ndarray, M: np.ndarray, Y: np.ndarray, W: np.ndarray, A: np.ndarray,
                  want_grad: bool = True):
-    """Negative log-likelihood per sequence and summed gradients for one block.
+    """Negative log-likelihood per sequence and summed gradients for one block of feature rows."""
+    nll, R, gA = nll_and_residuals(X @ W, M, Y, A, want_grad)
+    if not want_grad:
+        return nll, None, None
+    return nll, X.reshape(-1, X.shape[2]).T @ R.reshape(-1, W.shape[1]), gA
+
+
+def nll_and_residuals(E: np.ndarray, M: np.ndarray, Y: np.ndarray, A: np.ndarray, want_grad: bool = True):
+    """Negative log-likelihood per sequence, its derivative by each emission (marginal
+    minus truth, zero on padding) and the summed transition gradient, for one block.
 
     Rows of a block are sorted by length (``chunks``), so at step t the rows
     still running are a suffix of the block and each step works on a slice.
@@ -72,17 +81,19 @@ def nll_and_grad(X: np.ndarray, M: np.ndarray, Y: np.ndarray, W: np.ndarray, A:
     to log space when transition weights are extreme.
     """
     if np.abs(A).max(initial=0.0) > SCALED_MAX_ABS_TRANSITION:
-        return nll_and_grad_log(X, M, Y, W, A, want_grad)
+        return _residuals_log(E, M, Y, A, want_grad)
     L = M.sum(axis=1)
     if np.any(L[1:] < L[:-1]):  # callers outside ``chunks`` may pass unsorted rows
         order = np.argsort(L, kind="stable")
-        nll, gW, gA = nll_and_grad(X[order], M[order], Y[order], W, A, want_grad)
+        nll, R, gA = nll_and_residuals(E[order], M[order], Y[order], A, want_grad)
         out = np.empty_like(nll)
         out[order] = nll
-        return out, gW, gA
-    B, T, _ = X.shape
-    K = W.shape[1]
-    E = X @ W
+        if want_grad:
+            back = np.empty_like(R)
+            back[order] = R
+            R = back
+        return out, R, gA
+    B, T, K = E.shape
     Emax = E.max(axis=2)
     PE = np.exp(E - Emax[..., None])
     EA = np.exp(A)
@@ -112,23 +123,26 @@ def nll_and_grad(X: np.ndarray, M: np.ndarray, Y: np.ndarray, W: np.ndarray, A:
         beta[r:, t] = ((PE[r:, t + 1] * beta[r:, t + 1]) @ EA.T) / c[r:, t + 1, None]
     P = alpha * beta  # zero on padding (alpha is zero there)
     onehot = (Yb[..., None] == np.arange(K)) * M[..., None]
-    d = X.shape[2]
-    gW = X.reshape(-1, d).T @ (P - onehot).reshape(-1, K)
+    R = P - onehot
     gA = np.zeros((K, K))
     if T > 1:
         right = PE[:, 1:] * beta[:, 1:] / c[:, 1:, None] * M[:, 1:, None]
         gA += EA * (alpha[:, :-1].reshape(-1, K).T @ right.reshape(-1, K))
         v = M[:, 1:]
         np.add.at(gA, (Yb[:, :-1][v], Yb[:, 1:][v]), -1.0)
-    return nll, gW, gA
+    return nll, R, gA
 
 
 def nll_and_grad_log(X: np.ndarray, M: np.ndarray, Y: np.ndarray, W: np.ndarray, A: np.ndarray,
                      want_grad: bool = True):
+    """``nll_and_grad`` in log space."""
+    nll, R, gA = _residuals_log(X @ W, M, Y, A, want_grad)
+    return nll, np.einsum("btd,btk->dk", X, R) if want_grad else None, gA
+
+
+def _residuals_log(E: np.ndarray, M: np.ndarray, Y: np.ndarray, A: np.ndarray, want_grad: bool = True):
     """Log-space forward-backward (reference implementation and fallback)."""
-    B, T, _ = X.shape
-    K = W.shape[1]
-    E = X @ W
+    B, T, K = E.shape
     alpha = np.empty((B, T, K))
     alpha[:, 0] = E[:, 0]
     for t in range(1, T):
@@ -147,7 +161,6 @@ def nll_and_grad_log(X: np.ndarray, M: np.ndarray, Y: np.ndarray, W: np.ndarray,
         beta[:, t] = np.where(M[:, t + 1, None], b, 0.0)
     P = np.exp(alpha + beta - logZ[:, None, None]) * M[..., None]
     onehot = (Yb[..., None] == np.arange(K)) * M[..., None]
-    gW = np.einsum("btd,btk->dk", X, P - onehot)
     gA = np.zeros((K, K))
     if T > 1:
         Q = np.exp(alpha[:, :-1, :, None] + A[None, None]
@@ -156,7 +169,7 @@ def nll_and_grad_log(X: np.ndarray, M: np.ndarray, Y: np.ndarray, W: np.ndarray,
         gA += Q.sum(axis=(0, 1))
         v = M[:, 1:]
         np.add.at(gA, (Yb[:, :-1][v], Yb[:, 1:][v]), -1.0)
-    return nll, gW, gA
+    return nll, P - onehot, gA
 
 
 def viterbi(X: np.ndarray, M: np.ndarray, W: np.ndarray, A: np.ndarray) -> np.ndarray:

@@ -120,6 +120,54 @@ def q_crf_fit(spark, sf):
                                  "param string, weight double, gradient double")
 
 
+# least occurrences of an attribute in the dictionary, and the share bound of its size
+SPARSE_MIN_COUNT, SPARSE_MAX_ATTRIBUTES = 2, 1 << 20
+
+
+def _token_attributes(spark, sf):
+    """Articles with their tokens and those of the sentence before as attributes."""
+    from ..functions.text import tokens
+    from ..operators.crf_sparse import token_attributes
+    from ..sources.articles import testdata_articles
+    a = testdata_articles(spark, sf).withColumn("toks", F.transform("sentences", tokens))
+    return a.withColumn("attrs", token_attributes(F.col("toks"))).drop("toks")
+
+
+def _dictionary(articles):
+    from ..operators.crf_sparse import attribute_dictionary
+    return attribute_dictionary(articles, min_count=SPARSE_MIN_COUNT, max_attributes=SPARSE_MAX_ATTRIBUTES)
+
+
+@query("crf_attributes")
+def q_crf_attributes(spark, sf):
+    """B22 with open names: the dictionary of token attributes of all documents."""
+    return _dictionary(_token_attributes(spark, sf)).table.select("name", "n")
+
+
+@query("crf_sparse_grad0")
+def q_crf_sparse_grad0(spark, sf):
+    """H1 over sparse attributes: loss and gradient at zero weights, all documents."""
+    from ..operators.crf_sparse import gradient_rows, sparse_sequences, zero_model
+    a = _token_attributes(spark, sf)
+    words = _dictionary(a)
+    g = gradient_rows(sparse_sequences(a, words), zero_model(words))
+    return g.select("param", F.round("value", 6).alias("value"))
+
+
+@query("crf_sparse_predict")
+def q_crf_sparse_predict(spark, sf):
+    """B22 + H1 + H2: a CRF over token attributes fitted on train (dictionary too); paths of the other articles."""
+    from ..operators.crf_sparse import decode_sparse, fit_sparse, sparse_sequences
+    a = _token_attributes(spark, sf)
+    train = a.filter(F.col("split") == "train")
+    words = _dictionary(train)
+    model = fit_sparse(sparse_sequences(train, words), words)
+    rest = sparse_sequences(a.filter(F.col("split") != "train"), words, keep=("article_id", "split"))
+    return decode_sparse(rest, model).select(
+        "article_id", "split", F.array_join(F.col("y").cast("array<string>"), ",").alias("truth"),
+        F.array_join(F.col("pred").cast("array<string>"), ",").alias("path"))
+
+
 # ----------------------------------------------------------------- vectors
 @query("stored_lookup")
 def q_stored_lookup(spark, sf):

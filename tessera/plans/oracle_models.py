@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..operators.features import FEATURE_NAMES
-from .catalog_models import FIXED_STATE, FIXED_TRANS, ROUND_FEATURES, ROUNDS
+from .catalog_models import (FIXED_STATE, FIXED_TRANS, ROUND_FEATURES, ROUNDS, SPARSE_MAX_ATTRIBUTES,
+                             SPARSE_MIN_COUNT)
 from .oracle import ARTS, FEATS, ORACLE, SENTS, _tok, _with
 
 A = FIXED_TRANS
@@ -105,6 +106,30 @@ FROM (SELECT count(*) AS n FROM feats WHERE split = 'train' GROUP BY article_id)
 UNION ALL {_STATE_ROWS}
 UNION ALL {_TRANS_ROWS}"""
 
+# token attributes of every sentence and of the one before
+ATTRS = f"""
+toks AS (SELECT article_id, pos, label, {_tok('sentence')} AS own FROM sents),
+named AS (
+  SELECT label, 'w=' || unnest(own) AS name FROM toks
+  UNION ALL
+  SELECT label, 'p=' || unnest(before)
+  FROM (SELECT label, lag(own) OVER (PARTITION BY article_id ORDER BY pos) AS before FROM toks)),
+dict AS (SELECT name, count(*) AS n FROM named GROUP BY name
+         HAVING count(*) >= {SPARSE_MIN_COUNT}
+            AND count(*) * {SPARSE_MAX_ATTRIBUTES} >= (SELECT count(*) FROM named))"""
+
+ORACLE["crf_attributes"] = _with(ARTS, SENTS, ATTRS) + """
+SELECT name, n FROM dict"""
+
+ORACLE["crf_sparse_grad0"] = _with(ARTS, SENTS, ATTRS, """
+pairs AS (SELECT unnest(sentence_labels[1:len(sentence_labels) - 1]) AS prev_label,
+                 unnest(sentence_labels[2:len(sentence_labels)]) AS label
+          FROM arts WHERE len(sentence_labels) > 1)""") + f"""
+SELECT 'loss' AS param, round(ln(2) * count(*), 6) AS value FROM sents
+UNION ALL SELECT name || '|' || k, round(sum(0.5::DOUBLE - CASE WHEN label = k THEN 1 ELSE 0 END), 6)
+FROM named JOIN dict USING (name) CROSS JOIN (VALUES (0), (1)) l(k) GROUP BY name, k
+UNION ALL {_TRANS_ROWS}"""
+
 ORACLE["embed_lookup"] = _with(ARTS, SENTS) + """
 SELECT s.article_id, s.pos, 1 AS has_vec, CAST(e.embedding[1] AS DOUBLE) AS v_first,
        CAST(list_max(e.embedding) AS DOUBLE) AS v_max, CAST(list_min(e.embedding) AS DOUBLE) AS v_min
