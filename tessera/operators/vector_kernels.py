@@ -119,3 +119,86 @@ def make_distances(components: np.ndarray, mean: np.ndarray, keep: list, vec: st
             far = np.sqrt((p * p).sum(axis=1) + (left * left).sum(axis=1))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(far)], names=[*keep, out])
     return run
+
+
+def make_encoder(buckets: str, keep: list, dim: int, pools: dict):
+    """Batches with each row's token buckets -> the kept columns and, per output name, the bucket shares
+    (``mean``, denominator at least 1) or the first token's bucket (``cls``)."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column(buckets)
+            n = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            cols = []
+            for pool in pools.values():
+                if pool == "mean":
+                    v = np.bincount(row * dim + flat, minlength=len(n) * dim) / np.repeat(np.maximum(n, 1), dim)
+                else:
+                    first = (np.cumsum(n) - n)[n > 0]
+                    v = np.zeros(len(n) * dim)
+                    v[np.flatnonzero(n > 0) * dim + flat[first]] = 1.0
+                cols.append(pa.ListArray.from_arrays(
+                    pa.array(np.arange(0, (len(n) + 1) * dim, dim, dtype=np.int32)), pa.array(v, pa.float64())))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *cols], names=[*keep, *pools])
+    return run
+
+
+# ------------------------------------------------------------------ wide PCA
+def make_spreads(vec: str):
+    """Batches -> per partition the count, sums and sums of squares, as packed blocks."""
+    def run(batches):
+        total = 0.0
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(vec))
+                total = total + np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+        if np.ndim(total):
+            yield block_rows({(): total}, {}, "<f8")
+    return run
+
+
+def _r(*rows) -> np.ndarray:
+    return np.linalg.qr(np.vstack(rows), mode="r")
+
+
+def make_local_r(vec: str, mean: np.ndarray, basis: np.ndarray):
+    """Batches -> per partition the R factor of its rows of ``(x - mean) @ basis``."""
+    def run(batches):
+        import pyarrow as pa
+
+        r = np.zeros((0, basis.shape[1]))
+        for batch in batches:
+            if batch.num_rows:
+                r = _r(r, (_matrix(batch.column(vec)) - mean) @ basis)
+        yield pa.RecordBatch.from_pydict({"blob": pa.array([r.tobytes()], pa.binary())})
+    return run
+
+
+def make_r_merger(width: int):
+    """R factors -> one R factor of all of them."""
+    def run(batches):
+        import pyarrow as pa
+
+        r = np.zeros((0, width))
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                r = _r(r, np.frombuffer(blob, "<f8").reshape(-1, width))
+        yield pa.RecordBatch.from_pydict({"blob": pa.array([r.tobytes()], pa.binary())})
+    return run
+
+
+def make_back_products(vec: str, mean: np.ndarray, basis: np.ndarray):
+    """Batches -> per partition the sum of ``(x - mean)^T ((x - mean) @ basis)``, as packed blocks."""
+    def run(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(vec)) - mean
+                m = x.T @ (x @ basis)
+                total = m if total is None else total + m
+        if total is not None:
+            yield block_rows({(): total.ravel()}, {}, "<f8")
+    return run

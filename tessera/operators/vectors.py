@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens
-from .vector_kernels import make_distances, make_mean_sums, make_means, make_moments, make_projector
-from .vector_sums import collected, merged_blocks
+from .vector_kernels import (make_back_products, make_distances, make_encoder, make_local_r, make_mean_sums,
+                             make_means, make_moments, make_projector, make_r_merger, make_spreads)
+from .vector_sums import LANES, collected, merged_blocks
 
 BROADCAST_MAX_BYTES = 64 << 20   # vector tables up to this size may be broadcast
 DEFAULT_PCA_DIM = 50             # fixed value of the reference's experiment config
@@ -183,6 +184,64 @@ def fit_pca(vectors: DataFrame, vec: str = "vec", k: int = DEFAULT_PCA_DIM,
     return _pca(mean, cov, k) if n else None
 
 
+def wide_moments(vectors: DataFrame, vec: str = "vec", zero_rows: int = 0):
+    """(rows, mean, total variance) in one pass of 2 d + 1 sums a partition."""
+    parts = vectors.select(F.col(vec).cast("array<double>").alias("v")).mapInArrow(make_spreads("v"), "block int, blob binary")
+    m = collected(merged_blocks(parts))
+    if m is None:
+        return 0, None, 0.0
+    d, n = len(m) // 2, int(m[0]) + zero_rows
+    mean = m[1:1 + d] / n
+    return n, mean, float((m[1 + d:] - n * mean * mean).sum()) / max(n - 1, 1)
+
+
+def back_products(vectors: DataFrame, vec: str, mean: np.ndarray, basis: np.ndarray, zero_rows: int = 0) -> np.ndarray:
+    """``X^T (X @ basis)`` of the centred rows X: as many numbers as ``basis`` has, summed over blocks."""
+    parts = vectors.select(F.col(vec).cast("array<double>").alias("v")).mapInArrow(
+        make_back_products("v", mean, basis), "block int, blob binary")
+    return collected(merged_blocks(parts)).reshape(basis.shape) + zero_rows * np.outer(mean, mean @ basis)
+
+
+def tall_r(vectors: DataFrame, vec: str, mean: np.ndarray, basis: np.ndarray, zero_rows: int = 0) -> np.ndarray:
+    """R of the tall matrix ``(x - mean) @ basis`` over all rows: a factor per partition, merged in lanes and
+    then on the driver, which gets one small square factor a lane."""
+    width = basis.shape[1]
+    local = vectors.select(F.col(vec).cast("array<double>").alias("v")).mapInArrow(
+        make_local_r("v", mean, basis), "blob binary")
+    lanes = local.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(LANES))).repartition(LANES, "lane").select("blob")
+    rows = [np.frombuffer(bytes(r.blob), "<f8").reshape(-1, width)
+            for r in lanes.mapInArrow(make_r_merger(width), "blob binary").collect()]
+    return np.linalg.qr(np.vstack([*rows, np.sqrt(zero_rows) * -(mean @ basis)[None, :]]), mode="r")
+
+
+def fit_pca_wide(vectors: DataFrame, vec: str = "vec", k: int = DEFAULT_PCA_DIM, zero_rows: int = 0,
+                 oversample: int = 10, power: int = 4, seed: int = 42) -> PCAProjection | None:
+    """D9 for wide vectors by a randomised range: ``width * (k + oversample)`` numbers at most on the driver, never
+    width x width. Each of ``power`` rounds takes two passes: R of the rows in the current basis (tall-skinny QR), then
+    the rows' products with the orthonormal columns. Components have errors that shrink with (e_j / e_k)^(4 power),
+    e_j the first singular value left out of the basis; with ``k + oversample`` >= width they are exact."""
+    vectors = vectors.filter(F.col(vec).isNotNull())
+    n, mean, total = wide_moments(vectors, vec, zero_rows)
+    if not n:
+        return None
+    d = len(mean)
+    k = min(k, d)
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, min(k + oversample, d))))[0]
+    for _ in range(max(power, 1)):
+        r = tall_r(vectors, vec, mean, basis, zero_rows)
+        u, sv, vt = np.linalg.svd(r)  # columns of the rows' product that are no more than rounding leave
+        keep = sv > sv[0] * max(n, d) * np.finfo(float).eps if sv[0] > 0 else np.zeros(len(sv), bool)
+        ortho = basis @ (vt[keep].T / sv[keep])
+        b = back_products(vectors, vec, mean, ortho, zero_rows)  # d x l: the rows seen from an orthonormal basis
+        left, values, _ = np.linalg.svd(b, full_matrices=False)
+        basis = np.linalg.qr(left)[0] if len(values) else basis[:, :0]
+        if not len(values):
+            break
+    values = np.concatenate([values[:k], np.zeros(max(0, k - len(values)))])
+    comps = np.linalg.qr(np.hstack([basis, np.eye(d)[:, :k]]))[0][:, :k] if basis.shape[1] < k else basis[:, :k]
+    return PCAProjection(mean, comps.T, values ** 2 / max(n - 1, 1), total)
+
+
 def fit_pca_groups(articles: DataFrame, vectors: DataFrame, groups: int, k: int = DEFAULT_PCA_DIM) -> list:
     """D9 for each row group (bits of the articles' column ``member``) in one pass over the vectors;
     a sentence without a vector in an article that has some is a zero vector. None for a group without vectors."""
@@ -240,18 +299,20 @@ def encode_sentences(sentences: DataFrame, text: str = "sentence", dim: int = 64
                      pool: str = "mean", out: str = "vec") -> DataFrame:
     """H10 default encoder: one-hot token vectors hashed by md5 (the same
     bucket in any engine), pooled by ``mean`` (masked mean, denominator at
-    least 1, D7) or ``cls`` (first token, D8). Row-local, JVM only."""
-    toks = tokens(text)
-    if pool == "cls":
-        toks = F.slice(toks, 1, 1)
-    elif pool != "mean":
-        raise ValueError(f"unknown pooling {pool!r}")
-    bucket = lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
-    staged = sentences.withColumn("_b", F.transform(toks, bucket))
-    n = F.greatest(F.size("_b"), F.lit(1)).cast("double")
-    return staged.withColumn(out, F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda d: F.size(F.filter("_b", lambda b: b == d)) / n)).drop("_b")
+    least 1, D7) or ``cls`` (first token, D8). Row-local."""
+    return encode_tokens(sentences.withColumn("_toks", tokens(text)), "_toks", dim, {out: pool}).drop("_toks")
+
+
+def encode_tokens(rows: DataFrame, toks: str, dim: int, pools: dict) -> DataFrame:
+    """The rows with a vector column for each of ``pools`` (output name -> ``mean`` or ``cls``) over the token array
+    ``toks``. Tokens are hashed once in the JVM; a batch's vectors are one count over all its tokens."""
+    for pool in pools.values():
+        if pool not in ("mean", "cls"):
+            raise ValueError(f"unknown pooling {pool!r}")
+    bucket = lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+    staged = rows.withColumn("_b", F.transform(toks, bucket))
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(o, T.ArrayType(T.DoubleType())) for o in pools]])
+    return staged.mapInArrow(make_encoder("_b", rows.columns, dim, dict(pools)), schema)
 
 
 def encode_in_arrow(sentences: DataFrame, encoder: Callable, dim: int,

@@ -268,6 +268,28 @@ def q_pca_fit(spark, sf):
         "kind", "i", (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
+@query("pca_fit_wide")
+def q_pca_fit_wide(spark, sf):
+    """D9 without a width x width matrix: row count, mean and total variance of the training vectors, and for each
+    component its length and how far one more pass over the rows moves it from its own direction."""
+    from ..operators.vectors import back_products, fit_pca_wide, testdata_vectors, training_rows, wide_moments
+    from ..sources.articles import testdata_articles
+    rows, zeros = training_rows(testdata_articles(spark, sf).filter(F.col("split") == "train"),
+                                testdata_vectors(spark, sf))
+    rows = rows.select("vec").persist()  # each round reads them twice
+    try:
+        n, mean, total = wide_moments(rows, zero_rows=zeros)
+        proj = fit_pca_wide(rows, zero_rows=zeros, oversample=14)
+        moved = back_products(rows, "vec", proj.mean, proj.components.T, zeros).T / max(n - 1, 1)
+    finally:
+        rows.unpersist()
+    out = [("rows", 0, float(n)), ("total_variance", 0, total)] + [("mean", i, float(v)) for i, v in enumerate(mean)]
+    for i, (v, lam, m) in enumerate(zip(proj.components, proj.variances, moved)):
+        out += [("length", i, float(v @ v)), ("residual", i, float(np.abs(m - lam * v).max()))]
+    return spark.createDataFrame(out, "kind string, i int, value double").select(
+        "kind", "i", (F.round("value", 6) + F.lit(0.0)).alias("value"))
+
+
 @query("pca_project")
 def q_pca_project(spark, sf):
     """D10 on every sentence: scores and what the components leave out, whose
@@ -288,12 +310,11 @@ def q_sentence_vectors(spark, sf):
     the non-zero dimensions as ``dimension:count``."""
     from ..functions.text import tokens
     from ..operators.sentences import explode_sentences
-    from ..operators.vectors import encode_sentences
+    from ..operators.vectors import encode_tokens
     from ..sources.articles import testdata_articles
-    s = explode_sentences(testdata_articles(spark, sf), keep=())
-    v = encode_sentences(encode_sentences(s, dim=64, pool="mean", out="mean_vec"),
-                         dim=64, pool="cls", out="cls_vec")
-    n = F.greatest(F.size(tokens("sentence")), F.lit(1))
+    s = explode_sentences(testdata_articles(spark, sf), keep=()).select("article_id", "pos", tokens("sentence").alias("toks"))
+    v = encode_tokens(s, "toks", 64, {"mean_vec": "mean", "cls_vec": "cls"})
+    n = F.greatest(F.size("toks"), F.lit(1))
 
     def text(vec, times):
         return F.array_join(F.filter(F.transform(vec, lambda x, d: F.when(

@@ -162,6 +162,13 @@ UNION ALL SELECT 'covariance_next', CAST(i AS INTEGER), round(covar_samp(x, y),
 UNION ALL SELECT unnest(['length', 'residual']), CAST(i AS INTEGER), unnest([1.0::DOUBLE, 0.0::DOUBLE])
           FROM means WHERE i < 50"""
 
+ORACLE["pca_fit_wide"] = _with(ARTS, SENTS, VECS) + """
+SELECT 'rows' AS kind, CAST(0 AS INTEGER) AS i, CAST(count(*) AS DOUBLE) AS value FROM vecs WHERE split = 'train'
+UNION ALL SELECT 'total_variance', 0, round(sum(v), 6) FROM (SELECT var_samp(x) AS v FROM dims GROUP BY i)
+UNION ALL SELECT 'mean', CAST(i AS INTEGER), round(m, 6) + 0.0 FROM means
+UNION ALL SELECT unnest(['length', 'residual']), CAST(i AS INTEGER), unnest([1.0::DOUBLE, 0.0::DOUBLE])
+          FROM means WHERE i < 50"""
+
 ORACLE["pca_project"] = _with(ARTS, SENTS, VECS) + """
 SELECT article_id, pos, round(sqrt(sum((x - m) * (x - m))), 5) AS from_mean
 FROM (SELECT article_id, pos, unnest(range(len(v))) AS i, unnest(v) AS x FROM vecs) JOIN means USING (i)
