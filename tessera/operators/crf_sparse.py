@@ -27,7 +27,7 @@ from ..sources.sinks import written
 from . import lbfgs
 from .crf import (DEFAULT_C2, DEFAULT_MAX_ITER, observed_labels, training_partitions, transition_counts,
                   transition_mask)
-from .crf_sparse_kernels import (BLOCK, add_block, make_block_merger, make_block_rows, make_encoder,
+from .crf_sparse_kernels import (BLOCK, add_block, chained, make_block_merger, make_block_rows, make_encoder,
                                  make_sparse_decoder, make_sparse_step, make_squares_step)
 from .sentences import checked_length
 from .vector_sums import DIRECT, LANES
@@ -101,31 +101,40 @@ def attribute_maps(maps: Column) -> tuple[Column, Column]:
             F.transform(maps, lambda m: F.coalesce(F.map_values(m), F.array().cast("array<double>"))))
 
 
-def sparse_sequences(articles: DataFrame, dictionary: AttributeDictionary, attrs: str = "attrs",
-                     values: str | None = None, labels: str | None = "sentence_labels", keep=("article_id",)) -> DataFrame:
-    """CSR rows (*keep, y, m, idx, val). ``values`` (aligned with ``attrs``) are 1 if not given; null names and values
-    count as absent and 0, names outside the dictionary have no weight, a name that a sentence has twice counts with
-    the sum of its values. A null array of a sentence is an empty one, a null ``attrs`` has one for each sentence. An
-    article with more or fewer arrays than sentences fails the job."""
+def _staged(articles: DataFrame, dictionary: AttributeDictionary, attrs: str, values: str | None, labels: str | None,
+            keep) -> tuple[DataFrame, list]:
+    """What the encoder reads, and its columns that pass through."""
     empty = F.array().cast("array<string>")
     given = F.coalesce(F.col(attrs), F.transform("sentences", lambda s: empty), F.array().cast("array<array<string>>"))
     lists = F.transform(given, lambda s: F.coalesce(s, empty))
     fits = F.size(lists) == F.coalesce(F.size("sentences"), F.lit(0))
     sizes = F.when(fits, F.transform(lists, lambda s: F.size(s))).otherwise(
         F.raise_error(F.lit("one array of attributes is needed for each sentence")).cast("array<int>"))
-    hashed = F.transform(F.flatten(lists), lambda a: F.when(a.isNotNull(), _hash(a, dictionary.seed)))
-    vals = (F.transform(hashed, lambda h: F.when(h.isNull(), 0.0).otherwise(1.0)) if values is None else
-            F.flatten(F.transform(F.arrays_zip(lists.alias("a"), F.col(values).alias("v")), lambda z: F.transform(
-                z["a"], lambda a, i: F.when(a.isNull(), 0.0).otherwise(F.coalesce(F.get(z["v"], i), F.lit(0.0)))))))
-    columns = list(keep)
-    staged = articles.select(
-        *keep, *([F.slice(labels, 1, checked_length(labels=labels)).alias("y")] if labels else []),
-        F.transform(hashed, lambda h: F.coalesce(h, F.lit(0).cast("bigint"))).alias("names"), vals.alias("vals"),
-        sizes.alias("m"))
-    columns += ["y"] if labels else []
+    hashed = F.flatten(F.transform(lists, lambda s: F.transform(F.filter(s, lambda a: a.isNotNull()),
+                                                                lambda a: _hash(a, dictionary.seed))))
+    known = F.transform(lists, lambda s: F.size(F.filter(s, lambda a: a.isNotNull())))
+    extra = []
+    if values is not None:
+        pairs = F.transform(F.arrays_zip(lists.alias("a"), F.col(values).alias("v")), lambda z: F.filter(
+            F.transform(z["a"], lambda a, i: F.struct(a.alias("a"), F.coalesce(F.get(z["v"], i), F.lit(0.0)).alias("v"))),
+            lambda p: p["a"].isNotNull()))
+        extra = [F.transform(F.flatten(pairs), lambda p: p["v"]).alias("vals")]
+    y = [F.slice(labels, 1, checked_length(labels=labels)).alias("y")] if labels else []
+    staged = articles.select(*keep, *y, hashed.alias("names"), *extra,
+                             F.when(F.size(sizes) >= 0, known).alias("m"))
+    return staged, [*keep, *(["y"] if labels else [])]
+
+
+def sparse_sequences(articles: DataFrame, dictionary: AttributeDictionary, attrs: str = "attrs",
+                     values: str | None = None, labels: str | None = "sentence_labels", keep=("article_id",)) -> DataFrame:
+    """CSR rows (*keep, y, m, idx and, with ``values``, val). ``values`` (aligned with ``attrs``) are 1 if not given;
+    null names are absent, null values 0, names outside the dictionary have no weight, a name that a sentence has twice
+    counts with the sum of its values. A null array of a sentence is an empty one, a null ``attrs`` has one for each
+    sentence. An article with more or fewer arrays than sentences fails the job."""
+    staged, columns = _staged(articles, dictionary, attrs, values, labels, keep)
     schema = T.StructType([*[staged.schema[c] for c in columns], T.StructField("m", T.ArrayType(T.IntegerType())),
                            T.StructField("idx", T.ArrayType(T.IntegerType())),
-                           T.StructField("val", T.ArrayType(T.DoubleType()))])
+                           *([T.StructField("val", T.ArrayType(T.DoubleType()))] if values else [])])
     return staged.mapInArrow(make_encoder(dictionary.hashes, tuple(columns)), schema)
 
 
@@ -207,11 +216,14 @@ class SparseCRF:
                    p["c2"], p["transitions"], p["info"])
 
 
-def gradient_rows(seqs: DataFrame, model: SparseCRF) -> DataFrame:
-    """One evaluation of the data term at the model's weights as rows (param, value): the loss, every
+def gradient_rows(articles: DataFrame, model: SparseCRF, attrs: str = "attrs", values: str | None = None,
+                  labels: str = "sentence_labels") -> DataFrame:
+    """One evaluation of the data term over articles at the model's weights as rows (param, value): the loss, every
     attribute of the dictionary by label, every transition. Nothing but the head reaches the driver."""
-    spark, K = seqs.sparkSession, len(model.labels)
-    parts = seqs.mapInArrow(make_sparse_step(model.W, model.A * model.trans_mask, model.labels), PART_SCHEMA)
+    spark, K = articles.sparkSession, len(model.labels)
+    staged, columns = _staged(articles, model.dictionary, attrs, values, labels, ())
+    step = make_sparse_step(model.W, model.A * model.trans_mask, model.labels)
+    parts = staged.mapInArrow(chained(make_encoder(model.dictionary.hashes, tuple(columns)), step), PART_SCHEMA)
     merged = written(merged_sparse(parts, K), "sparse_gradient")
     head = np.frombuffer(bytes(merged.where("block < 0").first().val), "<f8")
     lab = F.array(*[F.lit(int(v)) for v in model.labels])

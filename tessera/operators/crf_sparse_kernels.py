@@ -49,11 +49,13 @@ def make_encoder(hashes: np.ndarray, keep: tuple):
                 rows = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 cells = np.concatenate([[0], np.cumsum(kept)])[rows].astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(rows), pa.array(kept.astype(np.int32))),
-                         pa.ListArray.from_arrays(pa.array(cells), pa.array(at[known].astype(np.int32))),
-                         pa.ListArray.from_arrays(pa.array(cells), pa.array(
-                             _flat(b.column("vals"))[known].astype(np.float64)))]
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *lists],
-                                                 names=[*keep, "m", "idx", "val"])
+                         pa.ListArray.from_arrays(pa.array(cells), pa.array(at[known].astype(np.int32)))]
+                out = ["m", "idx"]
+                if "vals" in b.schema.names:
+                    lists.append(pa.ListArray.from_arrays(pa.array(cells), pa.array(
+                        _flat(b.column("vals"))[known].astype(np.float64))))
+                    out.append("val")
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *lists], names=[*keep, *out])
     return run
 
 
@@ -61,8 +63,14 @@ def _csr(batch):
     """(sentence of each cell, dictionary position, value, sentences of each article)."""
     m = _flat(batch.column("m")).astype(np.int64)
     n = batch.column("m").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    return (np.repeat(np.arange(len(m)), m), _flat(batch.column("idx")).astype(np.int64),
-            _flat(batch.column("val")), n)
+    idx = _flat(batch.column("idx"))
+    val = _flat(batch.column("val")) if "val" in batch.schema.names else np.broadcast_to(1.0, len(idx))
+    return np.repeat(np.arange(len(m)), m), idx, val, n
+
+
+def chained(first, second):
+    """Two kernels as one, so that a task has one Python worker and nothing passes the JVM in between."""
+    return lambda batches: second(first(batches))
 
 
 def _scores(sentence, idx, val, n_sentences: int, W: np.ndarray) -> np.ndarray:

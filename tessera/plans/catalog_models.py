@@ -147,11 +147,10 @@ def q_crf_attributes(spark, sf):
 @query("crf_sparse_grad0")
 def q_crf_sparse_grad0(spark, sf):
     """H1 over sparse attributes: loss and gradient at zero weights, all documents."""
-    from ..operators.crf_sparse import gradient_rows, sparse_sequences, zero_model
+    from ..operators.crf_sparse import gradient_rows, zero_model
     a = _token_attributes(spark, sf)
     words = _dictionary(a)
-    g = gradient_rows(sparse_sequences(a, words), zero_model(words))
-    return g.select("param", F.round("value", 6).alias("value"))
+    return gradient_rows(a, zero_model(words)).select("param", F.round("value", 6).alias("value"))
 
 
 @query("crf_sparse_predict")

@@ -87,7 +87,7 @@ def test_gradient_equals_dense(spark, data, monkeypatch, small):
     want = {r.param: r.value for r in crf.gradient_rows(seqs, model).collect()}
     sparse = S.SparseCRF(words, (0, 1), W, A, np.ones((2, 2), dtype=bool))
     csr = S.sparse_sequences(df, words, values="vals")
-    got = {r.param: r.value for r in S.gradient_rows(csr, sparse).collect()}
+    got = {r.param: r.value for r in S.gradient_rows(df, sparse, values="vals").collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     monkeypatch.setattr(S, "DIRECT", 0)
     head, grad = S._summed(csr.mapInArrow(K.make_sparse_step(W, A, (0, 1)), S.PART_SCHEMA), 5, words.d, 2)
@@ -133,7 +133,7 @@ def test_maps_nulls_and_empty_articles(spark):
     got = {r.article_id: r for r in S.sparse_sequences(df, words, values="vals").collect()}
     assert got["none"].m == [] and got["null"].m == [0] and got["m"].m == [2, 0]
     assert sorted(got["m"].val) == [0.0, 2.0]
-    g = {r.param: r.value for r in S.gradient_rows(S.sparse_sequences(df, words, values="vals"), S.zero_model(words)).collect()}
+    g = {r.param: r.value for r in S.gradient_rows(df, S.zero_model(words), values="vals").collect()}
     assert abs(g["loss"] - 3 * math.log(2)) < 1e-12 and g["a|1"] == -1.0 and g["b|0"] == 0.0
 
 
@@ -150,3 +150,16 @@ def test_token_attributes(spark):
     df = spark.createDataFrame([([["x", "y"], [], ["z"]],), ([],)], "t array<array<string>>")
     got = [r[0] for r in df.select(S.token_attributes(F.col("t"))).collect()]
     assert got == [[["w=x", "w=y"], ["p=x", "p=y"], ["w=z"]], []]
+
+
+def test_null_names_and_wrong_number_of_arrays(spark):
+    rows = [("n", ["s", "t"], [1, 0], [["a", None, "b"], [None]], [[1.0, 5.0, 3.0], [2.0]])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    words = S.attribute_dictionary(df)
+    ids = {r.name: r.id for r in words.table.collect()}
+    r = S.sparse_sequences(df, words, values="vals").first()
+    assert r.m == [2, 0] and dict(zip(r.idx, r.val)) == {ids["a"]: 1.0, ids["b"]: 3.0}
+    assert S.sparse_sequences(df, words).first().m == [2, 0]
+    few = spark.createDataFrame([("n", ["s", "t"], [1, 0], [["a"]], None)], SCHEMA)
+    with pytest.raises(Exception, match="one array of attributes"):
+        S.sparse_sequences(few, words).collect()
