@@ -227,7 +227,7 @@ def fit_pca_wide(vectors: DataFrame, vec: str = "vec", k: int = DEFAULT_PCA_DIM,
     d = len(mean)
     k = min(k, d)
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, min(k + oversample, d))))[0]
-    for _ in range(max(power, 1)):
+    for _ in range(max(power, 1) if basis.shape[1] < d else 1):  # a basis of the whole space needs no second round
         r = tall_r(vectors, vec, mean, basis, zero_rows)
         u, sv, vt = np.linalg.svd(r)  # columns of the rows' product that are no more than rounding leave
         keep = sv > sv[0] * max(n, d) * np.finfo(float).eps if sv[0] > 0 else np.zeros(len(sv), bool)
