@@ -19,7 +19,7 @@ def gaps(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["embed_lookup"])
+@pytest.mark.parametrize("name", ["embed_lookup", "pca_fit"])
 def test_sentences_without_a_vector_stay(spark, gaps, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings"):
