@@ -57,10 +57,31 @@ def member_mask(groups: list[Column]) -> Column:
     return mask
 
 
-def _arrays(batch, d: int):
-    lengths = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
-    xs = _flat(batch.column("x")).astype(np.float64)
-    return lengths, xs, _offsets(lengths, d)
+def _lengths(batch) -> np.ndarray:
+    return batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _values(batch, lengths: np.ndarray, idx: np.ndarray, width: int):
+    """The common attributes of the sequences ``idx`` as a padded block and its mask: ``x``, and if there is a column
+    ``v`` of raw vectors (null: none), these and a flag that there are some. Only this block is made of doubles."""
+    X, M = _padded(batch.column("x"), lengths, idx)
+    if not width:
+        return X, M
+    out = np.zeros((*X.shape[:2], X.shape[2] + width + 1))
+    out[..., :X.shape[2]] = X
+    column = batch.column("v")
+    has = ~column.is_null().to_numpy(zero_copy_only=False)
+    if has.any():
+        V = pad(_flat(column).reshape(-1), _offsets(lengths * has, width), lengths * has, idx, width)[0]
+        out[:, :V.shape[1], X.shape[2]:-1] = V
+        out[..., -1] = M & has[idx][:, None]
+    return out, M
+
+
+def _padded(column, lengths, idx):
+    flat, total = _flat(column), int(lengths.sum())
+    d = len(flat) // total
+    return pad(flat, _offsets(lengths, d), lengths, idx, d)
 
 
 def _by_mask(member: np.ndarray, lengths: np.ndarray, d: int):
@@ -72,7 +93,7 @@ def _by_mask(member: np.ndarray, lengths: np.ndarray, d: int):
                 yield int(mask), rows[idx]
 
 
-def make_group_stats(d: int, labels: tuple, groups: int):
+def make_group_stats(d: int, labels: tuple, groups: int, width: int = 0):
     """Batches -> per row group: sequences, sentences, label and transition counts, second moments of x."""
     lab, K = np.asarray(labels, dtype=np.int64), len(labels)
 
@@ -83,29 +104,26 @@ def make_group_stats(d: int, labels: tuple, groups: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lengths, xs, _ = _arrays(batch, d)
+            lengths = _lengths(batch)
             member = batch.column("member").to_numpy(zero_copy_only=False)
-            y = np.searchsorted(lab, _flat(batch.column("y")).astype(np.int64))
-            x = xs.reshape(-1, d)
-            of = np.repeat(np.arange(len(lengths)), lengths)
-            inner = of[1:] == of[:-1]
-            for g in range(groups):
-                rows = (member >> g & 1) > 0
-                s = rows[of]
-                if not rows.any():
-                    continue
-                pairs = inner & s[1:]
-                trans = np.zeros((K, K))
-                np.add.at(trans, (y[:-1][pairs], y[1:][pairs]), 1.0)
-                v = np.concatenate([[rows.sum(), s.sum()], np.bincount(y[s], minlength=K), trans.ravel(),
-                                    (x[s].T @ x[s]).ravel()])
-                total[(g,)] = total.get((g,), 0.0) + v
+            ys = np.searchsorted(lab, _flat(batch.column("y")).astype(np.int64))
+            yo = _offsets(lengths, 1)
+            for mask, idx in _by_mask(member, lengths, d):
+                X, M = _values(batch, lengths, idx, width)
+                y = pad(ys, yo, lengths, idx, 1)[0][..., 0]
+                pairs = M[:, 1:]
+                trans = np.bincount(y[:, :-1][pairs] * K + y[:, 1:][pairs], minlength=K * K)
+                x = X.reshape(-1, d)  # padding is zero
+                v = np.concatenate([[len(idx), M.sum()], np.bincount(y[M], minlength=K), trans, (x.T @ x).ravel()])
+                for g in range(groups):
+                    if mask >> g & 1:
+                        total[(g,)] = total.get((g,), 0.0) + v
         if total:
             yield block_rows(total, {"model": pa.int32()}, "<f8")
     return step
 
 
-def make_fused_step(models: list[tuple], d: int):
+def make_fused_step(models: list[tuple], d: int, width: int = 0):
     """Batches -> per model (key, group, W, A, labels): loss, sequences and gradient over the common attributes."""
     def step(batches):
         import pyarrow as pa
@@ -116,7 +134,7 @@ def make_fused_step(models: list[tuple], d: int):
             if not batch.num_rows:
                 continue
             seen = True
-            lengths, xs, xo = _arrays(batch, d)
+            lengths = _lengths(batch)
             member = batch.column("member").to_numpy(zero_copy_only=False)
             ys = _flat(batch.column("y")).astype(np.int64)
             yo = _offsets(lengths, 1)
@@ -126,7 +144,7 @@ def make_fused_step(models: list[tuple], d: int):
                 mine = [m for m in models if mask >> m[1] & 1]
                 if not mine:
                     continue
-                X, M = pad(xs, xo, lengths, idx, d)
+                X, M = _values(batch, lengths, idx, width)
                 Y = pad(ys, yo, lengths, idx, 1)[0][..., 0]
                 for key, _, W, A, labels in mine:
                     at = np.searchsorted(np.asarray(labels, dtype=np.int64), Y)
@@ -155,16 +173,21 @@ SUM_SCHEMA = "model int, block int, blob binary"
 
 
 def fit_together(rows: DataFrame, specs: list[Spec], partitions: int | None = None, precondition: bool = True,
-                 hot_len: int = HOT_SEQUENCE_LEN, segment_len: int = SEGMENT_LEN) -> list[CRFModel]:
-    """H1 for every spec on rows ``(article_id, n, x, y, member)``, x row-major over the common attributes.
+                 hot_len: int = HOT_SEQUENCE_LEN, segment_len: int = SEGMENT_LEN, width: int = 0) -> list[CRFModel]:
+    """H1 for every spec on rows ``(article_id, n, x, y, member)``, x row-major over the common attributes; with
+    ``width`` these are x, the raw vectors of that width in a column ``v`` and a flag that v is not null. Rows that are persisted already are
+    read as they lie, others are spread and kept first.
 
     The same objective, scaling, optimiser and stopping rule as ``crf.fit``, and the same weights
     up to the order in which floats are added. The number of Spark jobs is that of the longest fit.
     """
     spark, d = rows.sparkSession, specs[0].P.shape[0]
-    spread = training_partitions(spark, partitions)
-    data = (rows.filter("n > 0 AND member <> 0").select("article_id", "n", "x", "y", "member")
-            .repartition(spread).persist(StorageLevel.MEMORY_AND_DISK))
+    vector = ["v"] if width else []
+    data = rows.filter("n > 0 AND member <> 0").select("article_id", "n", "x", *vector, "y", "member")
+    kept = rows.storageLevel.useMemory
+    spread = rows.rdd.getNumPartitions() if kept else training_partitions(spark, partitions)
+    if not kept:
+        data = data.repartition(spread).persist(StorageLevel.MEMORY_AND_DISK)
     segments = None
     groups = 1 + max(s.group for s in specs)
     try:
@@ -172,9 +195,11 @@ def fit_together(rows: DataFrame, specs: list[Spec], partitions: int | None = No
         if not labels:
             raise ValueError("no training labels")
         K, longest = len(labels), data.agg(F.max("n")).first()[0]
-        stats = _sums(data.mapInArrow(make_group_stats(d, labels, groups), SUM_SCHEMA), spread)
+        stats = _sums(data.mapInArrow(make_group_stats(d, labels, groups, width), SUM_SCHEMA), spread)
         if longest > hot_len:  # one sequence must not be one task: long ones go segment-parallel
             hot = data.filter(F.col("n") > hot_len)
+            if vector:
+                hot = hot.withColumn("x", _whole(width))
             segments = build_segments(hot, d, segment_len, keep=("member",)).persist(StorageLevel.MEMORY_AND_DISK)
             n_segments = segments.count()
             data_short = data.filter(F.col("n") <= hot_len)
@@ -217,7 +242,7 @@ def fit_together(rows: DataFrame, specs: list[Spec], partitions: int | None = No
             for i, v in asked.items():
                 W, A = weights(i, v / scale[i])
                 run.append((i, specs[i].group, specs[i].P @ W, A, own[i]))
-            got = _sums(data_short.mapInArrow(make_fused_step(run, d), SUM_SCHEMA), spread)
+            got = _sums(data_short.mapInArrow(make_fused_step(run, d, width), SUM_SCHEMA), spread)
             out = {}
             for i, group, W, A, lab in run:
                 v = got.get(i, np.zeros(2 + W.size + A.size))
@@ -236,7 +261,8 @@ def fit_together(rows: DataFrame, specs: list[Spec], partitions: int | None = No
 
         done = lbfgs.minimize_together(evaluate, fits)
     finally:
-        data.unpersist()
+        if not kept:
+            data.unpersist()
         if segments is not None:
             segments.unpersist()
     for i, res in done.items():
@@ -248,7 +274,17 @@ def fit_together(rows: DataFrame, specs: list[Spec], partitions: int | None = No
     return models
 
 
-def make_fused_decoder(models: list[tuple], d: int, keep: tuple):
+def _whole(width: int) -> Column:
+    """``x`` and the vectors in ``v`` as one row-major array over the common attributes."""
+    zeros = F.array_repeat(F.lit(0.0), width + 1)
+    own = F.size("x") / F.col("n")
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.concat(
+        F.slice("x", (i * own).cast("int") + 1, own.cast("int")),
+        F.when(F.col("v").isNull(), zeros).otherwise(F.concat(
+            F.slice("v", i * width + 1, F.lit(width)).cast("array<double>"), F.array(F.lit(1.0)))))))
+
+
+def make_fused_decoder(models: list[tuple], d: int, keep: tuple, width: int = 0):
     """Batches -> the kept columns and ``y_preds``: per model, whether its best path has label 1."""
     def run(batches):
         import pyarrow as pa
@@ -256,12 +292,12 @@ def make_fused_decoder(models: list[tuple], d: int, keep: tuple):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lengths, xs, xo = _arrays(batch, d)
+            lengths = _lengths(batch)
             out = np.zeros((batch.num_rows, len(models)), dtype=np.int32)
             for idx in chunks(lengths, d):
                 if lengths[idx].max() == 0:
                     continue
-                X, M = pad(xs, xo, lengths, idx, d)
+                X, M = _values(batch, lengths, idx, width)
                 for j, (W, A, labels) in enumerate(models):
                     path = np.asarray(labels, dtype=np.int64)[viterbi(X, M, W, A)]
                     out[idx, j] = ((path == 1) & M).any(axis=1)
@@ -270,11 +306,13 @@ def make_fused_decoder(models: list[tuple], d: int, keep: tuple):
     return run
 
 
-def predict_together(rows: DataFrame, models: list[CRFModel], specs: list[Spec], keep: tuple) -> DataFrame:
-    """H2 and B20 for every model in one pass over rows ``(*keep, n, x)``: ``(*keep, model, y_pred)``."""
+def predict_together(rows: DataFrame, models: list[CRFModel], specs: list[Spec], keep: tuple, width: int = 0) -> DataFrame:
+    """H2 and B20 for every model in one pass over rows ``(*keep, n, x)`` and, with ``width`` numbers a vector, ``v``:
+    ``(*keep, model, y_pred)``."""
     fields = [f for f in rows.schema.fields if f.name in keep]
     names = tuple(f.name for f in fields)
     schema = T.StructType([*fields, T.StructField("y_preds", T.ArrayType(T.IntegerType()))])
     run = [(s.P @ m.W, m.A * m.trans_mask, m.labels) for s, m in zip(specs, models)]
-    scored = rows.select(*names, "n", "x").mapInArrow(make_fused_decoder(run, specs[0].P.shape[0], names), schema)
+    d, vector = specs[0].P.shape[0], ["v"] if width else []
+    scored = rows.select(*names, "n", "x", *vector).mapInArrow(make_fused_decoder(run, d, names, width), schema)
     return scored.select(*names, F.posexplode("y_preds").alias("model", "y_pred"))

@@ -228,7 +228,7 @@ def make_gradient_step(W: np.ndarray, A: np.ndarray, labels=None):
             if batch.num_rows == 0:
                 continue
             lengths = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
-            xs = _flat(batch.column("x")).astype(np.float64)
+            xs = _flat(batch.column("x"))
             if lab is None:
                 ys = _flat(batch.column("yi")).astype(np.int64)
             else:
@@ -268,7 +268,7 @@ def make_sequence_scorer(W: np.ndarray, A: np.ndarray, mode: str, keep=("article
                 continue
             kept = [batch.column(c) for c in keep]
             lengths = batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64)
-            xs = _flat(batch.column(x)).astype(np.float64)
+            xs = _flat(batch.column(x))
             xo = _offsets(lengths, d)
             yo = _offsets(lengths, 1)
             if mode == "nll":

@@ -176,22 +176,22 @@ def _score_together(spark: SparkSession, articles: DataFrame, ctx: FeatureContex
         projections = fit_pca_groups(articles.withColumn("member", member).filter("member <> 0"), vectors, len(groups),
                                      dims.pop())
         width = next((len(p.mean) for p in projections if p is not None), 0)
+    vector = []
     if width:
         a = attach_vectors(a, article_matrices(vectors))
         train_only = F.lit(any(c.embed_scope == "train" for c, _ in variants)) & (F.col("member") == 0)  # X2
-        zeros = F.array_repeat(F.lit(0.0), width + 1)
-        none = F.transform("sentences", lambda s: zeros)
-        vecs = F.transform("vecs", lambda v: F.concat(v, F.array(F.lit(1.0))))
-        a = a.withColumn("_v", F.when(F.col("vecs").isNull() | train_only, none).otherwise(vecs))
-        x = crf.sequence_values((*named, "emb"), emb="_v")
-    rows = a.select("article_id", *keys, F.size("sentences").alias("n"), x.alias("x"),
+        vector = [F.when(~train_only, F.flatten("vecs")).alias("v")]  # of the table's type: floats are kept as floats
+    rows = a.select("article_id", *keys, F.size("sentences").alias("n"), x.alias("x"), *vector,
                     F.slice("sentence_labels", 1, checked_length()).alias("y"), "member", "_scored",
-                    any_positive("sentence_labels").alias("y_true")).persist(StorageLevel.MEMORY_AND_DISK)
+                    any_positive("sentence_labels").alias("y_true"))
+    if not width:  # no join has spread them
+        rows = rows.repartition(crf.training_partitions(spark, variants[0][0].partitions))
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     specs = [_spec(c, g, named, projections[g] if c.use_vectors and vectors is not None else None, width)
              for c, g in variants]
     try:
-        models = crf_fused.fit_together(rows, specs, variants[0][0].partitions)
-        pred = crf_fused.predict_together(rows.filter("_scored"), models, specs, (*keys, "y_true"))
+        models = crf_fused.fit_together(rows, specs, variants[0][0].partitions, width=width)
+        pred = crf_fused.predict_together(rows.filter("_scored"), models, specs, (*keys, "y_true"), width)
         return models, article_metrics(pred, keys=["model", *keys]).collect()  # a few rows a model
     finally:
         rows.unpersist()

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as E
+from tessera.operators import crf_fused
 from tessera.operators import vectors as V
 
 
@@ -60,3 +61,25 @@ def test_training_rows_move_no_vector(spark, gaps, monkeypatch):
     more, same = V.training_rows(arts, vecs)
     key = lambda df: sorted((r.article_id, r.pos) for r in df.collect())
     assert zeros == same > 0 and key(rows) == key(more)
+
+
+def test_fused_rows_are_kept_once(spark, monkeypatch):
+    """Rows that are persisted are not spread and kept again, and raw vectors beside x give the weights of whole rows."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(40):
+        n = 1 + i % 5
+        v = None if i % 7 == 0 else [float(np.float32(x)) for x in rng.normal(size=n * 3)]
+        rows.append((f"a{i}", n, [float(x) for x in rng.normal(size=n * 2)], v, [int(x) for x in rng.integers(0, 2, n)], 1))
+    df = spark.createDataFrame(rows, "article_id string, n int, x array<double>, v array<float>, y array<int>, member long")
+    spec = [crf_fused.Spec(tuple("abcdef"), np.eye(6), 0, max_iter=6)]
+    whole = df.withColumn("x", crf_fused._whole(3)).drop("v")
+    want = crf_fused.fit_together(whole, spec, 2)[0]
+    kept = df.persist()
+    monkeypatch.setattr(type(df), "repartition", lambda *a, **k: pytest.fail("spread again"))
+    got = crf_fused.fit_together(kept, spec, 2, width=3)[0]
+    monkeypatch.undo()
+    assert np.abs(got.W - want.W).max() < 1e-9 and np.abs(got.A - want.A).max() < 1e-9
+    hot = crf_fused.fit_together(kept, spec, 2, hot_len=2, segment_len=2, width=3)[0]
+    assert np.abs(hot.W - want.W).max() < 1e-6
+    kept.unpersist()
