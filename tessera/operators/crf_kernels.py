@@ -93,43 +93,47 @@ def nll_and_residuals(E: np.ndarray, M: np.ndarray, Y: np.ndarray, A: np.ndarray
             back[order] = R
             R = back
         return out, R, gA
+    # label by label and step by step in memory, so that each operation runs over one long row of sequences
     B, T, K = E.shape
-    Emax = E.max(axis=2)
-    PE = np.exp(E - Emax[..., None])
+    S = np.ascontiguousarray(E.transpose(2, 1, 0))  # (K, T, B)
+    Mt = np.ascontiguousarray(M.T)
+    Emax = S.max(axis=0)
+    PE = np.exp(S - Emax)
     EA = np.exp(A)
     lo = np.searchsorted(L, np.arange(T), side="right")  # first row still running at t
-    alpha = np.zeros((B, T, K))
-    c = np.ones((B, T))
+    alpha = np.zeros((K, T, B))
+    c = np.ones((T, B))
     r = lo[0]  # rows with at least one step
-    s0 = PE[r:, 0].sum(axis=1)
-    alpha[r:, 0] = PE[r:, 0] / s0[:, None]
-    c[r:, 0] = s0
+    c[0, r:] = PE[:, 0, r:].sum(axis=0)
+    alpha[:, 0, r:] = PE[:, 0, r:] / c[0, r:]
     for t in range(1, T):
         r = lo[t]
-        a = (alpha[r:, t - 1] @ EA) * PE[r:, t]
-        st = a.sum(axis=1)
-        alpha[r:, t] = a / st[:, None]
-        c[r:, t] = st
-    logZ = np.log(c).sum(axis=1) + (Emax * M).sum(axis=1)
+        a = (EA.T @ alpha[:, t - 1, r:]) * PE[:, t, r:]
+        c[t, r:] = st = a.sum(axis=0)
+        alpha[:, t, r:] = a / st
+    logZ = np.log(c).sum(axis=0) + (Emax * Mt).sum(axis=0)
     Yb = np.where(M, Y, 0)
     emis = (np.take_along_axis(E, Yb[..., None], axis=2)[..., 0] * M).sum(axis=1)
     trans = (A[Yb[:, :-1], Yb[:, 1:]] * M[:, 1:]).sum(axis=1) if T > 1 else np.zeros(B)
     nll = logZ - emis - trans
     if not want_grad:
         return nll, None, None
-    beta = np.ones((B, T, K))
-    for t in range(T - 2, -1, -1):
-        r = lo[t + 1]
-        beta[r:, t] = ((PE[r:, t + 1] * beta[r:, t + 1]) @ EA.T) / c[r:, t + 1, None]
-    P = alpha * beta  # zero on padding (alpha is zero there)
-    onehot = (Yb[..., None] == np.arange(K)) * M[..., None]
-    R = P - onehot
+    P = alpha  # times beta, from the last step on; zero on padding
+    beta = np.ones((K, B))
     gA = np.zeros((K, K))
+    for t in range(T - 1, 0, -1):
+        r = lo[t]
+        back = PE[:, t, r:] * beta[:, r:] / c[t, r:]  # what a step sends to the one before
+        P[:, t, r:] *= beta[:, r:]
+        gA += alpha[:, t - 1, r:] @ back.T
+        beta[:, r:] = EA @ back
+    P[:, 0] *= beta
+    gA *= EA
+    R = np.ascontiguousarray(P.transpose(2, 1, 0))
+    R -= (Yb[..., None] == np.arange(K)) * M[..., None]
     if T > 1:
-        right = PE[:, 1:] * beta[:, 1:] / c[:, 1:, None] * M[:, 1:, None]
-        gA += EA * (alpha[:, :-1].reshape(-1, K).T @ right.reshape(-1, K))
         v = M[:, 1:]
-        np.add.at(gA, (Yb[:, :-1][v], Yb[:, 1:][v]), -1.0)
+        gA -= np.bincount(Yb[:, :-1][v] * K + Yb[:, 1:][v], minlength=K * K).reshape(K, K)
     return nll, R, gA
 
 
