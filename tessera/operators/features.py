@@ -161,18 +161,19 @@ def _lexicon_table(ctx: FeatureContext) -> DataFrame:
 
 
 def _joined_counts(sents: DataFrame, ctx: FeatureContext, strategy: str) -> DataFrame:
-    """``sents`` with ``_toks`` and per-sentence lexicon counts via a join.
+    """``sents`` with ``_len`` (tokens) and per-sentence lexicon counts via a join.
 
     Equal tokens of a row are counted before the join. The row's columns go
     with its first token only, so a sentence's text is shuffled once per
     exchange, not once per token."""
     lex = _lexicon_table(ctx)
     rows = sents.withColumn("_toks", tokens("sentence"))
-    rows = rows.select(F.monotonically_increasing_id().alias("_row"), F.struct(*rows.columns).alias("_s"))
+    rows = rows.select(F.monotonically_increasing_id().alias("_row"), "_toks",
+                       F.struct(*sents.columns, F.size("_toks").alias("_len")).alias("_s"))
     toks = rows.select("_row", "_s", F.posexplode_outer(
-        F.transform(F.array_distinct("_s._toks"), lambda t: F.struct(
+        F.transform(F.array_distinct("_toks"), lambda t: F.struct(
             t.alias("token"),
-            F.size(F.filter("_s._toks", lambda u: u == t)).alias("times")))).alias("tpos", "tk"))
+            F.size(F.filter("_toks", lambda u: u == t)).alias("times")))).alias("tpos", "tk"))
     toks = toks.select("_row", "tk.token", "tk.times",
                        F.when(F.coalesce("tpos", F.lit(0)) == 0, F.col("_s")).alias("_s"))
     if strategy == "broadcast":
@@ -220,6 +221,7 @@ def sentence_features(sents: DataFrame, ctx: FeatureContext | None,
         return staged.select(*passthrough, *[c.alias(n) for n, c in cols])
     if strategy == "arrow":
         joined = _arrow_counted(sents.withColumn("_toks", tokens("sentence")), ctx, "_toks", False)
+        joined = joined.withColumn("_len", F.size("_toks"))
     else:
         joined = _joined_counts(sents, ctx, strategy)
     p = F.coalesce("_p", F.lit(0)).cast("double")
@@ -232,7 +234,7 @@ def sentence_features(sents: DataFrame, ctx: FeatureContext | None,
         F.coalesce("_b", F.lit(0)).cast("double").alias("bias_lex"),
         has_quotes("sentence").cast("double").alias("has_quotes"),
         has_modal("sentence").cast("double").alias("has_modal"),
-        F.size("_toks").cast("double").alias("len"),
+        F.col("_len").cast("double").alias("len"),
     )
 
 
