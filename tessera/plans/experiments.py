@@ -17,7 +17,7 @@ from ..operators import metrics as M
 from ..operators.features import FeatureContext, feature_names, with_feature_arrays
 from ..operators.sentences import checked_length
 from ..operators.vectors import (PCAProjection, article_matrices, attach_vectors, embedding_features, fit_pca_articles,
-                                 fit_pca_groups)
+                                 fit_pca_groups, positions)
 from ..sources import sinks
 from ..sources.articles import hash_bucket, split_filter
 
@@ -176,17 +176,18 @@ def _score_together(spark: SparkSession, articles: DataFrame, ctx: FeatureContex
         projections = fit_pca_groups(articles.withColumn("member", member).filter("member <> 0"), vectors, len(groups),
                                      dims.pop())
         width = next((len(p.mean) for p in projections if p is not None), 0)
-    vector = []
-    if width:
-        a = attach_vectors(a, article_matrices(vectors))
-        train_only = F.lit(any(c.embed_scope == "train" for c, _ in variants)) & (F.col("member") == 0)  # X2
-        vector = [F.when(~train_only, F.flatten("vecs")).alias("v")]  # of the table's type: floats are kept as floats
-    rows = a.select("article_id", *keys, F.size("sentences").alias("n"), x.alias("x"), *vector,
+    sentences = a.agg(F.sum(F.size("sentences"))).first()[0] or 0
+    spread = crf_fused.bounded_partitions(spark, sentences, len(named), width, variants[0][0].partitions)
+    rows = a.select("article_id", *keys, F.size("sentences").alias("n"), x.alias("x"),
                     F.slice("sentence_labels", 1, checked_length()).alias("y"), "member", "_scored",
-                    any_positive("sentence_labels").alias("y_true"))
-    if not width:  # no join has spread them
-        rows = rows.repartition(crf.training_partitions(spark, variants[0][0].partitions))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+                    any_positive("sentence_labels").alias("y_true"), positions().alias("sentences"))
+    if width:  # numbers cross the exchange, no text
+        train_only = F.lit(any(c.embed_scope == "train" for c, _ in variants)) & (F.col("member") == 0)  # X2
+        rows = attach_vectors(rows.repartition(spread, "article_id"), article_matrices(vectors, partitions=spread))
+        rows = rows.withColumn("v", F.when(~train_only, F.flatten("vecs")))  # of the table's type: floats stay floats
+    else:  # no join has spread them
+        rows = rows.repartition(spread)
+    rows = rows.drop("sentences", "vecs").persist(StorageLevel.MEMORY_AND_DISK)
     specs = [_spec(c, g, named, projections[g] if c.use_vectors and vectors is not None else None, width)
              for c, g in variants]
     try:
