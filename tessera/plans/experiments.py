@@ -17,7 +17,7 @@ from ..operators import metrics as M
 from ..operators.features import FeatureContext, feature_names, with_feature_arrays
 from ..operators.sentences import checked_length
 from ..operators.vectors import (PCAProjection, article_matrices, attach_vectors, embedding_features, fit_pca_articles,
-                                 fit_pca_groups, positions)
+                                 fit_pca_groups, positions, vectors_of)
 from ..sources import sinks
 from ..sources.articles import hash_bucket, split_filter
 
@@ -62,9 +62,18 @@ def train(spark: SparkSession, articles: DataFrame, ctx: FeatureContext,
     proj = None
     if cfg.use_vectors and vectors is not None:
         proj = fit_pca_articles(tr, vectors, k=cfg.pca_dim)
-    names = feature_names(cfg.use_lexicons) + _emb_dim_names(proj)
-    fa = featurise(tr, ctx, cfg, proj, vectors)
-    seqs = crf.sequences(fa, names, emb="emb" if proj is not None else None)
+    named = feature_names(cfg.use_lexicons)
+    if proj is not None:  # one copy of the rows, with vectors as the table has them; their scores are made in the passes
+        width = len(proj.mean)
+        a = with_feature_arrays(tr, ctx, cfg.use_lexicons).withColumn("member", F.lit(1).cast("long"))
+        rows = _training_rows(spark, a, named, vectors_of(tr, vectors), width, cfg.partitions).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return CRFRun(crf_fused.fit_together(rows, [_spec(cfg, 0, named, proj, width)], cfg.partitions, width=width)[0],
+                          proj, cfg)
+        finally:
+            rows.unpersist()
+    names = named
+    seqs = crf.sequences(featurise(tr, ctx, cfg, None, None), names)
     toggles = {"use_lexicons": cfg.use_lexicons, "use_vectors": proj is not None}
     model = crf.fit(seqs, names, cfg.transitions, cfg.c2, cfg.max_iter, cfg.partitions, toggles)
     return CRFRun(model, proj, cfg)
@@ -77,10 +86,22 @@ def predict(run: CRFRun, articles: DataFrame, ctx: FeatureContext,
     One pass over the articles with one decoder for every length; without
     vectors the plan is row-local, as a streaming source needs."""
     use_emb = run.proj is not None and vectors is not None
+    if use_emb:
+        run = _label_scores(run)
     fa = featurise(articles, ctx, run.config, run.proj if use_emb else None, vectors if use_emb else None)
     return decode_frame(run, fa, use_emb)
 
 
+def _label_scores(run: CRFRun) -> CRFRun:
+    """The run with the PCA scores' weights folded into the projection: an attribute for each label, of weight 1 for it,
+    so a lookup moves a number for each label and no vector. The same emissions."""
+    m = run.model
+    k = len(m.feature_names) - run.proj.k
+    model = replace(m, feature_names=(*m.feature_names[:k], *(f"emb{i}" for i in range(m.K))),
+                    W=np.vstack([m.W[:k], np.eye(m.K)]))
+    return replace(run, model=model, proj=run.proj.mapped(m.W[k:]))
+
+
 def decode_frame(run: CRFRun, fa: DataFrame, use_emb: bool) -> DataFrame:
     """Decode already featurised article rows (``feats`` [+ ``emb``])."""
     model = run.model if use_emb else _without_embeddings(run.model)
@@ -168,7 +189,7 @@ def _score_together(spark: SparkSession, articles: DataFrame, ctx: FeatureContex
     a = with_feature_arrays(articles, ctx, any(c.use_lexicons for c, _ in variants)).withColumn("member", member)
     a = a.withColumn("_scored", F.coalesce(scored, F.lit(False))).filter("member <> 0 OR _scored")
     named = feature_names(any(c.use_lexicons for c, _ in variants))
-    projections, width, x = [None] * len(groups), 0, crf.sequence_values(named)
+    projections, width = [None] * len(groups), 0
     if use_vectors:
         dims = {c.pca_dim for c, _ in variants if c.use_vectors}
         if len(dims) != 1:
@@ -176,18 +197,9 @@ def _score_together(spark: SparkSession, articles: DataFrame, ctx: FeatureContex
         projections = fit_pca_groups(articles.withColumn("member", member).filter("member <> 0"), vectors, len(groups),
                                      dims.pop())
         width = next((len(p.mean) for p in projections if p is not None), 0)
-    sentences = a.agg(F.sum(F.size("sentences"))).first()[0] or 0
-    spread = crf_fused.bounded_partitions(spark, sentences, len(named), width, variants[0][0].partitions)
-    rows = a.select("article_id", *keys, F.size("sentences").alias("n"), x.alias("x"),
-                    F.slice("sentence_labels", 1, checked_length()).alias("y"), "member", "_scored",
-                    any_positive("sentence_labels").alias("y_true"), positions().alias("sentences"))
-    if width:  # numbers cross the exchange, no text
-        train_only = F.lit(any(c.embed_scope == "train" for c, _ in variants)) & (F.col("member") == 0)  # X2
-        rows = attach_vectors(rows.repartition(spread, "article_id"), article_matrices(vectors, partitions=spread))
-        rows = rows.withColumn("v", F.when(~train_only, F.flatten("vecs")))  # of the table's type: floats stay floats
-    else:  # no join has spread them
-        rows = rows.repartition(spread)
-    rows = rows.drop("sentences", "vecs").persist(StorageLevel.MEMORY_AND_DISK)
+    train_only = F.lit(any(c.embed_scope == "train" for c, _ in variants)) & (F.col("member") == 0)  # X2
+    rows = _training_rows(spark, a, named, vectors, width, variants[0][0].partitions, (*keys, "_scored"), train_only)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     specs = [_spec(c, g, named, projections[g] if c.use_vectors and vectors is not None else None, width)
              for c, g in variants]
     try:
@@ -198,6 +210,23 @@ def _score_together(spark: SparkSession, articles: DataFrame, ctx: FeatureContex
         rows.unpersist()
 
 
+def _training_rows(spark: SparkSession, a: DataFrame, named: tuple, vectors: DataFrame | None, width: int,
+                   partitions: int | None, keep: tuple = (), without=None) -> DataFrame:
+    """Rows for ``crf_fused`` of featurised articles, in partitions of bounded bytes: named features ``x`` and, with
+    ``width``, the raw vectors ``v`` (null where the condition ``without`` holds)."""
+    sentences = a.agg(F.sum(F.size("sentences"))).first()[0] or 0
+    spread = crf_fused.bounded_partitions(spark, sentences, len(named), width, partitions)
+    rows = a.select("article_id", *keep, F.size("sentences").alias("n"), crf.sequence_values(named).alias("x"),
+                    F.slice("sentence_labels", 1, checked_length()).alias("y"), "member",
+                    any_positive("sentence_labels").alias("y_true"), positions().alias("sentences"))
+    if not width:  # no join spreads them
+        return rows.drop("sentences").repartition(spread)
+    # numbers cross the exchange, no text
+    rows = attach_vectors(rows.repartition(spread, "article_id"), article_matrices(vectors, partitions=spread))
+    v = F.flatten("vecs")  # of the table's type: floats stay floats
+    return rows.withColumn("v", v if without is None else F.when(~without, v)).drop("sentences", "vecs")
+
+
 def _spec(cfg: CRFConfig, group: int, named: tuple, proj: PCAProjection | None, width: int) -> crf_fused.Spec:
     """A config's attributes as a map of the common ones: chosen features, and its own PCA scores, which are
     ``vector @ components.T - mean @ components.T`` where the article has vectors."""
