@@ -33,7 +33,7 @@ from .vector_sums import block_rows, merged_blocks
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need numpy and pyarrow only
 
 MAX_GROUPS = 62  # bits of a member mask
-PART_BYTES = 48 << 20  # of training rows in a partition: Spark hands a Python worker up to 10,000 articles at once
+PART_BYTES = 48 << 20  # of training rows in a partition: a task that joins, keeps or reads rows holds much of one
 
 
 @dataclass
@@ -60,7 +60,7 @@ def member_mask(groups: list[Column]) -> Column:
 
 def bounded_partitions(spark, sentences: int, named: int, width: int, partitions: int | None = None) -> int:
     """Partitions for training rows of so many sentences, each of ``named`` doubles and ``width`` floats: one for each
-    core at least, and none of much more than ``PART_BYTES``, which bounds what a Python worker is sent at once."""
+    core at least, and none of much more than ``PART_BYTES``, which bounds what a task holds."""
     return max(training_partitions(spark, partitions), -(-sentences * (8 * named + 4 * width + 8) // PART_BYTES))
 
 
