@@ -8,8 +8,8 @@ attributes are a linear map of them, ``x @ P``: it picks columns, and projects t
 model's own PCA. Since ``(x @ P) @ W = x @ (P @ W)``, a model is a weight matrix over the common
 attributes, and its gradient is ``P.T`` times the common one.
 
-One ``mapInArrow`` pass then evaluates all models that still run: every padded chunk
-of sequences is built once and read by each of its models. A partition returns one block a model. The L-BFGS
+One ``mapInArrow`` pass then evaluates all models that still run: the emissions of all come from one product with
+the attributes as they lie, and only these are padded by sequence. A partition returns one block a model. The L-BFGS
 states advance in step on the driver, and a fit that has converged leaves the pass.
 """
 
@@ -27,12 +27,14 @@ from pyspark.sql import types as T
 from . import lbfgs
 from .crf import (COLLECT_MAX_PARTITIONS, DEFAULT_C2, DEFAULT_MAX_ITER, HOT_SEQUENCE_LEN, SEGMENT_LEN, CRFModel,
                   CRFObjective, build_segments, observed_labels, training_partitions, transition_mask)
-from .crf_kernels import _flat, _offsets, chunks, nll_and_grad, pad, viterbi
+from .crf_kernels import _flat, _offsets, chunks, nll_and_residuals_flat, viterbi
 from .vector_sums import block_rows, merged_blocks
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need numpy and pyarrow only
 
 MAX_GROUPS = 62  # bits of a member mask
+SLAB = 4_096      # sentences made of doubles at a time
+STEP_CELLS = 32   # numbers that a padded step of a sequence counts as, see ``chunks``
 PART_BYTES = 48 << 20  # of training rows in a partition: a task that joins, keeps or reads rows holds much of one
 
 
@@ -68,34 +70,76 @@ def _lengths(batch) -> np.ndarray:
     return batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _values(batch, lengths: np.ndarray, idx: np.ndarray, width: int):
-    """The common attributes of the sequences ``idx`` as a padded block and its mask: ``x``, and if there is a column
-    ``v`` of raw vectors (null: none), these and a flag that there are some. Only this block is made of doubles."""
-    X, M = _padded(batch.column("x"), lengths, idx)
-    if not width:
-        return X, M
-    out = np.zeros((*X.shape[:2], X.shape[2] + width + 1))
-    out[..., :X.shape[2]] = X
-    column = batch.column("v")
-    has = ~column.is_null().to_numpy(zero_copy_only=False)
-    if has.any():
-        V = pad(_flat(column).reshape(-1), _offsets(lengths * has, width), lengths * has, idx, width)[0]
-        out[:, :V.shape[1], X.shape[2]:-1] = V
-        out[..., -1] = M & has[idx][:, None]
-    return out, M
-
-
-def _padded(column, lengths, idx):
-    flat, total = _flat(column), int(lengths.sum())
-    d = len(flat) // total
-    return pad(flat, _offsets(lengths, d), lengths, idx, d)
-
-
-def _by_mask(member: np.ndarray, lengths: np.ndarray, d: int):
-    """(mask, indices of a chunk of sequences that have it)."""
+class _Rows:
+    """A batch's sentences with the common attributes: ``x``, and with ``width`` the raw vectors in ``v`` (null: none)
+    and a flag that there are some. Sentences stay in rows as they lie, and ``SLAB`` of them at a time are made of
+    doubles, so nothing wider than emissions is padded."""
+
+    def __init__(self, batch, lengths: np.ndarray, width: int):
+        total = int(lengths.sum())
+        self.width, self.starts = width, _offsets(lengths, 1)
+        self.x = _flat(batch.column("x")).reshape(total, -1) if total else np.zeros((0, 1))
+        if width:
+            column = batch.column("v")
+            has = np.repeat(~column.is_null().to_numpy(zero_copy_only=False), lengths)
+            self.v, self.at = _flat(column).reshape(-1, width), np.where(has, np.cumsum(has) - 1, -1)
+
+    def _slabs(self, s: np.ndarray):
+        """(part of ``s``, its rows of x, which of them have vectors, these)."""
+        for start in range(0, len(s), SLAB):
+            part = slice(start, start + SLAB)
+            x = self.x[s[part]]
+            if not self.width:
+                yield part, x, None, None
+                continue
+            at = self.at[s[part]]
+            has = slice(None) if at.min() >= 0 else np.flatnonzero(at >= 0)
+            yield part, x, has, self.v[at[has]].astype(np.float64)
+
+    def times(self, s: np.ndarray, W: np.ndarray) -> np.ndarray:
+        """``attributes @ W`` of the sentences ``s``."""
+        out = np.empty((len(s), W.shape[1]))
+        for part, x, has, v in self._slabs(s):
+            k = x.shape[1]
+            e = x @ W[:k]
+            if has is not None:
+                e[has] += v @ W[k:-1] + W[-1]
+            out[part] = e
+        return out
+
+    def back(self, s: np.ndarray, R: np.ndarray, out: np.ndarray) -> None:
+        """Adds ``attributes.T @ R`` of the sentences ``s``."""
+        for part, x, has, v in self._slabs(s):
+            k, r = x.shape[1], R[part]
+            out[:k] += x.T @ r
+            if has is not None:
+                out[k:-1] += v.T @ r[has]
+                out[-1] += r[has].sum(axis=0)
+
+    def moments(self, s: np.ndarray, d: int) -> np.ndarray:
+        total = np.zeros((d, d))
+        for _, x, has, v in self._slabs(s):
+            z = np.zeros((len(x), d))
+            z[:, :x.shape[1]] = x
+            if has is not None:
+                z[has, x.shape[1]:-1] = v
+                z[has, -1] = 1.0
+            total += z.T @ z
+        return total
+
+    def sentences(self, lengths: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the sentences of the sequences ``idx`` one after the other, their places in a padded block as a mask)."""
+        L = lengths[idx]
+        ends = np.cumsum(L)
+        return (np.repeat(self.starts[idx] - (ends - L), L) + np.arange(ends[-1] if len(ends) else 0),
+                np.arange(L.max(initial=0)) < L[:, None])
+
+
+def _by_mask(member: np.ndarray, lengths: np.ndarray):
+    """(mask, indices of a chunk of sequences that have it, sorted by length)."""
     for mask in np.unique(member):
         rows = np.flatnonzero(member == mask)
-        for idx in chunks(lengths[rows], d):
+        for idx in chunks(lengths[rows], STEP_CELLS):
             if lengths[rows[idx]].max() > 0:
                 yield int(mask), rows[idx]
 
@@ -114,14 +158,14 @@ def make_group_stats(d: int, labels: tuple, groups: int, width: int = 0):
             lengths = _lengths(batch)
             member = batch.column("member").to_numpy(zero_copy_only=False)
             ys = np.searchsorted(lab, _flat(batch.column("y")).astype(np.int64))
-            yo = _offsets(lengths, 1)
-            for mask, idx in _by_mask(member, lengths, d):
-                X, M = _values(batch, lengths, idx, width)
-                y = pad(ys, yo, lengths, idx, 1)[0][..., 0]
+            rows = _Rows(batch, lengths, width)
+            for mask, idx in _by_mask(member, lengths):
+                s, M = rows.sentences(lengths, idx)
+                y = np.zeros(M.shape, dtype=np.int64)
+                y[M] = ys[s]
                 pairs = M[:, 1:]
                 trans = np.bincount(y[:, :-1][pairs] * K + y[:, 1:][pairs], minlength=K * K)
-                x = X.reshape(-1, d)  # padding is zero
-                v = np.concatenate([[len(idx), M.sum()], np.bincount(y[M], minlength=K), trans, (x.T @ x).ravel()])
+                v = np.concatenate([[len(idx), M.sum()], np.bincount(ys[s], minlength=K), trans, rows.moments(s, d).ravel()])
                 for g in range(groups):
                     if mask >> g & 1:
                         total[(g,)] = total.get((g,), 0.0) + v
@@ -144,22 +188,33 @@ def make_fused_step(models: list[tuple], d: int, width: int = 0):
             lengths = _lengths(batch)
             member = batch.column("member").to_numpy(zero_copy_only=False)
             ys = _flat(batch.column("y")).astype(np.int64)
-            yo = _offsets(lengths, 1)
+            rows = _Rows(batch, lengths, width)
             for key, group, *_ in models:
                 total[(key,)][1] += int((member >> group & 1).sum())
-            for mask, idx in _by_mask(member, lengths, d):
+            for mask, idx in _by_mask(member, lengths):
                 mine = [m for m in models if mask >> m[1] & 1]
                 if not mine:
                     continue
-                X, M = _values(batch, lengths, idx, width)
-                Y = pad(ys, yo, lengths, idx, 1)[0][..., 0]
-                for key, _, W, A, labels in mine:
-                    at = np.searchsorted(np.asarray(labels, dtype=np.int64), Y)
-                    nll, gW, gA = nll_and_grad(X, M, np.where(M, at, 0), W, A)
+                s, _ = rows.sentences(lengths, idx)
+                E = rows.times(s, np.hstack([W for _, _, W, _, _ in mine]))
+                ends = np.cumsum([W.shape[1] for _, _, W, _, _ in mine])
+                R, grads = np.empty_like(E), []
+                for labels in dict.fromkeys(m[4] for m in mine):  # models of the same labels go together
+                    same = [i for i, m in enumerate(mine) if m[4] == labels]
+                    at = np.concatenate([np.arange(ends[i] - len(labels), ends[i]) for i in same])
+                    Y = np.searchsorted(np.asarray(labels, dtype=np.int64), ys[s])
+                    nll, res, gA = nll_and_residuals_flat(E[:, at].reshape(len(s), len(same), -1), lengths[idx], Y,
+                                                          [mine[i][3] for i in same])
+                    R[:, at] = res.reshape(len(s), -1)
+                    grads += [(i, nll[j], gA[j]) for j, i in enumerate(same)]
+                gW = np.zeros((d, R.shape[1]))
+                rows.back(s, R, gW)
+                for i, loss, gA in grads:
+                    key, _, W, _, _ = mine[i]
                     t = total[(key,)]
-                    t[0] += float(nll.sum())
-                    t[2:2 + gW.size] += gW.ravel()
-                    t[2 + gW.size:] += gA.ravel()
+                    t[0] += loss
+                    t[2:2 + W.size] += gW[:, ends[i] - W.shape[1]:ends[i]].ravel()
+                    t[2 + W.size:] += gA.ravel()
         if seen:
             yield block_rows(total, {"model": pa.int32()}, "<f8")
     return step
@@ -301,12 +356,15 @@ def make_fused_decoder(models: list[tuple], d: int, keep: tuple, width: int = 0)
                 continue
             lengths = _lengths(batch)
             out = np.zeros((batch.num_rows, len(models)), dtype=np.int32)
-            for idx in chunks(lengths, d):
+            rows = _Rows(batch, lengths, width)
+            for idx in chunks(lengths, STEP_CELLS):
                 if lengths[idx].max() == 0:
                     continue
-                X, M = _values(batch, lengths, idx, width)
+                s, M = rows.sentences(lengths, idx)
                 for j, (W, A, labels) in enumerate(models):
-                    path = np.asarray(labels, dtype=np.int64)[viterbi(X, M, W, A)]
+                    E = np.zeros((*M.shape, W.shape[1]))
+                    E[M] = rows.times(s, W)
+                    path = np.asarray(labels, dtype=np.int64)[viterbi(E, M, np.eye(W.shape[1]), A)]
                     out[idx, j] = ((path == 1) & M).any(axis=1)
             preds = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), len(models)).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], preds], names=[*keep, "y_preds"])

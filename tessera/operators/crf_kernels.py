@@ -137,6 +137,131 @@ def nll_and_residuals(E: np.ndarray, M: np.ndarray, Y: np.ndarray, A: np.ndarray
     return nll, R, gA
 
 
+def _added(terms):
+    """Sum over the first axis, or of a few arrays; faster than a reduction along a short axis."""
+    it = iter(terms)
+    out = next(it)
+    for x in it:
+        out = out + x
+    return out
+
+
+SCAN_STEPS = 64  # steps of a sequence that ``nll_and_residuals_flat`` takes one by one
+
+
+def nll_and_residuals_flat(E: np.ndarray, lengths: np.ndarray, y: np.ndarray, A: list):
+    """``nll_and_residuals`` of several models on the same sequences, one after the other as they lie: emissions ``E``
+    (sentences, models, K), label indices ``y`` (sentences). Per model the summed negative log-likelihood and transition
+    gradient, and the residuals like ``E``.
+
+    Sequences are cut into segments of ``SCAN_STEPS``, and all segments of all models take a step together, so the number of
+    steps doesn't grow with the longest sequence: a segment's transfer matrix first, then what enters each segment from
+    either side by a scan over the matrices of a sequence, then the scaled forward-backward inside."""
+    N, n, K = E.shape
+    A = np.asarray(A, dtype=np.float64).reshape(n, K, K)
+    first_of = np.cumsum(lengths) - lengths
+    inner = np.ones(N, dtype=bool)
+    inner[first_of[lengths > 0]] = False
+    inner = np.flatnonzero(inner)
+    seen = np.bincount(y[inner - 1] * K + y[inner], minlength=K * K).reshape(K, K)
+    truth = np.arange(N)
+    loss = -E[truth, :, y].sum(axis=0) - (A * seen).sum(axis=(1, 2))
+    if np.abs(A).max(initial=0.0) > SCALED_MAX_ABS_TRANSITION:
+        R, gA = np.empty((N, n, K)), np.zeros((n, K, K))
+        for idx in chunks(lengths, K):
+            if lengths[idx].max() == 0:
+                continue
+            at = first_of[idx][:, None] + np.arange(lengths[idx].max())
+            M = np.arange(lengths[idx].max()) < lengths[idx][:, None]
+            for m in range(n):
+                X, Y = np.zeros((*M.shape, K)), np.zeros(M.shape, dtype=np.int64)
+                X[M], Y[M] = E[at[M], m], y[at[M]]
+                nll, r, g = _residuals_log(X, M, Y, A[m])
+                true = E[at[M], m, y[at[M]]].sum() + (A[m][Y[:, :-1], Y[:, 1:]] * M[:, 1:]).sum()
+                loss[m] += nll.sum() + true
+                R[at[M], m] = r[M]
+                gA[m] += g
+        return loss, R, gA
+    # segments, shortest first: at step t those still running are the last ones
+    parts = -(-lengths // SCAN_STEPS)
+    head = np.cumsum(parts) - parts
+    G = int(parts.sum())
+    seq = np.repeat(np.arange(len(lengths)), parts)
+    nth = np.arange(G) - head[seq]
+    size = np.minimum(SCAN_STEPS, lengths[seq] - nth * SCAN_STEPS)
+    order = np.argsort(size, kind="stable")
+    rank = np.empty(G, dtype=np.int64)
+    rank[order] = np.arange(G)
+    own = np.repeat(np.arange(G), size)
+    t_of, g_of = truth - (np.cumsum(size) - size)[own], rank[own]
+    T = int(size.max())
+    lo = n * np.searchsorted(size[order], np.arange(T), side="right")
+    S = np.zeros((K, T, G, n))
+    S[:, t_of, g_of] = E.transpose(2, 0, 1)
+    S = S.reshape(K, T, G * n)
+    Emax = S.max(axis=0)
+    PE = np.exp(S - Emax)
+    EA = np.tile(np.exp(A).transpose(1, 2, 0), (1, 1, G))  # a segment's models stand side by side
+    first = np.repeat(nth[order] == 0, n)
+    entry = np.zeros((K, G, n))  # forward message into a segment; 0 for a sequence's first
+    beta = np.ones((K, G, n))    # backward message at its last step
+    long = np.flatnonzero(parts > 1)
+    long = long[np.argsort(-parts[long], kind="stable")]
+    running = [long[:int((parts[long] > q).sum())] for q in range(1, parts.max(initial=1))]  # with a q-th segment
+    if len(long):
+        many = (parts > 1)[seq][order]
+        place, cols = np.cumsum(many) - 1, np.repeat(many, n)
+        lo_many = n * np.searchsorted(size[order][many], np.arange(T), side="right")
+        pe, ea = PE[:, :, cols], EA[:, :, cols]
+        V = np.where(first[cols], 1.0, ea) * pe[:, 0]
+        V /= V.sum(axis=(0, 1))
+        for t in range(1, T):
+            r = lo_many[t]
+            v = _added(V[:, k, None, r:] * ea[k, :, r:] for k in range(K)) * pe[:, t, r:]
+            V[:, :, r:] = v / _added(v.reshape(K * K, -1))
+        V = V.reshape(K, K, -1, n)
+        a = V[0][:, place[rank[head[long]]]]
+        for q, ids in enumerate(running, 1):
+            g = rank[head[ids] + q]
+            a = a[:, :len(ids)]
+            entry[:, g] = a = a / a.sum(axis=0)
+            a = (a[:, None] * V[:, :, place[g]]).sum(axis=0)
+    entry = entry.reshape(K, G * n)
+    alpha = np.zeros((K, T, G * n))
+    c = np.ones((T, G * n))
+    a = np.where(first, 1.0, _added(EA * entry[:, None])) * PE[:, 0]
+    c[0] = _added(a)
+    alpha[:, 0] = a / c[0]
+    for t in range(1, T):
+        r = lo[t]
+        a = _added(EA[k, :, r:] * alpha[k, t - 1, r:] for k in range(K)) * PE[:, t, r:]
+        c[t, r:] = st = _added(a)
+        np.divide(a, st, out=alpha[:, t, r:])
+    loss += (np.log(c).sum(axis=0) + Emax.sum(axis=0)).reshape(G, n).sum(axis=0)
+    if len(long):
+        b = np.ones((K, len(long), n))
+        into = entry.reshape(K, G, n)
+        for q in range(len(running), 0, -1):
+            ids = running[q - 1]
+            g = rank[head[ids] + q]
+            back = (V[:, :, place[g]] * b[:, :len(ids)]).sum(axis=1)
+            b[:, :len(ids)] = beta[:, rank[head[ids] + q - 1]] = back / (into[:, g] * back).sum(axis=0)
+    beta = beta.reshape(K, G * n)
+    P = alpha  # times beta, from the last step on
+    pairs = np.zeros((K, K, G * n))
+    for t in range(T - 1, 0, -1):
+        r = lo[t]
+        back = PE[:, t, r:] * beta[:, r:] / c[t, r:]
+        P[:, t, r:] *= beta[:, r:]
+        pairs[:, :, r:] += alpha[:, t - 1, None, r:] * back
+        beta[:, r:] = _added(EA[:, k, r:] * back[k] for k in range(K))
+    P[:, 0] *= beta
+    pairs += entry[:, None] * (PE[:, 0] * beta / c[0])
+    R = np.ascontiguousarray(P.reshape(K, T, G, n)[:, t_of, g_of].transpose(1, 2, 0))
+    R[truth, :, y] -= 1.0
+    return loss, R, (pairs * EA).reshape(K, K, G, n).sum(axis=2).transpose(2, 0, 1) - seen
+
+
 def nll_and_grad_log(X: np.ndarray, M: np.ndarray, Y: np.ndarray, W: np.ndarray, A: np.ndarray,
                      want_grad: bool = True):
     """``nll_and_grad`` in log space."""
