@@ -11,11 +11,12 @@ import sys
 import numpy as np
 from pyspark import cloudpickle
 
-from .crf_kernels import _flat, _offsets, chunks, nll_and_residuals, pad, viterbi
+from .crf_kernels import _flat, _offsets, chunks, nll_and_residuals_flat, pad, viterbi
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need numpy and pyarrow only
 
 BLOCK = 8_192       # attributes of a block of the gradient
+STEPS = 1 << 16     # sentences whose recursions run together
 SLICE = 1 << 20     # attributes handled at a time, or one article's if those are more
 
 
@@ -60,12 +61,11 @@ def make_encoder(hashes: np.ndarray, keep: tuple):
 
 
 def _csr(batch):
-    """(sentence of each cell, dictionary position, value, sentences of each article)."""
+    """(cells of each sentence, dictionary position and value of each cell, sentences of each article); values are None if
+    all are 1."""
     m = _flat(batch.column("m")).astype(np.int64)
     n = batch.column("m").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    idx = _flat(batch.column("idx"))
-    val = _flat(batch.column("val")) if "val" in batch.schema.names else np.broadcast_to(1.0, len(idx))
-    return np.repeat(np.arange(len(m)), m), idx, val, n
+    return m, _flat(batch.column("idx")), _flat(batch.column("val")) if "val" in batch.schema.names else None, n
 
 
 def chained(first, second):
@@ -73,8 +73,41 @@ def chained(first, second):
     return lambda batches: second(first(batches))
 
 
-def _scores(sentence, idx, val, n_sentences: int, W: np.ndarray) -> np.ndarray:
-    return np.stack([np.bincount(sentence, val * W[idx, k], minlength=n_sentences) for k in range(W.shape[1])], axis=1)
+def _scores(m, idx, val, W: np.ndarray) -> np.ndarray:
+    """Emissions: for each sentence the sum of its cells' weights. Cells lie sentence by sentence, so a sum is one of
+    neighbours; two labels' weights are looked up together, as one complex number."""
+    W = np.ascontiguousarray(W, dtype=np.float64)
+    E = np.zeros((len(m), W.shape[1]))
+    some = np.flatnonzero(m)
+    if len(some):
+        starts = (np.cumsum(m) - m)[some]
+        columns = [W.view(np.complex128)[:, 0]] if W.shape[1] == 2 else list(W.T)
+        for k, w in enumerate(columns):
+            cells = np.take(w, idx)
+            sums = np.add.reduceat(cells if val is None else cells * val, starts)
+            if len(columns) < W.shape[1]:
+                E[some] = sums.view(np.float64).reshape(-1, 2)
+            else:
+                E[some, k] = sums
+    return E
+
+
+def _add_gradient(gW: np.ndarray, m, idx, val, R: np.ndarray) -> None:
+    """Adds the cells' residuals by attribute. A sentence's residuals add up to 0, so the last label's are not summed."""
+    for k in range(gW.shape[1] - 1):
+        cells = np.repeat(R[:, k], m)
+        g = np.bincount(idx, cells if val is None else cells * val, minlength=len(gW))
+        gW[:, k] += g
+        gW[:, -1] -= g
+
+
+def _by_sentences(n: np.ndarray):
+    """Ranges of articles (first, last + 1) with ``STEPS`` sentences at most, or of one article."""
+    ends, start = np.cumsum(n), 0
+    while start < len(n):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + STEPS, side="right")))
+        yield start, end
+        start = end
 
 
 def _blocks(grad: np.ndarray, head: np.ndarray):
@@ -103,29 +136,25 @@ def make_sparse_step(W: np.ndarray, A: np.ndarray, labels):
         gW, gA, loss, count = np.zeros((d, K)), np.zeros((K, K)), 0.0, 0
         for whole in batches:
             for batch in slices(whole, "idx"):
-                sentence, idx, val, n = _csr(batch)
-                total = int(n.sum())
+                m, idx, val, n = _csr(batch)
                 count += batch.num_rows
-                if not total:
+                if not n.sum():
                     continue
-                E = _scores(sentence, idx, val, total, W)
+                E = _scores(m, idx, val, W)
                 given = _flat(batch.column("y")).astype(np.int64)
                 ys = np.minimum(np.searchsorted(lab, given), K - 1)
                 if (lab[ys] != given).any():
                     raise ValueError("label unknown to the model")
-                first = _offsets(n, 1)
-                R = np.zeros((total, K))
-                for rows in chunks(n, K):
-                    if n[rows].max() == 0:
+                ends = np.concatenate([[0], np.cumsum(n)])
+                for a, b in _by_sentences(n):
+                    at = slice(ends[a], ends[b])
+                    if ends[a] == ends[b]:
                         continue
-                    X, M = pad(E.ravel(), first * K, n, rows, K)
-                    Y, _ = pad(ys, first, n, rows, 1)
-                    nll, r, g = nll_and_residuals(X, M, Y[..., 0].astype(np.int64), A)
-                    loss += float(nll.sum())
-                    gA += g
-                    R[(first[rows][:, None] + np.arange(M.shape[1]))[M]] = r[M]
-                for k in range(K):
-                    gW[:, k] += np.bincount(idx, val * R[sentence, k], minlength=d)
+                    nll, R, g = nll_and_residuals_flat(E[at, None], n[a:b], ys[at], [A])
+                    loss += float(nll[0])
+                    gA += g[0]
+                    E[at] = R[:, 0]
+                _add_gradient(gW, m, idx, val, E)
         yield _blocks(gW, np.concatenate([[loss, count], gA.ravel()]))
     return step
 
@@ -136,7 +165,7 @@ def make_squares_step(d: int):
         squares, n = np.zeros((d, 1)), 0
         for batch in batches:
             _, idx, val, lengths = _csr(batch)
-            squares[:, 0] += np.bincount(idx, val * val, minlength=d)
+            squares[:, 0] += np.bincount(idx, None if val is None else val * val, minlength=d)
             n += int(lengths.sum())
         yield _blocks(squares, np.array([float(n)]))
     return step
@@ -206,9 +235,9 @@ def make_sparse_decoder(W: np.ndarray, A: np.ndarray, keep: tuple):
 
         for whole in batches:
             for batch in slices(whole, "idx"):
-                sentence, idx, val, n = _csr(batch)
+                m, idx, val, n = _csr(batch)
                 total = int(n.sum())
-                E = _scores(sentence, idx, val, total, W)
+                E = _scores(m, idx, val, W)
                 first = _offsets(n, 1)
                 out = np.zeros(total, dtype=np.int32)
                 for rows in chunks(n, K):
