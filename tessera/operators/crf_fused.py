@@ -29,10 +29,12 @@ from .crf import (COLLECT_MAX_PARTITIONS, DEFAULT_C2, DEFAULT_MAX_ITER, HOT_SEQU
                   CRFObjective, build_segments, observed_labels, training_partitions, transition_mask)
 from .crf_kernels import _flat, _offsets, chunks, nll_and_residuals_flat, viterbi
 from .vector_sums import block_rows, merged_blocks
+from .vector_table import VectorTable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need numpy and pyarrow only
 
 MAX_GROUPS = 62  # bits of a member mask
+ZERO = -2         # in place of a row of a table: a zero vector
 SLAB = 4_096      # sentences made of doubles at a time
 STEP_CELLS = 32   # numbers that a padded step of a sequence counts as, see ``chunks``
 PART_BYTES = 48 << 20  # of training rows in a partition: a task that joins, keeps or reads rows holds much of one
@@ -72,17 +74,22 @@ def _lengths(batch) -> np.ndarray:
 
 class _Rows:
     """A batch's sentences with the common attributes: ``x``, and with ``width`` the raw vectors in ``v`` (null: none)
-    and a flag that there are some. Sentences stay in rows as they lie, and ``SLAB`` of them at a time are made of
+    and a flag that there are some. With the ``vecs`` of a table ``v`` has rows of it (-1: a zero vector). Sentences stay in rows as they lie, and ``SLAB`` of them at a time are made of
     doubles, so nothing wider than emissions is padded."""
 
-    def __init__(self, batch, lengths: np.ndarray, width: int):
+    def __init__(self, batch, lengths: np.ndarray, width: int, vecs: np.ndarray | None = None):
         total = int(lengths.sum())
         self.width, self.starts = width, _offsets(lengths, 1)
         self.x = _flat(batch.column("x")).reshape(total, -1) if total else np.zeros((0, 1))
         if width:
             column = batch.column("v")
             has = np.repeat(~column.is_null().to_numpy(zero_copy_only=False), lengths)
-            self.v, self.at = _flat(column).reshape(-1, width), np.where(has, np.cumsum(has) - 1, -1)
+            if vecs is None:
+                self.v, self.at = _flat(column).reshape(-1, width), np.where(has, np.cumsum(has) - 1, -1)
+            else:
+                self.v, self.at = vecs, np.full(total, -1)
+                at = _flat(column)
+                self.at[has] = np.where(at < 0, ZERO, at)
 
     def _slabs(self, s: np.ndarray):
         """(part of ``s``, its rows of x, which of them have vectors, these)."""
@@ -93,8 +100,10 @@ class _Rows:
                 yield part, x, None, None
                 continue
             at = self.at[s[part]]
-            has = slice(None) if at.min() >= 0 else np.flatnonzero(at >= 0)
-            yield part, x, has, self.v[at[has]].astype(np.float64)
+            has = slice(None) if (at != -1).all() else np.flatnonzero(at != -1)
+            v = self.v[np.maximum(at[has], 0)].astype(np.float64)
+            v[at[has] == ZERO] = 0.0
+            yield part, x, has, v
 
     def times(self, s: np.ndarray, W: np.ndarray) -> np.ndarray:
         """``attributes @ W`` of the sentences ``s``."""
@@ -144,21 +153,21 @@ def _by_mask(member: np.ndarray, lengths: np.ndarray):
                 yield int(mask), rows[idx]
 
 
-def make_group_stats(d: int, labels: tuple, groups: int, width: int = 0):
+def make_group_stats(d: int, labels: tuple, groups: int, width: int = 0, table: VectorTable | None = None):
     """Batches -> per row group: sequences, sentences, label and transition counts, second moments of x."""
     lab, K = np.asarray(labels, dtype=np.int64), len(labels)
 
     def step(batches):
         import pyarrow as pa
 
-        total = {}
+        total, vecs = {}, table and table.open()[2]
         for batch in batches:
             if not batch.num_rows:
                 continue
             lengths = _lengths(batch)
             member = batch.column("member").to_numpy(zero_copy_only=False)
             ys = np.searchsorted(lab, _flat(batch.column("y")).astype(np.int64))
-            rows = _Rows(batch, lengths, width)
+            rows = _Rows(batch, lengths, width, vecs)
             for mask, idx in _by_mask(member, lengths):
                 s, M = rows.sentences(lengths, idx)
                 y = np.zeros(M.shape, dtype=np.int64)
@@ -174,13 +183,13 @@ def make_group_stats(d: int, labels: tuple, groups: int, width: int = 0):
     return step
 
 
-def make_fused_step(models: list[tuple], d: int, width: int = 0):
+def make_fused_step(models: list[tuple], d: int, width: int = 0, table: VectorTable | None = None):
     """Batches -> per model (key, group, W, A, labels): loss, sequences and gradient over the common attributes."""
     def step(batches):
         import pyarrow as pa
 
         total = {(key,): np.zeros(2 + W.size + A.size) for key, _, W, A, _ in models}
-        seen = False
+        seen, vecs = False, table and table.open()[2]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -188,7 +197,7 @@ def make_fused_step(models: list[tuple], d: int, width: int = 0):
             lengths = _lengths(batch)
             member = batch.column("member").to_numpy(zero_copy_only=False)
             ys = _flat(batch.column("y")).astype(np.int64)
-            rows = _Rows(batch, lengths, width)
+            rows = _Rows(batch, lengths, width, vecs)
             for key, group, *_ in models:
                 total[(key,)][1] += int((member >> group & 1).sum())
             for mask, idx in _by_mask(member, lengths):
@@ -235,9 +244,10 @@ SUM_SCHEMA = "model int, block int, blob binary"
 
 
 def fit_together(rows: DataFrame, specs: list[Spec], partitions: int | None = None, precondition: bool = True,
-                 hot_len: int = HOT_SEQUENCE_LEN, segment_len: int = SEGMENT_LEN, width: int = 0) -> list[CRFModel]:
+                 hot_len: int = HOT_SEQUENCE_LEN, segment_len: int = SEGMENT_LEN, width: int = 0,
+                 table: VectorTable | None = None) -> list[CRFModel]:
     """H1 for every spec on rows ``(article_id, n, x, y, member)``, x row-major over the common attributes; with
-    ``width`` these are x, the raw vectors of that width in a column ``v`` and a flag that v is not null. Rows that are persisted already are
+    ``width`` these are x, the raw vectors of that width in a column ``v`` and a flag that v is not null; with ``table`` column ``v`` has its rows (``placed``). Rows that are persisted already are
     read as they lie, others are spread and kept first.
 
     The same objective, scaling, optimiser and stopping rule as ``crf.fit``, and the same weights
@@ -257,9 +267,11 @@ def fit_together(rows: DataFrame, specs: list[Spec], partitions: int | None = No
         if not labels:
             raise ValueError("no training labels")
         K, longest = len(labels), data.agg(F.max("n")).first()[0]
-        stats = _sums(data.mapInArrow(make_group_stats(d, labels, groups, width), SUM_SCHEMA), spread)
+        stats = _sums(data.mapInArrow(make_group_stats(d, labels, groups, width, table), SUM_SCHEMA), spread)
         if longest > hot_len:  # one sequence must not be one task: long ones go segment-parallel
             hot = data.filter(F.col("n") > hot_len)
+            if table:
+                hot = table.resolve(hot, "v", placed=True).withColumn("v", F.flatten("v"))
             if vector:
                 hot = hot.withColumn("x", _whole(width))
             segments = build_segments(hot, d, segment_len, keep=("member",)).persist(StorageLevel.MEMORY_AND_DISK)
@@ -304,7 +316,7 @@ def fit_together(rows: DataFrame, specs: list[Spec], partitions: int | None = No
             for i, v in asked.items():
                 W, A = weights(i, v / scale[i])
                 run.append((i, specs[i].group, specs[i].P @ W, A, own[i]))
-            got = _sums(data_short.mapInArrow(make_fused_step(run, d, width), SUM_SCHEMA), spread)
+            got = _sums(data_short.mapInArrow(make_fused_step(run, d, width, table), SUM_SCHEMA), spread)
             out = {}
             for i, group, W, A, lab in run:
                 v = got.get(i, np.zeros(2 + W.size + A.size))
@@ -346,17 +358,18 @@ def _whole(width: int) -> Column:
             F.slice("v", i * width + 1, F.lit(width)).cast("array<double>"), F.array(F.lit(1.0)))))))
 
 
-def make_fused_decoder(models: list[tuple], d: int, keep: tuple, width: int = 0):
+def make_fused_decoder(models: list[tuple], d: int, keep: tuple, width: int = 0, table: VectorTable | None = None):
     """Batches -> the kept columns and ``y_preds``: per model, whether its best path has label 1."""
     def run(batches):
         import pyarrow as pa
 
+        vecs = table and table.open()[2]
         for batch in batches:
             if not batch.num_rows:
                 continue
             lengths = _lengths(batch)
             out = np.zeros((batch.num_rows, len(models)), dtype=np.int32)
-            rows = _Rows(batch, lengths, width)
+            rows = _Rows(batch, lengths, width, vecs)
             for idx in chunks(lengths, STEP_CELLS):
                 if lengths[idx].max() == 0:
                     continue
@@ -371,7 +384,8 @@ def make_fused_decoder(models: list[tuple], d: int, keep: tuple, width: int = 0)
     return run
 
 
-def predict_together(rows: DataFrame, models: list[CRFModel], specs: list[Spec], keep: tuple, width: int = 0) -> DataFrame:
+def predict_together(rows: DataFrame, models: list[CRFModel], specs: list[Spec], keep: tuple, width: int = 0,
+                     table: VectorTable | None = None) -> DataFrame:
     """H2 and B20 for every model in one pass over rows ``(*keep, n, x)`` and, with ``width`` numbers a vector, ``v``:
     ``(*keep, model, y_pred)``."""
     fields = [f for f in rows.schema.fields if f.name in keep]
@@ -379,5 +393,5 @@ def predict_together(rows: DataFrame, models: list[CRFModel], specs: list[Spec],
     schema = T.StructType([*fields, T.StructField("y_preds", T.ArrayType(T.IntegerType()))])
     run = [(s.P @ m.W, m.A * m.trans_mask, m.labels) for s, m in zip(specs, models)]
     d, vector = specs[0].P.shape[0], ["v"] if width else []
-    scored = rows.select(*names, "n", "x", *vector).mapInArrow(make_fused_decoder(run, d, names, width), schema)
+    scored = rows.select(*names, "n", "x", *vector).mapInArrow(make_fused_decoder(run, d, names, width, table), schema)
     return scored.select(*names, F.posexplode("y_preds").alias("model", "y_pred"))

@@ -38,13 +38,38 @@ class VectorTable:
         ids = np.load(SparkFiles.get(self.ids), mmap_mode="r")
         return ids[0], ids[1], np.memmap(SparkFiles.get(self.vecs), self.kind, "r").reshape(-1, self.width)
 
-    def resolve(self, rows: DataFrame, column: str) -> DataFrame:
+    def _type(self) -> T.DataType:
+        return T.ArrayType(T.FloatType() if self.kind == "<f4" else T.DoubleType())
+
+    def vectors_of(self, ids: DataFrame, column: str = "vec") -> DataFrame:
+        """Rows with the vector in place of the id in ``column``, row-local; null for one that is not there."""
+        schema = T.StructType([T.StructField(f.name, self._type()) if f.name == column else f for f in ids.schema.fields])
+        return ids.mapInArrow(make_row_resolver(self, column), schema)
+
+    def placed(self, rows: DataFrame, column: str) -> DataFrame:
+        """Rows with the vectors' rows in the table in place of the ids in the array ``column``, row-local: -1 for an id that is
+        null or that the table has not, null where that holds for all of a row's."""
+        schema = T.StructType([T.StructField(f.name, T.ArrayType(T.IntegerType())) if f.name == column else f
+                               for f in rows.schema.fields])
+        return rows.mapInArrow(make_placer(self, column), schema)
+
+    def resolve(self, rows: DataFrame, column: str, placed: bool = False) -> DataFrame:
         """Rows with the vectors in place of the ids in the array ``column``, row-local: zeros for an id that is null or that the
-        table has not, null where that holds for all of a row's (as ``attach_vectors``)."""
-        element = T.FloatType() if self.kind == "<f4" else T.DoubleType()
-        schema = T.StructType([T.StructField(f.name, T.ArrayType(T.ArrayType(element))) if f.name == column else f
+        table has not, null where that holds for all of a row's (as ``attach_vectors``). ``placed``: the array has rows of the table."""
+        schema = T.StructType([T.StructField(f.name, T.ArrayType(self._type())) if f.name == column else f
                                for f in rows.schema.fields])
-        return rows.mapInArrow(make_resolver(self, column), schema)
+        return rows.mapInArrow(make_resolver(self, column, placed), schema)
+
+
+@dataclass
+class VectorsById:
+    """Vectors of sentences by id: rows ``(article_id, pos, vec)``, ``vec`` an id of ``table``."""
+    ids: DataFrame
+    table: VectorTable
+
+    def rows(self) -> DataFrame:
+        """``(article_id, pos, vec)`` with the vectors."""
+        return self.table.vectors_of(self.ids)
 
 
 def rows_of(ids: np.ndarray, places: np.ndarray, wanted) -> np.ndarray:
@@ -57,7 +82,43 @@ def rows_of(ids: np.ndarray, places: np.ndarray, wanted) -> np.ndarray:
     return np.where(has & (ids[at] == keys), places[at], -1)
 
 
-def make_resolver(table: VectorTable, column: str):
+def _found(column, at: np.ndarray):
+    """(elements of each list, whether it has one in the table)."""
+    n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return n, np.bincount(np.repeat(np.arange(len(n)), n), at >= 0, minlength=len(n)) > 0
+
+
+def make_row_resolver(table: VectorTable, column: str):
+    def run(batches):
+        import pyarrow as pa
+
+        ids, places, vecs = table.open()
+        for b in batches:
+            at = rows_of(ids, places, b.column(column))
+            has = at >= 0
+            offsets = np.concatenate([[0], np.cumsum(has * table.width)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~has, False)), pa.array(vecs[at[has]].ravel()))
+            yield pa.RecordBatch.from_arrays([lists if c == column else b.column(c) for c in b.schema.names],
+                                             names=b.schema.names)
+    return run
+
+
+def make_placer(table: VectorTable, column: str):
+    def run(batches):
+        import pyarrow as pa
+
+        ids, places, _ = table.open()
+        for b in batches:
+            at = rows_of(ids, places, b.column(column).flatten()).astype(np.int32)
+            n, found = _found(b.column(column), at)
+            offsets = np.concatenate([[0], np.cumsum(n * found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~found, False)), pa.array(at[np.repeat(found, n)]))
+            yield pa.RecordBatch.from_arrays([lists if c == column else b.column(c) for c in b.schema.names],
+                                             names=b.schema.names)
+    return run
+
+
+def make_resolver(table: VectorTable, column: str, placed: bool = False):
     def run(batches):
         import pyarrow as pa
 
@@ -70,8 +131,11 @@ def make_resolver(table: VectorTable, column: str):
                 end = max(start + 1, int(np.searchsorted(ends, most, side="right")))
                 b, n = whole.slice(start, end - start), each[start:end]
                 start = end
-                at = rows_of(ids, places, b.column(column).flatten())
-                found = np.bincount(np.repeat(np.arange(len(n)), n), at >= 0, minlength=len(n)) > 0
+                flat = b.column(column).flatten()
+                at = flat.to_numpy(zero_copy_only=False) if placed else rows_of(ids, places, flat)
+                found = _found(b.column(column), at)[1]
+                if placed:  # a list is there, whatever it has
+                    found = ~b.column(column).is_null().to_numpy(zero_copy_only=False)
                 given = np.repeat(found, n)
                 v = np.where((at >= 0)[given, None], vecs[np.maximum(at[given], 0)], vecs.dtype.type(0))
                 own = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * table.width), pa.array(v.ravel()))

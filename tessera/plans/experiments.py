@@ -18,6 +18,7 @@ from ..operators.features import FeatureContext, feature_names, with_feature_arr
 from ..operators.sentences import checked_length
 from ..operators.vectors import (PCAProjection, article_matrices, attach_vectors, embedding_features, fit_pca_articles,
                                  fit_pca_groups, positions, vectors_of)
+from ..operators.vector_table import VectorsById
 from ..sources import sinks
 from ..sources.articles import hash_bucket, split_filter
 
@@ -41,6 +42,15 @@ class CRFRun:
     config: CRFConfig
 
 
+def _rows(vectors: DataFrame | VectorsById | None) -> DataFrame | None:
+    """Sentence vectors as rows, where a step reads each once and moves none."""
+    return vectors.rows() if isinstance(vectors, VectorsById) else vectors
+
+
+def _table(vectors):
+    return vectors.table if isinstance(vectors, VectorsById) else None
+
+
 def _emb_dim_names(proj: PCAProjection | None) -> tuple:
     return tuple(f"emb{i}" for i in range(proj.k)) if proj is not None else ()
 
@@ -61,15 +71,16 @@ def train(spark: SparkSession, articles: DataFrame, ctx: FeatureContext,
     tr = split_filter(articles, split)
     proj = None
     if cfg.use_vectors and vectors is not None:
-        proj = fit_pca_articles(tr, vectors, k=cfg.pca_dim)
+        proj = fit_pca_articles(tr, _rows(vectors), k=cfg.pca_dim)
     named = feature_names(cfg.use_lexicons)
     if proj is not None:  # one copy of the rows, with vectors as the table has them; their scores are made in the passes
         width = len(proj.mean)
         a = with_feature_arrays(tr, ctx, cfg.use_lexicons).withColumn("member", F.lit(1).cast("long"))
-        rows = _training_rows(spark, a, named, vectors_of(tr, vectors), width, cfg.partitions).persist(StorageLevel.MEMORY_AND_DISK)
+        own = replace(vectors, ids=vectors_of(tr, vectors.ids)) if _table(vectors) else vectors_of(tr, vectors)
+        rows = _training_rows(spark, a, named, own, width, cfg.partitions).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            return CRFRun(crf_fused.fit_together(rows, [_spec(cfg, 0, named, proj, width)], cfg.partitions, width=width)[0],
-                          proj, cfg)
+            return CRFRun(crf_fused.fit_together(rows, [_spec(cfg, 0, named, proj, width)], cfg.partitions, width=width,
+                                                 table=_table(vectors))[0], proj, cfg)
         finally:
             rows.unpersist()
     names = named
@@ -85,6 +96,7 @@ def predict(run: CRFRun, articles: DataFrame, ctx: FeatureContext,
 
     One pass over the articles with one decoder for every length; without
     vectors the plan is row-local, as a streaming source needs."""
+    vectors = _rows(vectors)
     use_emb = run.proj is not None and vectors is not None
     if use_emb:
         run = _label_scores(run)
@@ -194,7 +206,7 @@ def _score_together(spark: SparkSession, articles: DataFrame, ctx: FeatureContex
         dims = {c.pca_dim for c, _ in variants if c.use_vectors}
         if len(dims) != 1:
             raise ValueError("models fitted together need one pca_dim")
-        projections = fit_pca_groups(articles.withColumn("member", member).filter("member <> 0"), vectors, len(groups),
+        projections = fit_pca_groups(articles.withColumn("member", member).filter("member <> 0"), _rows(vectors), len(groups),
                                      dims.pop())
         width = next((len(p.mean) for p in projections if p is not None), 0)
     train_only = F.lit(any(c.embed_scope == "train" for c, _ in variants)) & (F.col("member") == 0)  # X2
@@ -203,8 +215,9 @@ def _score_together(spark: SparkSession, articles: DataFrame, ctx: FeatureContex
     specs = [_spec(c, g, named, projections[g] if c.use_vectors and vectors is not None else None, width)
              for c, g in variants]
     try:
-        models = crf_fused.fit_together(rows, specs, variants[0][0].partitions, width=width)
-        pred = crf_fused.predict_together(rows.filter("_scored"), models, specs, (*keys, "y_true"), width)
+        table = _table(vectors) if width else None
+        models = crf_fused.fit_together(rows, specs, variants[0][0].partitions, width=width, table=table)
+        pred = crf_fused.predict_together(rows.filter("_scored"), models, specs, (*keys, "y_true"), width, table)
         return models, article_metrics(pred, keys=["model", *keys]).collect()  # a few rows a model
     finally:
         rows.unpersist()
@@ -213,16 +226,22 @@ def _score_together(spark: SparkSession, articles: DataFrame, ctx: FeatureContex
 def _training_rows(spark: SparkSession, a: DataFrame, named: tuple, vectors: DataFrame | None, width: int,
                    partitions: int | None, keep: tuple = (), without=None) -> DataFrame:
     """Rows for ``crf_fused`` of featurised articles, in partitions of bounded bytes: named features ``x`` and, with
-    ``width``, the raw vectors ``v`` (null where the condition ``without`` holds)."""
+    ``width``, the raw vectors ``v`` (null where the condition ``without`` holds), or their rows in the table of vectors by id."""
+    table = _table(vectors)
     sentences = a.agg(F.sum(F.size("sentences"))).first()[0] or 0
-    spread = crf_fused.bounded_partitions(spark, sentences, len(named), width, partitions)
+    spread = crf_fused.bounded_partitions(spark, sentences, len(named), 1 if table and width else width, partitions)
     rows = a.select("article_id", *keep, F.size("sentences").alias("n"), crf.sequence_values(named).alias("x"),
                     F.slice("sentence_labels", 1, checked_length()).alias("y"), "member",
                     any_positive("sentence_labels").alias("y_true"), positions().alias("sentences"))
     if not width:  # no join spreads them
         return rows.drop("sentences").repartition(spread)
     # numbers cross the exchange, no text
-    rows = attach_vectors(rows.repartition(spread, "article_id"), article_matrices(vectors, partitions=spread))
+    rows = rows.repartition(spread, "article_id")
+    if table:
+        ids = attach_vectors(rows, article_matrices(vectors.ids, partitions=spread), missing=F.lit(None).cast("bigint"))
+        rows, v = table.placed(ids, "vecs"), F.col("vecs")
+        return rows.withColumn("v", v if without is None else F.when(~without, v)).drop("sentences", "vecs")
+    rows = attach_vectors(rows, article_matrices(vectors, partitions=spread))
     v = F.flatten("vecs")  # of the table's type: floats stay floats
     return rows.withColumn("v", v if without is None else F.when(~without, v)).drop("sentences", "vecs")
 
